@@ -55,37 +55,42 @@ def position(share: Column, slope: Column) -> Column:
     return F.when(slope == 0, share).otherwise((root - one) / (2 * slope))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, positions) for each row of docs (doc_id, text, source), by first position.
-
-    positions holds the training position of each copy that the mix takes; a document that is not taken comes last.
-    """
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size")))
+def _plan(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col("source").cast("string").alias("source"), n_words(text).alias("size")))
     shares = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))))
-    rows = numbered(rows, ["source"], [F.col("doc_id"), F.col("size")], "at", max(64, rows.count() // 50_000), F.col("size"))
+    rows = numbered(rows, ["source"], [F.col("doc_id"), F.col("h"), F.col("size")], "at", max(64, rows.count() // 50_000), F.col("size"))
     rows = rows.join(shares.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     quota = F.round("target").cast("long")
     starts = F.transform(F.array(*[F.lit(i) for i in range(MOST)]), lambda i: i * F.col("source_size") + F.col("at"))
     rows = rows.withColumn("starts", F.filter(starts, lambda x: (x < quota) & (F.col("size") > 0)))
     taken = F.aggregate("starts", F.lit(0).cast("long"), lambda n, x: n + F.least(F.col("size"), quota - x))
     places = F.transform("starts", lambda x: position(x / F.col("target"), F.col("slope")))
-    out = rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), places.alias("positions"))
-    return out.orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), "doc_id")
+    return rows.select("doc_id", "h", "source", "size", "source_size", "target", taken.alias("taken"), places.alias("positions"))
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, positions) for each row of docs (doc_id, text, source), by first position.
+
+    positions holds the training position of each copy that the mix takes; a document that is not taken comes last.
+    """
+    return _plan(docs).orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), "doc_id", "h").drop("h")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents as the mix takes them, a row for each copy, by position; a copy that is cut keeps its first words.
 
-    Columns are those of docs. Rows of one doc_id are taken to be copies of one document.
+    Columns are those of docs.
     """
-    plan = mix(docs).where("taken > 0")
+    key = lambda: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    plan = cut(_plan(docs).where("taken > 0").withColumn("_d", key()))
+    if plan.select("_d", "h").groupBy("_d", "h").count().where("count > 1").limit(1).count():
+        docs = docs.dropDuplicates(["doc_id", "text"])  # repeated rows: the plan has a row for each of them
     n = F.size("positions")
-    copies = plan.select(F.col("doc_id").alias("_d"), (F.col("taken") - (n - 1) * F.col("size")).alias("_last"), F.col("size").alias("_size"), (n - 1).alias("_n"), F.posexplode("positions").alias("_i", "_at"))
-    once = docs.dropDuplicates(["doc_id"]) if docs.columns else docs
-    joined = once.join(copies, F.col("doc_id").eqNullSafe(F.col("_d")))
+    copies = plan.select("_d", F.col("h").alias("_h"), (F.col("taken") - (n - 1) * F.col("size")).alias("_last"), F.col("size").alias("_size"), (n - 1).alias("_n"), F.posexplode("positions").alias("_i", "_at"))
+    joined = docs.withColumns({"_d": key(), "_h": F.xxhash64(F.col("text").cast("string"))}).join(copies, ["_d", "_h"])
     words = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     leading = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
     short = F.array_join(F.slice(words, F.lit(1), (F.col("_last") + leading).cast("int")), "")
     cut_off = (F.col("_i") == F.col("_n")) & (F.col("_last") < F.col("_size"))
-    out = joined.withColumn("text", F.when(cut_off, short).otherwise(F.col("text")))
-    return out.orderBy("_at", "doc_id").select(*docs.columns)
+    return joined.withColumn("text", F.when(cut_off, short).otherwise(F.col("text"))).orderBy("_at", "_d", "_h").select(*docs.columns)

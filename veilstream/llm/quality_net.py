@@ -219,15 +219,33 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row of docs; only labels of rows that are not held out are learned."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
+    """Vectors and network as a broadcast variable. At most `sample` rows of pooled vectors reach the driver."""
     context = docs.sparkSession.sparkContext
     vectors = word_vectors(docs)
-    shared = context.broadcast(vectors)
-    rows = labelled_sample(docs, labels, sample, ~held_out()).select("text", "y").mapInArrow(_pool(shared), "y int, x binary").collect()
+    rows = labelled_sample(docs, labels, sample, ~held_out()).select("text", "y").mapInArrow(_pool(context.broadcast(vectors)), "y int, x binary").collect()
     x = np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(-1, 2 * DIM)
-    order = np.lexsort(np.column_stack((x, [r["y"] for r in rows])).T) if len(rows) else slice(None)
-    net = fit(x[order], np.array([r["y"] for r in rows], np.float64)[order])
+    y = np.array([r["y"] for r in rows], np.float64)
+    order = np.lexsort((*x.T, y))  # the rows come in any order
+    return context.broadcast((vectors, fit(x[order], y[order])))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for each row of docs; only labels of rows that are not held out are learned."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = texts.mapInArrow(_score(context.broadcast((vectors, net))), "doc_id long, score double")
+    scored = texts.mapInArrow(_score(train(docs, labels, sample)), "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs that the classifier does not reject, with all of their columns."""
+    model = train(docs, labels, sample)
+    place = docs.columns.index("text")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, net = model.value
+        for part in parts:
+            for lo, hi, texts in H.batches(part.column(place)):
+                yield part.slice(lo, hi - lo).filter(pa.array(net.scores(pooled_all(texts, vectors)) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
