@@ -1 +1 @@
-
+"""Operators on DataFrames of documents, spans, sessions and events."""
