@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EDGE = " \t\r\n:;,.!?-–—()[]{}"
@@ -124,3 +124,8 @@ def parse_time(c: Column) -> Column:
 
 def expired(created: Column, now: Column, hours: int) -> Column:
     return F.coalesce(now - created > F.expr(f"INTERVAL {int(hours)} HOURS"), F.lit(False))
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are worked out once: a generator keeps the optimizer from writing them out wherever they are used."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

@@ -99,7 +99,7 @@ def telemetry(requests: DataFrame) -> DataFrame:
     skipped = F.lit(False)
     for prefix in fixed.SKIPPED_PATHS:
         skipped = skipped | F.col("path").startswith(prefix)
-    ms = ((F.unix_micros("done") - F.unix_micros("ts")) / 1000).cast("double")
+    ms = ((F.unix_micros(F.col("done").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1000).cast("double")
     rows = requests.where(~skipped).withColumns({"event_type": route_event(F.col("method"), F.col("path")), "latency_ms": F.bround(ms, 2)}).where("event_type is not null")
     payload = F.create_map(*[x for c in ("method", "path", "status_code", "latency_ms", "user_id", "client_ip", "user_agent", "response_size") for x in (F.lit(c), F.col(c).cast("string"))])
     return rows.select(F.col("ts").alias("timestamp"), "event_type", "user_id", F.col("status_code").cast("int").alias("status_code"), "latency_ms", "path", payload.alias("payload"))
@@ -113,7 +113,7 @@ def login_blocks(attempts: DataFrame, seconds: int = 300, most: int = 8) -> Data
     key = ["ip", "username"]
     order = Window.partitionBy(*key).orderBy("ts", "attempt_id")
     cleared = F.coalesce(F.sum(F.col("success").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = attempts.withColumn("_round", cleared).withColumn("_t", F.unix_seconds("ts")).withColumn("_fail", (~F.col("success")).cast("int"))
+    rows = attempts.withColumn("_round", cleared).withColumn("_t", F.unix_seconds(F.col("ts").cast("timestamp"))).withColumn("_fail", (~F.col("success")).cast("int"))
     recent = Window.partitionBy(*key, "_round").orderBy("_t").rangeBetween(-seconds, 0)
     same = Window.partitionBy(*key, "_round", "_t").orderBy("attempt_id").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     failures = F.sum("_fail").over(recent) - F.sum("_fail").over(same)  # those before this attempt

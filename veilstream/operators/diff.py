@@ -59,7 +59,7 @@ def join_runs(ops: Column) -> Column:
         joined = F.struct(op["kind"].alias("kind"), F.concat(last["text"], op["text"]).alias("text"))
         return F.when(last["kind"] == op["kind"], F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(op)))
 
-    return F.when(F.size(ops) > 0, F.aggregate(F.slice(ops, 2, 2**31 - 1), F.slice(ops, 1, 1), step)).otherwise(ops)
+    return F.when(F.size(ops) > 0, F.aggregate(F.slice(ops, F.lit(2), F.size(ops)), F.slice(ops, 1, 1), step)).otherwise(ops)
 
 
 def word_diff(pairs: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def resolve_overlaps(spans: DataFrame) -> DataFrame:
         replaced = F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(s))
         return F.when(s["start"] >= last["end"], F.concat(kept, F.array(s))).when(_replaces(last, s), replaced).otherwise(kept)
 
-    kept = F.aggregate(F.slice("s", 2, 2**31 - 1), first, step)
+    kept = F.aggregate(F.slice("s", F.lit(2), F.size("s")), first, step)
     return islands.select("doc_id", F.explode(kept).alias("k")).select(*[c if c == "doc_id" else F.col(f"k.{c}").alias(c) for c in spans.columns])
 
 
@@ -213,6 +213,6 @@ def resolve_first(spans: DataFrame) -> DataFrame:
     earlier = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     rows = spans.withColumn("_new", F.when(F.col("start") >= F.coalesce(earlier, F.lit(0)), 1).otherwise(0)).withColumn("_n", F.row_number().over(order)).withColumn("_island", F.sum("_new").over(order))
     item = F.struct("_n", *[c for c in spans.columns if c != "doc_id"])
-    taken = F.aggregate(F.slice("s", 2, 2**31 - 1), F.slice("s", 1, 1), lambda k, s: F.when(s["start"] >= F.element_at(k, -1)["end"], F.concat(k, F.array(s))).otherwise(k))
+    taken = F.aggregate(F.slice("s", F.lit(2), F.size("s")), F.slice("s", 1, 1), lambda k, s: F.when(s["start"] >= F.element_at(k, -1)["end"], F.concat(k, F.array(s))).otherwise(k))
     islands = rows.groupBy("doc_id", "_island").agg(F.array_sort(F.collect_list(item)).alias("s"))
     return islands.select("doc_id", F.explode(taken).alias("k")).select(*[c if c == "doc_id" else F.col(f"k.{c}").alias(c) for c in spans.columns])

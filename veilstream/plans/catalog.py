@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from veilstream.functions import checksums
 from veilstream.operators import analytics, audit, chunks, diff, evaluate, filters, models, pipeline, policy, recognize, registry, restore, spans, stores
 from veilstream.sources import documents as sources
+from veilstream.sources.tables import settled
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -61,7 +62,7 @@ def latin_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship_span_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Find spans, resolve overlaps, substitute placeholders; spans and placeholders by language and type."""
     docs = read(spark, sf_dir, "documents")
-    found = latin_spans(spark, sf_dir)
+    found = settled(latin_spans(spark, sf_dir))
     texts, _ = pipeline.anonymize(docs, found, language="en")
     seen = texts.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\[(EMAIL|PHONE|IP_ADDRESS)_\d+\]"), 1)).alias("label"))
     seen = seen.groupBy("doc_id", F.when(F.col("label") == "EMAIL", "EMAIL_ADDRESS").otherwise(F.col("label")).alias("entity_type")).agg(F.count(F.lit(1)).alias("placeholders"))
@@ -201,7 +202,7 @@ def policy_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = (("Заказчик", "PER"), ("Петров Иван", "PER"), ("Вектор", "ORG"), ("ООО «Вектор Плюс»", "ORG"), ("Памятка клиента", "LOC"), ("Главный инженер", "POSITION"))
     pick = F.element_at(F.array(*[F.struct(F.lit(v).alias("v"), F.lit(t).alias("t")) for v, t in values]), (F.col("o_orderkey") % 6 + 1).cast("int"))
     rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), pick.alias("p")).select("doc_id", F.col("p.v").alias("text"), F.col("p.t").alias("entity_type"), F.lit(0).alias("start"), F.char_length("p.v").alias("end"), F.col("p.v").alias("body"), F.lit("").alias("recognizer"))
-    return rows.select("doc_id", policy.decision(F.lit("generic"), F.col("recognizer")).alias("d")).select("doc_id", "d.action", "d.reason")
+    return policy.decide(rows).select("doc_id", F.col("policy_action").alias("action"), F.col("policy_reason").alias("reason"))
 
 
 # --- spans from line items -----------------------------------------------------------------------------------------
@@ -277,8 +278,8 @@ def carried_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_ITEMS}, p AS (SELECT doc_id, s, e, 8 AS n, sum(8 - (e - s)) OVER (PARTITION BY doc_id ORDER BY s) - (8 - (e - s)) AS before FROM i)
-    SELECT doc_id, CAST(s + before - 1 AS INT) AS right_start, CAST(s - 1 AS INT) AS left_start FROM p WHERE e - s < 10 OR true"""
+    f"""WITH {_ITEMS}, p AS (SELECT doc_id, s, lag(e) OVER (PARTITION BY doc_id ORDER BY s) AS last, sum(8 - (e - s)) OVER (PARTITION BY doc_id ORDER BY s) - (8 - (e - s)) AS before FROM i)
+    SELECT doc_id, CAST(s + before - 1 AS INT) AS right_start, CASE WHEN last = s THEN NULL ELSE CAST(s - 1 AS INT) END AS left_start FROM p"""
 )
 def offsets_in_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The character before each placeholder of 8 characters, back in the source text."""
@@ -542,7 +543,8 @@ def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey AS doc_id, CASE o_orderkey % 4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false ELSE false END AS stop FROM orders")
 def stop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.element_at(F.array(*map(F.lit, ("Поставщик/Подрядчика:", "Генерального директора", "Вектор", "Петров Иван"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), filters.stopword(value, F.lit("PER")).alias("stop"))
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), value.alias("text"), F.lit("PER").alias("entity_type"))
+    return filters.flag_stopwords(rows).select("doc_id", "stop")
 
 
 @query("SELECT o_orderkey AS doc_id, 'tax 500 of 500 000, ' || CASE WHEN o_orderkey % 2 = 0 THEN '[NAME_1]' ELSE 'nobody' END AS text, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS applied FROM orders")
