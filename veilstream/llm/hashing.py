@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _U = np.uint64
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -32,7 +33,7 @@ def powers(n: int, base: int = BASES[0]) -> tuple[np.ndarray, np.ndarray]:
     """base**i and its inverse for i up to n, kept for later batches."""
     have = _powers.get(base)
     if have is None or len(have[0]) <= n:
-        size = max(n + 1, 1 << 22)
+        size = max(n + 1, 1 << 21)
         have = tuple(np.multiply.accumulate(np.concatenate((np.ones(1, _U), np.full(size - 1, b, _U)))) for b in (base, pow(base, -1, 1 << 64)))
         _powers[base] = have
     return have
@@ -49,7 +50,7 @@ def prefix(a: np.ndarray, base: int = BASES[0]) -> tuple[np.ndarray, np.ndarray]
     return out, down
 
 
-def slices(lengths: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def slices(lengths: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows that hold about `most` bytes each; a longer row stands alone."""
     start, held = 0, 0
     for i, n in enumerate(lengths.tolist()):
@@ -61,15 +62,11 @@ def slices(lengths: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]
         yield start, len(lengths)
 
 
-def blobs(column: pa.Array) -> list[bytes]:
-    """The UTF-8 bytes of a string column; null is empty."""
-    return column.cast(pa.binary()).fill_null(b"").to_pylist()
-
-
-def batches(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
-    values = blobs(column)
-    for lo, hi in slices(np.fromiter(map(len, values), np.int64, len(values))):
-        yield lo, hi, values[lo:hi]
+def batches(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Ranges of rows of a string column with their UTF-8 bytes, about `most` at a time; null is empty."""
+    column = column.cast(pa.binary()).fill_null(b"")
+    for lo, hi in slices(pc.binary_length(column).to_numpy(zero_copy_only=False), most):
+        yield lo, hi, column.slice(lo, hi - lo).to_pylist()
 
 
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

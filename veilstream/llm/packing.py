@@ -31,7 +31,7 @@ from veilstream.llm.common import cut, numbered
 
 CAPACITY = 2048
 #: A worker forgets its memo of words beyond this many.
-MEMO = 300_000
+MEMO = 200_000
 
 #: White space before a space: there the text is encoded as a whole.
 _RUN = re.compile(r"\s ")
@@ -84,13 +84,10 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row l
 def _cut_up(path: str, capacity: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            values = part.column(1).fill_null("")
-            sizes = values.cast(pa.binary())
-            sizes = np.diff(np.frombuffer(sizes.buffers()[1], np.int32, len(sizes) + 1 + sizes.offset)[sizes.offset :])
-            for lo, hi in H.slices(sizes, 1 << 20):
+            for lo, hi, texts in H.batches(part.column(1)):
                 rows = []
                 keys = zip(part.column(0)[lo:hi].to_pylist(), part.column(2)[lo:hi].to_pylist(), strict=True)
-                for (doc, row), ids in zip(keys, encode(values[lo:hi].to_pylist(), path), strict=True):
+                for (doc, row), ids in zip(keys, encode([t.decode() for t in texts], path), strict=True):
                     n = len(ids) // 4
                     first = (n - 1) % capacity + 1
                     for k, at in enumerate([0, *range(first, n, capacity)]):

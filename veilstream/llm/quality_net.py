@@ -30,6 +30,8 @@ SHAPES, REPEATS = UNITS - 1024, UNITS - 4
 #: Labelled documents that the network is fitted on, at most.
 SAMPLE = 6000
 THRESHOLD = 0.3
+#: Bytes of text that contexts are counted of at a time.
+AT_ONCE = 1 << 19
 
 _U = np.uint64
 #: Kinds of bytes: 0 white space, 1 lower-case letter, 2 capital, 3 digit, 4 other letter (beyond ASCII), 5 and up: a symbol each.
@@ -86,10 +88,10 @@ def contexts(texts: list[bytes]) -> np.ndarray:
 def _gather(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, size, held = np.zeros(UNITS * DIM), 0, []
     for part in parts:
-        for _, _, texts in H.batches(part.column(0)):
+        for _, _, texts in H.batches(part.column(0), AT_ONCE):
             held += texts
             size += sum(map(len, texts))
-            if size > 1 << 21:
+            if size > AT_ONCE:
                 total += contexts(held)
                 size, held = 0, []
     if held:
