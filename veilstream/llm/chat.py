@@ -4,7 +4,8 @@ Grammar:  conversation = turn*;  turn = "<|im_start|>" role LF text "<|im_end|>"
 A control string is an opener, `<` or `[`, followed by one of the endings in CONTROLS. Written text holds no control
 string as such; inside a text one is escaped by a backslash behind its opener, and one that is already written with
 backslashes gets one more, so that taking one away everywhere restores the text. A turn is first rendered as it is and
-parsed again; only where the turn read back differs from the source is its content escaped, and the result is parsed
+parsed again; the parser takes no text with a control string in it. Only where the turn read back differs from the
+source is its content escaped, and the result is parsed
 and compared in turn (column `faithful`). The parser always takes escapes away, so it needs no sign of what was done.
 
 A role of other than small letters is written as `=` and its bytes in hexadecimal.
@@ -24,6 +25,7 @@ CONTROLS = ("|im_start|>", "|im_end|>", "|endoftext|>", "|system|>", "|user|>",
 _ENDINGS = "|".join(x.replace("|", r"\|").replace("]", r"\]") for x in CONTROLS)
 _CONFLICT = rf"([<\[])(\\*)({_ENDINGS})"
 _ESCAPED = rf"([<\[])\\(\\*)({_ENDINGS})"
+_RAW = rf"[<\[](?:{_ENDINGS})"
 #: Turns that are joined together before the whole conversation.
 BLOCK = 64
 
@@ -49,14 +51,15 @@ def render(role: Column, text: Column) -> Column:
 
 
 def parse(formatted: Column) -> Column:
-    """The turns of a formatted string: array<struct<role, text>>. What is not a turn reads as a null role."""
+    """The turns of a formatted string: array<struct<role, text>>. What is not a turn has a null role, a control string in a text makes it null."""
     pieces = F.split(formatted, r"<\|im_end\|>\n")
     pieces = F.slice(pieces, 1, F.size(pieces) - 1)
-    head = rf"\A<\|im_start\|>([^\n]*)\n"
+    head = r"\A<\|im_start\|>([^\n]*)\n"
 
     def turn(p: Column) -> Column:
         role = F.when(p.rlike(head), read_role(F.regexp_extract(p, head, 1)))
-        return F.struct(role.alias("role"), unescape(F.regexp_replace(p, head, "")).alias("text"))
+        text = F.regexp_replace(p, head, "")
+        return F.struct(role.alias("role"), F.when(~text.rlike(_RAW), unescape(text)).alias("text"))
 
     return F.transform(pieces, turn)
 
