@@ -133,7 +133,7 @@ def snils_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def russian_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A short contract for each order, with a valid tax id, a date, an amount, a name and a company."""
-    rows = _ids(spark, sf_dir, 9)
+    rows = _ids(spark, sf_dir, 9).repartition(spark.sparkContext.defaultParallelism)  # a short table in one file, long work on each row
     check = sum((F.substring("body", i + 1, 1).cast("int") * w for i, w in enumerate(checksums.INN_10)), F.lit(0)) % 11 % 10
     key = F.col("o_orderkey").cast("string")
     text = F.concat(F.lit("Соглашение сторон\nИНН: "), "body", check.cast("string"), F.lit("\nпочта k"), key, F.lit("@example.ru\nсумма 1 "), F.lpad((F.col("o_orderkey") % 1000).cast("string"), 3, "0"), F.lit(" руб.\nФИО: Петров Иван Кузьмич\nОплатит ООО «Вектор"), key, F.lit("» до 05.03.2024 года")) 
