@@ -154,7 +154,7 @@ def members(groups: DataFrame, group: str, most: int = 20) -> DataFrame:
     found = edges.where(F.col("g") == group).select("m").distinct()
     new = found
     for _ in range(most):
-        new = new.join(edges, F.col("m") == F.col("g")).select(edges["m"]).distinct().join(found, "m", "left_anti")
+        new = new.select(F.col("m").alias("g")).join(edges, "g").select("m").distinct().join(found, "m", "left_anti")
         if not new.limit(1).count():
             break
         found = found.union(new)
