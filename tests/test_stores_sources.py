@@ -2,6 +2,7 @@
 
 import datetime as dt
 import io
+import time
 import zipfile
 
 from pyspark.sql import functions as F
@@ -156,3 +157,20 @@ def test_events_are_appended_by_day(spark, tmp_path):
     query = stateful.append_events(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), str(tmp_path / "log"), str(tmp_path / "check"))
     query.awaitTermination(60)
     assert {r.date: r.n for r in spark.read.json(str(tmp_path / "log")).groupBy(F.col("date").cast("string").alias("date")).agg(F.count(F.lit(1)).alias("n")).collect()} == {"2024-01-01": 2, "2024-01-02": 1}
+
+
+def test_streamed_placeholders(spark, tmp_path):
+    rows = [("s", k, name, "PERSON") for k, name in enumerate(("ivan", "pyotr", "ivan", "anna"))] + [("t", 9, "anna", "PERSON")]
+    df = spark.createDataFrame(rows, "session_id string, seq long, canonical string, label string")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    query = stateful.stream_placeholders(stream).writeStream.format("memory").queryName("placed").outputMode("append").trigger(processingTime="1 second").start()
+    try:  # state with a time to live asks for further batches on and on, so the query is stopped once all rows are there
+        end = time.time() + 90
+        while spark.table("placed").count() < len(rows) and time.time() < end and query.exception() is None:
+            time.sleep(1)
+    finally:
+        query.stop()
+    assert query.exception() is None
+    got = {(r.session_id, r.seq): r.placeholder for r in spark.table("placed").collect()}
+    assert got == {("s", 0): "[PERSON_1]", ("s", 1): "[PERSON_2]", ("s", 2): "[PERSON_1]", ("s", 3): "[PERSON_3]", ("t", 9): "[PERSON_1]"}

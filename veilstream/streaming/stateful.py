@@ -27,8 +27,12 @@ def append_events(events: DataFrame, path: str, checkpoint: str):
     return rows.writeStream.format("json").partitionBy("date").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def limit_logins(attempts: DataFrame, seconds: int = 300, most: int = 8) -> DataFrame:
-    """(ip, username, attempt_id, ts, failures, blocked) for a stream of attempts; state is the times of recent failures."""
+def limit_logins(attempts: DataFrame, seconds: int = 300, most: int = 8, late: str = "1 hour") -> DataFrame:
+    """(ip, username, attempt_id, ts, failures, blocked) for a stream of attempts; state is the times of recent failures.
+
+    Time is that of the events: a key's state goes once the watermark, `late` behind, has passed its last failure by
+    `seconds`. Attempts that come later than that are left out.
+    """
 
     def run(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -36,18 +40,18 @@ def limit_logins(attempts: DataFrame, seconds: int = 300, most: int = 8) -> Data
             return
         times = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(parts)).sort_values(["ts", "attempt_id"])
-        out = []
+        out, now = [], 0
         for r in rows.itertuples(index=False):
             now = int(r.ts.timestamp())
             times = [t for t in times if t >= now - seconds]
             out.append((*key, r.attempt_id, r.ts, len(times), len(times) >= most))
             times = [] if r.success else [*times, now]
         state.update((times,))
-        state.setTimeoutDuration(seconds * 1000)
+        state.setTimeoutTimestamp(max((now + seconds) * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["ip", "username", "attempt_id", "ts", "failures", "blocked"])
 
     shape = "ip string, username string, attempt_id long, ts timestamp, failures long, blocked boolean"
-    return attempts.groupBy("ip", "username").applyInPandasWithState(run, shape, "times array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return attempts.withWatermark("ts", late).groupBy("ip", "username").applyInPandasWithState(run, shape, "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def gather_answers(parts: DataFrame) -> DataFrame:
