@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilstream.llm import oracle
 from veilstream.llm.chat import format_conversations, read_back
 from veilstream.llm.common import table
 from veilstream.llm.fingerprints import fingerprints
@@ -69,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat_formatting": oracle.OP3, "op10_near_dedup": oracle.OP10}
