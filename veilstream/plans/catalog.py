@@ -434,7 +434,7 @@ def login_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH e AS (SELECT *, event_id % 5 AS k FROM events) SELECT CASE k WHEN 0 THEN 'auth.login' WHEN 1 THEN 'anonymize.done' WHEN 2 THEN 'admin.users.list' ELSE 'session.info' END AS event_type, count(*) AS n, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS errors FROM e WHERE k < 4 GROUP BY 1"""
+    """WITH e AS (SELECT *, event_id % 5 AS k FROM events) SELECT CASE k WHEN 0 THEN 'auth.login' WHEN 1 THEN 'anonymize.done' WHEN 2 THEN 'admin.users.list' ELSE 'session.info' END AS event_type, count(*) AS n, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors FROM e WHERE k < 4 GROUP BY 1"""
 )
 def request_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = (F.col("event_id") % 5 + 1).cast("int")
@@ -523,7 +523,7 @@ def gathered_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "n", F.sha2(F.array_join(F.col("t.text"), ""), 256).alias("sha"))
 
 
-@query("SELECT lang AS bundle, sha256(string_agg(trim(text, E' \\t\\r\\n'), E'\\n\\n' ORDER BY doc_id)) AS sha, sum(n_chars) AS page_count FROM documents WHERE length(trim(text, E' \\t\\r\\n')) > 0 GROUP BY 1")
+@query("SELECT lang AS bundle, sha256(string_agg(trim(text, E' \\t\\r\\n'), E'\\n\\n' ORDER BY doc_id)) AS sha, CAST(sum(n_chars) AS BIGINT) AS page_count FROM documents WHERE length(trim(text, E' \\t\\r\\n')) > 0 GROUP BY 1")
 def document_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "documents").select(F.col("lang").alias("bundle"), "doc_id", "text", F.col("n_chars").alias("page_count"), F.lit(False).alias("ocr_used"), F.lit(None).cast("array<string>").alias("warnings"))
     return sources.combine(rows, "bundle", "doc_id").select("bundle", F.sha2("text", 256).alias("sha"), "page_count")
