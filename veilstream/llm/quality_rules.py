@@ -116,7 +116,7 @@ class Model:
 
 
 def fit(rows: np.ndarray, features: np.ndarray, values: np.ndarray, y: np.ndarray, rounds: int = 150) -> Model:
-    """Logistic regression on sparse rows (row, feature, share), four fifths of them; the rest calibrate it."""
+    """Logistic regression on sparse rows (row, feature, share), four fifths of them; the rest calibrate it. Overwrites values."""
     n, d = len(y), 3 * WIDTH
     share = float(np.clip(y.mean(), 0.01, 0.99)) if n else 0.5
     if len(np.unique(y)) < 2:
@@ -124,24 +124,22 @@ def fit(rows: np.ndarray, features: np.ndarray, values: np.ndarray, y: np.ndarra
     mean = np.bincount(features, weights=values, minlength=d) / n
     square = np.bincount(features, weights=values * values, minlength=d) / n
     scale = 1 / np.sqrt(np.maximum(square - mean * mean, 0) + 1e-6)
-    v = values * scale[features]
+    values *= scale[features]  # in place: these arrays are the largest
     held = np.random.default_rng(0).permutation(n) % 5 == 4
     if len(np.unique(y[~held])) < 2:
         held[:] = False
-    on = ~held[rows]
-    r, f, x = rows[on], features[on], v[on]
     w, bias, m, s = np.zeros(d), 0.0, np.zeros(d + 1), np.zeros(d + 1)
     total = (~held).sum()
     for t in range(1, rounds + 1):
-        z = np.bincount(r, weights=x * w[f], minlength=n) + bias
+        z = np.bincount(rows, weights=values * w[features], minlength=n) + bias
         g = np.where(held, 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / total
-        grad = np.append(np.bincount(f, weights=x * g[r], minlength=d) + 1e-3 * w, g.sum())
+        grad = np.append(np.bincount(features, weights=values * g[rows], minlength=d) + 1e-3 * w, g.sum())
         m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad * grad
         step = 0.01 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
         w, bias = w - step[:-1], bias - step[-1]
     model = Model(w * scale, bias)
     if held.any():
-        z = np.bincount(rows[~on], weights=v[~on] * w[features[~on]], minlength=n)[held] + bias
+        z = np.bincount(rows, weights=values * w[features], minlength=n)[held] + bias
         best = None
         for a in np.geomspace(0.1, 4, 30):
             for b in np.linspace(-2, 2, 21):
@@ -172,13 +170,13 @@ def _sparse(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """At most `sample` rows of features reach the driver."""
     rows = labelled_sample(docs, labels, sample).select("text", "doc_id", "y").mapInArrow(_sparse, "doc_id long, y int, f binary, v binary").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["f"]))
+    rows.sort(key=lambda r: (r["doc_id"], r["f"]))
     y = np.array([r["y"] for r in rows], np.float64)
-    features = [np.frombuffer(r["f"], np.int32) for r in rows]
-    values = [np.frombuffer(r["v"], np.float32) for r in rows]
-    at = np.repeat(np.arange(len(rows)), [len(f) for f in features]) if rows else np.zeros(0, np.int64)
-    join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-    return fit(at, join(features, np.int64), join(values, np.float64), y)
+    at = np.repeat(np.arange(len(rows)), [len(r["f"]) // 4 for r in rows]) if rows else np.zeros(0, np.int64)
+    features = np.frombuffer(b"".join(r["f"] for r in rows), np.int32).astype(np.int64)
+    values = np.frombuffer(b"".join(r["v"] for r in rows), np.float32).astype(np.float64)
+    rows.clear()
+    return fit(at, features, values, y)
 
 
 RULED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double"
