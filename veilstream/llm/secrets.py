@@ -1,17 +1,24 @@
 """Secret scan: base patterns, and strings in sensitive contexts that a primed compressor cannot foresee.
 
-A candidate is a run of 16 to 512 characters from the alphabet of keys and tokens, with letters and
-digits, that stands within NEAR characters of a sensitive word. Its novelty is the number of bytes it adds when it
-is compressed after the text around it by zstandard primed with a dictionary of identifiers and common words, divided
-by its length. Candidates of at least NOVEL are reported as spans of kind `novel`; base spans always stay.
-
-Edge cases: null or empty text has no spans; spans count code points; a candidate that touches a base span is not
+A candidate is a whole run of 16 or more characters from the alphabet of keys and tokens, without what a base span
+takes of it. Candidates on neighbouring lines, with a dot between them, or between the same BEGIN and END marks form a
+chain. A chain counts if one of its members stands within NEAR characters of a sensitive word. A member's novelty is the
+number of bytes it adds when it is compressed after the text around its chain by zstandard primed with a dictionary of
+identifiers and common words, divided by its length; a run of more than WHOLE characters is as novel as its most
+novel window. Members of at least NOVEL are reported as spans of kind `novel` if one of these in the chain has letters and
+digits (ordinary long words are as novel as keys of letters alone). What stands between two such members of a chain is
+reported with them, and so are the chain's short parts: all lines between BEGIN and END, a part between two reported
+dotted ones, and the last line after two or more. Base
+spans always stay.
+
+Edge cases: null or empty text has no spans; spans count code points; what a base span takes is not
 reported again; repeated rows get equal results; null doc_ids are scanned too; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,9 +34,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # maximal runs, so the same as runs of any length of which short ones are dropped
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,512}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SENSITIVE = re.compile(r"pass(word|wd|phrase)?|secret|token|api_?key|credential|auth|private|bearer|access|key\b|pwd|ssh-|-----BEGIN", re.IGNORECASE | re.ASCII)
 NEAR, AROUND = 48, 256
+#: Longer runs are measured in windows, as a long text foretells its own signs; above LONG, words inside a run count too.
+LEAST, WHOLE, WINDOW, LONG = 16, 48, 32, 512
+#: A run alone on its line (a backslash stands for an escaped line break), and what may stand beside it there.
+LINE = re.compile(r"(?:^|\\)[ \t\"'>|#*]*([A-Za-z0-9+/_=-]+)[ \t\"',;]*\r?(?=$|\\)", re.MULTILINE)
+DOTTED = re.compile(r"\.([A-Za-z0-9+/_=-]{0,15})\.")
+BESIDE = " \t\r\n\"',;>|#*\\"
+SHORT = re.compile(r"[A-Za-z0-9+/_=-]{1,15}(?=[ \t\"',;]*(?:[\r\n\\]|\Z))")
 #: Added bytes per character, once identifiers are divided into words. Random strings add about 1, names of known words
 #: about 0.6 or less.
 NOVEL = 0.7
@@ -73,26 +87,134 @@ class Novelty:
 
     def __call__(self, text: str, start: int, end: int) -> float:
         """Marginal compressed bytes per byte of text[start:end] behind the text around it."""
+        return self.added(self.around(text, start, end), text[start:end])
+
+    def around(self, text: str, start: int, end: int) -> tuple[bytes, int]:
         around = (_divided(text[max(0, start - AROUND) : start] + " " + text[end : end + AROUND]) + " ").encode()
-        part = _divided(text[start:end]).encode()
-        return (len(self.press.compress(around + part)) - len(self.press.compress(around))) / len(part)
+        return around, len(self.press.compress(around))
+
+    def added(self, around: tuple[bytes, int], part: str) -> float:
+        divided = _divided(part).encode()
+        return (len(self.press.compress(around[0] + divided)) - around[1]) / len(divided)
+
+    def reaches(self, threshold: float, around: tuple[bytes, int], part: str) -> bool:
+        """Whether part, or of a long part some window, is that novel."""
+        if self.added(around, part) >= threshold:
+            return True
+        return len(part) > WHOLE and any(self.added(around, part[min(k, len(part) - WINDOW) :][:WINDOW]) >= threshold for k in range(0, len(part), WINDOW))
+
+
+def _blocks(text: str) -> list[tuple[int, int]]:
+    """What stands between BEGIN and END marks."""
+    out, at = [], 0
+    while (begin := text.find("-----BEGIN", at)) >= 0 and (end := text.find("-----END", begin)) >= 0:
+        begin = text.rfind("-----BEGIN", begin, end) + len("-----BEGIN")
+        label = text.find("-----", begin, end)
+        out.append((label + 5 if label >= 0 else begin, end))
+        at = end + len("-----END")
+    return out
+
+
+def _items(text: str, taken: list[tuple[int, int, int]], blocks: list[tuple[int, int]]) -> list[tuple[int, int, int | None]]:
+    """(start, end, kind) of candidates, of short lines in blocks and of base spans, in order; kind is None for the first two."""
+    runs = [m.span() for m in CANDIDATE.finditer(text)]
+    if blocks:
+        runs = sorted({*runs, *(m.span(1) for lo, hi in blocks for m in LINE.finditer(text, lo, hi) if m.end(1) - m.start(1) < LEAST)})
+    out, i, at = [], 0, 0
+    joined: list[list[int]] = []  # base spans, overlapping ones as one
+    for s, k, e in taken:
+        if joined and s < joined[-1][1]:
+            joined[-1][1], joined[-1][2] = max(e, joined[-1][1]), min(k, joined[-1][2])
+        else:
+            joined.append([s, e, k])
+    for start, end in runs:
+        while i < len(joined) and joined[i][1] <= start:
+            i += 1
+        at, j, least = start, i, LEAST if end - start >= LEAST else 1
+        while j < len(joined) and joined[j][0] < end:
+            if joined[j][0] - at >= least:
+                out.append((at, joined[j][0], None))
+            at, j = max(at, joined[j][1]), j + 1
+        if end - at >= least:
+            out.append((at, end, None))
+    return sorted(out + [(s, e, k) for s, e, k in joined], key=lambda x: x[:2])
+
+
+def _joins(gap: str) -> bool:
+    """A dot, a short part between dots, or one line break with nothing but signs beside it."""
+    if DOTTED.fullmatch(gap):
+        return True
+    gap = gap.replace("\\r", "\\")
+    return gap in ("", ".") or (not gap.strip(BESIDE) and gap.count("\n") <= 1 and any(c in gap for c in "\n\r\\"))
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty, threshold: float = NOVEL) -> list[tuple[int, int]]:
-    marks = None
+    if not CANDIDATE.search(text) and "-----BEGIN" not in text:
+        return []
+    blocks = _blocks(text)
+    items = _items(text, taken, blocks)
+    if all(k is not None for _, _, k in items):
+        return []
+    marks = [m.span() for m in SENSITIVE.finditer(text)]
+    if not marks:
+        return []
+    first, last = [s for s, _ in marks], [e for _, e in marks]
+
+    def near(start: int, end: int, kind: int | None) -> bool:
+        i = bisect_right(last, start - NEAR)
+        if i < len(marks) and first[i] < end + NEAR and (kind == 0 or end - start > LONG or not (first[i] >= start and last[i] <= end)):
+            return True
+        i = max(i, bisect_right(last, end))  # the first word that is not inside
+        return i < len(marks) and first[i] < end + NEAR
+
+    begins = [lo for lo, _ in blocks]
+
+    def block(start: int, end: int) -> int:
+        i = bisect_right(begins, start) - 1
+        return i if i >= 0 and end <= blocks[i][1] else -1
+
+    chains: list[list[tuple[int, int, int | None]]] = []
+    for item in items:
+        before = chains[-1][-1] if chains else None
+        b = block(*item[:2])
+        if before and ((b >= 0 and b == block(*before[:2])) or (b == block(*before[:2]) and _joins(text[before[1] : item[0]]))):
+            chains[-1].append(item)
+        else:
+            chains.append([item])
     out = []
-    for m in CANDIDATE.finditer(text):
-        start, end = m.span()
-        part = m[0]
-        if not (_DIGIT.search(part) and _LETTER.search(part)) or any(s < end and start < e for s, _, e in taken):
-            continue
-        if marks is None:
-            marks = [(s.start(), s.end()) for s in SENSITIVE.finditer(text)]
-        if any(e > start - NEAR and s < end + NEAR and not (s >= start and e <= end) for s, e in marks) and novelty(text, start, end) >= threshold:
-            out.append((start, end))
+    for chain in chains:
+        members = [(s, e) for s, e, k in chain if k is None]
+        b = block(*chain[0][:2])
+        if members and (b >= 0 or any(near(*x) for x in chain)):
+            out += _reported(text, chain, members, b >= 0, novelty, threshold)
     return out
 
 
+def _reported(text: str, chain: list[tuple[int, int, int | None]], members: list[tuple[int, int]], in_block: bool, novelty: Novelty, threshold: float) -> list[tuple[int, int]]:
+    """The spans of a chain near a sensitive word."""
+    mixed = lambda part: bool(_DIGIT.search(part) and _LETTER.search(part))
+    if not in_block and not any(mixed(text[s:e]) for s, e in members):
+        return []
+    around = novelty.around(text, chain[0][0], chain[-1][1])
+    if in_block:
+        whole = "".join(text[s:e] for s, e in members)
+        if mixed(whole) and len(whole) >= LEAST and novelty.reaches(threshold, around, whole):
+            return members
+        return []
+    novel = [i for i, (s, e) in enumerate(members) if novelty.reaches(threshold, around, text[s:e]) or (len(chain) > 1 and novelty(text, s, e) >= threshold)]
+    if not any(mixed(text[slice(*members[i])]) for i in novel):
+        return []
+    found = members[novel[0] : novel[-1] + 1]
+    found += [m.span(1) for (_, e), (s, _) in zip(found, found[1:]) if (m := DOTTED.fullmatch(text, e, s)) and m[1]]
+    if len(chain) > 1 and chain[-1][:2] == found[-1]:
+        end = at = chain[-1][1]
+        while at < len(text) and text[at] in BESIDE:
+            at += 1
+        if (short := SHORT.match(text, at)) and at > end and _joins(text[end:at]):
+            found.append(short.span())
+    return sorted(found)
+
+
 FOUND = "doc_id long, starts array<int>, ends array<int>, kinds array<string>"
 
 
@@ -105,7 +227,7 @@ def _scan(threshold: float):
             for lo, hi, blobs in H.batches(part.column(1)):
                 rows = []
                 for blob in blobs:
-                    if not long_run.search(blob):  # every kind of span holds such a run
+                    if not long_run.search(blob) and b"-----BEGIN" not in blob:  # every other kind of span holds such a run
                         rows.append(((), (), ()))
                         continue
                     text = blob.decode()
