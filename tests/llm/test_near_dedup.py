@@ -69,6 +69,25 @@ def test_chains_of_copies(spark, monkeypatch, bucket):
     held(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows)
 
 
+@pytest.mark.parametrize("bucket", [3000, 7])
+def test_buckets_over_the_limit(spark, monkeypatch, bucket):
+    """Pairs that share no band but that of their bucket are compared, whatever its size; pairs of one group are not."""
+    monkeypatch.setattr(near_dedup, "BUCKET", bucket)
+    rng = random.Random(10)
+    rows = []
+    for _ in range(12):
+        words = [f"v{rng.randrange(9000)}" for _ in range(80)]
+        rows += [(len(rows) + k, " ".join([*words, f"n{len(rows) + k}"])) for k in range(3)]
+    for _ in range(20):
+        rows.append((len(rows), " ".join([*words, f"n{len(rows)}"])))
+    group = {d: 1000 if d >= 36 else d for d, _ in rows}
+    signed = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(near_dedup._sign(5, 1, 4), near_dedup.SIGNED).withColumnRenamed("doc_id", "doc")
+    open_ = spark.createDataFrame([(1, d, g, len(rows)) for d, g in group.items()], "key long, doc long, grp long, n long")
+    got = {(r.a, r.b) for r in near_dedup._cross(open_, signed, 75).collect()}
+    kin = lambda d: min(d // 3, 11)
+    assert got == {(a, b) for a in group for b in group if a < b and kin(a) == kin(b) and group[a] != group[b]}
+
+
 def test_empty(empty):
     assert near_dedup.near_duplicates(empty).collect() == []
     assert near_dedup.deduplicated(empty).collect() == []

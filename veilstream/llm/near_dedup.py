@@ -37,7 +37,7 @@ LIKELY = 0.55
 #: Bits of the parity sketch. Bit i tells if an odd number of a set's shingles fall on it, so two sketches differ in no
 #: more bits than the sets differ in shingles: a pair whose sketches differ too much is not similar, for certain.
 PARITY = 4096
-#: Buckets of more rows are divided by a second band, and what is still larger into pairs of blocks of this many rows.
+#: Buckets of more rows are compared as pairs of blocks of about this many rows.
 BUCKET = 3000
 
 _U = np.uint64
@@ -244,21 +244,18 @@ def _cross(open_: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     wide = reps.select("doc", "n_shingles", "sig", "odd")
     small = open_.where(F.col("n") <= BUCKET).select("key", "doc", "grp").withColumn("side", F.lit(0))
     shape = "a long, b long"
-    # a large bucket is divided by each other band: likely pairs share several
-    large = open_.where(F.col("n") > BUCKET).select("key", "doc", "grp")
-    rest = None
+    large = open_.where(F.col("n") > BUCKET)
     if large.limit(1).count():
-        two = large.join(reps.select("doc", F.explode("bands").alias("other")), "doc").where("other <> key").select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "doc", "grp").distinct()
-        two = cut(two)
-        n = two.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
-        two = cut(two.join(n.select("key", "n"), "key"))
-        small = small.union(two.where(F.col("n") <= BUCKET).select("key", "doc", "grp", F.lit(0).alias("side")))
-        rest = two.where(F.col("n") > BUCKET)
-    if rest is not None and rest.limit(1).count():
-        # what is larger still: every block of rows meets every block, each pair of blocks in a task of its own
-        rest = rest.withColumn("nb", F.ceil(F.col("n") / BUCKET).cast("int")).withColumn("blk", F.pmod(F.xxhash64("doc"), F.col("nb")).cast("int"))
-        lower = F.least("blk", "o")
-        met = rest.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        met = met.select(F.xxhash64("key", lower, F.greatest("blk", "o")).alias("key"), "doc", "grp", F.when(F.col("blk") > F.col("o"), 1).otherwise(0).alias("side"))
+        # every block of rows meets every block, each pair of blocks in a task of its own; a large group has blocks of
+        # its own, so that those need not meet
+        sizes = large.groupBy("key", "grp").agg(F.count(F.lit(1)).alias("g"))
+        own = F.xxhash64("grp", F.pmod(F.xxhash64("doc"), F.ceil(F.col("g") / BUCKET)))
+        blocks = large.join(sizes, ["key", "grp"]).withColumn("blk", F.when(F.col("g") > BUCKET, own).otherwise(F.pmod(F.xxhash64("grp"), F.ceil(F.col("n") / BUCKET))))
+        blocks = cut(blocks.select("key", "doc", "grp", "blk"))
+        held = blocks.groupBy("key", "blk").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"))
+        other = held.select("key", F.col("blk").alias("o"), F.col("lo").alias("olo"), F.col("hi").alias("ohi"))
+        meet = held.join(other, "key").where(F.least("lo", "olo") < F.greatest("hi", "ohi")).select("key", "blk", "o")
+        met = blocks.join(meet, ["key", "blk"])
+        met = met.select(F.xxhash64("key", F.least("blk", "o"), F.greatest("blk", "o")).alias("key"), "doc", "grp", F.when(F.col("blk") > F.col("o"), 1).otherwise(0).alias("side"))
         small = small.union(met)
     return small.join(wide, "doc").groupBy("key").applyInArrow(_across(percent), shape).distinct()
