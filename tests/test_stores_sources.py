@@ -174,3 +174,39 @@ def test_streamed_placeholders(spark, tmp_path):
     assert query.exception() is None
     got = {(r.session_id, r.seq): r.placeholder for r in spark.table("placed").collect()}
     assert got == {("s", 0): "[PERSON_1]", ("s", 1): "[PERSON_2]", ("s", 2): "[PERSON_1]", ("s", 3): "[PERSON_3]", ("t", 9): "[PERSON_1]"}
+
+
+def test_audit_chain_goes_by_batches(spark):
+    """A hot partition passes through in batches of a few rows, and its chain is that of plain Python."""
+    import hashlib
+
+    rows = [(None if k % 7 == 0 else k % 3, k, f"e{k}") for k in range(500)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        out = audit.chain(spark.createDataFrame(rows, "day long, id long, what string").repartition(3), "day", "id", ["id", "what"], "s")
+        assert "FlatMapGroups" not in out._jdf.queryExecution().toString()  # no frame of a whole group
+        got = {r.id: (r.day, r.prev_hash, r.event_hash) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    last, want = {}, {}
+    for day, k, what in rows:
+        prev = last.get(day, "s")
+        last[day] = hashlib.sha256(f'{prev}{{"id":{k},"what":"{what}"}}'.encode()).hexdigest()
+        want[k] = (day, prev, last[day])
+    assert got == want
+
+
+def test_bundle_digests_without_whole_texts(spark):
+    """The digests are those of combine(), and no row of a plan holds a bundle's texts."""
+    from pyspark.sql import functions as F
+
+    from veilstream.sources import documents
+
+    rows = [("a", 2, " two "), ("a", 1, "one\n"), ("a", 3, " "), ("b", 4, " alone "), ("c", 5, None), ("d", 6, ""), ("d", 7, None), (None, 8, "x"), (None, 9, "é")]
+    parts = spark.createDataFrame(rows, "bundle string, doc_id long, text string").repartition(3)
+    parts = parts.select("*", F.col("doc_id").alias("page_count"), F.lit(False).alias("ocr_used"), F.lit(None).cast("array<string>").alias("warnings"))
+    want = documents.combine(parts, "bundle", "doc_id").select("bundle", F.sha2("text", 256).alias("sha"), "page_count")
+    out = documents.combined_digests(parts, "bundle", "doc_id")
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)

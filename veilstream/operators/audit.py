@@ -1,14 +1,17 @@
 """The audit log: redacted payloads, a hash chain per log partition, and its verification.
 
 An event's hash is over the hash before it and the event's own JSON. Recording is serial within a partition by nature
-(a window over it in order); verification compares neighbours and recomputes each hash for itself.
+(sorted rows pass through a worker in batches, which keeps the last hash only); verification compares neighbours and recomputes each hash for itself.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,19 +60,23 @@ def chain(events: DataFrame, partition: str, order: str, columns: list[str], sta
     """events with prev_hash and event_hash, chained in order within each partition of the log (such as a day)."""
     bodies = events.withColumn("_body", canonical(columns))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        import hashlib
-
-        group = group.sort_values(order)
-        before, prev, own = start, [], []
-        for body in group["_body"]:
-            prev.append(before)
-            before = hashlib.sha256((before + body).encode()).hexdigest()
-            own.append(before)
-        return group.assign(prev_hash=prev, event_hash=own)
-
-    shape = bodies.withColumns({"prev_hash": F.lit(""), "event_hash": F.lit("")}).schema
-    return bodies.groupBy(partition).applyInPandas(run, shape).drop("_body")
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, before = None, start
+        for part in parts:
+            prev, own = [], []
+            for key, body in zip(part["_key"].to_pylist(), part["_body"].to_pylist(), strict=True):
+                if key != last:
+                    last, before = key, start
+                prev.append(before)
+                before = hashlib.sha256((before + body).encode()).hexdigest()
+                own.append(before)
+            new = {"prev_hash": pa.array(prev, pa.string()), "event_hash": pa.array(own, pa.string())}
+            kept = [n for n in part.schema.names if n not in new]
+            yield pa.RecordBatch.from_arrays([*[part[n] for n in kept], *new.values()], names=[*kept, *new])
+
+    bodies = bodies.withColumn("_key", F.to_json(F.struct(partition), {"ignoreNullFields": "false"}))
+    shape = bodies.drop("prev_hash", "event_hash").withColumns({"prev_hash": F.lit(""), "event_hash": F.lit("")}).schema
+    return bodies.repartition(partition).sortWithinPartitions(partition, order).mapInArrow(run, shape).drop("_body", "_key")
 
 
 def verify(events: DataFrame, partition: str, order: str, columns: list[str]) -> DataFrame:

@@ -526,7 +526,7 @@ def gathered_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT lang AS bundle, sha256(string_agg(trim(text, E' \\t\\r\\n'), E'\\n\\n' ORDER BY doc_id)) AS sha, CAST(sum(n_chars) AS BIGINT) AS page_count FROM documents WHERE length(trim(text, E' \\t\\r\\n')) > 0 GROUP BY 1")
 def document_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "documents").select(F.col("lang").alias("bundle"), "doc_id", "text", F.col("n_chars").alias("page_count"), F.lit(False).alias("ocr_used"), F.lit(None).cast("array<string>").alias("warnings"))
-    return sources.combine(rows, "bundle", "doc_id").select("bundle", F.sha2("text", 256).alias("sha"), "page_count")
+    return sources.combined_digests(rows, "bundle", "doc_id")
 
 
 @query("SELECT o_orderkey AS doc_id, 'RU_PHONE' AS entity_type, 'x' || CAST(o_orderkey AS VARCHAR) AS text, 2 AS start FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'MON', 'x' || CAST(o_orderkey AS VARCHAR), 2 FROM orders WHERE o_orderkey % 3 = 1")

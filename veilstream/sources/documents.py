@@ -6,6 +6,7 @@ passed in: none is part of this repository.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 import zipfile
@@ -13,6 +14,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,6 +135,38 @@ def combine(parts: DataFrame, bundle: str, order: str) -> DataFrame:
     return got.select(bundle, F.when(F.col("n") == 1, F.col("only")).otherwise(joined).alias("text"), "page_count", "ocr_used", "warnings")
 
 
+def combined_digests(parts: DataFrame, bundle: str, order: str) -> DataFrame:
+    """(bundle, sha, page_count): the SHA-256 of each text that combine() makes, without building it.
+
+    A bundle's rows pass through a worker in order and in batches, so a bundle may be larger than memory or a row.
+    """
+    rows = parts.select(F.col(bundle).cast("string").alias("b"), F.col(order).alias("o"), "text", F.btrim("text", F.lit(" \t\r\n")).alias("t"), F.col("page_count").cast("long").alias("p"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done():
+            own = hashlib.sha256(only.encode()).hexdigest() if n == 1 and only is not None else None if n == 1 else sha.hexdigest()
+            return pa.RecordBatch.from_pylist([{"bundle": last, "sha": own, "page_count": pages}], pa.schema([("bundle", pa.string()), ("sha", pa.string()), ("page_count", pa.int64())]))
+
+        last, n = None, 0
+        for batch in batches:
+            for b, text, t, p in zip(*[batch[c] for c in ("b", "text", "t", "p")], strict=True):
+                b, t, p = b.as_py(), t.as_py(), p.as_py()
+                if n and b != last:
+                    yield done()
+                    n = 0
+                if not n:
+                    last, only, sha, some, pages = b, text.as_py(), hashlib.sha256(), False, None
+                n += 1
+                pages = pages if p is None else p + (pages or 0)
+                if t:
+                    sha.update((("\n\n" if some else "") + t).encode())
+                    some = True
+        if n:
+            yield done()
+
+    return rows.repartition("b").sortWithinPartitions("b", "o", "t").mapInArrow(run, "bundle string, sha string, page_count long").withColumnRenamed("bundle", bundle)
+
+
 # A quoted company name that is broken over lines, and labels that begin a line.
 BROKEN_NAME = r'(?iu)\b(ООО|ОАО|АО|ПАО|ЗАО)\s*\n\s*([«"])([^»"\n]{1,160})'
 BROKEN_QUOTE = r'(?iu)(\b(?:ООО|ОАО|АО|ПАО|ЗАО)\s+[«"][^»"\n]{1,160})\n\s*(?=[^»"\n]{1,160}[»"])'
