@@ -1,8 +1,8 @@
-"""Removal of long byte strings that occur more than once, by distributed prefix doubling on sampled positions.
+"""Removal of long byte strings that occur more than once, by anchors sampled by hash, in place of prefix doubling.
 
-A string of LENGTH bytes is named by a pair of ranks: that of its first half and that of the half at offset LENGTH/2
-(the last step of prefix doubling). Ranks are 64-bit hashes of the bytes, so equal strings have equal ranks wherever
-they stand, and Spark finds ranks that are not unique by grouping rows on them, one grouping for each offset.
+Rolling 64-bit hashes of LENGTH/2 bytes are ranks that are had at once, so there are no doubling rounds and no reranking.
+A string of LENGTH bytes is named by a pair of ranks: that of its first half and that of the half at offset LENGTH/2.
+Equal strings have equal ranks wherever they stand, and Spark finds ranks that are not unique by grouping rows on them.
 
 Not every position starts a row. Every LENGTH-byte string contains LENGTH/2+1 halves; the one of least hash
 (leftmost in ties) is its anchor, and strings with the same anchor follow each other: they are a run. Equal strings
