@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-CLASH = ("h", "size", "row", "sig", "z", "bands", "found", "shard", "rank", "bucket", "_b", "y", "x", "kept", "component", "w")
+CLASH = ("h", "size", "row", "sig", "z", "bands", "found", "shard", "rank", "bucket", "_b", "y", "x", "kept", "component", "w", "_d", "_h", "_at", "_i", "_n", "_last", "_size", "grp", "side", "tag", "doc", "words", "at", "copies", "kept_id", "kept_tag", "s1", "q", "t", "r")
 
 
 def prose(rng, n, words=400):

@@ -81,13 +81,63 @@ def test_buckets_over_the_limit(spark, monkeypatch, bucket):
     for _ in range(20):
         rows.append((len(rows), " ".join([*words, f"n{len(rows)}"])))
     group = {d: 1000 if d >= 36 else d for d, _ in rows}
-    signed = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(near_dedup._sign(5, 1, 4), near_dedup.SIGNED).withColumnRenamed("doc_id", "doc")
+    signed = spark.createDataFrame([(d, d, t) for d, t in rows], "doc_id long, tag long, text string").mapInArrow(near_dedup._sign(5, 1, 4), near_dedup.SIGNED).withColumnRenamed("doc_id", "doc")
     open_ = spark.createDataFrame([(1, d, g, len(rows)) for d, g in group.items()], "key long, doc long, grp long, n long")
     got = {(r.a, r.b) for r in near_dedup._cross(open_, signed, 75).collect()}
     kin = lambda d: min(d // 3, 11)
     assert got == {(a, b) for a in group for b in group if a < b and kin(a) == kin(b) and group[a] != group[b]}
 
 
+def test_one_id_with_several_texts(spark):
+    rng = random.Random(11)
+    words = [f"v{rng.randrange(3000)}" for _ in range(100)]
+    near = [*words[:40], "changed", *words[41:]]
+    rows = [(1, "short text of its own here"), (1, " ".join(words)), (2, " ".join(near)), (2, "and another one that stands alone"), (1, "short text of its own here"), (3, ""), (3, "")]
+    held(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+
+
+def brute_deduplicated(rows):
+    """Of each group the row of the smallest doc_id stays, and rows equal in id and text once."""
+    rows = sorted(set(rows), key=str)
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    groups = {}
+    for i, r in enumerate(rows):
+        groups.setdefault(find(i), []).append(r)
+    return [(min(d for d, _ in g), {t for d, t in g if d == min(d for d, _ in g)}) for g in groups.values()]
+
+
+def test_deduplicated_against_brute_force(spark):
+    rng = random.Random(12)
+    rows = [(1, "a b c d e f g"), (1, "h i j k l m n"), (2, "o p q r s t u"), (2, "o p q r s t u"), (3, "a b c d e f g"), (4, ""), (5, ""), (6, None)]
+    for k in range(40):
+        words = [f"v{rng.randrange(500)}" for _ in range(60)]
+        for _ in range(rng.randint(1, 4)):
+            words[rng.randrange(60)] = "x"
+            rows.append((rng.randrange(7, 60), " ".join(words)))
+    names = ["kept_id", "kept_tag", "tag", "n", "m", "component", "_d", "row"]
+    df = spark.createDataFrame([(*r, *[k] * len(names)) for k, r in enumerate(rows)], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    out = near_dedup.deduplicated(df)
+    assert out.columns == df.columns
+    left = [(r.doc_id, r.text) for r in out.collect()]
+    want = brute_deduplicated(rows)
+    assert len(left) == len(want)
+    for d, texts in want:
+        hit = next(r for r in left if r[0] == d and r[1] in texts)
+        left.remove(hit)
+    assert not left
+
+
 def test_empty(empty):
     assert near_dedup.near_duplicates(empty).collect() == []
     assert near_dedup.deduplicated(empty).collect() == []

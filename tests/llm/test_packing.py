@@ -74,6 +74,14 @@ def test_exact_complements_leave_no_gap():
 
 def test_words_are_encoded_like_texts():
     rng = random.Random(2)
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    path = public_tokenizers.path("byte_bpe_50k.json")
     texts = ["".join(rng.choice([" ", "  ", "\n", "a", "b!", "\t", "é", "'s", "3", "<|endoftext|>", "\r", "\x1c", "\x85"]) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
     assert packing.encode(texts, path) == [np.array(i, "<u4").tobytes() for i in ids_of(texts)]
+
+
+def test_long_runs_of_white_space(spark):
+    rng = random.Random(3)
+    texts = [c * 2_000_000 for c in " \n\t"] + [" \n" * 500_000, "a" + " " * 300_000 + "b", "".join(rng.choice(" \n\t\u00a0x") for _ in range(300_000)), "ab" * 500_000]
+    assert packing.encode(texts, public_tokenizers.path("byte_bpe_50k.json")) == [np.array(i, "<u4").tobytes() for i in ids_of(texts)]
+    rows = list(enumerate(texts[:1]))
+    held(packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)

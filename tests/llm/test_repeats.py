@@ -2,8 +2,6 @@ import hashlib
 import random
 from collections import Counter
 
-import pytest
-
 from veilstream.llm import repeats
 
 
@@ -25,9 +23,7 @@ def got(df):
     return Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.drop("kept").collect())
 
 
-@pytest.mark.parametrize("group", [1000, 0])
-def test_odd(odd, odd_rows, monkeypatch, group):
-    monkeypatch.setattr(repeats, "GROUP", group)
+def test_odd(odd, odd_rows):
     assert got(repeats.remove_repeats(odd, 40)) == brute(odd_rows, 40)
 
 
@@ -47,3 +43,36 @@ def test_segments(spark, monkeypatch):
 
 def test_empty(empty):
     assert repeats.remove_repeats(empty).collect() == []
+
+
+def test_one_id_with_several_texts(spark):
+    rng = random.Random(4)
+    shared = "".join(rng.choice("abcd") for _ in range(600))
+    rows = [(1, "begin " + shared), (1, "other text " * 3), (2, shared + " end"), (2, shared[:450]), (None, shared[100:]), (None, "x"), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(repeats.remove_repeats(df)) == brute(rows, 400)
+
+
+def test_rounds(docs, monkeypatch):
+    """Ranks are made in three rounds, at offsets that double up to half the length; each drops what is unique."""
+    assert repeats.offsets(400) == (50, 100, 200)
+    rounds = []
+    real = repeats.reranked
+
+    def seen(rows, rank, behind, name, *more):
+        out = real(rows, rank, behind, name, *more)
+        before, after = rows.count(), out.count()
+        ranks = out.groupBy(name).count()
+        assert ranks.where("count < 2").count() == 0
+        rounds.append((before, after))
+        return out
+
+    monkeypatch.setattr(repeats, "reranked", seen)
+    repeats.remove_repeats(docs).count()
+    assert len(rounds) == 3 and rounds[0][0] > rounds[0][1] >= rounds[1][0] > rounds[1][1] > 0 and rounds[2][0] > rounds[2][1] > 0
+
+
+def test_ranks_are_places_in_sorted_order(spark):
+    rows = spark.createDataFrame([(i, i % 7, i % 3) for i in range(40)], "i long, r long, n long")
+    got = {(x.i % 7, x.i % 3): x.q for x in repeats.reranked(rows, "r", "n", "q").collect()}
+    assert [got[k] for k in sorted(got)] == sorted(got.values()) and len(got) == sum(1 for k in range(21) if len(range(k, 40, 21)) > 1)

@@ -95,13 +95,40 @@ def test_mix_with_limits(spark):
 
 
 def test_mixed_rows(odd, empty):
-    out = mixing.mixed(odd)
-    assert out.columns == odd.columns
-    words = sum(len(WORD.findall(r.text or "")) for r in out.collect())
-    assert words == sum(r.taken for r in mixing.mix(odd).collect())
+    for miss in (0.0, mixing.MISS, 1.0):
+        out = mixing.mixed(odd, miss)
+        assert out.columns == odd.columns
+        words = sum(len(WORD.findall(r.text or "")) for r in out.collect())
+        plan = mixing.mix(odd, miss).collect()
+        assert words == sum(r.taken for r in plan)
+        if miss:  # within the share, and whole where that is so
+            for s in {r.source for r in plan}:
+                rows = [r for r in plan if r.source == s and r.size]
+                taken = sum(r.taken for r in rows)
+                cut = [r for r in rows if r.taken % r.size]
+                assert (not cut and abs(taken - rows[0].target) <= miss * rows[0].target + 1) or (len(cut) == 1 and abs(taken - rows[0].target) <= 1)
     assert mixing.mixed(empty).collect() == [] and mixing.mix(empty).collect() == []
 
 
+def test_mixed_takes_every_row_as_its_own(spark):
+    """One text in two sources, one id with two texts, rows that are repeated, clashing columns."""
+    rows = [(1, "a b c d", "x", 0), (1, "a b c d", "y", 1), (1, "e f g", "x", 2), (1, "e f g", "x", 3), (None, "h i", None, 4), (2, "", "y", 5)]
+    rows += [(i, "w " * (i % 9), "xy"[i % 2], i) for i in range(10, 60)]
+    df = spark.createDataFrame([(*r, "c", "c", "c", "c") for r in rows], "doc_id long, text string, source string, nr int, row string, at string, words string, _d string")
+    plan = mixing.mix(df).collect()
+    want = Counter()
+    for r in plan:
+        want[r.source] += r.taken
+    got, seen = Counter(), Counter()
+    texts = {r[3]: (r[1], r[2]) for r in rows}
+    for r in mixing.mixed(df, 0.0).collect():
+        got[r.source] += len(WORD.findall(r.text))
+        seen[r.nr] += 1
+        assert texts[r.nr][1] == r.source and texts[r.nr][0].startswith(r.text) and (r.row, r.at, r.words, r["_d"]) == ("c",) * 4
+    assert +got == +want and max(seen.values()) <= 3
+    assert {0, 1} & set(seen) and all(s in got for s in ("x", "y", None))
+
+
 def test_position_inverts_demand(spark):
     rows = spark.range(101).selectExpr("id / 100 AS share", "0.5D AS slope").union(spark.range(101).selectExpr("id / 100", "-0.5D"))
     for r in rows.withColumn("t", mixing.position(mixing.F.col("share"), mixing.F.col("slope"))).collect():

@@ -24,7 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
     """A folder of this application in the one named by spark.checkpoint.dir; a temporary one only where that is unset."""
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="cuts-")
+        base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            base = tempfile.mkdtemp(prefix="cuts-")
         _own_dir[app] = f"{base.rstrip('/')}/cuts-{app}"
         atexit.register(_remove, spark, _own_dir[app])
     return _own_dir[app]
@@ -37,6 +41,17 @@ def _remove(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """names, each with as many underscores behind it as make it differ from all of columns (in any case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete the files of a cut that nothing will read again."""
     for f in df.inputFiles()[:1]:
@@ -50,12 +65,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str, buckets: int, size: Column | None = None) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str, buckets: int, size: Column | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
     """Adds `name`: the gapless rank from 0 of each row among those of equal `keys`, or with `size` the sum of the sizes before it.
 
     Rows go by a hash of `order` into `buckets` per key, ranks inside a bucket are counted there, and the
     buckets' totals are summed in a table of keys x buckets rows. So a key that holds most of the rows is
-    spread over all of its buckets. `order` must tell rows apart for the ranks to be the same in reruns.
+    spread over all of its buckets. `order` must tell rows apart for the ranks to be the same in reruns;
+    `ties` are columns that order rows of equal `order`.
     """
     one = F.lit(1).cast("long") if size is None else size.cast("long")
     df = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int")).withColumn("_one", one)
@@ -64,6 +80,6 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str, buc
     same = F.col("_b") == F.col("_kb")
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    inside = Window.partitionBy(*keys, "_b").orderBy(F.xxhash64(*order), *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(*keys, "_b").orderBy(F.xxhash64(*order), *order, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = F.sum("_one").over(inside) - F.col("_one")
     return df.withColumn("_in", run).join(starts, same, "left").withColumn(name, F.col("_from") + F.col("_in")).drop("_b", "_one", "_in", "_kb", "_from", *[f"_k_{k}" for k in keys])

@@ -4,15 +4,15 @@ Signature. Each distinct shingle gives a permutation of the slots; its j-th slot
 fraction, and a slot keeps its least value. The ranks of one shingle are thus correlated, which lowers the variance
 of the estimate. Rank j+1 is only worked out for texts that still have a slot above j (early stopping).
 
-Links. Texts of equal shingle sets form a class, and the class's smallest doc_id stands for it. Classes that share
-a band meet in that band's bucket. First each class is compared with one pivot, the bucket's smallest doc_id that
-looks most like it; verified links are grouped. Then buckets that still hold several groups are compared inside,
+Links. Texts of equal shingle sets form a class with a number of its own, and the class's smallest (doc_id, hash of
+the text) stands for it. Classes that share a band meet in that band's bucket. First each class is compared with one
+pivot, the least class of the bucket that looks most like it; verified links are grouped. Then buckets that still hold several groups are compared inside,
 pairs of one group aside, so a group of thousands of copies never becomes all of its pairs. Every link is verified on
 the full shingle sets.
 
 Edge cases: a null or blank text has an empty set and is linked with nothing; a text of fewer words than a shingle is
-one shingle; equal rows share their component; a null doc_id is a component of its own (null) and is kept. doc_id
-names a text: where rows of one doc_id differ in text, each row takes the component of its own text's class.
+one shingle; equal rows share their component; a null doc_id is a component of its own (null) and is kept. Where rows
+of one doc_id differ in text, each row is linked by its own text and takes the component of that.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilstream.llm import hashing as H
-from veilstream.llm.common import cut, drop_cut
+from veilstream.llm.common import cut, drop_cut, unused
 from veilstream.llm.components import components
 
 #: Slots, a prime so that a step of any length visits every slot; bands x rows of them are used for candidates.
@@ -64,13 +64,13 @@ def signatures(doc: np.ndarray, h: np.ndarray, n: int, slots: int = SLOTS) -> np
     return out.reshape(n, slots)
 
 
-SIGNED = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sig binary, odd binary"
+SIGNED = "doc_id long, tag long, n_shingles long, s1 long, s2 long, bands array<long>, sig binary, odd binary"
 
 
 def _sign(size: int, bands: int, rows: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for lo, hi, texts in H.batches(part.column(1)):
+            for lo, hi, texts in H.batches(part.column(2)):
                 doc, h = H.shingles([t.lower() for t in texts], size)
                 n = hi - lo
                 count = np.bincount(doc, minlength=n)
@@ -90,6 +90,7 @@ def _sign(size: int, bands: int, rows: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0)[lo:hi],
+                        part.column(1)[lo:hi],
                         pa.array(count.astype(np.int64)),
                         pa.array(sums[0].view(np.int64)),
                         pa.array(sums[1].view(np.int64)),
@@ -97,7 +98,7 @@ def _sign(size: int, bands: int, rows: int):
                         pa.array([r.tobytes() for r in low], pa.binary()),
                         pa.array([r.tobytes() for r in odd], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "s1", "s2", "bands", "sig", "odd"],
+                    names=["doc_id", "tag", "n_shingles", "s1", "s2", "bands", "sig", "odd"],
                 )
 
     return run
@@ -151,8 +152,8 @@ def _across(percent: int):
 def _pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=1)
     for p in parts:
-        for lo, hi, texts in H.batches(p.column(1)):
-            yield pa.RecordBatch.from_arrays([p.column(0)[lo:hi], pa.array([press.compress(t.lower()) for t in texts], pa.binary())], names=["doc", "z"])
+        for lo, hi, texts in H.batches(p.column(2)):
+            yield pa.RecordBatch.from_arrays([p.column(0)[lo:hi], p.column(1)[lo:hi], pa.array([press.compress(t.lower()) for t in texts], pa.binary())], names=["doc_id", "tag", "z"])
 
 
 def _verify(size: int, percent: int):
@@ -192,14 +193,22 @@ def verified(pairs: DataFrame, packed: DataFrame, size: int, percent: int) -> Da
     return pairs.join(two, "b").join(one, "a").select("a", "b", "za", "zb").mapInArrow(_verify(size, percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text); see the module's text."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _grouped(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, tag, n_shingles, s1, s2) of docs, and their classes (n_shingles, s1, s2, component, component_id).
+
+    tag is a hash of the text; component is a number for each group, component_id the smallest doc_id in it. Rows
+    without shingles or without a doc_id have no class.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tag"), F.col("text").cast("string").alias("text"))
     signed = cut(texts.mapInArrow(_sign(size, BANDS, ROWS), SIGNED))
     some = signed.where("n_shingles > 0 and doc_id is not null")
     same = ["n_shingles", "s1", "s2"]
-    classes = cut(some.groupBy(*same).agg(F.min("doc_id").alias("doc")))
-    reps = cut(some.join(classes, [*[some[c] == classes[c] for c in same], some["doc_id"] == classes["doc"]], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("doc"), "n_shingles", "bands", "sig", "odd"))
+    # the number of a class is given once, as its row is written
+    classes = some.groupBy(*same).agg(F.min(F.struct("doc_id", "tag")).alias("m"))
+    classes = cut(classes.select(*same, F.col("m.doc_id").alias("doc_id"), F.col("m.tag").alias("tag"), F.monotonically_increasing_id().alias("doc")))
+    reps = cut(some.join(classes, [*same, "doc_id", "tag"]).select("doc", "doc_id", "tag", "n_shingles", "bands", "sig", "odd"))
+    once = (lambda df: df) if reps.count() == classes.count() else (lambda df: df.dropDuplicates(["doc"]))  # equal rows occur
+    reps = once(reps)
     sig_a, sig_b = (reps.select(F.col("doc").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sig").alias(f"s{x}"), F.col("odd").alias(f"o{x}")) for x in "ab")
 
     rows = reps.select("doc", F.explode("bands").alias("key"))
@@ -209,8 +218,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     likely = stars.join(sig_b, "b").join(sig_a, "a").mapInArrow(_estimate(percent), "a long, b long, est double")
     best = likely.groupBy("b").agg(F.max(F.struct("est", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
 
-    packed = texts.where("doc_id is not null").mapInArrow(_pack, "doc long, z binary")
-    packed = packed.join(reps.select("doc"), "doc", "left_semi")
+    packed = texts.where("doc_id is not null").mapInArrow(_pack, "doc_id long, tag long, z binary")
+    packed = once(packed.join(reps.select("doc_id", "tag", "doc"), ["doc_id", "tag"]).select("doc", "z"))
     links = cut(verified(best, packed, size, percent))
     groups = components(links)
 
@@ -219,24 +228,42 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     mixed = labelled.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n")
     open_ = cut(labelled.join(mixed, "key").select("key", "doc", "grp", "n"))
     more = cut(verified(_cross(open_, reps, percent), packed, size, percent))
-    found = links
     if more.limit(1).count():
-        found = links.union(more)
-        groups = components(found)
-    by_class = classes.join(groups, F.col("doc") == F.col("node"), "left").select(*same, F.coalesce("component", "doc").alias("component_id"))
-    out = signed.select("doc_id", *same)
-    on = (F.col("doc_id").isNotNull()) & (out["n_shingles"] == by_class["n_shingles"]) & (out["s1"] == by_class["s1"]) & (out["s2"] == by_class["s2"])
-    out = out.join(by_class, on, "left").select("doc_id", out["n_shingles"], F.coalesce("component_id", "doc_id").alias("component_id"))
+        groups = components(links.union(more))
     drop_cut(member), drop_cut(labelled)
+    by_class = cut(classes.join(groups, F.col("doc") == F.col("node"), "left").select(*same, "doc_id", F.coalesce("component", "doc").alias("component")))
+    least = by_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return signed.select("doc_id", "tag", *same), cut(by_class.join(least, "component").select(*same, "component", "component_id"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text); see the module's text."""
+    rows, classes = _grouped(docs, size, percent)
+    same = [rows[c] == classes[c] for c in ("n_shingles", "s1", "s2")]
+    out = rows.join(classes, [rows["doc_id"].isNotNull(), *same], "left").select("doc_id", rows["n_shingles"], F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """docs with one document of each group, its smallest doc_id; columns as given. Rows without a doc_id stay."""
-    ids = near_duplicates(docs, size, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_d")).distinct()
-    named = docs.where("doc_id is not null")
-    kept = named.join(ids, named["doc_id"].cast("long") == ids["_d"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id is null"))
+    """docs with one row of each group: of its smallest doc_id the text of least hash. Columns as given.
+
+    Rows without words are linked with nothing and stay, but of rows equal in doc_id and text one stays. Rows without a
+    doc_id all stay.
+    """
+    rows, classes = _grouped(docs, size, percent)
+    same = [rows[c] == classes[c] for c in ("n_shingles", "s1", "s2")]
+    at = F.struct(rows["doc_id"], "tag")
+    first = rows.join(classes, same).where(rows["doc_id"].isNotNull()).groupBy("component").agg(F.min(at).alias("m")).select("m.*")
+    blank = rows.where("n_shingles = 0 and doc_id is not null").select("doc_id", "tag")
+    i, t = unused(docs.columns, "kept_id", "kept_tag")
+    chosen = rows.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("n")).join(first.union(blank).distinct(), ["doc_id", "tag"])
+    chosen = cut(chosen.select(F.col("doc_id").alias(i), F.col("tag").alias(t), "n"))
+    named = docs.where("doc_id is not null").withColumns({i: F.col("doc_id").cast("long"), t: F.xxhash64(F.col("text").cast("string"))})
+    kept = named.join(chosen.select(i, t), [i, t], "left_semi")
+    if chosen.where("n > 1").limit(1).count():  # rows that occur more than once: only these are brought together
+        more = chosen.where("n > 1").select(i, t)
+        kept = kept.join(more, [i, t], "left_anti").union(kept.join(more, [i, t], "left_semi").dropDuplicates([i, t]))
+    return kept.select(*docs.columns).union(docs.where("doc_id is null"))
 
 
 def _cross(open_: DataFrame, reps: DataFrame, percent: int) -> DataFrame:

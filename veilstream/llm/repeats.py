@@ -1,18 +1,22 @@
-"""Removal of long byte strings that occur more than once, by anchors sampled by hash, in place of prefix doubling.
-
-Rolling 64-bit hashes of LENGTH/2 bytes are ranks that are had at once, so there are no doubling rounds and no reranking.
-A string of LENGTH bytes is named by a pair of ranks: that of its first half and that of the half at offset LENGTH/2.
-Equal strings have equal ranks wherever they stand, and Spark finds ranks that are not unique by grouping rows on them.
-
-Not every position starts a row. Every LENGTH-byte string contains LENGTH/2+1 halves; the one of least hash
-(leftmost in ties) is its anchor, and strings with the same anchor follow each other: they are a run. Equal strings
-have equal anchors at the same place inside, so nothing is lost by grouping anchors (about one position in a hundred).
-1. Anchors of a rank that is unique are dropped: no string of their run can occur twice.
+"""Removal of long byte strings that occur more than once, by distributed prefix doubling on sampled positions.
+
+Doubling. A position's rank names the bytes that begin there; equal ranks are equal bytes. In a round at offset k Spark
+groups and sorts the pairs (rank of the first k bytes, rank of the k bytes behind them), gives each pair that occurs
+more than once its place in that order as the new rank, of 2k bytes, and drops positions whose pair is unique. Offsets
+are LENGTH/8, LENGTH/4 and, in the last round, LENGTH/2: then ranks are of LENGTH bytes, the threshold. What stands at an offset
+is not sampled as a rule, so its rank is a rolling 64-bit hash of the bytes, as is that of a round's first LENGTH/8.
+
+Sampling. Ranks of LENGTH/2 bytes are not worked out at every position: each LENGTH-byte string contains LENGTH/2+1
+halves, and the one of least hash (leftmost in ties) is its anchor; strings with the same anchor follow each other, they are a
+run. Equal strings have equal anchors at the same place inside, so nothing is lost by doubling anchors (about one
+position in a hundred) up to LENGTH/2:
+1. After two rounds anchors of a unique rank are gone: no string of their run can occur twice.
 2. Runs whose whole bytes occur again are repeated from end to end. Of each such run one stays on as a witness.
-3. Only runs that differ in their group, the ends of a match, are resolved position by position with rank pairs.
+3. Only runs that differ in their group, the ends of a match, go into the last round, with each string in them.
 
-Edge cases: null text is empty; texts shorter than LENGTH keep all; a repeated row counts as a document of its own, so
-its text is removed; doc_id names a text (rows of one doc_id share their text); a null doc_id is matched like any other.
+Edge cases: null text is empty; texts shorter than LENGTH keep all; each row is a document of its own, whatever its
+doc_id, so the text of repeated rows is removed from all of them; null doc_ids are matched like any other; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilstream.llm import hashing as H
@@ -32,12 +36,15 @@ from veilstream.llm.common import cut, drop_cut
 LENGTH = 400
 #: Bytes of one text that are worked on at a time.
 SEGMENT = 1 << 20
-#: Groups of more runs than this are resolved by Spark's grouping of their positions instead of in one task.
-GROUP = 1000
 
 _U = np.uint64
 
 
+def offsets(length: int) -> tuple[int, int, int]:
+    """The offsets of the rounds."""
+    return length // 8, length // 4, length // 2
+
+
 def _segments(texts: list[bytes], length: int) -> Iterator[tuple[list[tuple[int, int]], list[bytes]]]:
     """Lists of ((text's index, offset in it), bytes) of about SEGMENT bytes; each start of a string is in one of them."""
     at: list[tuple[int, int]] = []
@@ -57,8 +64,9 @@ def _segments(texts: list[bytes], length: int) -> Iterator[tuple[list[tuple[int,
 
 
 def runs(pieces: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """Runs of strings with the same anchor: piece, first and last start in it, the anchor's rank, the rank of the run's bytes."""
-    half = length // 2
+    """Runs of strings with the same anchor: piece, first and last start in it, first ranks of the anchor and of what is
+    at each offset from it, up to LENGTH/2, and the hash of the run's bytes."""
+    one, two, half = offsets(length)
     window = length - half + 1
     data = np.frombuffer(b"".join(pieces), np.uint8)
     sums, down = H.prefix(data)
@@ -83,45 +91,59 @@ def runs(pieces: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     a = anchor[lo]
     whole = H.mix((sums[hi + length] - sums[lo]) * down[lo] + (hi - lo).astype(_U) * H.STEPS[0] + (a - lo).astype(_U) * H.STEPS[1])
     piece = np.searchsorted(first, lo, "right") - 1
-    return piece, lo - first[piece], hi - first[piece], rank[a], whole
+    named = [H.mix((sums[a + e] - sums[a + b]) * down[a + b]) for b, e in ((0, one), (one, two), (two, half))]
+    return piece, lo - first[piece], hi - first[piece], *named, whole
+
+
+ANCHORS = "row long, lo int, hi int, r long, n1 long, n2 long, u long"
 
 
 def _anchors(length: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            ids = part.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi, texts in H.batches(part.column(1)):
-                for at, pieces in _segments(texts, length):
-                    piece, first, last, rank, whole = runs(pieces, length)
-                    where = np.array(at)
-                    shift = where[piece, 1]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (ids[lo:hi][where[piece, 0]], first + shift, last + shift, rank.view(np.int64), whole.view(np.int64))],
-                        names=["doc", "lo", "hi", "h", "u"],
-                    )
+        for _, rows, texts in _opened(parts):
+            for at, pieces in _segments(texts, length):
+                piece, first, last, *hashes = runs(pieces, length)
+                where = np.array(at)
+                shift = where[piece, 1]
+                places = [pa.array((x + shift).astype(np.int32)) for x in (first, last)]
+                yield pa.RecordBatch.from_arrays([pa.array(rows[where[piece, 0]]), *places, *[pa.array(x.view(np.int64)) for x in hashes]], names=[x.split()[0] for x in ANCHORS.split(", ")])
 
     return run
 
 
+def _opened(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
+    """Rows and their texts, about SEGMENT bytes at a time, of batches (row, z)."""
+    opener = zstandard.ZstdDecompressor()
+    for part in parts:
+        rows, held, size, start = part.column(0).to_numpy(), [], 0, 0
+        for i, z in enumerate(part.column(1)):
+            held.append(opener.decompress(z.as_py()))
+            size += len(held[-1])
+            if size >= SEGMENT or i + 1 == part.num_rows:
+                yield start, rows[start : i + 1], held
+                held, size, start = [], 0, i + 1
+
+
 def _squeeze(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=1)
     for part in parts:
         for lo, hi, texts in H.batches(part.column(1)):
-            yield pa.RecordBatch.from_arrays([part.column(0)[lo:hi], part.column(2)[lo:hi], pa.array([press.compress(t) for t in texts], pa.binary())], names=["doc", "given", "z"])
+            yield pa.RecordBatch.from_arrays([part.column(0)[lo:hi], pa.array([press.compress(t) for t in texts], pa.binary())], names=["doc_id", "z"])
+
 
+def _strings(length: int):
+    """From batches (row, z, cells): for each string in each run its row, place, whether its run is single and its pair of ranks."""
 
-def _bytes_of_runs(length: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opener = zstandard.ZstdDecompressor()
         for part in parts:
-            for doc, z, cells in zip(part.column(0).to_pylist(), part.column(1), part.column(2), strict=True):
-                text = opener.decompress(z.as_py())
-                cells = pa.RecordBatch.from_struct_array(cells.values)
-                bounds = zip(cells["lo"].to_pylist(), cells["hi"].to_pylist(), strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [cells["h"], cells["m"], pa.array([doc] * cells.num_rows, pa.int64()), cells["lo"], cells["single"], pa.array([text[lo : hi + length] for lo, hi in bounds], pa.binary())],
-                    names=["h", "m", "doc", "lo", "single", "bytes"],
-                )
+            for start, rows, texts in _opened(iter([part])):
+                for i, (row, text) in enumerate(zip(rows.tolist(), texts, strict=True)):
+                    cells = pa.RecordBatch.from_struct_array(part.column(2)[start + i].values)
+                    lo, hi, single = (cells[c].to_numpy(zero_copy_only=False) for c in ("lo", "hi", "single"))
+                    for a, b in H.slices(hi - lo + length):
+                        cell, place, one, two = _pairs([text[x : y + length] for x, y in zip(lo[a:b].tolist(), hi[a:b].tolist(), strict=True)], length)
+                        cols = [np.full(len(cell), row), (lo[a:b][cell] + place).astype(np.int32), single[a:b][cell], one.view(np.int64), two.view(np.int64)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["row", "p", "single", "r", "n"])
 
     return run
 
@@ -140,35 +162,14 @@ def _pairs(cells: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.
     return cell, place, rank[at], rank[at + length - half]
 
 
-def _resolve(length: int):
-    def run(group: pa.Table) -> pa.Table:
-        cells = group["bytes"].to_pylist()
-        doc, lo, single = (group[c].to_numpy() for c in ("doc", "lo", "single"))
-        cell, place, one, two = _pairs(cells, length)
-        order = np.lexsort((two, one))
-        same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
-        again = np.zeros(len(cell), bool)
-        again[order[1:][same]] = True
-        again[order[:-1][same]] = True
-        again &= single[cell]
-        step = np.concatenate(([True], (place[1:] != place[:-1] + 1) | ~again[:-1])) & again
-        stop = np.concatenate(((place[1:] != place[:-1] + 1) | ~again[1:], [True])) & again
-        s, e = np.flatnonzero(step), np.flatnonzero(stop)
-        return pa.table({"doc": doc[cell[s]], "s": lo[cell[s]] + place[s], "e": lo[cell[e]] + place[e] + length})
-
-    return run
-
+def reranked(rows: DataFrame, rank: str, behind: str, name: str, *more: Column) -> DataFrame:
+    """One round: rows whose pair (rank, behind) occurs more than once, with the pair's place in sorted order as `name`.
 
-def _spread(length: int):
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for a in range(0, part.num_rows, 2000):
-                p = part.slice(a, 2000)
-                cell, place, one, two = _pairs(p["bytes"].to_pylist(), length)
-                doc, lo, single = (p[c].to_numpy(zero_copy_only=False) for c in ("doc", "lo", "single"))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one.view(np.int64), two.view(np.int64), doc[cell], lo[cell] + place, single[cell])], names=["r1", "r2", "doc", "p", "single"])
-
-    return run
+    more: further aggregates of a pair, added to its rows.
+    """
+    pairs = rows.groupBy(rank, behind).agg(F.count(F.lit(1)).alias("_n"), *more).where("_n > 1").drop("_n")
+    order = cut(pairs.orderBy(rank, behind).withColumn(name, F.monotonically_increasing_id()))  # the sort ranges over all partitions
+    return rows.join(order, [rank, behind]).drop(rank, behind)
 
 
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -201,30 +202,26 @@ def _remove(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc, s, e): pieces of texts (doc, text, given) covered by `length`-byte strings that start elsewhere too."""
-    rows = cut(texts.select("doc", "text").mapInArrow(_anchors(length), "doc long, lo long, hi long, h long, u long").select("doc", F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"), "h", "u"))
-    again = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("u0"), F.max("u").alias("u1")).where("n > 1").select("h", (F.col("u0") < F.col("u1")).alias("mixed"))
-    met = cut(rows.join(again, "h"))
+    """(row, s, e): pieces of texts (row, z), z compressed, covered by `length`-byte strings that start elsewhere too."""
+    rows = cut(texts.select("row", "z").mapInArrow(_anchors(length), ANCHORS))
+    met = cut(reranked(rows, "r", "n1", "q"))
     drop_cut(rows)
-    kinds = cut(met.where("mixed").groupBy("h", "u").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "lo", "hi")).alias("w")))
-    span = ["doc", F.col("lo").cast("long").alias("s"), (F.col("hi") + length).cast("long").alias("e")]
-    whole = met.where("not mixed").select(*span).union(met.where("mixed").join(kinds.where("c > 1").select("h", "u"), ["h", "u"]).select(*span))
-    open_ = kinds.groupBy("h").agg(F.min("c").alias("least"), F.count(F.lit(1)).alias("m")).where("least = 1").select("h", "m")
-    cells = kinds.join(open_, "h").select("h", "m", "w.*", (F.col("c") == 1).alias("single"))
-    lists = cells.groupBy("doc").agg(F.collect_list(F.struct("h", "m", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), "single")).alias("cells"))
-    squeezed = texts.mapInArrow(_squeeze, "doc long, given long, z binary")
-    pool = cut(squeezed.join(lists, "doc").select("doc", "z", "cells").mapInArrow(_bytes_of_runs(length), "h long, m long, doc long, lo long, single boolean, bytes binary"))
-    part = pool.where(F.col("m") <= GROUP).select("h", "doc", "lo", "single", "bytes").groupBy("h").applyInArrow(_resolve(length), "doc long, s long, e long")
-    places = pool.where(F.col("m") > GROUP).mapInArrow(_spread(length), "r1 long, r2 long, doc long, p long, single boolean")
-    twice = places.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("r1", "r2")
-    large = places.where("single").join(twice, ["r1", "r2"]).select("doc", F.col("p").alias("s"), (F.col("p") + length).alias("e"))
-    return whole.union(part).union(large)
+    again = cut(reranked(met, "q", "n2", "h", (F.min("u") < F.max("u")).alias("mixed")))
+    drop_cut(met)
+    kinds = cut(again.where("mixed").groupBy("h", "u").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "lo", "hi")).alias("w")))
+    span = ["row", F.col("lo").cast("long").alias("s"), (F.col("hi") + length).cast("long").alias("e")]
+    whole = again.where("not mixed").select(*span).union(again.where("mixed").join(kinds.where("c > 1").select("h", "u"), ["h", "u"]).select(*span))
+    open_ = kinds.groupBy("h").agg(F.min("c").alias("least")).where("least = 1").select("h")
+    cells = kinds.join(open_, "h").select("w.*", (F.col("c") == 1).alias("single"))
+    lists = cells.groupBy("row").agg(F.collect_list(F.struct("lo", "hi", "single")).alias("cells"))
+    places = cut(texts.select("row", "z").join(lists, "row").select("row", "z", "cells").mapInArrow(_strings(length), "row long, p int, single boolean, r long, n long"))
+    ends = reranked(places, "r", "n", "t").where("single").select("row", F.col("p").cast("long").alias("s"), (F.col("p") + length).cast("long").alias("e"))
+    return whole.union(ends)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of docs (doc_id, text); kept: the bytes that stay."""
-    given = F.col("doc_id").cast("long")
-    texts = docs.select(F.coalesce(given, -F.abs(F.xxhash64("text") % 2**62) - 1).alias("doc"), F.col("text").cast("string").alias("text"), given.alias("given"))
-    spans = repeated_spans(texts, length).groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    squeezed = texts.mapInArrow(_squeeze, "doc long, given long, z binary")
-    return squeezed.join(spans, "doc", "left").select("given", "z", "spans").mapInArrow(_remove, REMOVED)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    squeezed = cut(texts.mapInArrow(_squeeze, "doc_id long, z binary").withColumn("row", F.monotonically_increasing_id()))  # each row's number is given once
+    spans = repeated_spans(squeezed, length).groupBy("row").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    return squeezed.join(spans, "row", "left").select("doc_id", "z", "spans").mapInArrow(_remove, REMOVED)
