@@ -12,7 +12,10 @@ run. Equal strings have equal anchors at the same place inside, so nothing is lo
 position in a hundred) up to LENGTH/2:
 1. After two rounds anchors of a unique rank are gone: no string of their run can occur twice.
 2. Runs whose whole bytes occur again are repeated from end to end. Of each such run one stays on as a witness.
-3. Only runs that differ in their group, the ends of a match, go into the last round, with each string in them.
+3. Runs that differ in their group hold the ends of a match. They are divided into blocks of BLOCK strings, counted from the
+   anchor. A block whose core, the bytes that all of its strings share, occurs nowhere else drops out, and one that occurs
+   again as a whole is repeated.
+4. Only blocks that differ in their core's group go into the last round, with each string in them.
 
 Edge cases: null text is empty; texts shorter than LENGTH keep all; each row is a document of its own, whatever its
 doc_id, so the text of repeated rows is removed from all of them; null doc_ids are matched like any other; an empty
@@ -36,6 +39,8 @@ from veilstream.llm.common import cut, drop_cut
 LENGTH = 400
 #: Bytes of one text that are worked on at a time.
 SEGMENT = 1 << 20
+#: Strings of a block, at most.
+BLOCK = 16
 
 _U = np.uint64
 
@@ -64,8 +69,8 @@ def _segments(texts: list[bytes], length: int) -> Iterator[tuple[list[tuple[int,
 
 
 def runs(pieces: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """Runs of strings with the same anchor: piece, first and last start in it, first ranks of the anchor and of what is
-    at each offset from it, up to LENGTH/2, and the hash of the run's bytes."""
+    """Runs of strings with the same anchor: piece, first and last start in it, the anchor's place, first ranks of the
+    anchor and of what is at each offset from it, up to LENGTH/2, and the hash of the run's bytes."""
     one, two, half = offsets(length)
     window = length - half + 1
     data = np.frombuffer(b"".join(pieces), np.uint8)
@@ -92,20 +97,20 @@ def runs(pieces: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     whole = H.mix((sums[hi + length] - sums[lo]) * down[lo] + (hi - lo).astype(_U) * H.STEPS[0] + (a - lo).astype(_U) * H.STEPS[1])
     piece = np.searchsorted(first, lo, "right") - 1
     named = [H.mix((sums[a + e] - sums[a + b]) * down[a + b]) for b, e in ((0, one), (one, two), (two, half))]
-    return piece, lo - first[piece], hi - first[piece], *named, whole
+    return piece, lo - first[piece], hi - first[piece], a - first[piece], *named, whole
 
 
-ANCHORS = "row long, lo int, hi int, r long, n1 long, n2 long, u long"
+ANCHORS = "row long, lo int, hi int, a int, r long, n1 long, n2 long, u long"
 
 
 def _anchors(length: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows, texts in _opened(parts):
             for at, pieces in _segments(texts, length):
-                piece, first, last, *hashes = runs(pieces, length)
+                piece, first, last, anchor, *hashes = runs(pieces, length)
                 where = np.array(at)
                 shift = where[piece, 1]
-                places = [pa.array((x + shift).astype(np.int32)) for x in (first, last)]
+                places = [pa.array((x + shift).astype(np.int32)) for x in (first, last, anchor)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows[where[piece, 0]]), *places, *[pa.array(x.view(np.int64)) for x in hashes]], names=[x.split()[0] for x in ANCHORS.split(", ")])
 
     return run
@@ -131,35 +136,79 @@ def _squeeze(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0)[lo:hi], pa.array([press.compress(t) for t in texts], pa.binary())], names=["doc_id", "z"])
 
 
-def _strings(length: int):
-    """From batches (row, z, cells): for each string in each run its row, place, whether its run is single and its pair of ranks."""
+def _cells(parts: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """From batches (row, z, cells): for each cell its row, first and last start and anchor, and its bytes; about SEGMENT bytes at a time."""
+    held: list[tuple] = []
+    size = 0
+    for part in parts:
+        for start, rows, texts in _opened(iter([part])):
+            for i, (row, text) in enumerate(zip(rows.tolist(), texts, strict=True)):
+                cells = pa.RecordBatch.from_struct_array(part.column(2)[start + i].values)
+                lo, hi, a = (cells[c].to_numpy().astype(np.int64) for c in ("lo", "hi", "a"))
+                for x, y in H.slices(hi - lo + length):
+                    data = [text[b : e + length] for b, e in zip(lo[x:y].tolist(), hi[x:y].tolist(), strict=True)]
+                    held.append((np.full(y - x, row), lo[x:y], hi[x:y], a[x:y], data))
+                    size += sum(map(len, data))
+                    if size >= SEGMENT:
+                        yield _together(held)
+                        held, size = [], 0
+    if held:
+        yield _together(held)
+
+
+def _together(held: list[tuple]) -> tuple:
+    *numbers, data = zip(*held, strict=True)
+    return (*map(np.concatenate, numbers), [c for cells in data for c in cells])
+
 
+def _numbers(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of sum(lengths) places the index of its part, and its place in it."""
+    part = np.repeat(np.arange(len(lengths)), lengths)
+    return part, np.arange(len(part)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def blocks(lo: np.ndarray, hi: np.ndarray, a: np.ndarray, cells: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """Of each block of runs: the run's index, the block's first and last start, the hash of its core and of its bytes."""
+    size = min(BLOCK, max(1, length // 4))
+    sums, down = H.prefix(np.frombuffer(b"".join(cells), np.uint8), H.BASES[1])
+    lengths = np.array([len(c) for c in cells])
+    cell, nth = _numbers((a - lo) // size - (a - hi) // size + 1)
+    k = ((a - lo) // size)[cell] - nth
+    low, high = a[cell] - k * size - size + 1, a[cell] - k * size  # the starts of a whole block
+    p0, p1 = np.maximum(low, lo[cell]), np.minimum(high, hi[cell])
+    shift = (np.cumsum(lengths) - lengths - lo)[cell]
+    named = lambda b, e: (sums[e + shift] - sums[b + shift]) * down[b + shift]
+    core = H.mix(named(high, low + length) + k.astype(_U) * H.STEPS[2])
+    whole = H.mix(named(p0, p1 + length) + (p0 - low).astype(_U) * H.STEPS[0] + (p1 - low).astype(_U) * H.STEPS[1])
+    return cell, p0, p1, core, whole
+
+
+def _blocks(length: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for start, rows, texts in _opened(iter([part])):
-                for i, (row, text) in enumerate(zip(rows.tolist(), texts, strict=True)):
-                    cells = pa.RecordBatch.from_struct_array(part.column(2)[start + i].values)
-                    lo, hi, single = (cells[c].to_numpy(zero_copy_only=False) for c in ("lo", "hi", "single"))
-                    for a, b in H.slices(hi - lo + length):
-                        cell, place, one, two = _pairs([text[x : y + length] for x, y in zip(lo[a:b].tolist(), hi[a:b].tolist(), strict=True)], length)
-                        cols = [np.full(len(cell), row), (lo[a:b][cell] + place).astype(np.int32), single[a:b][cell], one.view(np.int64), two.view(np.int64)]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["row", "p", "single", "r", "n"])
+        for row, lo, hi, a, cells in _cells(parts, length):
+            cell, p0, p1, core, whole = blocks(lo, hi, a, cells, length)
+            cols = [row[cell], *[x.astype(np.int32) for x in (p0, p1, a[cell])], core.view(np.int64), whole.view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["row", "lo", "hi", "a", "h", "u"])
 
     return run
 
 
-def _pairs(cells: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each string in each run: the run's index, its place in it and its pair of ranks."""
+def _strings(length: int):
+    """For each string in each cell its row, place and pair of ranks."""
     half = length // 2
-    data = np.frombuffer(b"".join(cells), np.uint8)
-    sums, down = H.prefix(data, H.BASES[1])
-    rank = H.mix((sums[half:] - sums[:-half]) * down[: len(data) - half + 1])
-    n = np.array([len(c) for c in cells])
-    many = n - length + 1
-    cell = np.repeat(np.arange(len(cells)), many)
-    place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    at = np.repeat(np.cumsum(n) - n, many) + place
-    return cell, place, rank[at], rank[at + length - half]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, lo, hi, _, cells in _cells(parts, length):
+            sums, down = H.prefix(np.frombuffer(b"".join(cells), np.uint8), H.BASES[1])
+            lengths = np.array([len(c) for c in cells])
+            cell, place = _numbers(hi - lo + 1)
+            at = (np.cumsum(lengths) - lengths)[cell] + place
+            named = lambda b, e: H.mix((sums[e] - sums[b]) * down[b])
+            ranks = named(at, at + half), named(at + half, at + length)
+            cols = [row[cell], (lo[cell] + place).astype(np.int32), *[x.view(np.int64) for x in ranks]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["row", "p", "r", "n"])
+
+    return run
 
 
 def reranked(rows: DataFrame, rank: str, behind: str, name: str, *more: Column) -> DataFrame:
@@ -201,22 +250,37 @@ def _remove(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in REMOVED.split(", ")])
 
 
+def settled(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """(row, s, e) of rows (row, lo, hi, a, h, u, mixed) that are repeated from end to end, and (row, cells) of those to be looked at closer.
+
+    h names what rows of a group share, u their bytes; mixed tells whether a group holds more than one u. Rows whose
+    bytes occur again are repeated; one of each goes on beside those that differ from all others of their group.
+    """
+    kinds = cut(rows.where("mixed").groupBy("h", "u").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "lo", "hi", "a")).alias("w")))
+    span = ["row", F.col("lo").cast("long").alias("s"), (F.col("hi") + length).cast("long").alias("e")]
+    whole = rows.where("not mixed").select(*span).union(rows.where("mixed").join(kinds.where("c > 1").select("h", "u"), ["h", "u"]).select(*span))
+    open_ = kinds.groupBy("h").agg(F.min("c").alias("least")).where("least = 1").select("h")
+    return whole, kinds.join(open_, "h").select("w.*").groupBy("row").agg(F.collect_list(F.struct("lo", "hi", "a")).alias("cells"))
+
+
 def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """(row, s, e): pieces of texts (row, z), z compressed, covered by `length`-byte strings that start elsewhere too."""
-    rows = cut(texts.select("row", "z").mapInArrow(_anchors(length), ANCHORS))
+    texts = texts.select("row", "z")
+    mixed = (F.min("u") < F.max("u")).alias("mixed")
+    rows = cut(texts.mapInArrow(_anchors(length), ANCHORS))
     met = cut(reranked(rows, "r", "n1", "q"))
     drop_cut(rows)
-    again = cut(reranked(met, "q", "n2", "h", (F.min("u") < F.max("u")).alias("mixed")))
+    again = cut(reranked(met, "q", "n2", "h", mixed))
     drop_cut(met)
-    kinds = cut(again.where("mixed").groupBy("h", "u").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "lo", "hi")).alias("w")))
-    span = ["row", F.col("lo").cast("long").alias("s"), (F.col("hi") + length).cast("long").alias("e")]
-    whole = again.where("not mixed").select(*span).union(again.where("mixed").join(kinds.where("c > 1").select("h", "u"), ["h", "u"]).select(*span))
-    open_ = kinds.groupBy("h").agg(F.min("c").alias("least")).where("least = 1").select("h")
-    cells = kinds.join(open_, "h").select("w.*", (F.col("c") == 1).alias("single"))
-    lists = cells.groupBy("row").agg(F.collect_list(F.struct("lo", "hi", "single")).alias("cells"))
-    places = cut(texts.select("row", "z").join(lists, "row").select("row", "z", "cells").mapInArrow(_strings(length), "row long, p int, single boolean, r long, n long"))
-    ends = reranked(places, "r", "n", "t").where("single").select("row", F.col("p").cast("long").alias("s"), (F.col("p") + length).cast("long").alias("e"))
-    return whole.union(ends)
+    whole, cells = settled(again, length)
+    parts = cut(texts.join(cells, "row").select("row", "z", "cells").mapInArrow(_blocks(length), "row long, lo int, hi int, a int, h long, u long"))
+    shared = parts.groupBy("h").agg(F.count(F.lit(1)).alias("n"), mixed).where("n > 1").select("h", "mixed")
+    shared = cut(parts.join(shared, "h"))
+    drop_cut(parts)
+    more, cells = settled(shared, length)
+    strings = cut(texts.join(cells, "row").select("row", "z", "cells").mapInArrow(_strings(length), "row long, p int, r long, n long"))
+    ends = reranked(strings, "r", "n", "t").select("row", F.col("p").cast("long").alias("s"), (F.col("p") + length).cast("long").alias("e"))
+    return whole.union(more).union(ends)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
