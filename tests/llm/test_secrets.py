@@ -4,6 +4,8 @@ import re
 import string
 from collections import Counter
 
+import pytest
+
 from veilstream.llm import secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -98,6 +100,38 @@ def test_block_is_redacted_whole(spark):
 def test_redacted(odd, empty):
     out = secrets.redacted(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
-    assert out.where("doc_id = 15").first()["text"] == "[SECRET] and [SECRET]" or "[SECRET]" in out.where("doc_id = 15").first()["text"]
+    assert out.where("doc_id = 15").first()["text"] == '[SECRET]" and [SECRET]'  # the pattern ends before the closing quote
+    was = {r.doc_id: r.text for r in odd.collect() if r.doc_id not in (None, 3, 15)}
+    assert {r.doc_id: r.text for r in out.collect() if r.doc_id not in (None, 3, 15)} == was
     assert secrets.redacted(empty).collect() == []
     assert secrets.scan(empty).collect() == []
+
+
+@pytest.mark.parametrize("signs", [string.ascii_letters + string.digits, string.ascii_lowercase + string.digits, string.ascii_letters + string.digits + "-_"])
+def test_recall_does_not_depend_on_length(docs, signs):
+    novelty = secrets.Novelty(secrets.corpus_words(docs))
+    rng = random.Random(14)
+    for n in (20, 64, 256, 400, 512, 513, 800, 1000, 5000):
+        found = 0
+        for key in keys(rng, *[n] * 20, signs=signs):
+            text = f"the private credential is {key} until it changes"
+            spans = secrets.novel_spans(text, secrets.base_spans(text), novelty)
+            found += {k for s, e in spans for k in range(s, e)} | {k for s, _, e in secrets.base_spans(text) for k in range(s, e)} >= set(range(26, 26 + n))
+        assert found >= 18, n
+
+
+def test_clean_documents_are_left_alone(docs):
+    """Novel spans in the corpus stand in documents that hold a planted secret."""
+    rows = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    novel = [i for i, r in rows.items() if "novel" in r.kinds]
+    assert len(novel) <= len(rows) * 0.01
+
+
+def test_dictionary_comes_from_the_corpus(spark):
+    rows = [(i, "flibbertigibbetConfig zanzibar rare%d x1y2z3q4w5" % i) for i in range(30)]
+    words = secrets.corpus_words(spark.createDataFrame(rows, "doc_id long, text string")).split()
+    assert {"flibbertigibbet", "config", "zanzibar"} <= set(words) and not any(c.isdigit() for w in words for c in w)
+    assert len(secrets.corpus_words(spark.createDataFrame(rows, "doc_id long, text string"), 2).split()) == 2
+    novelty, plain = secrets.Novelty(" ".join(words)), secrets.Novelty()
+    text = "private key flibbertigibbetZanzibarConfig2 of it"
+    assert novelty(text, 12, 42) < plain(text, 12, 42)

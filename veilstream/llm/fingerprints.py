@@ -1,9 +1,10 @@
 """Document fingerprints by I-Match, in SQL functions only.
 
 The lexicon holds the terms whose share of documents lies in a band of inverse document frequency. A document's terms
-in the lexicon, distinct and sorted, are hashed once for each of several randomised subsets of the lexicon; the hashes
-together are its fingerprint. Subsets keep from a half down to a 256th of the terms, so that texts of any length have
-some that hold a few of their terms: two texts are as alike as the share of non-empty subsets whose hashes agree.
+in the lexicon, distinct and sorted by their hashes, are hashed as a whole and once for each of several randomised
+subsets of the lexicon; the hashes together are its fingerprint. Subsets keep from a quarter down to a 256th of the terms, so
+that texts of any length have some that hold a few of their terms: two texts are as alike as the share of non-empty
+subsets whose hashes agree. A subset is drawn by one byte of a term's hash; those of one byte lie inside each other.
 
 A term in the lexicon is in at least SHARES[0] of all documents, so the lexicon has no more than (mean number of
 distinct terms of a document) / SHARES[0] terms, however many documents there are; it is handed to the tasks as a
@@ -23,8 +24,8 @@ from veilstream.llm.common import SPACE
 
 #: The band: least and greatest share of documents that a term of the lexicon is in.
 SHARES = (1 / 1000, 1 / 5)
-#: Of 256, how many terms the subsets keep, besides the whole lexicon; each takes another byte of a term's hashes.
-KEEPS = (64, 32, 16, 16, 8, 8, 8, 4, 4, 4, 4, 4, 4, 2, 2, 2, 2, 2, 2, 1, 1, 1, 1, 1)
+#: Of 256, how many terms the subsets keep that are drawn by the first, second, … byte of a term's hash.
+KEEPS = ((64, 8, 4, 2), (32, 8, 4, 2, 1), (16, 8, 4, 2, 1), (16, 4, 2, 1), (4, 2, 1), (4, 2, 1))
 #: Buckets of the lexicon's table, a power of two.
 TABLE = 1 << 14
 #: Neighbouring documents that one task looks at together.
@@ -52,24 +53,35 @@ def _table(docs: DataFrame, words: list[str]) -> Column:
     return F.split(F.lit("\n".join(rows)), "\n")
 
 
-def fingerprint(text: Column, table: Column) -> Column:
-    """Array of hashes, one for each subset; null where a subset holds none of the text's terms."""
-    known = F.sort_array(F.filter(terms(text), lambda t: F.contains(F.get(table, F.pmod(F.xxhash64(t), F.lit(TABLE)).cast("int")), F.concat(F.lit(" "), t, F.lit(" ")))))
-    hashed = F.transform(known, lambda t: F.struct(t.alias("t"), *[F.xxhash64(F.lit(k), t).alias(f"h{k}") for k in range(len(KEEPS) // 8)]))
-    return F.transform(F.array(hashed), _subsets)[0]
+def _let(value: Column, use) -> Column:
+    """use(value), with value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
 
+def _hashed(terms_: Column) -> Column:
+    return F.array(F.when(F.size(terms_) > 0, F.xxhash64(terms_)))
 
-def _kept(place: int, keep: int):
-    return lambda x: F.shiftrightunsigned(x[f"h{place // 8}"], 8 * (place % 8)).bitwiseAND(F.lit(255)) < keep
 
+def _subsets(terms_: Column, place: int, keeps: tuple[int, ...]) -> Column:
+    """Hashes of the subsets drawn by a byte, each from the one before."""
+    if not keeps:
+        return _hashed(terms_)
+    low = F.filter(terms_, lambda h: F.shiftrightunsigned(h, 8 * place).bitwiseAND(F.lit(255)) < keeps[0])
+    if len(keeps) == 1:
+        return _let(low, _hashed)
+    return _let(low, lambda s: F.concat(_hashed(s), _subsets(s, place, keeps[1:])))
 
-def _subsets(hashed: Column) -> Column:
-    subsets = [hashed, *[F.filter(hashed, _kept(k, keep)) for k, keep in enumerate(KEEPS)]]
-    return F.array(*[F.when(F.size(s) > 0, F.xxhash64(s)) for s in subsets])
+
+def fingerprint(text: Column, table: Column) -> Column:
+    """Array of hashes, of all terms in the lexicon and of each subset; null where there are none."""
+    known = F.filter(terms(text), lambda t: F.contains(F.get(table, F.pmod(F.xxhash64(t), F.lit(TABLE)).cast("int")), F.concat(F.lit(" "), t, F.lit(" "))))
+    hashes = F.sort_array(F.transform(known, lambda t: F.xxhash64(t)))
+    return _let(hashes, lambda k: F.concat(_hashed(k), *[_subsets(k, place, keeps) for place, keeps in enumerate(KEEPS)]))
 
 
-def whole(text: Column) -> Column:
-    return F.xxhash64(F.lit("whole"), F.sort_array(terms(text)))
+def whole(text: Column, print_: Column) -> Column:
+    """A hash of all terms, for texts that have none in the lexicon."""
+    return F.when(print_[0].isNull(), F.xxhash64(F.lit("whole"), F.sort_array(terms(text))))
 
 
 def likeness(a: Column, b: Column, wa: Column, wb: Column) -> Column:
@@ -113,7 +125,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     up = Window.partitionBy(F.lit(0)).orderBy("bucket")
     all_ = up.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     tops = tops.select(F.coalesce(F.lead("bucket").over(up), F.first("bucket").over(all_)).alias("to"), F.col("top.id").alias("id"), F.col("top.h").alias("h"))
-    with_print = lambda df: df.withColumn("f", fingerprint(F.col("text"), table)).withColumn("w", whole(F.col("text")))
+    with_print = lambda df: df.withColumn("f", fingerprint(F.col("text"), table)).withColumn("w", whole(F.col("text"), F.col("f")))
     own = with_print(texts.select("doc_id", "id", "text", "h", "bucket", F.lit(0).alias("guest")))
     guests = with_print(texts.drop("bucket").join(F.broadcast(tops), ["id", "h"]).select("doc_id", "id", "text", "h", F.col("to").alias("bucket"), F.lit(1).alias("guest")))
     order = Window.partitionBy("bucket").orderBy("guest", F.col("id").desc(), F.col("h").desc())
@@ -122,7 +134,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     half = F.floor(chars / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), chars - half), F.substring("next_text", F.lit(1), half))
     out = pairs.select("doc_id", chars.cast("long").alias("n_chars"), edited.alias("edited"), "f", "w", "next_f", "next_w")
-    out = out.select("*", fingerprint(F.col("edited"), table).alias("ef"), whole(F.col("edited")).alias("ew"))
+    out = out.withColumn("ef", fingerprint(F.col("edited"), table)).withColumn("ew", whole(F.col("edited"), F.col("ef")))
     return out.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_string(F.col("f"), F.col("w")).alias("fingerprint"), as_string(F.col("ef"), F.col("ew")).alias("edited_fingerprint"),
         likeness(F.col("f"), F.col("ef"), F.col("w"), F.col("ew")).alias("near_edited"), likeness(F.col("f"), F.col("next_f"), F.col("w"), F.col("next_w")).alias("near_next"),

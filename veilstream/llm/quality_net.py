@@ -5,7 +5,8 @@ the two runs before it are units too. Each hashed unit has a sparse random index
 sum of the index vectors of the runs near it, over all documents. A document is the mean and the deviation of its units' vectors. A network of two layers is fitted on a
 bounded sample of labelled documents, and its logits are divided by a temperature fitted on held-back rows of it.
 
-The table of vectors has UNITS x DIM numbers however large the corpus is; tasks add up their parts of it by block.
+The table of vectors has UNITS x DIM numbers however large the corpus is; a task sends no more than that, and Spark adds
+up whole numbers, so the sums do not depend on the order of tasks.
 Edge cases: null or empty text has no units, is the zero vector and gets that vector's score; repeated rows get equal
 scores; null doc_ids are scored too (held_out null); with no labels of both kinds every score is the share of label 1,
 or 0.5; an empty table gives no rows.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from veilstream.llm import hashing as H
 from veilstream.llm.labelled import labelled_sample
 
-UNITS, DIM, SPARSE, REACH, BLOCKS = 1 << 14, 32, 4, 2, 128
+UNITS, DIM, SPARSE, REACH = 1 << 14, 32, 4, 2
 #: Units from here on are shapes, the last four tell of repeats.
 SHAPES, REPEATS = UNITS - 1024, UNITS - 4
 #: Labelled documents that the network is fitted on, at most.
@@ -85,7 +86,11 @@ def contexts(texts: list[bytes]) -> np.ndarray:
     return np.bincount(np.concatenate(flat), weights=np.concatenate(weight), minlength=UNITS * DIM)
 
 
+CONTEXTS = "unit int, " + ", ".join(f"c{i} long" for i in range(DIM))
+
+
 def _gather(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of one task: a row for each unit that occurs in it."""
     total, size, held = np.zeros(UNITS * DIM), 0, []
     for part in parts:
         for _, _, texts in H.batches(part.column(0), AT_ONCE):
@@ -96,23 +101,17 @@ def _gather(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size, held = 0, []
     if held:
         total += contexts(held)
-    rows = total.astype(np.float32).reshape(BLOCKS, -1)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array([r.tobytes() for r in rows], pa.binary())], names=["block", "part"])
-
-
-def _add(group: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py(), np.float32).astype(np.float64) for x in group["part"])
-    return pa.table({"block": group["block"].slice(0, 1), "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+    table = total.astype(np.int64).reshape(UNITS, DIM)
+    on = np.flatnonzero(table.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), *[pa.array(table[on, i]) for i in range(DIM)]], names=[x.split()[0] for x in CONTEXTS.split(", ")])
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
-    """UNITS x DIM context vectors of unit length, from all texts; BLOCKS rows reach the driver."""
-    shape = "block int, part binary"
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(_gather, shape).groupBy("block").applyInArrow(_add, shape).collect()
-    out = np.zeros((BLOCKS, UNITS * DIM // BLOCKS), np.float32)
-    for r in rows:
-        out[r["block"]] = np.frombuffer(r["part"], np.float32)
-    out = out.reshape(UNITS, DIM)
+    """UNITS x DIM context vectors of unit length, from all texts; at most UNITS rows of sums reach the driver."""
+    sums = docs.select(F.col("text").cast("string")).mapInArrow(_gather, CONTEXTS).groupBy("unit").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(DIM)])
+    got = sums.toArrow()
+    out = np.zeros((UNITS, DIM), np.float32)
+    out[got["unit"].to_numpy()] = np.stack([got[f"c{i}"].to_numpy() for i in range(DIM)], axis=1)
     place, sign = index_vectors()
     own = np.zeros((UNITS, DIM), np.float32)
     np.add.at(own, (np.repeat(np.arange(UNITS), SPARSE), place.ravel()), sign.ravel())

@@ -1,8 +1,8 @@
 """Quality rules: base counts of each text, and a calibrated logistic regression on hashed word and character n-grams.
 
-Features are the shares of hashed words, word pairs and runs of three bytes in a text, WIDTH of each kind, scaled by
-their spread over the sample. The regression is fitted on a bounded sample of labelled documents; held-back rows of
-it set the two numbers that turn its output into a probability (Platt). Texts are scored in Arrow batches; a text is
+Features are the shares of hashed words, word pairs and runs of three characters in a text, WIDTH of each kind, scaled
+by their spread over the sample. The regression is fitted on a sample of labelled documents that is bounded in rows
+(SAMPLE) and in features (ENTRIES, of whole documents in the order of the sample); held-back rows of it set the two numbers that turn its output into a probability (Platt). Texts are scored in Arrow batches; a text is
 kept if the base rules pass and the probability is at least THRESHOLD.
 
 Edge cases: null or empty text has no words and fails the base rules; repeated rows get equal results; null doc_ids
@@ -16,14 +16,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilstream.llm import hashing as H
+from veilstream.llm.common import cut
 from veilstream.llm.labelled import labelled_sample
 
 WIDTH = 1 << 15
 SAMPLE = 4000
+#: Distinct features of all documents of the sample together, at most.
+ENTRIES = 4_000_000
+#: Features that the regression works on at a time.
+AT_ONCE = 1 << 18
 THRESHOLD = 0.3
 #: Base rules: fewest words, most words in repeated windows in percent, words of a window.
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
@@ -49,8 +54,8 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate((np.zeros(1, np.int64), np.cumsum(values, dtype=np.int64)))[starts])
 
 
-def base_counts(texts: list[bytes]) -> tuple[Counts, np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of each text; with the words' texts and hashes and the joined bytes, for the features."""
+def base_counts(texts: list[bytes]) -> tuple[Counts, np.ndarray, np.ndarray]:
+    """Counts of each text; with the words' texts and hashes, for the features."""
     n = len(texts)
     bounds = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts]))).astype(np.int64)
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
@@ -80,19 +85,18 @@ def base_counts(texts: list[bytes]) -> tuple[Counts, np.ndarray, np.ndarray, np.
     owner = (np.searchsorted(bounds, first, "right") - 1)[has_word]
     _, once = np.unique(line + owner.astype(_U) * H.STEPS[3], return_index=True)
     dup = np.bincount(owner, minlength=n) - np.bincount(owner[once], minlength=n)
-    return Counts(np.bincount(doc, minlength=n), word_chars, symbols, dup, repeated), doc, h, data
+    return Counts(np.bincount(doc, minlength=n), word_chars, symbols, dup, repeated), doc, h
 
 
-def grams(doc: np.ndarray, h: np.ndarray, data: np.ndarray, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Text index and feature of each word, word pair and run of three bytes; the kinds one after another."""
+def grams(doc: np.ndarray, h: np.ndarray, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Text index and feature of each word, word pair and run of three characters; the kinds one after another."""
     yield doc, (h % _U(WIDTH)).astype(np.int64)
     pair = doc[1:] == doc[:-1]
     yield doc[1:][pair], WIDTH + (H.mix(h[:-1] + h[1:] * H.STEPS[0])[pair] % _U(WIDTH)).astype(np.int64)
-    d = data.astype(np.uint32)
-    three = (d[:-2] << 16 | d[1:-1] << 8 | d[2:]) * np.uint32(2654435761) >> np.uint32(17)
-    owner = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
-    whole = owner[:-2] == np.concatenate((owner, [-1]))[3:]  # the line feed between texts is in no run
-    yield owner[:-2][whole], 2 * WIDTH + three[whole].astype(np.int64)
+    signs = [np.frombuffer(t.decode().encode("utf-32-le"), np.uint32) for t in texts]
+    owner = np.repeat(np.arange(len(texts)), [max(0, len(x) - 2) for x in signs])
+    each = [(x[:-2] * np.uint32(0x9E3779B1) ^ x[1:-1] * np.uint32(0x85EBCA77) ^ x[2:]) * np.uint32(2654435761) >> np.uint32(17) for x in signs if len(x) > 2]
+    yield owner, 2 * WIDTH + (np.concatenate(each).astype(np.int64) if each else np.zeros(0, np.int64))
 
 
 def shares(parts, n: int, weight: np.ndarray) -> np.ndarray:
@@ -115,31 +119,47 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.a * (raw + self.bias) + self.b, -30, 30)))
 
 
-def fit(rows: np.ndarray, features: np.ndarray, values: np.ndarray, y: np.ndarray, rounds: int = 150) -> Model:
-    """Logistic regression on sparse rows (row, feature, share), four fifths of them; the rest calibrate it. Overwrites values."""
+def fit(ends: np.ndarray, features: np.ndarray, values: np.ndarray, y: np.ndarray, rounds: int = 150) -> Model:
+    """Logistic regression on sparse rows (where each ends, features, shares), four fifths of them; the rest calibrate it.
+
+    Rows are worked on a few at a time, so there are no copies of the whole sample.
+    """
     n, d = len(y), 3 * WIDTH
     share = float(np.clip(y.mean(), 0.01, 0.99)) if n else 0.5
     if len(np.unique(y)) < 2:
         return Model(np.zeros(d), float(np.log(share / (1 - share))))
-    mean = np.bincount(features, weights=values, minlength=d) / n
-    square = np.bincount(features, weights=values * values, minlength=d) / n
+    bounds = np.concatenate(([0], ends))
+    cuts = [0]
+    for i in range(1, n + 1):
+        if i == n or bounds[i + 1] - bounds[cuts[-1]] > AT_ONCE:
+            cuts.append(i)
+    parts = []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        at = np.repeat(np.arange(b - a, dtype=np.int32), np.diff(bounds[a : b + 1]))
+        parts.append((a, b, at, features[bounds[a] : bounds[b]], values[bounds[a] : bounds[b]]))
+    mean = sum(np.bincount(f, weights=v, minlength=d) for *_, f, v in parts) / n
+    square = sum(np.bincount(f, weights=v * v, minlength=d) for *_, f, v in parts) / n
     scale = 1 / np.sqrt(np.maximum(square - mean * mean, 0) + 1e-6)
-    values *= scale[features]  # in place: these arrays are the largest
     held = np.random.default_rng(0).permutation(n) % 5 == 4
     if len(np.unique(y[~held])) < 2:
         held[:] = False
     w, bias, m, s = np.zeros(d), 0.0, np.zeros(d + 1), np.zeros(d + 1)
     total = (~held).sum()
+
+    def raw(weight: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(at, weights=v * weight[f], minlength=b - a) for a, b, at, f, v in parts])
+
     for t in range(1, rounds + 1):
-        z = np.bincount(rows, weights=values * w[features], minlength=n) + bias
+        z = raw(w * scale) + bias
         g = np.where(held, 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / total
-        grad = np.append(np.bincount(features, weights=values * g[rows], minlength=d) + 1e-3 * w, g.sum())
+        slope = sum(np.bincount(f, weights=v * g[a:b][at], minlength=d) for a, b, at, f, v in parts)
+        grad = np.append(slope * scale + 1e-3 * w, g.sum())
         m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad * grad
         step = 0.01 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
         w, bias = w - step[:-1], bias - step[-1]
     model = Model(w * scale, bias)
     if held.any():
-        z = np.bincount(rows, weights=values * w[features], minlength=n)[held] + bias
+        z = raw(model.weight)[held] + bias
         best = None
         for a in np.geomspace(0.1, 4, 30):
             for b in np.linspace(-2, 2, 21):
@@ -154,9 +174,9 @@ def fit(rows: np.ndarray, features: np.ndarray, values: np.ndarray, y: np.ndarra
 def _sparse(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
         for lo, hi, texts in H.batches(part.column(0)):
-            _, doc, h, data = base_counts(texts)
+            doc, h, _, _ = H.words(texts)
             found = [[] for _ in texts]
-            for owner, feature in grams(doc, h, data, texts):
+            for owner, feature in grams(doc, h, texts):
                 count = np.bincount(owner, minlength=len(texts))
                 key, times = np.unique(owner * (3 * WIDTH) + feature, return_counts=True)
                 ends = np.searchsorted(key, np.arange(1, len(texts)) * (3 * WIDTH))
@@ -164,19 +184,20 @@ def _sparse(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     found[k].append((one.astype(np.int32), (c / max(1, count[k])).astype(np.float32)))
             features = [np.concatenate([a for a, _ in x]).tobytes() for x in found]
             values = [np.concatenate([b for _, b in x]).tobytes() for x in found]
-            yield pa.RecordBatch.from_arrays([part.column(1)[lo:hi], part.column(2)[lo:hi], pa.array(features, pa.binary()), pa.array(values, pa.binary())], names=["doc_id", "y", "f", "v"])
+            n = pa.array([len(f) // 4 for f in features], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(1)[lo:hi], part.column(2)[lo:hi], n, pa.array(features, pa.binary()), pa.array(values, pa.binary())], names=["doc_id", "y", "n", "f", "v"])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """At most `sample` rows of features reach the driver."""
-    rows = labelled_sample(docs, labels, sample).select("text", "doc_id", "y").mapInArrow(_sparse, "doc_id long, y int, f binary, v binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["f"]))
-    y = np.array([r["y"] for r in rows], np.float64)
-    at = np.repeat(np.arange(len(rows)), [len(r["f"]) // 4 for r in rows]) if rows else np.zeros(0, np.int64)
-    features = np.frombuffer(b"".join(r["f"] for r in rows), np.int32).astype(np.int64)
-    values = np.frombuffer(b"".join(r["v"] for r in rows), np.float32).astype(np.float64)
-    rows.clear()
-    return fit(at, features, values, y)
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int = ENTRIES) -> Model:
+    """At most `sample` rows with together at most `entries` features reach the driver."""
+    rows = labelled_sample(docs, labels, sample).select("text", "doc_id", "y").mapInArrow(_sparse, "doc_id long, y int, n long, f binary, v binary")
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    first = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "n", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over numbers of the sample's rows only
+    chosen = rows.select("row", F.sum("n").over(first).alias("sum")).where(F.col("sum") <= entries)
+    got = rows.join(F.broadcast(chosen), "row").sort("sum").select("y", "n", "f", "v").toArrow()
+    features = np.frombuffer(b"".join(x.as_py() for x in got["f"]), np.int32)
+    values = np.frombuffer(b"".join(x.as_py() for x in got["v"]), np.float32)
+    return fit(np.cumsum(got["n"].to_numpy()), features, values, got["y"].to_numpy().astype(np.float64))
 
 
 RULED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double"
@@ -187,8 +208,8 @@ def _judge(model):
         m = model.value
         for part in parts:
             for lo, hi, texts in H.batches(part.column(1)):
-                c, doc, h, data = base_counts(texts)
-                p = m.probabilities(shares(grams(doc, h, data, texts), hi - lo, m.weight))
+                c, doc, h = base_counts(texts)
+                p = m.probabilities(shares(grams(doc, h, texts), hi - lo, m.weight))
                 numbers = [c.n_words, c.word_chars, c.n_symbols, c.n_dup_lines, c.n_repeat_words]
                 cols = [part.column(0)[lo:hi], *[pa.array(x.astype(np.int64)) for x in numbers], pa.array(c.failed), pa.array(~c.failed & (p >= THRESHOLD)), pa.array(p)]
                 yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in RULED.split(", ")])

@@ -3,8 +3,9 @@
 A candidate is a whole run of 16 or more characters from the alphabet of keys and tokens, without what a base span
 takes of it. Candidates on neighbouring lines, with a dot between them, or between the same BEGIN and END marks form a
 chain. A chain counts if one of its members stands within NEAR characters of a sensitive word. A member's novelty is the
-number of bytes it adds when it is compressed after the text around its chain by zstandard primed with a dictionary of
-identifiers and common words, divided by its length; a run of more than WHOLE characters is as novel as its most
+number of bytes it adds when it is compressed after the text around its chain by zstandard primed with a dictionary,
+divided by its length. The dictionary holds the WORDS words and parts of identifiers that are in most documents of the
+corpus (letters only, so no key enters it whole), behind those that code around secrets usually says; a run of more than WHOLE characters is as novel as its most
 novel window. Members of at least NOVEL are reported as spans of kind `novel` if one of these in the chain has letters and
 digits (ordinary long words are as novel as keys of letters alone). What stands between two such members of a chain is
 reported with them, and so are the chain's short parts: all lines between BEGIN and END, a part between two reported
@@ -48,7 +49,9 @@ SHORT = re.compile(r"[A-Za-z0-9+/_=-]{1,15}(?=[ \t\"',;]*(?:[\r\n\\]|\Z))")
 #: about 0.6 or less.
 NOVEL = 0.7
 
-#: What code and prose around secrets usually says: the dictionary that the compressor starts with.
+#: Words of the corpus in the dictionary.
+WORDS = 4096
+#: What code and prose around secrets usually says: the end of the dictionary that the compressor starts with.
 IDENTIFIERS = " ".join(
     "password passwd secret token api_key apikey access_key secret_key private_key public_key client_id client_secret credential authorization bearer "
     "username user login session cookie config settings environment export import return function class static const public private protected void "
@@ -58,6 +61,16 @@ IDENTIFIERS = " ".join(
 )
 
 
+def corpus_words(docs: DataFrame, most: int = WORDS) -> str:
+    """The `most` words that are in most documents, rarest first. Words are runs of letters, divided at inner capitals.
+
+    All documents are counted; `most` words reach the driver.
+    """
+    words = F.regexp_extract_all(F.col("text").cast("string"), F.lit("([A-Za-z][a-z]{2,23})"), 1)
+    rows = docs.select(F.explode(F.array_distinct(F.transform(words, F.lower))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    top = rows.where("n > 1").orderBy(F.desc("n"), "word").limit(most).collect()
+    return " ".join(r["word"] for r in reversed(top))
+
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base patterns, in order."""
@@ -81,8 +94,9 @@ def _divided(text: str) -> str:
 
 
 class Novelty:
-    def __init__(self) -> None:
-        words = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    def __init__(self, corpus: str = "") -> None:
+        words = zstandard.ZstdCompressionDict(f"{corpus} {IDENTIFIERS}".encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        words.precompute_compress(level=3)
         self.press = zstandard.ZstdCompressor(level=3, dict_data=words, write_checksum=False, write_content_size=False, write_dict_id=False)
 
     def __call__(self, text: str, start: int, end: int) -> float:
@@ -218,9 +232,9 @@ def _reported(text: str, chain: list[tuple[int, int, int | None]], members: list
 FOUND = "doc_id long, starts array<int>, ends array<int>, kinds array<string>"
 
 
-def _scan(threshold: float):
+def _scan(threshold: float, words: str):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty()
+        novelty = Novelty(words)
         long_run = re.compile(rb"[A-Za-z0-9+/_=.:-]{12,}")
         names = (*KINDS, "novel")
         for part in parts:
@@ -243,7 +257,7 @@ def _scan(threshold: float):
 def scan(docs: DataFrame, threshold: float = NOVEL) -> DataFrame:
     """(doc_id, starts, ends, kinds) for each row of docs (doc_id, text): spans by start, then kind as listed."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_scan(threshold), FOUND)
+    return texts.mapInArrow(_scan(threshold, corpus_words(texts)), FOUND)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -258,22 +272,27 @@ def digest(found: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame, mark: str = "[SECRET]", threshold: float = NOVEL) -> DataFrame:
     """docs with each secret replaced by `mark`; every row stays, and all of its columns."""
     place = docs.columns.index("text")
+    words = corpus_words(docs)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty()
+        novelty = Novelty(words)
         for part in parts:
-            out = []
-            for text in part.column(place).to_pylist():
-                if text:
-                    spans = base_spans(text)
-                    spans = sorted([(s, e) for s, _, e in spans] + novel_spans(text, spans, novelty, threshold))
-                    at, kept = 0, []
-                    for s, e in spans:
-                        if s >= at:
-                            kept += [text[at:s], mark]
-                        at = max(at, e)
-                    text = "".join((*kept, text[at:])) if spans else text
-                out.append(text)
-            yield part.set_column(place, part.schema.field(place), pa.array(out, part.schema.field(place).type))
+            kind = part.schema.field(place)
+            for lo, hi, blobs in H.batches(part.column(place)):
+                given = part.slice(lo, hi - lo)
+                out = [None if empty else without(blob.decode(), mark, novelty, threshold) for blob, empty in zip(blobs, given.column(place).is_null().to_pylist(), strict=True)]
+                yield given.set_column(place, kind, pa.array(out, kind.type))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def without(text: str, mark: str, novelty: Novelty, threshold: float = NOVEL) -> str:
+    """text with each secret replaced by `mark`; secrets that overlap are one."""
+    spans = base_spans(text)
+    spans = sorted([(s, e) for s, _, e in spans] + novel_spans(text, spans, novelty, threshold))
+    at, kept = 0, []
+    for s, e in spans:
+        if s >= at:
+            kept += [text[at:s], mark]
+        at = max(at, e)
+    return "".join((*kept, text[at:])) if spans else text
