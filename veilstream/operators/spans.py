@@ -6,6 +6,9 @@ characters), never as all pairs.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,23 +152,49 @@ def apply_review(base: DataFrame, accepted_removals: DataFrame, accepted: DataFr
     return kept.unionByName(new, allowMissingColumns=True).orderBy("doc_id", "start", "end").select(*base.columns)
 
 
+def _placed(spans: DataFrame, docs: DataFrame, place) -> DataFrame:
+    """spans moved to place(body, text, start, end), a start and end, or dropped where that is None. A text is brought to all of its spans at once."""
+    names = [c for c in spans.columns if c != "doc_id"]
+    groups = spans.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("s"))
+    texts = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("body"))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for i in range(part.num_rows):
+                body, rows = part.column(1)[i].as_py() or "", pa.RecordBatch.from_struct_array(part.column(2)[i].values)
+                cells = zip(*(rows[c].to_pylist() for c in ("text", "start", "end")), strict=True)
+                at = [place(body, *c) if None not in c else None for c in cells]
+                keep = pa.array([a is not None for a in at])
+                moved = {c: pa.array([a[k] if a else None for a in at], pa.int32()) for k, c in enumerate(("start", "end"))}
+                cols = [moved.get(n, rows[n]) for n in names]
+                head = pa.array([part.column(0)[i].as_py()] * rows.num_rows, part.schema.field(0).type)
+                yield pa.RecordBatch.from_arrays([head, *cols], names=["doc_id", *names]).filter(keep)
+
+    kinds = {f.name: f.dataType.simpleString() for f in spans.schema}
+    shape = ", ".join(f"`{n}` {'int' if n in ('start', 'end') else kinds[n]}" for n in ("doc_id", *names))
+    return groups.join(texts, "doc_id").select("doc_id", "body", "s").mapInArrow(run, shape).select(*spans.columns)
+
+
+def _found(body: str, value: str, start: int, end: int) -> tuple[int, int] | None:
+    at = start if 0 <= start and body[start:end] == value else body.find(value)
+    return (at, at + len(value)) if value and at >= 0 else None
+
+
 def realign(spans: DataFrame, docs: DataFrame) -> DataFrame:
     """A model's spans put where their text is: at their offsets, else at its first occurrence; else they are dropped."""
-    rows = spans.join(docs.select("doc_id", F.col("text").alias("_body")), "doc_id")
-    fits = F.substring("_body", F.col("start") + 1, F.col("end") - F.col("start")) == F.col("text")
-    at = F.when(fits, F.col("start")).otherwise(F.position("text", "_body") - 1)
-    rows = rows.withColumn("_at", F.when(F.col("text") != "", at)).where("_at >= 0")
-    return rows.withColumns({"start": F.col("_at").cast("int"), "end": (F.col("_at") + F.char_length("text")).cast("int")}).select(*spans.columns)
+    return _placed(spans, docs, _found)
 
 
 def refit(spans: DataFrame, docs: DataFrame, reach: int = 24) -> DataFrame:
     """Spans moved to the only occurrence of their text within `reach` characters; where there is none or several they stay."""
-    rows = spans.join(docs.select("doc_id", F.col("text").alias("_body")), "doc_id")
-    window = text.around(F.col("_body"), F.col("start"), F.col("end"), reach)
-    lengths = F.transform(F.split(window, text.quote_pattern(F.col("text")), -1), lambda p: F.char_length(p))
-    at = F.when(F.size(lengths) == 2, F.greatest(F.col("start") - reach, F.lit(0)) + lengths[0]).otherwise(F.col("start"))
-    rows = rows.withColumn("_at", at.cast("int")).withColumn("end", (F.col("_at") + F.col("end") - F.col("start")).cast("int"))
-    return rows.withColumn("start", F.col("_at")).select(*spans.columns)
+
+    def near(body: str, value: str, start: int, end: int) -> tuple[int, int]:
+        low = max(0, start - reach)
+        window = body[low : end + reach]
+        at = low + window.find(value) if value and window.count(value) == 1 else start
+        return at, at + end - start
+
+    return _placed(spans, docs, near)
 
 
 def offsets_before(spans: DataFrame, points: DataFrame) -> DataFrame:

@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilstream.functions import checksums
+from veilstream.functions import checksums, fixed
 from veilstream.operators import analytics, audit, chunks, diff, evaluate, filters, models, pipeline, policy, recognize, registry, restore, spans, stores
+from veilstream.plans import golden
 from veilstream.sources import documents as sources
 from veilstream.sources.tables import settled
 
@@ -230,9 +231,19 @@ def adjacent_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.merge_adjacent_persons(item_spans(spark, sf_dir)).select("doc_id", "start", "end", F.char_length("text").alias("length"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_ITEMS},
+    o AS (SELECT doc_id, s, e + 10 AS e, (l_suppkey % 10) / 10 AS score, ['MON', 'PER', 'ORG', 'LOC'][e % 4 + 1] AS t, [90, 50, 45, 30][e % 4 + 1] AS p FROM i),
+    n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, score DESC, e DESC, t) AS n, {{'s': s, 'e': e, 'score': score, 't': t, 'p': p}} AS x FROM o),
+    f AS (SELECT doc_id, n, [x] AS kept FROM n WHERE n = 1 UNION ALL
+      SELECT n.doc_id, n.n, CASE WHEN n.s >= kept[-1].e THEN list_append(kept, x)
+        WHEN n.p > kept[-1].p OR (n.p = kept[-1].p AND ((n.score >= 0.9) > (kept[-1].score >= 0.9) OR ((n.score >= 0.9) = (kept[-1].score >= 0.9) AND (n.score > kept[-1].score OR (n.score = kept[-1].score AND n.e - n.s > kept[-1].e - kept[-1].s)))))
+        THEN list_append(kept[:-2], x) ELSE kept END FROM f JOIN n ON n.doc_id = f.doc_id AND n.n = f.n + 1),
+    r AS (SELECT doc_id, unnest(arg_max(kept, n)) AS k FROM f GROUP BY doc_id)
+    SELECT doc_id, k.s AS start, k.e AS "end", k.t AS entity_type, k.score AS score FROM r"""
+)
 def overlap_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans twice as long as the distance of their starts; a fold that SQL cannot say shortly, tested against brute force."""
+    """Spans twice as long as the distance of their starts."""
     kinds = F.element_at(F.array(*map(F.lit, ("MON", "PER", "ORG", "LOC"))), (F.col("end") % 4 + 1).cast("int"))
     rows = item_spans(spark, sf_dir).withColumn("entity_type", kinds).withColumn("end", F.col("end") + 10)
     return spans.resolve_overlaps(rows).select("doc_id", "start", "end", "entity_type", "score")
@@ -540,11 +551,91 @@ def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.realign(models.answer_spans(answered), docs).select("doc_id", "entity_type", "text", "start")
 
 
-@query("SELECT o_orderkey AS doc_id, CASE o_orderkey % 4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false ELSE false END AS stop FROM orders")
+STOP_VALUES = tuple(dict.fromkeys((*fixed.FIELDS, *fixed.PRODUCTS, *fixed.POSITIONS, *fixed.ROLES, *fixed.ROLE_PHRASES, *fixed.NO_ORGANIZATIONS, *fixed.NO_PLACES, "сотрудниками бюро", "заявки заказчика", "генерального директора", *golden.NAMES)))
+_in = lambda words: "(" + ", ".join("'" + w + "'" for w in words) + ")"
+_LABELS = (*filters.ROLES, *fixed.POSITIONS, *fixed.FIELDS)
+
+
+@query(
+    f"""WITH v AS (SELECT unnest([{", ".join("'" + v + "'" for v in STOP_VALUES)}]) AS text, unnest(range({len(STOP_VALUES)})) AS i),
+    r AS (SELECT o_orderkey AS doc_id, text, ['PER', 'ORG', 'LOC'][o_orderkey // {len(STOP_VALUES)} % 3 + 1] AS entity_type FROM orders JOIN v ON o_orderkey % {len(STOP_VALUES)} = i),
+    t AS (SELECT *, regexp_replace(lower(text), '[:;,.!?-]+$', '') AS v FROM r), u AS (SELECT *, regexp_extract_all(replace(v, 'ё', 'е'), '[а-яёa-z]+') AS parts FROM t)
+    SELECT doc_id, entity_type, text, length(v) <= 2 OR v IN {_in((*_LABELS, *fixed.PRODUCTS))} OR replace(v, 'ё', 'е') IN {_in(_LABELS)} OR text = 'генерального директора'
+      OR (len(parts) >= 2 AND list_bool_and(list_transform(parts, lambda x: x IN {_in(_LABELS)})))
+      OR (entity_type <> 'ORG' AND len(parts) > 0 AND list_bool_and(list_transform(parts, lambda x: regexp_matches(x, '^(?:{"|".join(fixed.PERSON_PLACE_ROOTS)})'))))
+      OR (entity_type = 'ORG' AND (v IN {_in(fixed.NO_ORGANIZATIONS)} OR v LIKE 'выписка %')) OR (entity_type = 'LOC' AND v IN {_in(fixed.NO_PLACES)}) AS stop FROM u"""
+)
 def stop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    value = F.element_at(F.array(*map(F.lit, ("Поставщик/Подрядчика:", "Генерального директора", "Вектор", "Петров Иван"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), value.alias("text"), F.lit("PER").alias("entity_type"))
-    return filters.flag_stopwords(rows).select("doc_id", "stop")
+    """Each stop word and some names, as a person, an organization and a place."""
+    n = len(STOP_VALUES)
+    value = F.element_at(F.array(*map(F.lit, STOP_VALUES)), (F.col("o_orderkey") % n + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, ("PER", "ORG", "LOC"))), (F.floor(F.col("o_orderkey") / n) % 3 + 1).cast("int"))
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), value.alias("text"), kind.alias("entity_type"))
+    return filters.flag_stopwords(rows).select("doc_id", "entity_type", "text", "stop")
+
+
+def golden_texts(spark: SparkSession, sf_dir: str, marked: tuple[str, ...]) -> DataFrame:
+    """One of the texts for each customer."""
+    pick = F.element_at(F.array(*[F.lit(golden.text(m)) for m in marked]), (F.col("c_custkey") % len(marked) + 1).cast("int"))
+    return read(spark, sf_dir, "customer").repartition(spark.sparkContext.defaultParallelism).select(F.col("c_custkey").alias("doc_id"), pick.alias("text"))
+
+
+def _golden_sql(marked: tuple[str, ...]) -> str:
+    rows = ", ".join(f"({i}, '{kind}', '{value}', {start})" for i, m in enumerate(marked) for kind, value, start in golden.spans(m))
+    return f"SELECT c_custkey AS doc_id, entity_type, text, start FROM customer JOIN (VALUES {rows}) AS g(i, entity_type, text, start) ON c_custkey % {len(marked)} = i"
+
+
+@query(_golden_sql(golden.MARKED))
+def golden_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every recognizer on whole contracts, extracts, policies and notes: all marked spans and no others."""
+    return pipeline.analyze(golden_texts(spark, sf_dir, golden.MARKED)).select("doc_id", "entity_type", "text", "start")
+
+
+@query(_golden_sql((golden.LAYERS,)))
+def golden_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's spans beside the patterns', with wrong offsets; labels, currencies, durations, products and places behind phones go."""
+    docs = golden_texts(spark, sf_dir, (golden.LAYERS,))
+    given = F.array(*[F.struct(F.lit(v).alias("text"), F.lit(k).alias("entity_type")) for k, v in golden.EXTRA])
+    extra = docs.select("doc_id", F.inline(given)).select("doc_id", "text", "entity_type", F.lit(0).alias("start"), F.lit(1).alias("end"), F.lit(0.8).alias("score"), F.lit("ner").alias("source_layer"), F.lit("model").alias("recognizer"))
+    return pipeline.analyze(docs, extra=extra).select("doc_id", "entity_type", "text", "start")
+
+
+POLICY_CASES = (
+    # text, value, type, recognizer, action, reason
+    ("Письмо", "Заказчик", "PER", "", "ignore", "stopword"),
+    ("Письмо", "aria", "ORG", "", "ignore", "stopword"),
+    ("Письмо", "реклама", "ORG", "", "ignore", "public_service_or_product"),
+    ("звонить 8 800 123-45-67", "8 800 123-45-67", "RU_PHONE", "", "ignore", "public_support_phone"),
+    ("Письмо", "a@b.ru", "EMAIL_ADDRESS", "", "auto", "structured_type"),
+    ("Письмо", "Инструменты", "ORG", "", "ignore", "generic_org_descriptor"),
+    ("от ООО «Вектор Плюс» всем", "ООО «Вектор Плюс»", "ORG", "", "auto", "strong_organization_signal"),
+    ("by Acme Ltd.", "Acme Ltd.", "ORG", "English Legal Entity Recognizer", "auto", "strong_organization_signal"),
+    ("Адвокатское бюро «Ковалёв»", "Адвокатское бюро «Ковалёв»", "ORG", "", "auto", "strong_organization_signal"),
+    ("полис ДМС Вектор", "Вектор", "ORG", "", "ignore", "weak_org_in_public_or_policy_text"),
+    ("Письмо от ООО", "ООО банк", "ORG", "", "review", "legal_form_without_distinctive_tail"),
+    ("Письмо", "Вектор", "ORG", "", "review", "weak_organization_candidate"),
+    ("Письмо", "Памяткой", "PER", "", "ignore", "stopword"),
+    ("Письмо", "Медицинск", "PER", "", "ignore", "stopword"),
+    ("Письмо", "Настоящий", "PER", "", "ignore", "generic_person_descriptor"),
+    ("Письмо", "Петров Иван", "PER", "", "auto", "fio_shape"),
+    ("директор: Кузьма", "Кузьма", "PER", "", "auto", "person_context"),
+    ("полис и Пульсар", "Пульсар", "PER", "", "ignore", "weak_single_token_person"),
+    ("Письмо Пульсару", "Пульсару", "PER", "", "auto", "person_model_candidate"),
+    ("Письмо", "Настоящем", "LOC", "", "ignore", "generic_location_descriptor"),
+    ("8 (916) 123-45-67 Омск", "Омск", "LOC", "", "ignore", "phone_routing_location"),
+    ("полис ДМС, Омск", "Омск", "LOC", "", "ignore", "weak_location_in_public_or_policy_text"),
+    ("город Омск", "Омск", "LOC", "", "auto", "location_model_candidate"),
+    ("Письмо", "Главный инженер", "POSITION", "", "review", "position_review_only"),
+    ("Письмо", "код Х", "SECRET_KIND", "", "review", "unknown_type_review_only"),
+)
+
+
+@query(f"SELECT o_orderkey AS doc_id, action, reason FROM orders JOIN (VALUES {', '.join(f"({i}, '{c[4]}', '{c[5]}')" for i, c in enumerate(POLICY_CASES))}) AS p(i, action, reason) ON o_orderkey % {len(POLICY_CASES)} = i")
+def policy_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule of the policy that a span may come to."""
+    cases = F.array(*[F.struct(F.lit(b).alias("body"), F.lit(v).alias("text"), F.lit(k).alias("entity_type"), F.lit(r).alias("recognizer"), F.lit(max(b.find(v), 0)).alias("start"), F.lit(max(b.find(v), 0) + len(v)).alias("end")) for b, v, k, r, *_ in POLICY_CASES])
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.element_at(cases, (F.col("o_orderkey") % len(POLICY_CASES) + 1).cast("int")).alias("c")).select("doc_id", "c.*")
+    return policy.decide(rows).select("doc_id", F.col("policy_action").alias("action"), F.col("policy_reason").alias("reason"))
 
 
 @query("SELECT o_orderkey AS doc_id, 'tax 500 of 500 000, ' || CASE WHEN o_orderkey % 2 = 0 THEN '[NAME_1]' ELSE 'nobody' END AS text, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS applied FROM orders")
