@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilstream.sources.tables import settled
+
 
 def date_range(since: dt.date | None, until: dt.date | None, days: int, today: dt.date) -> tuple[dt.datetime, dt.datetime]:
     """First and last instant: the last `days` days where nothing is given; ends in the wrong order are swapped."""
@@ -43,10 +45,36 @@ def top(rows: DataFrame, column: str, k: int) -> DataFrame:
     return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column).limit(k)
 
 
-def percentiles(rows: DataFrame, column: str) -> DataFrame:
-    """p50, p95, p99: linear interpolation, rounded half to even; 0 without values."""
-    got = rows.agg(F.percentile(F.col(column).cast("double"), F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("p"))
-    return got.select(*[F.coalesce(F.bround(F.get("p", F.lit(i)), 0).cast("long"), F.lit(0)).alias(n) for i, n in enumerate(("p50", "p95", "p99"))])
+def ranks(rows: DataFrame, column: str) -> DataFrame:
+    """(value, rank, n): a column's values but for nulls, their rank from 0 and their number.
+
+    Values are sorted over all partitions, and a value's rank is its place in its partition behind the sizes of those
+    before: no task and no buffer holds all of them. The table of sizes has a row for each partition.
+    """
+    values = rows.select(F.col(column).cast("double").alias("value")).where("value is not null")
+    order = settled(values.orderBy("value").select("value", F.monotonically_increasing_id().alias("_i"))).withColumn("_p", F.shiftright("_i", 33))
+    sizes = order.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("n"))
+    return order.join(F.broadcast(starts), "_p").select("value", (F.col("_from") + F.col("_i").bitwiseAND(F.lit(2**33 - 1))).alias("rank"), "n")
+
+
+def at_place(place: Column) -> Column:
+    """An aggregate of ranks(): the value at a place between ranks, by linear interpolation."""
+    low = F.floor(place)
+    here = lambda r: F.max(F.when(F.col("rank") == r, F.col("value")))
+    share = F.max(place - low)
+    return here(low) + F.when(share > 0, (here(low + 1) - here(low)) * share).otherwise(F.lit(0.0))
+
+
+def percentiles(rows: DataFrame, column: str, approximate: bool = False) -> DataFrame:
+    """p50, p95, p99: linear interpolation, rounded half to even; 0 without values. Approximate ones need no sort."""
+    names = (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))
+    if approximate:
+        got = rows.agg(*[F.percentile_approx(F.col(column).cast("double"), p).alias(n) for n, p in names])
+    else:
+        got = ranks(rows, column).agg(*[at_place(p * (F.col("n") - 1)).alias(n) for n, p in names])
+    return got.select(*[F.coalesce(F.bround(n, 0).cast("long"), F.lit(0)).alias(n) for n, _ in names])
 
 
 def error_rate(status: Column) -> Column:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,13 +55,42 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(length > 0, dot(a, b) / length).otherwise(F.lit(0.0))
 
 
-def top_chunks(queries: DataFrame, chunks: DataFrame, k: int = 3) -> DataFrame:
+def top_chunks(queries: DataFrame, chunks: DataFrame, k: int = 3, block: int = 4096) -> DataFrame:
     """(query_id, chunk_id, similarity, rank): the k chunks most like each query, best first, ties by chunk_id.
 
-    queries (query_id, vector) are a stated set, read against all chunks (chunk_id, vector). The rank's limit is applied
-    in each partition before rows are shuffled by query, so k rows a query and partition are compared.
+    queries (query_id, vector) are a stated set, read against all chunks (chunk_id, vector) in blocks of about `block`
+    queries, which are sent to the tasks one block after another. A task multiplies matrices and hands on, for each query,
+    what may be among the k best of its rows. Rows without a vector are left out.
     """
-    q = queries.select("query_id", F.col("vector").alias("qv"))
-    scored = chunks.crossJoin(q).select("query_id", "chunk_id", cosine(F.col("qv"), F.col("vector")).alias("similarity"))
+    asked = queries.where("vector is not null").select("query_id", "vector")
+    blocks = max(1, -(-asked.count() // block))
+    kinds = {c: dict(df.dtypes)[c] for c, df in (("query_id", queries), ("chunk_id", chunks))}
+    parts = [_near(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), chunks, k, kinds) for b in range(blocks)]
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return reduce(DataFrame.union, parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _unit(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Rows of unit length; those without length stay zero."""
+    rows = np.array(vectors.to_pylist(), np.float64).reshape(len(vectors), -1)
+    length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
+
+
+def _near(asked: DataFrame, chunks: DataFrame, k: int, kinds: dict[str, str]) -> DataFrame:
+    got = asked.toArrow()
+    sent = asked.sparkSession.sparkContext.broadcast((got["query_id"].combine_chunks(), _unit(got["vector"])))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = sent.value
+        least = np.full(len(q), -np.inf)  # of each query a similarity that k rows reach
+        for part in parts:
+            for lo in range(0, part.num_rows if len(q) else 0, 1000):
+                p = part.slice(lo, 1000)
+                like = q @ _unit(p.column(1)).T
+                if p.num_rows >= k:
+                    least = np.maximum(least, np.partition(like, p.num_rows - k, axis=1)[:, p.num_rows - k])
+                row, col = np.nonzero(like >= least[:, None])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), p.column(0).take(pa.array(col)), pa.array(like[row, col])], names=["query_id", "chunk_id", "similarity"])
+
+    return chunks.where("vector is not null").select("chunk_id", "vector").mapInArrow(run, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, similarity double")

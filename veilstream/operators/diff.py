@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 
 import numpy as np
 import pandas as pd
@@ -27,23 +28,38 @@ def _longest(a: list[str], b: list[str]) -> list[tuple[str, str]]:
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    table = np.zeros((len(x) + 1, len(y) + 1), np.int32)
     ids: dict[str, int] = {}
     cx, cy = (np.array([ids.setdefault(t, len(ids)) for t in s], np.int64) for s in (x, y))
+
+    def row_after(row: np.ndarray, i: int) -> np.ndarray:
+        out = np.zeros_like(row)
+        np.maximum.accumulate(np.maximum(row[1:], np.where(cy == cx[i - 1], row[:-1] + 1, 0)), out=out[1:])
+        return out
+
+    # of the table of lengths every apart-th row is kept; the rows between are worked out again where the way back passes
+    apart = max(1, math.isqrt(len(x)))
+    row = np.zeros(len(y) + 1, np.int32)
+    kept = [row]
     for i in range(1, len(x) + 1):
-        best = np.maximum(table[i - 1, 1:], np.where(cy == cx[i - 1], table[i - 1, :-1] + 1, 0))
-        table[i, 1:] = np.maximum.accumulate(best)
+        row = row_after(row, i)
+        if i % apart == 0:
+            kept.append(row)
     i, j, steps = len(x), len(y), []
     while i or j:
-        if i and j and x[i - 1] == y[j - 1]:
-            steps.append(("equal", x[i - 1]))
-            i, j = i - 1, j - 1
-        elif i and (not j or table[i - 1, j] >= table[i, j - 1]):
-            steps.append(("del", x[i - 1]))
-            i -= 1
-        else:
-            steps.append(("ins", y[j - 1]))
-            j -= 1
+        base = max(i - 1, 0) // apart * apart
+        table = [kept[base // apart]]
+        for k in range(base + 1, i + 1):
+            table.append(row_after(table[-1], k))
+        while i > base or (i == 0 and j):
+            if i and j and x[i - 1] == y[j - 1]:
+                steps.append(("equal", x[i - 1]))
+                i, j = i - 1, j - 1
+            elif i and (not j or table[i - 1 - base][j] >= table[i - base][j - 1]):
+                steps.append(("del", x[i - 1]))
+                i -= 1
+            else:
+                steps.append(("ins", y[j - 1]))
+                j -= 1
     return [("equal", t) for t in a[:head]] + steps[::-1] + [("equal", t) for t in a[len(a) - tail :]]
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilstream.operators.analytics import at_place, ranks
+
 
 def match_key(text: Column) -> Column:
     return F.lower(F.btrim(F.regexp_replace(F.btrim(text), r"[:;,.!?-]+\z", "")))
@@ -41,17 +43,9 @@ def document_f1(counts: DataFrame) -> DataFrame:
 
 def latencies(docs: DataFrame, column: str) -> DataFrame:
     """Median, p95 and p99. Quantiles are exclusive (n + 1 divisions); with under 20 (100) values they are the greatest one."""
-    x = F.array_sort(F.collect_list(F.col(column).cast("double")))
-
-    def exclusive(p: float) -> Column:
-        place = p * (F.size("x") + 1)
-        low = F.floor(place).cast("int")
-        a, b = F.element_at("x", low), F.element_at("x", F.least(low + 1, F.size("x")))
-        return a + (b - a) * (place - low)
-
-    top = F.element_at("x", -1)
-    rows = docs.agg(x.alias("x"), F.median(column).alias("p50"))
-    return rows.select("p50", F.when(F.size("x") >= 20, exclusive(0.95)).otherwise(top).alias("p95"), F.when(F.size("x") >= 100, exclusive(0.99)).otherwise(top).alias("p99"))
+    n, top = F.max("n"), F.max("value")
+    exclusive = lambda p: at_place(F.least(p * (F.col("n") + 1) - 1, F.col("n") - 1.0))
+    return ranks(docs, column).agg(at_place(0.5 * (F.col("n") - 1)).alias("p50"), F.when(n >= 20, exclusive(0.95)).otherwise(top).alias("p95"), F.when(n >= 100, exclusive(0.99)).otherwise(top).alias("p99"))
 
 
 def compare_runs(runs: list[tuple[str, DataFrame]], key: str, value: str) -> DataFrame:
@@ -85,3 +79,25 @@ def corpus_summary(spans: DataFrame, docs: DataFrame, round_trips: DataFrame) ->
     n = spans.agg(F.count(F.lit(1)).alias("spans"))
     one = lambda df: df.withColumn("_1", F.lit(1))
     return reduce(lambda a, b: a.join(one(b), "_1"), [n, exact, by("entity_type"), by("source_layer")], one(total)).drop("_1")
+
+
+def document_rows(docs: DataFrame, spans: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """A row for each document: characters, spans, spans by type and by layer, and with counts (compare()) its rates."""
+    by = lambda c: spans.groupBy("doc_id", c).count().groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(c, "count")))).alias(f"by_{c}"), F.sum("count").alias("spans"))
+    rows = docs.select("doc_id", F.char_length("text").alias("characters")).join(by("entity_type"), "doc_id", "left").join(by("source_layer").drop("spans"), "doc_id", "left")
+    rows = rows.withColumn("spans", F.coalesce("spans", F.lit(0)))
+    return rows if counts is None else rows.join(document_f1(counts).withColumnRenamed("doc", "doc_id"), "doc_id", "left")
+
+
+def markdown(row: DataFrame, title: str) -> DataFrame:
+    """(value): the columns of a one-row table (corpus_summary()) as a Markdown table, one string."""
+    shown = lambda c, t: F.to_json(c) if t.startswith(("map", "array", "struct")) else F.coalesce(F.col(c).cast("string"), F.lit(""))
+    lines = [F.concat(F.lit(f"| {c} | "), F.coalesce(shown(c, t), F.lit("")), F.lit(" |")) for c, t in row.dtypes]
+    return row.select(F.concat_ws("\n", F.lit(f"# {title}\n\n| measure | value |\n|---|---|"), *lines).alias("value"))
+
+
+def write_results(rows: DataFrame, summary: DataFrame, path: str, title: str = "Results") -> None:
+    """Rows as JSON lines under path/documents, and the one-row summary as JSON and as Markdown beside them."""
+    rows.write.mode("overwrite").json(f"{path}/documents")
+    summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+    markdown(summary, title).coalesce(1).write.mode("overwrite").text(f"{path}/report")

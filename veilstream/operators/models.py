@@ -55,8 +55,12 @@ def model_spans(docs: DataFrame, model: SpanModel | None, threshold: float = 0.5
     return from_model(docs.select("doc_id", "text").mapInPandas(model, "doc_id long, text string, label string, start int, end int, score double"), threshold)
 
 
-def answers(prompts: DataFrame, model: TextModel, tries: int = 6, wait: float = 5.0) -> DataFrame:
-    """(doc_id, answer) for prompts (doc_id, prompt); a batch that fails is tried again, then answered by null."""
+def answers(prompts: DataFrame, model: TextModel, tries: int = 6, wait: float = 5.0, most: int | None = MOST_CHARS) -> DataFrame:
+    """(doc_id, answer) for prompts (doc_id, prompt); a batch that fails is tried again, then answered by null.
+
+    A prompt is cut to `most` characters (None: not cut); to ask about all of a long text, give a prompt for each chunk
+    (chunks.chunk).
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import time
@@ -72,7 +76,15 @@ def answers(prompts: DataFrame, model: TextModel, tries: int = 6, wait: float =
             else:
                 yield batch[["doc_id"]].assign(answer=None)
 
-    return prompts.select("doc_id", F.substring("prompt", 1, MOST_CHARS).alias("prompt")).mapInPandas(run, "doc_id long, answer string")
+    return prompts.select("doc_id", F.col("prompt") if most is None else F.substring("prompt", 1, most).alias("prompt")).mapInPandas(run, "doc_id long, answer string")
+
+
+def gathered(parts: DataFrame) -> DataFrame:
+    """(request_id, n, whole) of stored parts (request_id, seq, kind, content) of answers, as the stream operator gives them: texts up to the first `done`; without one, whole is null."""
+    ends = F.min(F.when(F.col("kind").isin("done", "error"), F.struct("seq", "kind")))
+    rows = parts.groupBy("request_id").agg(ends.alias("end"), F.array_sort(F.collect_list(F.when(F.col("kind") == "text", F.struct("seq", F.coalesce("content", F.lit("")).alias("content"))))).alias("t"))
+    texts = F.filter("t", lambda x: F.col("end").isNull() | (x["seq"] < F.col("end.seq")))
+    return rows.select("request_id", F.size(texts).cast("long").alias("n"), F.when(F.col("end.kind") == "done", F.array_join(F.transform(texts, lambda x: x["content"]), "")).alias("whole"))
 
 
 def llm_type(raw: Column) -> Column:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,11 +19,21 @@ from veilstream.functions import fixed, text
 FUZZY_TYPES = ("PER", "ORG", "LOC", "ADDR")
 
 
-def canonical(value: Column, kind: Column, language: str = "ru", whole_words: bool = True) -> Column:
-    """The value under which mentions are one entity. Organizations lose their legal form (as whole words, or anywhere) and quotes."""
+def canonical(value: Column, kind: Column, language: str = "ru", whole_words: bool = True, lemma: Callable[[Column], Column] | None = None) -> Column:
+    """The value under which mentions are one entity. Organizations lose their legal form (as whole words, or anywhere) and quotes.
+
+    lemma: from a word to its dictionary form, as a column expression (a Pandas UDF, say); the words of persons go
+    through it, so that declined forms of a name are one entity.
+    """
     plain = text.collapse(F.lower(text.strip(value)))
     if language != "ru":
         return plain
+    if lemma is not None:
+        words = F.split(plain, " ")
+        most = 6  # words of a name that are looked up one by one; a UDF cannot stand inside of transform()
+        each = [F.when(F.size(words) > i, lemma(F.coalesce(F.get(words, F.lit(i)), F.lit("")))) for i in range(most)]
+        rest = F.when(F.size(words) > most, F.array_join(F.slice(words, most + 1, 1000), " "))
+        plain = F.when(kind == "PER", F.concat_ws(" ", *each, rest)).otherwise(plain)
     edge = ("(?<![\\p{L}\\p{N}])", "(?![\\p{L}\\p{N}])") if whole_words else ("", "")
     forms = "(?U)" + edge[0] + "(?:" + "|".join(fixed.LEGAL_FORMS_REMOVED) + ")" + edge[1]
     org = text.collapse(text.strip(F.regexp_replace(F.regexp_replace(plain, forms, ""), "[«»\"'“”]", "")))
@@ -57,14 +68,15 @@ def _close(a: str, b: str, most: int) -> bool:
 def _fold(fuzzy_types: tuple[str, ...] | None):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         """Distinct values in order; each joins the first earlier entity of its type that is close enough."""
-        entities: list[tuple[int, str, str]] = []
+        entities: dict[tuple[str, int], list[tuple[int, str]]] = {}  # by type and length, as only like lengths are close
         out = []
-        for ord_, value, kind in group.sort_values("ord")[["ord", "canonical", "entity_type"]].itertuples(index=False):
+        for n, (value, kind) in enumerate(group.sort_values("ord")[["canonical", "entity_type"]].itertuples(index=False)):
             most = min(len(value) // 4, 4) if fuzzy_types is None or kind in fuzzy_types else 0
-            hit = next((e for e in entities if most and e[2] == kind and _close(value, e[1], most)), None)
+            near = [next((e for e in entities.get((kind, k), ()) if _close(value, e[1], most)), None) for k in range(len(value) - most, len(value) + most + 1)] if most else []
+            hit = min((e for e in near if e), default=None)
             if hit is None:
-                hit = (ord_, value, kind)
-                entities.append(hit)
+                hit = (n, value)
+                entities.setdefault((kind, len(value)), []).append(hit)
             out.append(hit)
         done = group.sort_values("ord").reset_index(drop=True)
         done["entity"] = [e[1] for e in out]
@@ -73,14 +85,14 @@ def _fold(fuzzy_types: tuple[str, ...] | None):
     return run
 
 
-def placeholders(spans: DataFrame, language: str = "ru", numbering: str = "reverse", fuzzy: bool = False, legacy_fuzzy: bool = False, strict_types: bool = False) -> tuple[DataFrame, DataFrame]:
+def placeholders(spans: DataFrame, language: str = "ru", numbering: str = "reverse", fuzzy: bool = False, legacy_fuzzy: bool = False, strict_types: bool = False, lemma: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """spans (session_id, doc_id, ...) with `placeholder`, and the mapping.
 
     Entities are numbered per session and label in the order in which they are first met, from the end of the texts or
     from the start. Types share an entity of equal canonical value unless strict_types. Exact values are resolved by
     grouping; with fuzzy, a session's distinct values (not its mentions) go through one ordered pass.
     """
-    rows = spans.withColumn("canonical", canonical(F.col("text"), F.col("entity_type"), language))
+    rows = spans.withColumn("canonical", canonical(F.col("text"), F.col("entity_type"), language, lemma=lemma))
     sign = -1 if numbering == "reverse" else 1
     rows = rows.withColumn("ord", F.struct((sign * F.col("doc_id")).alias("d"), (sign * F.col("start")).alias("s")))
     key = ["session_id", "canonical", *(["entity_type"] if strict_types else [])]
@@ -136,6 +148,16 @@ def substitute_by_value(docs: DataFrame, values: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.coalesce("done.text", "text").alias("text"), F.coalesce("done.applied", F.lit(0)).alias("applied"), (F.coalesce(F.size("v"), F.lit(0)) - F.coalesce("done.applied", F.lit(0))).alias("skipped"))
 
 
+def entries(mapping: DataFrame) -> DataFrame:
+    """(session_id, form, placeholder, canonical, entity_type): a row for each form that leads to a placeholder."""
+    return mapping.select("session_id", F.explode(F.array_distinct(F.concat(F.array("canonical"), "original_forms"))).alias("form"), "placeholder", "canonical", "entity_type")
+
+
+def entity_counts(mapping: DataFrame) -> DataFrame:
+    """(session_id, entity_count): distinct placeholders of each session."""
+    return mapping.groupBy("session_id").agg(F.count_distinct("placeholder").alias("entity_count"))
+
+
 def restore_text(texts: DataFrame, mapping: DataFrame) -> DataFrame:
     """(session_id, doc_id, text) with undistorted placeholders replaced by the first original form, else the canonical value."""
     table = mapping.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("placeholder", F.coalesce(F.get("original_forms", F.lit(0)), "canonical")))).alias("m"))

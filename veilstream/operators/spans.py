@@ -197,6 +197,42 @@ def refit(spans: DataFrame, docs: DataFrame, reach: int = 24) -> DataFrame:
     return _placed(spans, docs, near)
 
 
+def claims(texts: DataFrame, values: DataFrame) -> DataFrame:
+    """(doc_id, text, start, end, …) where values (doc_id, text, …) stand in texts (doc_id, text): longest first, each place once.
+
+    A value's occurrences follow each other without overlap; one that overlaps a place claimed before is left out. A
+    text is brought to all of its values at once.
+    """
+    names = [c for c in values.columns if c not in ("doc_id", "start", "end")]
+    groups = values.where("text <> ''").groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("s"))
+    at = names.index("text")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for i in range(part.num_rows):
+                body, given = part.column(1)[i].as_py() or "", part.column(2)[i].values
+                rows = pa.RecordBatch.from_struct_array(given)
+                taken = bytearray(len(body))
+                found = []
+                wanted = rows.column(at).to_pylist()
+                for k in sorted(range(len(wanted)), key=lambda k: (-len(wanted[k]), wanted[k])):
+                    n, place = len(wanted[k]), body.find(wanted[k])
+                    while place >= 0:
+                        if not any(taken[place : place + n]):
+                            taken[place : place + n] = b"\1" * n
+                            found.append((k, place))
+                        place = body.find(wanted[k], place + n)
+                cols = rows.take(pa.array([k for k, _ in found], pa.int64()))
+                start = [p for _, p in found]
+                end = [p + len(wanted[k]) for k, p in found]
+                head = pa.array([part.column(0)[i].as_py()] * len(found), part.schema.field(0).type)
+                yield pa.RecordBatch.from_arrays([head, *cols.columns, pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["doc_id", *names, "start", "end"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in values.schema}
+    shape = ", ".join(f"`{n}` {kinds[n]}" for n in ("doc_id", *names)) + ", start int, end int"
+    return groups.join(texts.select("doc_id", F.col("text").alias("body")), "doc_id").select("doc_id", "body", "s").mapInArrow(run, shape)
+
+
 def offsets_before(spans: DataFrame, points: DataFrame) -> DataFrame:
     """points (doc_id, right_start, right_end) in the substituted text, as left_start and left_end in the source; null where they touch a placeholder.
 

@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilstream.sources.tables import settled
+
 #: Columns of a session that an update never changes.
 FIXED_COLUMNS = ("user_id", "locale", "created_at")
 
@@ -130,6 +132,58 @@ def as_json(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(F.col(key), F.to_json(F.struct(*cols)).alias("json"))
 
 
+def create_session(table: DataFrame, new: DataFrame, now: dt.datetime, models_allowed: bool = True) -> DataFrame:
+    """table with new sessions (user_id, locale): random ids, created now, without a model's layer where models are switched off."""
+    fresh = new.select(F.uuid().alias("session_id"), *new.columns, F.lit(now).alias("created_at"), F.lit(models_allowed).alias("models_allowed"))
+    return table.unionByName(fresh, allowMissingColumns=True)
+
+
+RESULT = "text string, resolved array<struct<placeholder:string,value:string>>, unresolved array<string>"
+RESOLUTIONS = "array<struct<placeholder:string,value:string>>"
+
+
+def stored_results(sessions: DataFrame) -> DataFrame:
+    """sessions with `result` and `resolutions` read from result_json and resolutions_json: null and empty where those are malformed."""
+    result = F.from_json("result_json", RESULT)
+    given = F.filter(F.from_json("resolutions_json", RESOLUTIONS), lambda r: r["placeholder"].isNotNull() & r["value"].isNotNull())
+    return sessions.withColumns({"result": F.when(result["text"].isNotNull(), result), "resolutions": F.coalesce(given, F.array().cast(RESOLUTIONS))})
+
+
+def upload(current: DataFrame, added: DataFrame, mode: str) -> DataFrame:
+    """The files (session_id, n, name, text) of sessions after an upload: added ones in place of, or behind, the present ones."""
+    if mode not in ("replace", "append"):
+        raise ValueError(f"unknown mode: {mode}")
+    if mode == "replace":
+        return current.join(added.select("session_id").distinct(), "session_id", "left_anti").select(*current.columns).unionByName(added)
+    last = current.groupBy("session_id").agg((F.max("n") + 1).alias("_from"))
+    moved = added.join(last, "session_id", "left").withColumn("n", F.col("n") + F.coalesce("_from", F.lit(0)))
+    return current.unionByName(moved.select(*current.columns))
+
+
+def change_users(users: DataFrame, changes: DataFrame, admin: str) -> tuple[DataFrame, DataFrame]:
+    """users after changes (user_id, action, role, is_active, email, display_name), and the refused changes with `error`.
+
+    action is create, update or delete; null values change nothing. An admin cannot disable, demote or delete the own
+    account; unknown users are not updated or deleted and known names not created again. One change a user.
+    """
+    known = users.select(F.col("user_id").alias("_id"), F.lit(True).alias("_known"))
+    own = F.col("user_id") == admin
+    error = (
+        F.when(own & (F.col("action") == "update") & ~F.coalesce("is_active", F.lit(True)), "cannot disable the own account")
+        .when(own & (F.col("action") == "update") & (F.coalesce("role", F.lit("admin")) != "admin"), "cannot give up the own admin role")
+        .when(own & (F.col("action") == "delete"), "cannot delete the own account")
+        .when((F.col("action") == "create") & F.col("_known").isNotNull(), "user exists")
+        .when((F.col("action") != "create") & F.col("_known").isNull(), "no such user")
+    )
+    judged = changes.join(known, F.col("user_id") == F.col("_id"), "left").withColumn("error", error).drop("_id", "_known")
+    good = judged.where("error is null")
+    set_ = good.where("action = 'update'").select("user_id", *[F.col(c).alias(f"_{c}") for c in ("role", "is_active", "email", "display_name")])
+    rows = users.join(good.where("action = 'delete'").select("user_id"), "user_id", "left_anti").join(set_, "user_id", "left")
+    rows = rows.select(*[F.coalesce(f"_{c}", c).alias(c) if c in ("role", "is_active", "email", "display_name") else c for c in users.columns])
+    fresh = good.where("action = 'create'").select(*[c for c in users.columns if c in good.columns]).withColumn("is_active", F.coalesce("is_active", F.lit(True)))
+    return rows.unionByName(fresh, allowMissingColumns=True), judged.where("error is not null")
+
+
 def find_user(users: DataFrame, name: str) -> DataFrame:
     return users.where(F.lower("username") == name.lower())
 
@@ -148,14 +202,11 @@ def sync_directory(users: DataFrame, directory: DataFrame) -> DataFrame:
     return updated.unionByName(added)
 
 
-def members(groups: DataFrame, group: str, most: int = 20) -> DataFrame:
-    """(member): everyone in a group (group, member), through groups in groups."""
+def members(groups: DataFrame, group: str) -> DataFrame:
+    """(member): everyone in a group (group, member), through groups in groups of any depth; circles end."""
     edges = groups.select(F.col("group").alias("g"), F.col("member").alias("m"))
-    found = edges.where(F.col("g") == group).select("m").distinct()
-    new = found
-    for _ in range(most):
-        new = new.select(F.col("m").alias("g")).join(edges, "g").select("m").distinct().join(found, "m", "left_anti")
-        if not new.limit(1).count():
-            break
+    found = new = settled(edges.where(F.col("g") == group).select("m").distinct())
+    while new.limit(1).count():
+        new = settled(new.select(F.col("m").alias("g")).join(edges, "g").select("m").distinct().join(found, "m", "left_anti"))
         found = found.union(new)
     return found.select(F.col("m").alias("member"))

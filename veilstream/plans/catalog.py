@@ -518,6 +518,63 @@ def vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.top_chunks(asked, rows).select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+@query(
+    """WITH c AS (SELECT o_orderkey AS doc_id, o_orderkey % 3 AS k, 'x' || CAST(o_orderkey AS VARCHAR) AS name FROM orders)
+    SELECT doc_id, 'Петров' AS text, 0 AS start FROM c UNION ALL SELECT doc_id, 'Петров А. Н.', 8 FROM c UNION ALL SELECT doc_id, name, 21 FROM c WHERE k = 0"""
+)
+def claimed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where restored values stand in a text, longest first."""
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("x"), F.col("o_orderkey").cast("string")).alias("name"))
+    texts = rows.select("doc_id", F.concat(F.lit("Петров, Петров А. Н. "), F.when(F.col("doc_id") % 3 == 0, F.col("name")).otherwise(F.lit("nobody"))).alias("text"))
+    values = rows.select("doc_id", F.explode(F.array(F.lit("Петров"), F.lit("Петров А. Н."), F.col("name"), F.lit(""))).alias("text"))
+    return spans.claims(texts, values).select("doc_id", "text", "start")
+
+
+_USERS = "u AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'admin' ELSE 'user' END AS role FROM customer WHERE c_custkey % 5 <> 0)"
+
+
+@query(
+    f"""WITH {_USERS} SELECT id AS user_id, CASE WHEN id % 4 = 1 AND id <> 1 THEN 'user' ELSE role END AS role, id % 4 <> 2 AS is_active, id % 4 = 2 AS changed FROM u WHERE id % 4 <> 3
+    UNION ALL SELECT c_custkey, 'user', true, false FROM customer WHERE c_custkey % 5 = 0 AND c_custkey % 2 = 0"""
+)
+def user_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users after an admin's changes: roles, accounts that are disabled, deleted and created; what touches the admin's own account is refused."""
+    key = F.col("c_custkey")
+    rows = read(spark, sf_dir, "customer").select("c_custkey")
+    users = rows.where("c_custkey % 5 <> 0").select(key.alias("user_id"), F.when(key % 3 == 0, "admin").otherwise("user").alias("role"), F.lit(True).alias("is_active"), F.lit("old").alias("email"), F.lit(None).cast("string").alias("display_name"))
+    none = F.lit(None).cast("string")
+    change = lambda test, action, role, active, email: rows.where(test).select(key.alias("user_id"), F.lit(action).alias("action"), role.alias("role"), active.cast("boolean").alias("is_active"), email.alias("email"), none.alias("display_name"))
+    changes = change("c_custkey % 4 = 1 AND c_custkey % 5 <> 0", "update", F.lit("user"), F.lit(None), none)
+    changes = changes.union(change("c_custkey % 4 = 2", "update", none, F.lit(False), F.lit("new"))).union(change("c_custkey % 4 = 3 AND c_custkey % 5 <> 0", "delete", none, F.lit(None), none))
+    changes = changes.union(change("c_custkey % 5 = 0 AND c_custkey % 2 = 0", "create", F.lit("user"), F.lit(True), F.lit("made")))
+    changes = changes.where("NOT (action = 'update' AND user_id % 5 = 0)")
+    out, refused = stores.change_users(users, changes, 1)
+    return out.select("user_id", "role", "is_active", (F.col("email") == "new").alias("changed"))
+
+
+@query(
+    f"""WITH {_ITEMS}, {_HALF} SELECT doc_id, s AS start, 'new' AS kind FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.doc_id = b.doc_id AND a.s < b.e AND b.s < a.e)
+    UNION ALL SELECT doc_id, s, 'gone' FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.doc_id = b.doc_id AND a.s = b.s AND a.e = b.e)"""
+)
+def reviewed_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suggestions and removals side by side, as a second look at a text gives them."""
+    current, found = _halves(spark, sf_dir)
+    new = spans.suggestions(current, found).select("doc_id", "start", F.lit("new").alias("kind"))
+    return new.union(spans.removals(current.withColumn("state", F.lit("pending")), found).select("doc_id", "start", F.lit("gone").alias("kind")))
+
+
+@query("SELECT user_id, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1")
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files appended to those of a session keep their order: numbers are gapless and the last file is the newest."""
+    rows = http_events(spark, sf_dir).select(F.col("user_id").alias("session_id"), "event_id", F.col("event_id").cast("string").alias("name"), F.lit("t").alias("text"))
+    order = Window.partitionBy("session_id").orderBy("event_id")
+    middle = rows.groupBy("session_id").agg(F.avg("event_id").alias("m"))
+    split = rows.join(middle, "session_id")
+    part = lambda test: split.where(test).withColumn("n", F.row_number().over(order) - 1).select("session_id", "n", "name", "text")
+    out = stores.upload(part("event_id <= m"), part("event_id > m"), "append")
+    return out.groupBy("session_id").agg((F.max("n") + 1).cast("long").alias("n"), F.max_by("name", "n").cast("long").alias("last")).withColumnRenamed("session_id", "user_id")
+
+
 @query(
     """WITH t AS (SELECT conv_id, turn, greatest((length(text) + 8) // 3, 1) AS i FROM conversations) SELECT conv_id, turn, i AS input_tokens, CAST(floor(i * 0.3) AS BIGINT) AS output_tokens, CAST(floor(i * 0.5) AS BIGINT) AS thinking_tokens,
     round_even(i / 1000000.0 * 3.0 + floor(i * 0.3) / 1000000.0 * 15.0 + floor(i * 0.5) / 1000000.0 * 15.0, 6) AS total_cost FROM t"""
@@ -530,8 +587,10 @@ def model_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT conv_id, count(*) AS n, sha256(string_agg(text, '' ORDER BY turn)) AS sha FROM conversations GROUP BY 1")
 def gathered_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of a conversation put together in order, as the stream operator does."""
-    rows = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    return rows.select("conv_id", "n", F.sha2(F.array_join(F.col("t.text"), ""), 256).alias("sha"))
+    rows = read(spark, sf_dir, "conversations")
+    parts = rows.select(F.col("conv_id").cast("string").alias("request_id"), F.col("turn").cast("long").alias("seq"), F.lit("text").alias("kind"), F.col("text").alias("content"))
+    ends = rows.select(F.col("conv_id").cast("string").alias("request_id")).distinct().select("request_id", F.lit(2**40).alias("seq"), F.lit("done").alias("kind"), F.lit(None).cast("string").alias("content"))
+    return models.gathered(parts.union(ends)).select(F.col("request_id").cast("long").alias("conv_id"), "n", F.sha2("whole", 256).alias("sha"))
 
 
 @query("SELECT lang AS bundle, sha256(string_agg(trim(text, E' \\t\\r\\n'), E'\\n\\n' ORDER BY doc_id)) AS sha, CAST(sum(n_chars) AS BIGINT) AS page_count FROM documents WHERE length(trim(text, E' \\t\\r\\n')) > 0 GROUP BY 1")

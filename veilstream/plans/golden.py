@@ -75,7 +75,7 @@ EXTRA = (
 #: Names that are no stop words.
 NAMES = (
     "Петров Иван", "Вектор", "Новосибирск", "Северный Ветер", "Громов", "Алмазный край", "Lindqvist", "Приморье", "Адамантов", "Орион Плюс",
-    "Заказчиков Пётр", "Агентство Норд", "Актау", "Договорной Илья", "Контрактов", "Политехник", "Сторонников", "Пультов", "Директоров",
+    "Заказчиков Пётр", "Агентство Норд", "Актау", "Договорной Илья", "Контрактский", "Политехник", "Сторонников", "Пультяков", "Директоров",
 )
 
 MARKED = (CONTRACT, EXTRACT, INSURANCE, POLICY, ENGLISH)

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilstream.functions.text import safe_segment
+
 # Limits of archives and uploads, and where a struck character's line may cross it.
 MOST_ENTRIES, MOST_BYTES, MOST_RATIO = 2000, 250 * 1024 * 1024, 100
 MOST_UPLOAD = 50 * 1024 * 1024
@@ -52,6 +54,20 @@ def _text(p: ElementTree.Element) -> str:
     return "".join(parts[e.tag](e) for e in p.iter() if e.tag in parts)
 
 
+def docx_lines(content: bytes) -> list[str]:
+    """Texts of paragraphs and tables in the order of the document; cells of a table row are joined by |, those of equal text once."""
+    body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml")).find(f"{W}body")
+    out = []
+    for part in body:
+        if part.tag == f"{W}p":
+            out.append(_text(part))
+        elif part.tag == f"{W}tbl":
+            for row in part.findall(f"{W}tr"):
+                cells = ["\n".join(_text(p) for p in cell.findall(f"{W}p")).strip() for cell in row.findall(f"{W}tc")]
+                out.append(" | ".join(c for k, c in enumerate(cells) if c and (not k or c != cells[k - 1])))
+    return [t for t in out if t.strip()]
+
+
 def docx_paragraphs(content: bytes) -> list[tuple[str, str]]:
     """(where, text) of paragraphs: those of the body, then tables row by row with the tables inside them."""
     body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml")).find(f"{W}body")
@@ -102,6 +118,17 @@ def read_documents(spark: SparkSession, path: str | list[str], include_tables: b
     return parsed.select("path", "doc_id", "p.*")
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, text) of DOCX files with paragraphs and tables in the order of the document; null where a file is refused."""
+
+    @F.pandas_udf("string")
+    def parse(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda c: None if archive_error(c) else "\n".join(docx_lines(c)))
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path)
+    return files.select(F.xxhash64("path").alias("doc_id"), parse("content").alias("text"))
+
+
 def paragraphs(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, para_idx, place, text) of each DOCX paragraph, tables included."""
 
@@ -173,11 +200,22 @@ BROKEN_QUOTE = r'(?iu)(\b(?:ООО|ОАО|АО|ПАО|ЗАО)\s+[«"][^»"\n]{1,
 INLINE_LABEL = r"(?iu)\s+((?:Банк|ИНН|ОГРН|КПП|БИК|Адрес|Арендодатель|Арендатор)\s*:)"
 
 
+def _rejoined(texts: pd.Series) -> pd.Series:
+    """Company names that are broken over lines, joined until nothing changes."""
+    name, quote = re.compile(BROKEN_NAME), re.compile(BROKEN_QUOTE)
+
+    def one(text: str | None) -> str | None:
+        before = None
+        while text is not None and text != before:
+            before, text = text, quote.sub(r"\1 ", name.sub(r"\1 \2\3", text))
+        return text
+
+    return texts.map(one)
+
+
 def normal_pdf_text(text: Column) -> Column:
     """Text of a PDF with company names rejoined, labels at line starts, and without trailing blanks and many empty lines."""
-    out = F.regexp_replace(text, r"\r\n?", "\n")
-    for _ in range(3):  # a name is broken over a few lines at most
-        out = F.regexp_replace(F.regexp_replace(out, BROKEN_NAME, "$1 $2$3"), BROKEN_QUOTE, "$1 ")
+    out = F.pandas_udf(_rejoined, "string")(F.regexp_replace(text, r"\r\n?", "\n"))
     for pattern, to in ((INLINE_LABEL, "\n$1"), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n")):
         out = F.regexp_replace(out, pattern, to)
     return out
@@ -268,6 +306,163 @@ def to_docx(docs: DataFrame) -> DataFrame:
     return docs.withColumn("docx", make("text"))
 
 
+def _guarded(old: str) -> re.Pattern:
+    """old itself; where it begins and ends with a digit, only outside of larger numbers."""
+    head, tail = (r"(?<!\d)" if old[0].isdigit() else ""), (r"(?!\s*\d)" if old[-1].isdigit() else "")
+    return re.compile(head + re.escape(old) + tail)
+
+
+def _replace_in_paragraph(p: ElementTree.Element, old: str, new: str, mode: str) -> int:
+    """Replaces old across the runs of a paragraph: what replaces it takes the format of the run where old begins."""
+    done, at = 0, 0
+    while True:
+        runs = [r for r in p.iter(f"{W}r") if r.find(f"{W}t") is not None]
+        pieces = [[t.text or "" for t in r.findall(f"{W}t")] for r in runs]
+        texts = ["".join(x) for x in pieces]
+        hit = _guarded(old).search("".join(texts), at)
+        if hit is None:
+            return done
+        place = 0
+        for i, (run, text) in enumerate(zip(runs, texts, strict=True)):
+            lo, hi = max(hit.start() - place, 0), min(hit.end() - place, len(text))
+            first = place <= hit.start() < place + len(text)
+            if lo < hi:
+                before, after = text[:lo], text[hi:]
+                if first and mode == "highlighted":
+                    _set_text(run, before)
+                    index = _parent(p, run)
+                    marked, tail = _like(run, new, True), _like(run, after, False)
+                    index[0].insert(index[1] + 1, marked)
+                    index[0].insert(index[1] + 2, tail)
+                else:
+                    _set_text(run, before + (new if first else "") + after)
+            place += len(texts[i])
+        done, at = done + 1, hit.start() + len(new)
+        if mode == "first":
+            return done
+
+
+def _parent(p: ElementTree.Element, run: ElementTree.Element) -> tuple[ElementTree.Element, int]:
+    return next((parent, k) for parent in p.iter() for k, child in enumerate(parent) if child is run)
+
+
+def _set_text(run: ElementTree.Element, text: str) -> None:
+    first, *rest = run.findall(f"{W}t")
+    first.text = text
+    first.set("{http://www.w3.org/XML/1998/namespace}space", "preserve")
+    for t in rest:
+        run.remove(t)
+
+
+def _like(run: ElementTree.Element, text: str, marked: bool) -> ElementTree.Element:
+    """A run of the same format with another text."""
+    out = ElementTree.Element(f"{W}r")
+    form = run.find(f"{W}rPr")
+    form = ElementTree.fromstring(ElementTree.tostring(form)) if form is not None else ElementTree.Element(f"{W}rPr")
+    if marked:
+        ElementTree.SubElement(form, f"{W}highlight").set(f"{W}val", "yellow")
+    out.append(form)
+    ElementTree.SubElement(out, f"{W}t")
+    _set_text(out, text)
+    return out
+
+
+REWRITTEN = "content binary, applied int, skipped int"
+
+
+def rewrite_docx(files: DataFrame, values: DataFrame, mode: str = "all") -> DataFrame:
+    """files (doc_id, docx) with each old value of values (doc_id, old, new) replaced in the file itself, and applied and skipped.
+
+    Runs keep their formats. Longest values come first. mode: `all` occurrences, the `first` in each paragraph, or all
+    as `highlighted` runs. Null files and those that are refused stay as they are.
+    """
+    if mode not in ("all", "first", "highlighted"):
+        raise ValueError(f"unknown mode: {mode}")
+    lists = values.where("old <> '' and new <> ''").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct((-F.char_length("old")).alias("n"), "old", "new"))).alias("_v"))
+
+    def one(content: bytes | None, pairs) -> tuple[bytes | None, int, int]:
+        pairs = [] if pairs is None else list(pairs)
+        if content is None or archive_error(content) is not None:
+            return content, 0, len(pairs)
+        out, applied = io.BytesIO(), set()
+        with zipfile.ZipFile(io.BytesIO(content)) as old, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
+            for info in old.infolist():
+                data = old.read(info)
+                if info.filename == "word/document.xml":
+                    for _, (prefix, uri) in ElementTree.iterparse(io.BytesIO(data), events=("start-ns",)):
+                        ElementTree.register_namespace(prefix, uri)
+                    root = ElementTree.fromstring(data)
+                    for k, v in enumerate(pairs):
+                        hits = sum(_replace_in_paragraph(p, v["old"], v["new"], mode) for p in root.iter(f"{W}p"))
+                        if hits:
+                            applied.add(k)
+                    data = ElementTree.tostring(root, encoding="UTF-8", xml_declaration=True)
+                new.writestr(info, data)
+        return out.getvalue(), len(applied), len(pairs) - len(applied)
+
+    @F.pandas_udf(REWRITTEN)
+    def run(contents: pd.Series, pairs: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(None if c is None else bytes(c), v) for c, v in zip(contents, pairs, strict=True)], columns=["content", "applied", "skipped"])
+
+    rows = files.join(lists, "doc_id", "left").withColumn("_w", run("docx", "_v"))
+    return rows.select(*[F.col("_w.content").alias(c) if c == "docx" else c for c in files.columns], F.col("_w.applied").alias("applied"), F.col("_w.skipped").alias("skipped"))
+
+
+def append_docx(files: DataFrame, bundle: str, order: str) -> DataFrame:
+    """(bundle, docx): the bodies of each bundle's files (bundle, order, docx) in one file, a page break between them; its parts are the first file's."""
+
+    def joined(contents: list[bytes]) -> bytes:
+        first, *others = (ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(c)).read("word/document.xml")) for c in contents)
+        body = first.find(f"{W}body")
+        last = body.find(f"{W}sectPr")
+        end = list(body).index(last) if last is not None else len(body)
+        for other in others:
+            breaks = ElementTree.Element(f"{W}p")
+            ElementTree.SubElement(ElementTree.SubElement(breaks, f"{W}r"), f"{W}br").set(f"{W}type", "page")
+            for part in [breaks, *(x for x in other.find(f"{W}body") if x.tag != f"{W}sectPr")]:
+                body.insert(end, part)
+                end += 1
+        out = io.BytesIO()
+        with zipfile.ZipFile(io.BytesIO(contents[0])) as old, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
+            for info in old.infolist():
+                new.writestr(info, ElementTree.tostring(first, encoding="UTF-8", xml_declaration=True) if info.filename == "word/document.xml" else old.read(info))
+        return out.getvalue()
+
+    @F.pandas_udf("binary")
+    def run(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda x: joined([bytes(c) for c in x]))
+
+    rows = files.where("docx is not null").groupBy(bundle).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "docx"))), lambda x: x["docx"]).alias("_d"))
+    return rows.select(bundle, run("_d").alias("docx"))
+
+
+def write_side_files(sessions: DataFrame, path: str) -> None:
+    """Each session's files under path/session_id: metadata and entities as JSON, its DOCX columns as files.
+
+    sessions: session_id, entities_json, binary columns, and others that go into the metadata. Written from the tasks with
+    Arrow's file systems, so path may be remote.
+    """
+    blobs = [c for c, t in sessions.dtypes if t == "binary"]
+    meta = F.to_json(F.struct(*[c for c in sessions.columns if c not in (*blobs, "entities_json")])).alias("_meta")
+    names = {"_meta": "metadata.json", "entities_json": "entities.json", **{b: f"{b}.docx" for b in blobs}}
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        for part in parts:
+            for row in part.to_pylist():
+                folder = f"{root.rstrip('/')}/{row['_id']}"
+                system.create_dir(folder, recursive=True)
+                for column, name in names.items():
+                    if row[column] is not None:
+                        with system.open_output_stream(f"{folder}/{name}") as f:
+                            f.write(row[column] if isinstance(row[column], bytes) else row[column].encode())
+            yield pa.RecordBatch.from_arrays([pa.array([part.num_rows], pa.int64())], names=["n"])
+
+    sessions.select(safe_segment(F.col("session_id")).alias("_id"), meta, "entities_json", *blobs).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 SCRUBBED = ("docProps/thumbnail.jpeg", "docProps/core.xml", "docProps/app.xml", "docProps/custom.xml")
 
 
@@ -306,7 +501,7 @@ def embed(chunks: DataFrame, model: Callable[[list[str]], list[list[float]]]) ->
         for b in batches:
             try:
                 got = model(b["text"].tolist())
-            except OSError:
+            except Exception:  # whatever an injected model raises, its batch has no vectors
                 got = [None] * len(b)
             yield pd.DataFrame({"chunk_id": b["chunk_id"], "text": b["text"], "vector": got})
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -54,6 +54,26 @@ def limit_logins(attempts: DataFrame, seconds: int = 300, most: int = 8, late: s
     return attempts.withWatermark("ts", late).groupBy("ip", "username").applyInPandasWithState(run, shape, "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def stream_answers(requests: DataFrame, provider: Callable[[str], Iterator[str]]) -> DataFrame:
+    """(request_id, seq, kind, content) for requests (request_id, prompt): the parts of each answer as an injected provider gives them.
+
+    `text` for each part, then `done`; `error` with the reason where the provider fails. Works on streams and tables.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                out = []
+                try:
+                    out += [(r.request_id, n, "text", part) for n, part in enumerate(provider(r.prompt))]
+                    out.append((r.request_id, len(out), "done", None))
+                except Exception as e:  # whatever the provider raises ends this answer only
+                    out.append((r.request_id, len(out), "error", str(e)))
+                yield pd.DataFrame(out, columns=["request_id", "seq", "kind", "content"])
+
+    return requests.select("request_id", "prompt").mapInPandas(run, "request_id string, seq long, kind string, content string")
+
+
 def gather_answers(parts: DataFrame) -> DataFrame:
     """(request_id, kind, content) from a stream (request_id, seq, kind, content): each text as it comes, the whole once `done` is there."""
 
