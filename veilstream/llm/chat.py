@@ -6,7 +6,7 @@ string as such; inside a text one is escaped by a backslash behind its opener, a
 backslashes gets one more, so that taking one away everywhere restores the text. A turn is first rendered as it is and
 parsed again; the parser takes no text with a control string in it. Only where the turn read back differs from the
 source is its content escaped, and the result is parsed
-and compared in turn (column `faithful`). The parser always takes escapes away, so it needs no sign of what was done.
+and compared in turn; a turn that still differed would end the job (one pass of escapes always suffices, see above). The parser always takes escapes away, so it needs no sign of what was done.
 
 A role of other than small letters is written as `=` and its bytes in hexadecimal.
 Edge cases: null text is empty; null role is the empty role; turns of equal number go by role and text; rows without a
@@ -71,7 +71,9 @@ def format_turns(rows: DataFrame) -> DataFrame:
     source = F.array(F.struct("role", "text"))
     out = out.withColumn("rendered", render(F.col("role"), F.col("text")))
     out = out.withColumn("rendered", F.when(parse(F.col("rendered")) == source, F.col("rendered")).otherwise(render(F.col("role"), escape(F.col("text")))))
-    return out.withColumn("faithful", parse(F.col("rendered")) == source)
+    faithful = parse(F.col("rendered")) == source
+    broken = F.raise_error(F.concat(F.lit("a turn does not read back: conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))).cast("boolean")
+    return out.withColumn("faithful", F.when(F.coalesce(faithful, F.lit(False)), True).otherwise(broken))
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:

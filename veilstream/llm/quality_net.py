@@ -36,7 +36,7 @@ AT_ONCE = 1 << 19
 
 _U = np.uint64
 #: Kinds of bytes: 0 white space, 1 lower-case letter, 2 capital, 3 digit, 4 other letter (beyond ASCII), 5 and up: a symbol each.
-_KIND = np.full(256, 4, np.int64)
+_KIND = np.full(256, 4, np.uint8)
 _KIND[:128] = 5 + np.arange(128)
 _KIND[[9, 10, 11, 12, 13, 32]] = 0
 _KIND[97:123], _KIND[65:91], _KIND[48:58] = 1, 2, 3
@@ -53,8 +53,7 @@ def units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(np.diff(run, prepend=-1))
     on = np.flatnonzero(run[edge] > 0)
     start, end = edge[on], np.append(edge[1:], len(data))[on]
-    sums, down = H.prefix(data)
-    word = H.mix((sums[end] - sums[start]) * down[start])
+    word = H.mix(H.hashes(data, start, end))
     bits = np.bitwise_or.reduceat(_BITS[kind], edge)[on]
     shape = H.mix(bits.astype(_U) * H.STEPS[0] + np.minimum(end - start, 12).astype(_U) // _U(3) * H.STEPS[1])
     firsts = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]]) if texts else np.zeros(0, np.int64)

@@ -51,7 +51,7 @@ class Counts:
 
 
 def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    return np.diff(np.concatenate((np.zeros(1, np.int64), np.cumsum(values, dtype=np.int64)))[starts])
+    return np.add.reduceat(values, starts[:-1], dtype=np.int64) if len(starts) > 1 else np.zeros(0, np.int64)
 
 
 def base_counts(texts: list[bytes]) -> tuple[Counts, np.ndarray, np.ndarray]:
@@ -80,8 +80,7 @@ def base_counts(texts: list[bytes]) -> tuple[Counts, np.ndarray, np.ndarray]:
     breaks = np.flatnonzero(data == 10)
     first = np.concatenate(([0], breaks[:-1] + 1))
     has_word = np.searchsorted(start, breaks) > np.searchsorted(start, first)
-    sums, down = H.prefix(data, H.BASES[1])
-    line = H.mix((sums[breaks] - sums[first]) * down[first] + (breaks - first).astype(_U) * H.STEPS[0])[has_word]
+    line = H.mix(H.hashes(data, first, breaks, H.BASES[1]) + (breaks - first).astype(_U) * H.STEPS[0])[has_word]
     owner = (np.searchsorted(bounds, first, "right") - 1)[has_word]
     _, once = np.unique(line + owner.astype(_U) * H.STEPS[3], return_index=True)
     dup = np.bincount(owner, minlength=n) - np.bincount(owner[once], minlength=n)
