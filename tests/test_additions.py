@@ -305,3 +305,29 @@ def test_models_that_fail_leave_no_vector(spark):
         raise RuntimeError
 
     assert documents.embed(spark.createDataFrame([(1, "a")], "chunk_id long, text string"), model).first().vector is None
+
+
+def test_errors_are_appended(spark):
+    now = dt.datetime(2025, 1, 1)
+    none = spark.createDataFrame([], stores.ERRORS)
+    out = stores.append_errors(none, spark.createDataFrame([("boom", "warning", "u"), ("bang", "odd", None), (None, "error", "u")], "message string, severity string, user_id string"), now)
+    assert {(r.message, r.severity, r.user_id) for r in out.collect()} == {("boom", "warning", "u"), ("bang", "error", None)}
+    assert stores.append_errors(out, spark.createDataFrame([("m",)], "message string"), now).where("severity = 'error'").count() == 2
+
+
+def test_labels_of_sessions_reach_the_model(spark):
+    docs = spark.createDataFrame([(1, "ship here", "a"), (2, "ship here", "b"), (3, "ship here", "c")], "doc_id long, text string, session_id string")
+    labels = spark.createDataFrame([("a", ["Vessel"]), ("c", [])], "session_id string, labels array<string>")
+
+    def model(batches):
+        for b in batches:
+            yield pd.DataFrame([(r.doc_id, "ship", r.labels[0], 0, 4, 0.9) for r in b.itertuples()], columns=["doc_id", "text", "label", "start", "end", "score"])
+
+    assert {(r.doc_id, r.entity_type) for r in models.model_spans(docs, model, labels=labels).collect()} == {(1, "VESSEL"), (2, "PER")}
+
+
+def test_points_in_pieces(spark):
+    pieces = spark.createDataFrame([(1, 0, "abc"), (1, 1, ""), (1, 2, "de")], "doc_id long, seg int, text string")
+    points = spark.createDataFrame([(1, k) for k in range(7)], "doc_id long, at int")
+    got = {r["at"]: (r.seg, r.local) for r in spans.resolve_offsets(pieces, points).collect()}
+    assert got == {0: (0, 0), 1: (0, 1), 2: (0, 2), 3: (2, 0), 4: (2, 1), 5: (2, 2), 6: (None, None)}

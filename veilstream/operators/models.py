@@ -48,11 +48,19 @@ class Adapters:
         return self._known[provider]()
 
 
-def model_spans(docs: DataFrame, model: SpanModel | None, threshold: float = 0.5) -> DataFrame:
-    """Spans of a model's layer over docs (doc_id, text); none without a model."""
+def model_spans(docs: DataFrame, model: SpanModel | None, threshold: float = 0.5, labels: DataFrame | None = None, usual: tuple[str, ...] = tuple(fixed.ZERO_SHOT_LABELS)) -> DataFrame:
+    """Spans of a model's layer over docs (doc_id, text); none without a model.
+
+    With labels (session_id, labels array) and docs that have a session_id, the model is given a column `labels`: those
+    of the text's session, else the usual ones. A session with an empty list is not asked about.
+    """
     if model is None:
         return docs.sparkSession.createDataFrame([], SPANS)
-    return from_model(docs.select("doc_id", "text").mapInPandas(model, "doc_id long, text string, label string, start int, end int, score double"), threshold)
+    given = docs.select("doc_id", "text")
+    if labels is not None:
+        own = docs.join(labels.select("session_id", "labels"), "session_id", "left")
+        given = own.select("doc_id", "text", F.coalesce("labels", F.array(*map(F.lit, usual))).alias("labels")).where(F.size("labels") > 0)
+    return from_model(given.mapInPandas(model, "doc_id long, text string, label string, start int, end int, score double"), threshold)
 
 
 def answers(prompts: DataFrame, model: TextModel, tries: int = 6, wait: float = 5.0, most: int | None = MOST_CHARS) -> DataFrame:

@@ -256,6 +256,23 @@ def offsets_before(spans: DataFrame, points: DataFrame) -> DataFrame:
     return rows.select("doc_id", "right_start", "right_end", F.when(~touches, F.col("right_start") - F.col("_s")).cast("int").alias("left_start"), F.when(~touches, F.col("right_end") - F.col("_s")).cast("int").alias("left_end"))
 
 
+def resolve_offsets(pieces: DataFrame, points: DataFrame) -> DataFrame:
+    """(doc_id, at, seg, local): the piece of a text in which each point (doc_id, at) lies, and its place there.
+
+    pieces (doc_id, seg, text) make up the text in the order of seg. A point between two pieces is at the start of the
+    later one; one at the end of the text is at the end of the last, and one beyond it in none. Empty pieces hold no points.
+    """
+    order = Window.partitionBy("doc_id").orderBy("seg")
+    n = F.char_length(F.coalesce("text", F.lit("")))
+    end = F.sum(n).over(order)
+    starts = pieces.select("doc_id", F.col("seg").alias("_seg"), (end - n).alias("_at"), end.alias("_end"), F.max("seg").over(Window.partitionBy("doc_id")).alias("_last")).where("_end > _at")
+    line = Window.partitionBy("doc_id").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = starts.select("doc_id", "_at", F.lit(0).alias("_kind"), F.struct("_seg", "_at", "_end").alias("_s")).unionByName(points.select("doc_id", F.col("at").cast("long").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).alias("_s")))
+    rows = both.withColumn("_s", F.last("_s", ignorenulls=True).over(line)).where("_kind = 1")
+    inside = F.col("_at") <= F.col("_s._end")
+    return rows.select("doc_id", F.col("_at").alias("at"), F.when(inside, F.col("_s._seg")).alias("seg"), F.when(inside, F.col("_at") - F.col("_s._at")).alias("local"))
+
+
 def segments(spans: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, i, start, end, text, entity_type): the texts cut into plain and marked pieces; spans that begin before the cursor are skipped."""
     order = Window.partitionBy("doc_id").orderBy("start", F.desc("end"))

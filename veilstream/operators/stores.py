@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilstream.operators.restore import scanner
 from veilstream.sources.tables import settled
 
 #: Columns of a session that an update never changes.
@@ -104,6 +105,36 @@ def severities(errors: DataFrame, since) -> DataFrame:
     return errors.where(F.col("timestamp") >= F.lit(since)).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+ERRORS = "error_id string, timestamp timestamp, user_id string, session_id string, page_url string, message string, stack string, user_agent string, severity string"
+
+
+def append_errors(errors: DataFrame, new: DataFrame, now: dt.datetime) -> DataFrame:
+    """errors with reports of clients and servers: message is needed, other columns may be missing or null; severity is error unless it says warning."""
+    have = set(new.columns)
+    severity = F.when(F.col("severity") == "warning", "warning").otherwise("error") if "severity" in have else F.lit("error")
+    given = {"error_id": F.uuid(), "timestamp": F.lit(now), "severity": severity}
+    rows = new.where("message is not null")
+    return errors.unionByName(rows.select(*[given.get(n, F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in (x.split() for x in ERRORS.split(", "))]))
+
+
+def stored_spans(sessions: DataFrame) -> DataFrame:
+    """(session_id, text, entities, stats) of sessions with a stored result: its spans, and how many there are of each type."""
+    spans = F.from_json("entities_json", "array<struct<text:string,entity_type:string,start:int,end:int,score:double>>")
+    rows = sessions.withColumn("entities", spans).where("anonymized_text <> '' and size(entities) > 0")
+    types = F.array_sort(F.array_distinct(F.transform("entities", lambda e: e["entity_type"])))
+    count = lambda t: F.size(F.filter("entities", lambda e: e["entity_type"] == t))
+    return rows.select("session_id", F.col("anonymized_text").alias("text"), "entities", F.map_from_arrays(types, F.transform(types, count)).alias("stats"))
+
+
+def import_responses(sessions: DataFrame, responses: DataFrame, labels: tuple[str, ...] = ()) -> DataFrame:
+    """sessions with a model's text from responses (session_id, text), its length and placeholders; results of an earlier one go."""
+    new = responses.select("session_id", F.col("text").alias("_t"), F.char_length("text").alias("_n"), F.regexp_count("text", F.lit(scanner(labels))).alias("_p"))
+    rows = sessions.drop("char_count", "placeholder_count").join(new, "session_id", "left")
+    hit = F.col("_t").isNotNull()
+    reset = {c: F.when(~hit, F.col(c)) for c in ("result_json", "resolutions_json") if c in sessions.columns}
+    return rows.withColumns({"response_text": F.coalesce("_t", "response_text"), "char_count": F.col("_n"), "placeholder_count": F.col("_p"), **reset}).drop("_t", "_n", "_p")
+
+
 def error_source(errors: DataFrame) -> DataFrame:
     """errors with `source`: server for paths under /api, else client."""
     return errors.withColumn("source", F.when(F.coalesce("path", F.lit("")).startswith("/api"), "server").otherwise("client"))

@@ -530,6 +530,38 @@ def claimed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.claims(texts, values).select("doc_id", "text", "start")
 
 
+@query(
+    """WITH p AS (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS e FROM conversations), q AS (SELECT *, e - length(text) AS s FROM p)
+    SELECT conv_id AS doc_id, CAST(s AS BIGINT) AS at, turn AS seg, CAST(0 AS BIGINT) AS local FROM q WHERE length(text) > 0 UNION ALL SELECT conv_id, CAST(s + length(text) // 2 AS BIGINT), turn, CAST(length(text) // 2 AS BIGINT) FROM q WHERE length(text) > 1"""
+)
+def text_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first and the middle character of each turn, as offsets of the whole conversation, back in their turns."""
+    rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seg"), "text")
+    n = F.char_length("text")
+    start = F.sum(n).over(Window.partitionBy("doc_id").orderBy("seg")) - n
+    points = rows.select("doc_id", "text", start.alias("s"))
+    asked = points.where("char_length(text) > 0").select("doc_id", F.col("s").alias("at")).union(points.where("char_length(text) > 1").select("doc_id", F.col("s") + F.floor(F.char_length("text") / 2)))
+    return spans.resolve_offsets(rows, asked)
+
+
+@query("SELECT event_id AS session_id, length('[PERSON_1] wrote ' || event_type || ' to [ORG_2]') AS char_count, 2 AS placeholder_count, user_id % 2 = 0 AS old_result FROM events WHERE user_id % 2 = 1 UNION ALL SELECT event_id, NULL, NULL, true FROM events WHERE user_id % 2 = 0")
+def imported_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's texts stored with their lengths and placeholders; a session's earlier result goes with its new text."""
+    rows = read(spark, sf_dir, "events")
+    sessions = rows.select(F.col("event_id").alias("session_id"), F.lit("old").alias("response_text"), F.lit("{}").alias("result_json"))
+    texts = rows.where("user_id % 2 = 1").select(F.col("event_id").alias("session_id"), F.concat(F.lit("[PERSON_1] wrote "), "event_type", F.lit(" to [ORG_2]")).alias("text"))
+    out = stores.import_responses(sessions, texts)
+    return out.select("session_id", "char_count", "placeholder_count", F.col("result_json").isNotNull().alias("old_result"))
+
+
+@query("SELECT user_id AS session_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1")
+def stored_span_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored spans of sessions, counted by type."""
+    rows = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("session_id")).agg(F.to_json(F.collect_list(F.struct(F.lit("x").alias("text"), F.col("event_type").alias("entity_type")))).alias("entities_json"))
+    out = stores.stored_spans(rows.withColumn("anonymized_text", F.lit("t")))
+    return out.select("session_id", F.size("entities").cast("long").alias("n"), F.coalesce(F.try_element_at("stats", F.lit("error")), F.lit(0)).cast("long").alias("errors"))
+
+
 _USERS = "u AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'admin' ELSE 'user' END AS role FROM customer WHERE c_custkey % 5 <> 0)"
 
 
