@@ -508,6 +508,19 @@ def chunk_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.chunk(read(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.min("start").cast("int").alias("first"), F.max("end").cast("long").alias("last"))
 
 
+@query("SELECT doc_id, true AS slices, true AS numbered, true AS close, 0 AS lost FROM documents WHERE length(trim(text)) > 0")
+def chunk_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each chunk is a slice of its text of the right size, chunks are numbered in order, neighbours overlap by what is asked at most, and what no chunk holds is blank."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
+    rows = chunks.chunk(docs.withColumnRenamed("body", "text")).join(docs, "doc_id")
+    order = Window.partitionBy("doc_id").orderBy("start", "end")
+    before = F.coalesce(F.lag("end").over(order), F.lit(0))
+    slice_ = (F.substring("body", F.col("start") + 1, F.col("end") - F.col("start")) == F.col("text")) & (F.col("end") - F.col("start") <= 4 * 500) & (F.col("token_count") == F.greatest(F.lit(1), F.floor(F.char_length("text") / 4)))
+    gap = F.char_length(F.regexp_replace(F.substring("body", before + 1, F.greatest(F.col("start") - before, F.lit(0))), r"(?U)\s", ""))
+    rows = rows.select("doc_id", slice_.alias("slice"), (F.col("chunk_id") == F.row_number().over(order) - 1).alias("nr"), (before - F.col("start") <= 4 * 50).alias("near"), gap.alias("gap"))
+    return rows.groupBy("doc_id").agg(F.bool_and("slice").alias("slices"), F.bool_and("nr").alias("numbered"), F.bool_and("near").alias("close"), F.sum("gap").cast("int").alias("lost"))
+
+
 @query(
     """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, list_cosine_similarity(q.e, v.e) AS x FROM v q, v WHERE q.vec_id % 100 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY x DESC, chunk_id) AS rank FROM s) SELECT query_id, chunk_id, round(x, 6) AS similarity, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3"""
