@@ -6,43 +6,17 @@ Identifiers with check digits, spans, requests and mappings are derived from who
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilstream.functions import checksums, fixed
 from veilstream.operators import analytics, audit, chunks, diff, evaluate, filters, models, pipeline, policy, recognize, registry, restore, spans, stores
-from veilstream.plans import golden
+from veilstream.plans import details, golden
+from veilstream.plans.registered import oracle_sql, queries, query, read
 from veilstream.sources import documents as sources
 from veilstream.sources.tables import settled
 
-Query = Callable[[SparkSession, str], DataFrame]
-_queries: dict[str, Query] = {}
-_sql: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        _queries[f.__name__] = f
-        if sql:
-            _sql[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_queries)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["details", "oracle_sql", "queries"]
 
 EMAIL, PHONE, IP = (r.pattern for r in recognize.LATIN)
 
