@@ -1,7 +1,9 @@
 """Vectorised hashing of words and substrings of a batch of texts.
 
-A prefix sum of byte times power of an odd base, modulo 2**64, gives the hash of any substring in a few
-operations on whole arrays: (prefix[end] - prefix[start]) / base**start.
+Words and lines are hashed eight bytes at a time, each step a non-linear mix of what came before, and by XXH3 where they
+are long. Substrings at every position (op 2) use a prefix sum of byte times power of an odd base, modulo 2**64: the hash
+of any of them is (prefix[end] - prefix[start]) / base**start. Such sums collide by construction for some strings of a
+thousand bytes and more, so they are only used for shorter ones.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from xxhash import xxh3_64_intdigest
 
 _U = np.uint64
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -50,17 +53,27 @@ def prefix(a: np.ndarray, base: int = BASES[0]) -> tuple[np.ndarray, np.ndarray]
     return out, down
 
 
-def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = BASES[0], most: int = 1 << 22) -> np.ndarray:
-    """Hashes of the substrings from start to end of data, which do not overlap and are in order; about `most` bytes are worked on at a time."""
-    out = np.empty(len(start), _U)
-    i = 0
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(end, start[i] + most)))
-        sums, down = prefix(data[start[i] : end[j - 1]], base)
-        s = start[i:j] - start[i]
-        out[i:j] = (sums[end[i:j] - start[i]] - sums[s]) * down[s]
-        i = j
-    return out
+#: Strings of more bytes are hashed one by one.
+SHORT = 64
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], _U)
+
+
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = BASES[0]) -> np.ndarray:
+    """Hashes of the substrings from start to end of data."""
+    length = end - start
+    h = mix(length.astype(_U) * STEPS[0] + _U(seed))
+    held = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(data) + 1, "<u8", held, strides=(1,))  # the eight bytes from each position
+    at = np.flatnonzero((length > 0) & (length <= SHORT))
+    step = 0
+    while len(at):
+        left = length[at] - step
+        h[at] = mix(h[at] ^ (eight[start[at] + step] & _MASKS[np.minimum(left, 8)]))
+        step += 8
+        at = at[left > 8]
+    for i in np.flatnonzero(length > SHORT).tolist():
+        h[i] = xxh3_64_intdigest(data[start[i] : end[i]], seed)
+    return h
 
 
 def slices(lengths: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -82,16 +95,20 @@ def batches(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, l
         yield lo, hi, column.slice(lo, hi - lo).to_pylist()
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each word of each text: its text's index, its hash, its start and end in the texts joined by a line feed."""
+#: True for the bytes that separate words: ASCII white space.
+BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+
+
+def words(texts: list[bytes], between: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each word of each text: its text's index, its hash, its start and end in the texts joined by a line feed.
+
+    `between` tells of each byte value if it separates words; a line feed must.
+    """
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    edge = np.flatnonzero(np.diff(space.astype(np.int8), prepend=np.int8(1)))
+    edge = np.flatnonzero(np.diff(between[data], prepend=True))
     start, end = edge[0::2], edge[1::2]
-    h = hashes(data, start, end)
-    h += (end - start).astype(_U) * STEPS[0]
     firsts = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]]) if texts else np.zeros(0, np.int64)
-    return np.searchsorted(firsts, start, "right") - 1, mix(h), start, end
+    return np.searchsorted(firsts, start, "right") - 1, hashes(data, start, end), start, end
 
 
 def shingles(texts: list[bytes], size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -115,3 +132,31 @@ def shingles(texts: list[bytes], size: int = 5) -> tuple[np.ndarray, np.ndarray]
         d, s = np.concatenate((d, short)), np.concatenate((s, mix(one)))
     _, first = np.unique(s + d.astype(_U) * STEPS[6], return_index=True)
     return d[first], s[first]
+
+
+def exact_shingles(texts: list[bytes], size: int) -> list[np.ndarray]:
+    """The distinct shingles of each text, as sorted numbers that are equal where the words are, over all of `texts`.
+
+    No hash takes part: words are numbered by their bytes, and pairs of numbers are numbered again, word by word.
+    """
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    blank = BLANK[data]
+    edge = np.flatnonzero(np.diff(blank, prepend=True))
+    start, end = edge[0::2], edge[1::2]
+    firsts = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]]) if texts else np.zeros(0, np.int64)
+    doc = np.searchsorted(firsts, start, "right") - 1
+    offsets = np.concatenate(([0], np.cumsum(end - start)))
+    named = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[~blank])]).dictionary_encode()
+    word = named.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    count = np.bincount(doc, minlength=len(texts))
+    pad = np.where(count > 0, np.maximum(size - count, 0), 0)  # a shorter text is one shingle, filled with a word that no text has
+    behind = np.repeat(np.cumsum(count), pad)
+    word, doc = np.insert(word, behind, len(named.dictionary)), np.insert(doc, behind, np.repeat(np.arange(len(texts)), pad))
+    n = max(0, len(word) - size + 1)
+    ids = word[:n]
+    for k in range(1, size):
+        ids = np.unique(ids * (len(named.dictionary) + 1) + word[k : k + n], return_inverse=True)[1]
+    whole = doc[:n] == doc[size - 1 : size - 1 + n]
+    ids, doc = ids[whole], doc[:n][whole]
+    pairs = np.unique(doc * np.int64(len(word) + 1) + ids)
+    return np.split(pairs % np.int64(len(word) + 1), np.cumsum(np.bincount(pairs // np.int64(len(word) + 1), minlength=len(texts)))[:-1])

@@ -8,7 +8,7 @@ Links. Texts of equal shingle sets form a class with a number of its own, and th
 the text) stands for it. Classes that share a band meet in that band's bucket. First each class is compared with one
 pivot, the least class of the bucket that looks most like it; verified links are grouped. Then buckets that still hold several groups are compared inside,
 pairs of one group aside, so a group of thousands of copies never becomes all of its pairs. Every link is verified on
-the full shingle sets.
+the words of the full shingle sets.
 
 Edge cases: a null or blank text has an empty set and is linked with nothing; a text of fewer words than a shingle is
 one shingle; equal rows share their component; a null doc_id is a component of its own (null) and is kept. Where rows
@@ -21,13 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilstream.llm import hashing as H
 from veilstream.llm.common import cut, drop_cut, unused
 from veilstream.llm.components import components
+from veilstream.llm.similar import verified
 
 #: Slots, a prime so that a step of any length visits every slot; bands x rows of them are used for candidates.
 SLOTS, BANDS, ROWS = 127, 31, 4
@@ -149,50 +149,6 @@ def _across(percent: int):
     return run
 
 
-def _pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdCompressor(level=1)
-    for p in parts:
-        for lo, hi, texts in H.batches(p.column(2)):
-            yield pa.RecordBatch.from_arrays([p.column(0)[lo:hi], p.column(1)[lo:hi], pa.array([press.compress(t.lower()) for t in texts], pa.binary())], names=["doc_id", "tag", "z"])
-
-
-def _verify(size: int, percent: int):
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opener = zstandard.ZstdDecompressor()
-        for p in parts:
-            a, b = p.column(0).to_numpy(), p.column(1).to_numpy()
-            za, zb = p.column(2), p.column(3)
-            held: dict[int, np.ndarray] = {}
-            keep = np.zeros(p.num_rows, bool)
-            for lo in range(0, p.num_rows, 500):  # a part holds many rows; texts are opened a few hundred pairs at a time
-                hi, new = min(lo + 500, p.num_rows), {}
-                for ids, z in ((a, za), (b, zb)):
-                    for i in range(lo, hi):
-                        if ids[i] not in held and ids[i] not in new:
-                            new[ids[i]] = opener.decompress(z[i].as_py())
-                held = {k: v for k, v in held.items() if k in set(a[lo:hi].tolist()) | set(b[lo:hi].tolist())}
-                names, texts = list(new), list(new.values())
-                for s, e in H.slices(np.fromiter(map(len, texts), np.int64, len(texts))):
-                    doc, h = H.shingles(texts[s:e], size)
-                    order = np.lexsort((h, doc))
-                    ends = np.cumsum(np.bincount(doc, minlength=e - s))
-                    for name, one in zip(names[s:e], np.split(h[order], ends[:-1]), strict=True):
-                        held[name] = one
-                for i in range(lo, hi):
-                    x, y = held[a[i]], held[b[i]]
-                    both = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
-                    keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([p.column(0).filter(pa.array(keep)), p.column(1).filter(pa.array(keep))], names=["a", "b"])
-
-    return run
-
-
-def verified(pairs: DataFrame, packed: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full shingle sets are similar enough."""
-    one, two = packed.select(F.col("doc").alias("a"), F.col("z").alias("za")), packed.select(F.col("doc").alias("b"), F.col("z").alias("zb"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "za", "zb").mapInArrow(_verify(size, percent), "a long, b long")
-
-
 def _grouped(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, tag, n_shingles, s1, s2) of docs, and their classes (n_shingles, s1, s2, component, component_id).
 
@@ -207,8 +163,8 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataF
     classes = some.groupBy(*same).agg(F.min(F.struct("doc_id", "tag")).alias("m"))
     classes = cut(classes.select(*same, F.col("m.doc_id").alias("doc_id"), F.col("m.tag").alias("tag"), F.monotonically_increasing_id().alias("doc")))
     reps = cut(some.join(classes, [*same, "doc_id", "tag"]).select("doc", "doc_id", "tag", "n_shingles", "bands", "sig", "odd"))
-    once = (lambda df: df) if reps.count() == classes.count() else (lambda df: df.dropDuplicates(["doc"]))  # equal rows occur
-    reps = once(reps)
+    if reps.count() != classes.count():  # equal rows occur
+        reps = reps.dropDuplicates(["doc"])
     sig_a, sig_b = (reps.select(F.col("doc").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sig").alias(f"s{x}"), F.col("odd").alias(f"o{x}")) for x in "ab")
 
     rows = reps.select("doc", F.explode("bands").alias("key"))
@@ -218,16 +174,14 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataF
     likely = stars.join(sig_b, "b").join(sig_a, "a").mapInArrow(_estimate(percent), "a long, b long, est double")
     best = likely.groupBy("b").agg(F.max(F.struct("est", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
 
-    packed = texts.where("doc_id is not null").mapInArrow(_pack, "doc_id long, tag long, z binary")
-    packed = once(packed.join(reps.select("doc_id", "tag", "doc"), ["doc_id", "tag"]).select("doc", "z"))
-    links = cut(verified(best, packed, size, percent))
+    links = cut(verified(best, texts, classes, size, percent))
     groups = components(links)
 
     # buckets in which some group is not yet one with the others
     labelled = cut(member.select("key", F.col("b").alias("doc")).join(groups, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("grp")))
     mixed = labelled.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n")
     open_ = cut(labelled.join(mixed, "key").select("key", "doc", "grp", "n"))
-    more = cut(verified(_cross(open_, reps, percent), packed, size, percent))
+    more = cut(verified(_cross(open_, reps, percent), texts, classes, size, percent))
     if more.limit(1).count():
         groups = components(links.union(more))
     drop_cut(member), drop_cut(labelled)

@@ -31,6 +31,18 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, d.root AS component_id, d.doc_i
 FROM (SELECT doc_id, min(root) AS root FROM r GROUP BY 1) d LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
+OP12 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS shingle FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 3, 1))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+l AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.y, r.root FROM r JOIN l ON r.doc_id = l.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, d.root AS component_id
+FROM (SELECT doc_id, min(root) AS root FROM r GROUP BY 1) d LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 RULES = rf"""

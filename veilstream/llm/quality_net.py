@@ -53,7 +53,7 @@ def units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(np.diff(run, prepend=-1))
     on = np.flatnonzero(run[edge] > 0)
     start, end = edge[on], np.append(edge[1:], len(data))[on]
-    word = H.mix(H.hashes(data, start, end))
+    word = H.hashes(data, start, end)
     bits = np.bitwise_or.reduceat(_BITS[kind], edge)[on]
     shape = H.mix(bits.astype(_U) * H.STEPS[0] + np.minimum(end - start, 12).astype(_U) // _U(3) * H.STEPS[1])
     firsts = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]]) if texts else np.zeros(0, np.int64)

@@ -80,7 +80,7 @@ def base_counts(texts: list[bytes]) -> tuple[Counts, np.ndarray, np.ndarray]:
     breaks = np.flatnonzero(data == 10)
     first = np.concatenate(([0], breaks[:-1] + 1))
     has_word = np.searchsorted(start, breaks) > np.searchsorted(start, first)
-    line = H.mix(H.hashes(data, first, breaks, H.BASES[1]) + (breaks - first).astype(_U) * H.STEPS[0])[has_word]
+    line = H.hashes(data, first[has_word], breaks[has_word], H.BASES[1])
     owner = (np.searchsorted(bounds, first, "right") - 1)[has_word]
     _, once = np.unique(line + owner.astype(_U) * H.STEPS[3], return_index=True)
     dup = np.bincount(owner, minlength=n) - np.bincount(owner[once], minlength=n)

@@ -19,6 +19,7 @@ from veilstream.llm.quality_rules import quality_rules
 from veilstream.llm.repeats import remove_repeats
 from veilstream.llm.secrets import digest, scan
 from veilstream.llm.sharding import shard
+from veilstream.llm.shingle_join import shingle_groups
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +76,11 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of all documents linked by 85% of their four-word shingles."""
+    return shingle_groups(table(spark, sf_dir, "documents"))
+
+
 def rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op4 that SQL can say."""
     return op4_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -106,4 +112,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": oracle.OP3, "op10_near_dedup": oracle.OP10, "rules_base": oracle.RULES, "secrets_base": oracle.SECRETS, "shards_sound": oracle.SHARDS, "mix_targets": oracle.MIX}
+    return {"op3_chat_formatting": oracle.OP3, "op10_near_dedup": oracle.OP10, "op12_shingle_join": oracle.OP12, "rules_base": oracle.RULES, "secrets_base": oracle.SECRETS, "shards_sound": oracle.SHARDS, "mix_targets": oracle.MIX}
