@@ -11,6 +11,8 @@ from veilstream.llm import oracle
 from veilstream.llm.chat import format_conversations, read_back
 from veilstream.llm.common import table
 from veilstream.llm.fingerprints import fingerprints
+from veilstream.llm.hard_negatives import hard_negatives
+from veilstream.llm.lexical import search
 from veilstream.llm.mixing import mix
 from veilstream.llm.near_dedup import near_duplicates
 from veilstream.llm.packing import pack
@@ -76,11 +78,22 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of all for each item of the benchmark."""
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of all documents linked by 85% of their four-word shingles."""
     return shingle_groups(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of all anchors; every seventh label is moved on by one first."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
 def rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op4 that SQL can say."""
     return op4_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -112,4 +125,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": oracle.OP3, "op10_near_dedup": oracle.OP10, "op12_shingle_join": oracle.OP12, "rules_base": oracle.RULES, "secrets_base": oracle.SECRETS, "shards_sound": oracle.SHARDS, "mix_targets": oracle.MIX}
+    return {"op3_chat_formatting": oracle.OP3, "op10_near_dedup": oracle.OP10, "op11_lexical_search": oracle.OP11, "op12_shingle_join": oracle.OP12, "op13_hard_negatives": oracle.OP13, "rules_base": oracle.RULES, "secrets_base": oracle.SECRETS, "shards_sound": oracle.SHARDS, "mix_targets": oracle.MIX}
