@@ -94,7 +94,7 @@ def test_title_and_line_filters(spark):
         ("звонить 8 800 123-45-67", "8 800 123-45-67", "RU_PHONE"),
         ("звонить 8 (916) 123-45-67", "8 (916) 123-45-67", "RU_PHONE"),
     )
-    out = df.select("doc_id", filters.document_title().alias("t"), filters.after_phone().alias("l"), filters.public_phone().alias("p"))
+    out = filters.with_facts(df).select("doc_id", filters.document_title().alias("t"), filters.after_phone().alias("l"), filters.public_phone().alias("p"))
     got = {r.doc_id: (r.t, r.l, r.p) for r in out.collect()}
     assert [i for i, g in got.items() if g[0]] == [0]
     assert [i for i, g in got.items() if g[1]] == [2]

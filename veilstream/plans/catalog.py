@@ -629,9 +629,9 @@ def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.realign(models.answer_spans(answered), docs).select("doc_id", "entity_type", "text", "start")
 
 
-STOP_VALUES = tuple(dict.fromkeys((*fixed.FIELDS, *fixed.PRODUCTS, *fixed.POSITIONS, *fixed.ROLES, *fixed.ROLE_PHRASES, *fixed.NO_ORGANIZATIONS, *fixed.NO_PLACES, "сотрудниками бюро", "заявки заказчика", "генерального директора", *golden.NAMES)))
+STOP_VALUES = tuple(dict.fromkeys((*fixed.FIELDS, *fixed.PRODUCTS, *fixed.POSITIONS, *golden.ROLE_FORMS, *fixed.NO_ORGANIZATIONS, *fixed.NO_PLACES, "сотрудниками бюро", "заявки заказчика", "генерального директора", *golden.NAMES, *golden.SURNAMES)))
 _in = lambda words: "(" + ", ".join("'" + w + "'" for w in words) + ")"
-_LABELS = (*filters.ROLES, *fixed.POSITIONS, *fixed.FIELDS)
+_LABELS = (*golden.ROLE_FORMS, *fixed.POSITIONS, *fixed.FIELDS)
 
 
 @query(

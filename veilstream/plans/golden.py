@@ -93,3 +93,34 @@ def spans(marked: str) -> list[tuple[str, str, int]]:
         out.append((m[1], m[2], m.start() - shift))
         shift += len(m[0]) - len(m[2])
     return out
+
+
+# Words that are never a person, an organization or a place, as they stand in texts; the list that SQL knows.
+ROLE_FORMS = (
+    "исполнитель", "исполнителя", "исполнителю", "исполнителем", "заказчик", "заказчика", "заказчику", "заказчиком",
+    "поставщик", "поставщика", "покупатель", "покупателя", "услугодатель", "услугодателем", "продавец", "продавца",
+    "подрядчик", "подрядчика", "субподрядчик", "арендодатель", "арендодателю", "арендатор", "арендатором", "кредитор", "должник",
+    "заёмщик", "заемщик", "залогодатель", "залогодержатель", "сторона", "стороны", "сторон", "сторонами",
+    "раскрывающая", "раскрывающей", "раскрывающую", "раскрывающим", "получающая", "получающую",
+    "третье лицо", "третьи лица", "принципал", "принципалу", "агент", "агента", "агенту", "агентом", "комиссионера", "комитента",
+    "лицензиар", "лицензиат", "правообладатель", "грузоотправитель", "грузополучатель", "перевозчик", "экспедитор",
+    "сотрудник", "сотруднике", "сотрудники", "сотрудников", "сотрудниках", "работником", "работники", "работников",
+    "доверителю", "доверителей", "доверителями", "контрагенту", "контрагентов", "контрагентами", "кандидата", "кандидатов",
+    "пользователем", "пользователей", "застрахованный", "застрахованном", "застрахованную", "застрахованных",
+    "страхователе", "страхователей", "страховщике", "страховщиков", "страховой", "страховое", "страховым", "страховые",
+    "страховая компания", "страховую компанию", "пульт", "пульте", "истец", "ответчик", "заявитель", "участника", "участники",
+    "представителем", "представителям", "обвиняемый", "потерпевший", "свидетель", "эксперт", "заявка", "заявки", "заявкой", "заявками",
+    "приложение", "приложении", "приложения", "приложением", "дополнение", "акт", "протокол", "накладная", "договор", "контракт", "соглашение",
+    "счёт-фактура", "положение", "положения", "положении", "положению", "положением", "политику", "политикой", "памятки", "памятке",
+    "заключен", "заключён", "заключили", "заключённый",
+)
+
+# Surnames that are also forms of such words, or look like them.
+SURNAMES = (
+    "Агентов", "Должников", "Экспертов", "Кредиторов", "Договоров", "Продавцов", "Поставщиков", "Заказчиков", "Истцов", "Ответчиков",
+    "Актов", "Протоколов", "Контрактов", "Пультов", "Ответчикова", "Подрядчиков", "Субподрядчиков", "Заёмщиков", "Перевозчиков",
+    "Экспедиторов", "Арендаторов", "Комитентов", "Комиссионеров", "Принципалов", "Лицензиаров", "Лицензиатов", "Агентова", "Экспертова",
+    "Должникова", "Договорова", "Продавцова", "Сторонкин", "Сторонников", "Актаев", "Пультяков", "Заявкин", "Накладов", "Протоколова",
+    "Приложенцев", "Соглашенский", "Контрактский", "Перевозчикова", "Поставщикова", "Сотников", "Свидетелев", "Кредиторова",
+    "Покупателев", "Исполнителев", "Заказчикова", "Заявителев", "Арендаторова", "Истцова", "Положенцев", "Накладнов", "Стороженко",
+)
