@@ -7,6 +7,7 @@ import contextlib
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -83,3 +84,21 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str, buc
     inside = Window.partitionBy(*keys, "_b").orderBy(F.xxhash64(*order), *order, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = F.sum("_one").over(inside) - F.col("_one")
     return df.withColumn("_in", run).join(starts, same, "left").withColumn(name, F.col("_from") + F.col("_in")).drop("_b", "_one", "_in", "_kb", "_from", *[f"_k_{k}" for k in keys])
+
+
+def connecting(x: np.ndarray, y: np.ndarray, similar: np.ndarray, grp: np.ndarray) -> np.ndarray:
+    """Which of the pairs of rows x, y connect the rows' groups, the most similar pairs first: fewer than there are groups."""
+    root: dict[int, int] = {}
+
+    def find(g: int) -> int:
+        while root.get(g, g) != g:
+            root[g] = g = root.get(root[g], root[g])
+        return g
+
+    keep = np.zeros(len(x), bool)
+    for i in np.argsort(-similar, kind="stable").tolist():
+        a, b = find(int(grp[x[i]])), find(int(grp[y[i]]))
+        if a != b:
+            root[a] = b
+            keep[i] = True
+    return keep

@@ -6,8 +6,8 @@ of the estimate. Rank j+1 is only worked out for texts that still have a slot ab
 
 Links. Texts of equal shingle sets form a class with a number of its own, and the class's smallest (doc_id, hash of
 the text) stands for it. Classes that share a band meet in that band's bucket. First each class is compared with one
-pivot, the least class of the bucket that looks most like it; verified links are grouped. Then buckets that still hold several groups are compared inside,
-pairs of one group aside, so a group of thousands of copies never becomes all of its pairs. Every link is verified on
+pivot, the least class of the bucket that looks most like it; verified links are grouped. Then buckets that still hold several groups are compared inside, first
+for the likeliest pairs that connect them, then for all pairs of groups that are still apart; pairs of one group aside, so a group of thousands of copies never becomes all of its pairs. Every link is verified on
 the words of the full shingle sets.
 
 Edge cases: a null or blank text has an empty set and is linked with nothing; a text of fewer words than a shingle is
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilstream.llm import hashing as H
-from veilstream.llm.common import cut, drop_cut, unused
+from veilstream.llm.common import connecting, cut, drop_cut, unused
 from veilstream.llm.components import components
 from veilstream.llm.similar import verified
 
@@ -129,21 +129,27 @@ def _estimate(percent: int):
     return run
 
 
-def _across(percent: int):
+def _across(percent: int, connect: bool):
     def run(table: pa.Table) -> pa.Table:
-        """Likely pairs of different groups in one bucket, or between its blocks `side` 0 and 1."""
+        """Likely pairs of different groups in one bucket, or between its blocks `side` 0 and 1; connect: only those that connect the groups."""
         table = table.sort_by("doc").combine_chunks()
         sig, odd = (_rows(table[c].combine_chunks(), k) for c, k in (("sig", np.uint8), ("odd", np.uint64)))
         doc, group, side, n = (table[c].to_numpy() for c in ("doc", "grp", "side", "n_shingles"))
         two = (side == 1).any()
-        a, b = [], []
+        a, b, est = [], [], [np.zeros(0)]
         for i in np.flatnonzero(side == 0) if two else range(len(doc) - 1):
             others = np.flatnonzero((group != group[i]) & (side == 1)) if two else i + 1 + np.flatnonzero(group[i + 1 :] != group[i])
             others = others[_may_link(odd[others], odd[i], n[others] + n[i], percent)]
-            near = others[_agree(sig[others], sig[i]) >= LIKELY]
-            a.append(np.full(len(near), doc[i]))
-            b.append(doc[near])
+            agree = _agree(sig[others], sig[i])
+            near = others[agree >= LIKELY]
+            a.append(np.full(len(near), i))
+            b.append(near)
+            est.append(agree[agree >= LIKELY])
         x, y = (np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (a, b))
+        if connect:
+            on = connecting(x, y, np.concatenate(est), group)
+            x, y = x[on], y[on]
+        x, y = doc[x], doc[y]
         return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
     return run
@@ -177,14 +183,20 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataF
     links = cut(verified(best, texts, classes, size, percent))
     groups = components(links)
 
-    # buckets in which some group is not yet one with the others
-    labelled = cut(member.select("key", F.col("b").alias("doc")).join(groups, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("grp")))
-    mixed = labelled.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n")
-    open_ = cut(labelled.join(mixed, "key").select("key", "doc", "grp", "n"))
-    more = cut(verified(_cross(open_, reps, percent), texts, classes, size, percent))
-    if more.limit(1).count():
-        groups = components(links.union(more))
-    drop_cut(member), drop_cut(labelled)
+    # buckets in which some group is not yet one with the others: first the pairs that would connect them, then all that is left
+    done = best
+    for connect in (True, False):
+        labelled = cut(member.select("key", F.col("b").alias("doc")).join(groups, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("grp")))
+        mixed = labelled.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n")
+        open_ = cut(labelled.join(mixed, "key").select("key", "doc", "grp", "n"))
+        more = cut(_cross(open_, reps, percent, connect).join(done, ["a", "b"], "left_anti"))
+        new = cut(verified(more, texts, classes, size, percent))
+        drop_cut(labelled), drop_cut(open_)
+        if new.limit(1).count():
+            links = links.union(new)
+            groups = components(links)
+        done = done.union(more)
+    drop_cut(member)
     by_class = cut(classes.join(groups, F.col("doc") == F.col("node"), "left").select(*same, "doc_id", F.coalesce("component", "doc").alias("component")))
     least = by_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return signed.select("doc_id", "tag", *same), cut(by_class.join(least, "component").select(*same, "component", "component_id"))
@@ -220,8 +232,8 @@ def deduplicated(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame
     return kept.select(*docs.columns).union(docs.where("doc_id is null"))
 
 
-def _cross(open_: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Distinct likely pairs of different groups in the buckets of open_."""
+def _cross(open_: DataFrame, reps: DataFrame, percent: int, connect: bool = False) -> DataFrame:
+    """Distinct likely pairs of different groups in the buckets of open_; connect: of each bucket only those that connect its groups."""
     wide = reps.select("doc", "n_shingles", "sig", "odd")
     small = open_.where(F.col("n") <= BUCKET).select("key", "doc", "grp").withColumn("side", F.lit(0))
     shape = "a long, b long"
@@ -239,4 +251,4 @@ def _cross(open_: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         met = blocks.join(meet, ["key", "blk"])
         met = met.select(F.xxhash64("key", F.least("blk", "o"), F.greatest("blk", "o")).alias("key"), "doc", "grp", F.when(F.col("blk") > F.col("o"), 1).otherwise(0).alias("side"))
         small = small.union(met)
-    return small.join(wide, "doc").groupBy("key").applyInArrow(_across(percent), shape).distinct()
+    return small.join(wide, "doc").groupBy("key").applyInArrow(_across(percent, connect), shape).distinct()

@@ -10,10 +10,14 @@ one order of all shingles, and two similar texts meet under at least one of them
 to be frequent stand last in that order, so a common passage brings no unlike texts together; any order gives the same
 links. Under a token stand leaves of points of one class of sizes with their boxes, in a leaf boxes of 16 points.
 
-Links. First each point under a token meets the least one there. Pairs that pass the bound are verified on the words
+Points that pass are held against a finer one: the parities of FINE groups, in which two sets differ no more often than
+they differ in shingles.
+
+Links. First each point under a token meets the least one there. Pairs that pass the bounds are verified on the words
 themselves, the likeliest of each point first, and verified links are grouped. Then the trees of tokens that still hold
-several groups are joined with themselves: pairs of leaves, of boxes, of points, those of one group aside. So a
-group of thousands of copies never becomes all of its pairs, and no link between groups is lost.
+several groups are joined with themselves: pairs of leaves, of boxes, of points, those of one group aside. A first
+join gives only the likeliest pairs that would connect the groups, a second one all pairs of groups that are still
+apart. So a group of thousands of copies never becomes all of its pairs, and no link between groups is lost.
 
 Edge cases: a null or blank text has an empty set and is linked with nothing; a text of fewer words than a shingle is
 one shingle; equal rows share their component; a null doc_id is a component of its own (null). Where rows of one doc_id
@@ -30,11 +34,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilstream.llm import hashing as H
-from veilstream.llm.common import cut, drop_cut
+from veilstream.llm.common import connecting, cut, drop_cut
 from veilstream.llm.components import components
 from veilstream.llm.similar import verified
 
-GROUPS = 64
+GROUPS, FINE = 64, 2048
 #: Points of a leaf that is joined in one task, and of the boxes in it.
 LEAF, BOX = 512, 16
 #: One text in SAMPLE is looked at for frequent shingles: those in at least FREQUENT of these texts, the most frequent
@@ -42,7 +46,7 @@ LEAF, BOX = 512, 16
 SAMPLE, FREQUENT, MOST = 64, 4, 1 << 16
 
 _U = np.uint64
-POINTS = "doc_id long, tag long, n_shingles long, s1 long, s2 long, point binary, tokens array<long>"
+POINTS = "doc_id long, tag long, n_shingles long, s1 long, s2 long, point binary, odd binary, tokens array<long>"
 
 
 def _shingle_rows(size: int):
@@ -74,6 +78,9 @@ def _points(size: int, percent: int, common: np.ndarray):
                     np.add.at(sums[k], doc, H.mix(h ^ H.STEPS[4 + k]))
                 group = (H.mix(h ^ H.STEPS[6]) % _U(GROUPS)).astype(np.int64)
                 point = np.bincount(doc * GROUPS + group, minlength=n * GROUPS).reshape(n, GROUPS).astype("<u4")
+                bit = (H.mix(h ^ H.STEPS[3]) % _U(FINE)).astype(np.int64)
+                odd = np.zeros((n, FINE // 8), np.uint8)
+                np.bitwise_xor.at(odd, (doc, bit >> 3), (1 << (bit & 7)).astype(np.uint8))
                 often = np.isin(h, common)
                 order = np.lexsort((H.mix(h ^ H.STEPS[1]), often, doc))
                 place = np.arange(len(h)) - np.repeat(np.cumsum(count) - count, count)
@@ -94,9 +101,10 @@ def _points(size: int, percent: int, common: np.ndarray):
                         pa.array(sums[0].view(np.int64)),
                         pa.array(sums[1].view(np.int64)),
                         pa.array([r.tobytes() for r in point], pa.binary()),
+                        pa.array([r.tobytes() for r in odd], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(h[order][on].view(np.int64))),
                     ],
-                    names=["doc_id", "tag", "n_shingles", "s1", "s2", "point", "tokens"],
+                    names=["doc_id", "tag", "n_shingles", "s1", "s2", "point", "odd", "tokens"],
                 )
 
     return run
@@ -106,6 +114,15 @@ def _rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, GROUPS)
 
 
+def _odd(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, FINE // 64)
+
+
+def _both(odd_a: np.ndarray, odd_b: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """How many shingles two sets of `total` together have in common at most, by the parities of the fine groups."""
+    return (total - np.bitwise_count(odd_a ^ odd_b).sum(axis=-1, dtype=np.int64)) // 2
+
+
 def _enough(shared: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
     """If sets of `total` shingles together, `shared` of them at most in both, may be similar enough."""
     return (100 + percent) * shared.astype(np.int64) >= percent * total
@@ -116,8 +133,8 @@ def _bounded(percent: int):
         for part in parts:
             for lo in range(0, part.num_rows, 4000):
                 p = part.slice(lo, 4000)
-                shared = np.minimum(_rows(p["pa"]), _rows(p["pb"])).sum(axis=1, dtype=np.int64)
                 total = p["na"].to_numpy() + p["nb"].to_numpy()
+                shared = np.minimum(np.minimum(_rows(p["pa"]), _rows(p["pb"])).sum(axis=1, dtype=np.int64), _both(_odd(p["oa"]), _odd(p["ob"]), total))
                 fine = pa.array(_enough(shared, total, percent))
                 yield pa.RecordBatch.from_arrays([p["a"], p["b"], pa.array(shared / (total - shared).clip(1))], names=["a", "b", "est"]).filter(fine)
 
@@ -145,15 +162,16 @@ def _meeting(percent: int):
     return run
 
 
-def _unit(point: np.ndarray, n: np.ndarray, grp: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of pairs that may be linked and are of different groups: all of one leaf, or between the sides 0 and 1."""
+def _unit(point: np.ndarray, odd: np.ndarray, n: np.ndarray, grp: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of pairs that may be linked and are of different groups, all of one leaf or between the sides 0 and 1, and their highest similarity."""
     two = side.any()
     order = np.lexsort((n, side))
-    point, n, grp, side = point[order], n[order], grp[order], side[order]
+    point, odd, n, grp, side = point[order], odd[order], n[order], grp[order], side[order]
     cuts = np.unique(np.concatenate((np.arange(0, len(n), BOX), np.flatnonzero(np.diff(side, prepend=side[0])))))
     ends = np.append(cuts[1:], len(n))
     hi, least, on = np.maximum.reduceat(point, cuts), np.minimum.reduceat(n, cuts), side[cuts]
-    a, b = [], []
+    none = np.zeros(0, np.int64)
+    found = [(none, none, np.zeros(0))]
     for i in range(len(cuts)):
         near = _enough(np.minimum(hi[i], hi[i:]).sum(axis=1, dtype=np.int64), least[i] + least[i:], percent)
         for j in i + np.flatnonzero(near & ((on[i:] != on[i]) if two else True)):
@@ -161,21 +179,26 @@ def _unit(point: np.ndarray, n: np.ndarray, grp: np.ndarray, side: np.ndarray, p
             shared = np.minimum(point[x][:, None], point[y][None]).sum(axis=2, dtype=np.int64)
             fine = _enough(shared, n[x][:, None] + n[y][None], percent) & (grp[x][:, None] != grp[y][None])
             p, q = np.nonzero(np.triu(fine, 1) if i == j else fine)
-            a.append(order[cuts[i] + p])
-            b.append(order[cuts[j] + q])
-    none = np.zeros(0, np.int64)
-    return np.concatenate(a or [none]), np.concatenate(b or [none])
+            p, q = cuts[i] + p, cuts[j] + q
+            total = n[p] + n[q]
+            both = np.minimum(shared[p - cuts[i], q - cuts[j]], _both(odd[p], odd[q], total))
+            keep = _enough(both, total, percent)
+            found.append((order[p[keep]], order[q[keep]], (both / (total - both).clip(1))[keep]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def _tree(percent: int):
+def _tree(percent: int, connect: bool):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("unit").combine_chunks()
-        point = _rows(table["point"])
+        point, odd = _rows(table["point"]), _odd(table["odd"])
         unit, doc, n, grp, side = (table[c].to_numpy() for c in ("unit", "doc", "n_shingles", "grp", "side"))
         starts = np.flatnonzero(np.diff(unit, prepend=unit[0] - 1))
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lo, hi in zip(starts, np.append(starts[1:], len(unit)), strict=True):
-            x, y = _unit(point[lo:hi], n[lo:hi], grp[lo:hi], side[lo:hi], percent)
+            x, y, similar = _unit(point[lo:hi], odd[lo:hi], n[lo:hi], grp[lo:hi], side[lo:hi], percent)
+            if connect:
+                on = connecting(x, y, similar, grp[lo:hi])
+                x, y = x[on], y[on]
             a.append(doc[lo:hi][x])
             b.append(doc[lo:hi][y])
         x, y = np.concatenate(a), np.concatenate(b)
@@ -184,12 +207,15 @@ def _tree(percent: int):
     return run
 
 
-def joined_trees(open_: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of different groups that may be linked, under the tokens of open_ (key, doc, grp, n, n_shingles, point)."""
-    cols = ["unit", "bin", "doc", "grp", "side", "n_shingles", "point"]
+def joined_trees(open_: DataFrame, percent: int, connect: bool = False) -> DataFrame:
+    """Distinct pairs (a, b) of different groups that may be linked, under the tokens of open_ (key, doc, grp, n, n_shingles, point, odd).
+
+    connect: of each unit of work only the likeliest pairs that connect its groups.
+    """
+    cols = ["unit", "bin", "doc", "grp", "side", "n_shingles", "point", "odd"]
     small = open_.where(F.col("n") <= LEAF)
     bins = max(1, small.count() // 4096)
-    units = small.select(F.col("key").alias("unit"), F.pmod(F.xxhash64("key"), F.lit(bins)).alias("bin"), "doc", "grp", F.lit(0).alias("side"), "n_shingles", "point")
+    units = small.select(F.col("key").alias("unit"), F.pmod(F.xxhash64("key"), F.lit(bins)).alias("bin"), "doc", "grp", F.lit(0).alias("side"), "n_shingles", "point", "odd")
     large = open_.where(F.col("n") > LEAF)
     if large.limit(1).count():
         # leaves hold one class of sizes, so that only neighbouring classes meet; a large group has leaves of its own
@@ -198,7 +224,7 @@ def joined_trees(open_: DataFrame, percent: int) -> DataFrame:
         groups = large.groupBy("key", "level", "grp").agg(F.count(F.lit(1)).alias("g"))
         own = F.xxhash64("level", "grp", F.pmod(F.xxhash64("doc"), F.ceil(F.col("g") / LEAF)))
         leaf = F.when(F.col("g") > LEAF, own).otherwise(F.xxhash64("level", F.pmod(F.xxhash64("grp"), F.ceil(F.col("c") / LEAF))))
-        points = cut(large.join(sizes, ["key", "level"]).join(groups, ["key", "level", "grp"]).withColumn("leaf", leaf).select("key", "level", "leaf", "doc", "grp", "n_shingles", "point"))
+        points = cut(large.join(sizes, ["key", "level"]).join(groups, ["key", "level", "grp"]).withColumn("leaf", leaf).select("key", "level", "leaf", "doc", "grp", "n_shingles", "point", "odd"))
         boxes = cut(points.groupBy("key", "leaf").applyInArrow(_box, BOX_ROW))
         other = boxes.select("key", F.explode(F.array("level", F.col("level") - 1)).alias("level"), *[F.col(c).alias(f"{c}2") for c in ("leaf", "hi", "least", "most", "g0", "g1")], F.col("level").alias("level2"))
         apart = F.least("g0", "g02") < F.greatest("g1", "g12")
@@ -207,8 +233,8 @@ def joined_trees(open_: DataFrame, percent: int) -> DataFrame:
         meet = cut(boxes.join(other, ["key", "level"]).where(apart & once & sized).mapInArrow(_meeting(percent), "key long, leaf long, leaf2 long"))
         sides = meet.select("key", F.xxhash64("key", "leaf", "leaf2").alias("unit"), F.explode(F.when(F.col("leaf") == F.col("leaf2"), F.array(F.struct("leaf", F.lit(0).alias("side")))).otherwise(F.array(F.struct("leaf", F.lit(0).alias("side")), F.struct(F.col("leaf2").alias("leaf"), F.lit(1).alias("side"))))).alias("at"))
         met = points.join(sides.select("key", "unit", "at.leaf", "at.side"), ["key", "leaf"])
-        units = units.union(met.select("unit", F.col("unit").alias("bin"), "doc", "grp", "side", "n_shingles", "point"))
-    return units.select(*cols).groupBy("bin").applyInArrow(_tree(percent), "a long, b long").distinct()
+        units = units.union(met.select("unit", F.col("unit").alias("bin"), "doc", "grp", "side", "n_shingles", "point", "odd"))
+    return units.select(*cols).groupBy("bin").applyInArrow(_tree(percent, connect), "a long, b long").distinct()
 
 
 def shingle_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
@@ -217,35 +243,43 @@ def shingle_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFra
     points = cut(texts.mapInArrow(_points(size, percent, frequent(texts, size)), POINTS))
     some = points.where("n_shingles > 0 and doc_id is not null")
     same = ["n_shingles", "s1", "s2"]
-    classes = some.groupBy(*same).agg(F.min(F.struct("doc_id", "tag")).alias("m"), F.first("point").alias("point"))
-    classes = cut(classes.select(*same, F.col("m.doc_id").alias("doc_id"), F.col("m.tag").alias("tag"), F.monotonically_increasing_id().alias("doc"), "point"))
+    classes = some.groupBy(*same).agg(F.min(F.struct("doc_id", "tag")).alias("m"), F.first("point").alias("point"), F.first("odd").alias("odd"))
+    classes = cut(classes.select(*same, F.col("m.doc_id").alias("doc_id"), F.col("m.tag").alias("tag"), F.monotonically_increasing_id().alias("doc"), "point", "odd"))
 
     # the topmost level: points under their tokens, those of one set once
     rows = points.where("n_shingles > 0").select(F.explode("tokens").alias("key"), "s1").repartition("key").dropDuplicates(["key", "s1"])
     by_key = Window.partitionBy("key")
     member = rows.select("key", F.col("s1").alias("b"), F.min("s1").over(by_key).alias("a"), F.count(F.lit(1)).over(by_key).alias("n"))
     member = cut(member.where("n > 1"))
-    sides = [classes.select(F.col("s1").alias(x), F.col("doc").alias(f"d{x}"), F.col("n_shingles").alias(f"n{x}"), F.col("point").alias(f"p{x}")) for x in "ab"]
+    sides = [classes.select(F.col("s1").alias(x), F.col("doc").alias(f"d{x}"), F.col("n_shingles").alias(f"n{x}"), F.col("point").alias(f"p{x}"), F.col("odd").alias(f"o{x}")) for x in "ab"]
     stars = member.where("a <> b").select("a", "b").distinct().join(sides[1], "b").join(sides[0], "a")
-    stars = stars.select(F.col("da").alias("a"), F.col("db").alias("b"), "na", "nb", "pa", "pb")
+    stars = stars.select(F.col("da").alias("a"), F.col("db").alias("b"), "na", "nb", "pa", "pb", "oa", "ob")
     likely = cut(stars.mapInArrow(_bounded(percent), "a long, b long, est double"))
     best = likely.groupBy("b").agg(F.max(F.struct("est", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
     links = cut(verified(best, texts, classes, size, percent))
     groups = components(links)
 
-    # what is left: likely pairs and tokens with several groups
-    ends = [groups.select(F.col("node").alias(x), F.col("component").alias(f"g{x}")) for x in "ab"]
-    rest = likely.join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b")
-    labelled = member.where("n > 2").select("key", F.col("b").alias("s1")).join(classes.select("s1", "doc"), "s1")
-    labelled = cut(labelled.join(groups, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("grp")))
-    mixed = labelled.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.sum(F.xxhash64("doc", F.lit(1)) % (1 << 31)).alias("y"))
-    once = mixed.where("lo < hi").groupBy("n", "x", "y").agg(F.min("key").alias("key"))  # tokens over the same points count once
-    open_ = cut(labelled.join(once.select("key", "n"), "key").join(classes.select("doc", "n_shingles", "point"), "doc"))
-    more = rest.union(joined_trees(open_, percent)).distinct().join(best, ["a", "b"], "left_anti")
-    more = cut(verified(more, texts, classes, size, percent))
-    if more.limit(1).count():
-        groups = components(links.union(more))
-    drop_cut(member), drop_cut(labelled), drop_cut(open_)
+    # what is left: likely pairs and tokens with several groups; first what connects them, then all that is still apart
+    done = best
+    for connect in (True, False):
+        ends = [groups.select(F.col("node").alias(x), F.col("component").alias(f"g{x}")) for x in "ab"]
+        rest = likely.join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("ga", "a") != F.coalesce("gb", "b"))
+        if connect:
+            rest = rest.groupBy("b").agg(F.max(F.struct("est", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+        labelled = member.where("n > 2").select("key", F.col("b").alias("s1")).join(classes.select("s1", "doc"), "s1")
+        labelled = cut(labelled.join(groups, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("grp")))
+        mixed = labelled.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.sum(F.xxhash64("doc", F.lit(1)) % (1 << 31)).alias("y"))
+        once = mixed.where("lo < hi").groupBy("n", "x", "y").agg(F.min("key").alias("key"))  # tokens over the same points count once
+        open_ = cut(labelled.join(once.select("key", "n"), "key").join(classes.select("doc", "n_shingles", "point", "odd"), "doc"))
+        more = rest.select("a", "b").union(joined_trees(open_, percent, connect)).distinct()
+        more = cut(more.join(done, ["a", "b"], "left_anti"))
+        new = cut(verified(more, texts, classes, size, percent))
+        drop_cut(labelled), drop_cut(open_)
+        if new.limit(1).count():
+            links = links.union(new)
+            groups = components(links)
+        done = done.union(more)
+    drop_cut(member)
 
     by_class = cut(classes.join(groups, F.col("doc") == F.col("node"), "left").select(*same, "doc_id", F.coalesce("component", "doc").alias("component")))
     least = by_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
