@@ -141,3 +141,16 @@ def test_accepted_keeps_columns(odd, labels):
     assert out.columns == odd.columns
     scores = quality_net.quality_scores(odd, labels).select("doc_id", "score").collect()
     assert Counter(r.doc_id for r in out.collect()) == Counter(r.doc_id for r in scores if r.score >= quality_net.THRESHOLD)
+
+
+def test_sample_has_one_row_for_an_id(spark):
+    """A hundred thousand rows of one labelled id give one row, the same in every order."""
+    from veilstream.llm.labelled import labelled_sample
+
+    rows = spark.range(100_000).selectExpr("7L AS doc_id", "concat('text ', id % 50000) AS text").union(spark.createDataFrame([(8, None), (9, "nine"), (9, "nine"), (10, "ten")], "doc_id long, text string"))
+    labels = spark.createDataFrame([(7, 1), (8, 0), (9, 1), (9, 0), (11, 1), (None, 1), (10, None)], "doc_id long, quality int")
+    one, two = (sorted(tuple(r) for r in labelled_sample(d, labels, 100).collect()) for d in (rows.repartition(5), rows.repartition(2, "text")))
+    assert one == two
+    assert [r[0] for r in one] == [7, 8, 9]
+    assert one[2][1:] == ("nine", 0)
+    assert labelled_sample(rows, labels, 2).count() <= 2
