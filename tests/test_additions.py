@@ -194,11 +194,11 @@ def test_long_differences_are_still_longest():
     rng = random.Random(7)
     for _ in range(60):
         a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 60))] for _ in "ab")
-        steps = diff._longest(a, b)
-        assert [t for k, t in steps if k != "ins"] == a and [t for k, t in steps if k != "del"] == b
-        assert sum(k == "equal" for k, _ in steps) == quadratic(a, b)
+        steps = diff._runs(a, b)
+        assert "".join(t for k, t in steps if k != "ins") == "".join(a) and "".join(t for k, t in steps if k != "del") == "".join(b)
+        assert sum(len(t) for k, t in steps if k == "equal") == quadratic(a, b)
     a, b = ([rng.choice("abcdefgh") for _ in range(4000)] for _ in "ab")
-    assert [t for k, t in diff._longest(a, b) if k != "ins"] == a
+    assert "".join(t for k, t in diff._runs(a, b) if k != "ins") == "".join(a)
 
 
 def test_top_chunks_in_blocks(spark):

@@ -147,7 +147,13 @@ def test_answers_are_gathered(spark, tmp_path):
     parts = spark.createDataFrame([("a", 0, "text", "x"), ("a", 1, "text", "y"), ("a", 2, "done", None), ("b", 0, "text", "z")], "request_id string, seq long, kind string, content string")
     parts.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(parts.schema).parquet(str(tmp_path / "in"))
-    run(stateful.gather_answers(stream).writeStream.format("memory").queryName("answers").outputMode("append"), tmp_path)
+    query = stateful.gather_answers(stream).writeStream.format("memory").queryName("answers").outputMode("append").trigger(processingTime="1 second").start()
+    try:
+        end = time.time() + 90
+        while spark.table("answers").count() < 4 and time.time() < end and query.exception() is None:
+            time.sleep(1)
+    finally:
+        query.stop()
     assert sorted((r.request_id, r.kind, r.content) for r in spark.table("answers").collect()) == [("a", "done", "xy"), ("a", "text", "x"), ("a", "text", "y"), ("b", "text", "z")]
 
 

@@ -56,17 +56,30 @@ def event_hash(previous: Column, body: Column) -> Column:
     return F.sha2(F.concat(previous, body), 256)
 
 
-def chain(events: DataFrame, partition: str, order: str, columns: list[str], start: str = "") -> DataFrame:
-    """events with prev_hash and event_hash, chained in order within each partition of the log (such as a day)."""
+def tails(log: DataFrame, partition: str, order: str) -> DataFrame:
+    """(partition, event_hash): the last hash of each partition of a stored log, from which chain() goes on."""
+    return log.groupBy(partition).agg(F.max_by("event_hash", order).alias("event_hash"))
+
+
+def chain(events: DataFrame, partition: str, order: str, columns: list[str], start: str = "", after: DataFrame | None = None) -> DataFrame:
+    """events with prev_hash and event_hash, chained in order within each partition of the log (such as a day).
+
+    A partition begins with `start`, or goes on from its row of `after` (see tails()).
+    """
     bodies = events.withColumn("_body", canonical(columns))
+    if after is None:
+        bodies = bodies.withColumn("_start", F.lit(start))
+    else:
+        last = after.select(F.col(partition).alias("_p"), F.col("event_hash").alias("_start"))
+        bodies = bodies.join(last, F.col(partition).eqNullSafe(F.col("_p")), "left").drop("_p").withColumn("_start", F.coalesce("_start", F.lit(start)))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, before = None, start
         for part in parts:
             prev, own = [], []
-            for key, body in zip(part["_key"].to_pylist(), part["_body"].to_pylist(), strict=True):
+            for key, body, begin in zip(*(part[c].to_pylist() for c in ("_key", "_body", "_start")), strict=True):
                 if key != last:
-                    last, before = key, start
+                    last, before = key, begin
                 prev.append(before)
                 before = hashlib.sha256((before + body).encode()).hexdigest()
                 own.append(before)
@@ -76,7 +89,7 @@ def chain(events: DataFrame, partition: str, order: str, columns: list[str], sta
 
     bodies = bodies.withColumn("_key", F.to_json(F.struct(partition), {"ignoreNullFields": "false"}))
     shape = bodies.drop("prev_hash", "event_hash").withColumns({"prev_hash": F.lit(""), "event_hash": F.lit("")}).schema
-    return bodies.repartition(partition).sortWithinPartitions(partition, order).mapInArrow(run, shape).drop("_body", "_key")
+    return bodies.repartition(partition).sortWithinPartitions(partition, order).mapInArrow(run, shape).drop("_body", "_key", "_start")
 
 
 def verify(events: DataFrame, partition: str, order: str, columns: list[str]) -> DataFrame:

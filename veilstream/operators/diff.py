@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -19,24 +20,80 @@ def tokenize(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(?U)(\s+|[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_])"), 1)
 
 
-def _longest(a: list[str], b: list[str]) -> list[tuple[str, str]]:
-    """Steps of a longest common subsequence; among equal ways deletions come first when read from the end."""
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    ids: dict[str, int] = {}
-    cx, cy = (np.array([ids.setdefault(t, len(ids)) for t in s], np.int64) for s in (x, y))
+#: Numbers that the furthest points of two texts may take; texts that differ more are compared by their whole table.
+POINTS = 1 << 25
+
+
+def _furthest(x: np.ndarray, y: np.ndarray) -> list[np.ndarray] | None:
+    """For each number d of steps, the furthest place in x on the diagonals -d, -d + 2, … d; the last d is the difference of x and y.
+
+    None if that takes more than POINTS numbers.
+    """
+    n, m, held = len(x), len(y), 0
+    found: list[np.ndarray] = []
+    while True:
+        d = len(found)
+        held += d + 1
+        if held > POINTS:
+            return None
+        k = np.arange(-d, d + 1, 2)
+        if d:
+            before = found[-1]
+            at = np.maximum(np.append(before, -1), np.append(-1, before + 1))
+        else:
+            at = np.zeros(1, np.int32)
+        at = np.where((at < 0) | (at > n) | (at - k > m), np.int32(-(1 << 30)), at).astype(np.int32)
+        on = np.flatnonzero(at >= 0)
+        for _ in range(8):  # most runs of equal tokens off the way are short
+            on = on[(at[on] < n) & (at[on] - k[on] < m)]
+            on = on[x[at[on]] == y[at[on] - k[on]]]
+            if not len(on):
+                break
+            at[on] += 1
+        for j in on.tolist():
+            i, step = int(at[j]), 64
+            while i < n and i - k[j] < m:
+                a, b = x[i : i + step], y[i - k[j] : i - k[j] + step]
+                size = min(len(a), len(b))
+                other = np.flatnonzero(a[:size] != b[:size])
+                i += int(other[0]) if len(other) else size
+                if len(other):
+                    break
+                step *= 2
+            at[j] = i
+        found.append(at)
+        if abs(n - m) <= d and (n - m + d) % 2 == 0 and at[(n - m + d) // 2] >= n:
+            return found
+
+
+def _way_by_points(x: np.ndarray, y: np.ndarray, found: list[np.ndarray]) -> list[str]:
+    """The kinds of steps, read from the end: the place before a deletion can be reached with one step less, else it is an insertion."""
+    i, j, d, steps = len(x), len(y), len(found) - 1, []
+    a, b = x.tolist(), y.tolist()
+    while i or j:
+        if i and j and a[i - 1] == b[j - 1]:
+            steps.append("equal")
+            i, j = i - 1, j - 1
+            continue
+        d -= 1
+        at = (i - 1 - j + d) // 2
+        if i and 0 <= at <= d and found[d][at] >= i - 1:
+            steps.append("del")
+            i -= 1
+        else:
+            steps.append("ins")
+            j -= 1
+    return steps
+
+
+def _way_by_table(x: np.ndarray, y: np.ndarray) -> list[str]:
+    """The same from the table of lengths, of which every root-th row is kept; the rows between are worked out again where the way back passes."""
 
     def row_after(row: np.ndarray, i: int) -> np.ndarray:
         out = np.zeros_like(row)
-        np.maximum.accumulate(np.maximum(row[1:], np.where(cy == cx[i - 1], row[:-1] + 1, 0)), out=out[1:])
+        np.maximum.accumulate(np.maximum(row[1:], np.where(y == x[i - 1], row[:-1] + 1, 0)), out=out[1:])
         return out
 
-    # of the table of lengths every apart-th row is kept; the rows between are worked out again where the way back passes
     apart = max(1, math.isqrt(len(x)))
     row = np.zeros(len(y) + 1, np.int32)
     kept = [row]
@@ -52,36 +109,50 @@ def _longest(a: list[str], b: list[str]) -> list[tuple[str, str]]:
             table.append(row_after(table[-1], k))
         while i > base or (i == 0 and j):
             if i and j and x[i - 1] == y[j - 1]:
-                steps.append(("equal", x[i - 1]))
+                steps.append("equal")
                 i, j = i - 1, j - 1
             elif i and (not j or table[i - 1 - base][j] >= table[i - base][j - 1]):
-                steps.append(("del", x[i - 1]))
+                steps.append("del")
                 i -= 1
             else:
-                steps.append(("ins", y[j - 1]))
+                steps.append("ins")
                 j -= 1
-    return [("equal", t) for t in a[:head]] + steps[::-1] + [("equal", t) for t in a[len(a) - tail :]]
-
+    return steps
 
-def _ops(old: pd.Series, new: pd.Series) -> pd.Series:
-    return pd.Series([[{"kind": k, "text": t} for k, t in _longest(list(a), list(b))] for a, b in zip(old, new, strict=True)])
 
+def _runs(a: list[str], b: list[str]) -> list[tuple[str, str]]:
+    """Runs of one kind along a longest common subsequence; among equal ways deletions come first when read from the end.
 
-def join_runs(ops: Column) -> Column:
-    """Neighbouring operations of one kind as one."""
+    Time and memory grow with the square of the differences, not of the lengths, as long as there are few.
+    """
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    ids: dict[str, int] = {}
+    x, y = (np.array([ids.setdefault(t, len(ids)) for t in s[head : len(s) - tail]], np.int64) for s in (a, b))
+    found = _furthest(x, y)
+    steps = _way_by_table(x, y) if found is None else _way_by_points(x, y, found)
+    out: list[tuple[str, str]] = []
+    i = j = 0
+    kinds = ["equal"] * head + steps[::-1] + ["equal"] * tail
+    for kind, group in itertools.groupby(kinds):
+        n = sum(1 for _ in group)
+        out.append((kind, "".join(b[j : j + n] if kind == "ins" else a[i : i + n])))
+        i, j = i + n * (kind != "ins"), j + n * (kind != "del")
+    return out
 
-    def step(done: Column, op: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.struct(op["kind"].alias("kind"), F.concat(last["text"], op["text"]).alias("text"))
-        return F.when(last["kind"] == op["kind"], F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(op)))
 
-    return F.when(F.size(ops) > 0, F.aggregate(F.slice(ops, F.lit(2), F.size(ops)), F.slice(ops, 1, 1), step)).otherwise(ops)
+def _ops(old: pd.Series, new: pd.Series) -> pd.Series:
+    return pd.Series([[{"kind": k, "text": t} for k, t in _runs(list(a), list(b))] for a, b in zip(old, new, strict=True)])
 
 
 def word_diff(pairs: DataFrame) -> DataFrame:
-    """pairs (…, old, new) with ops: what stays, goes and comes, in order. Null texts are empty."""
+    """pairs (…, old, new) with ops: what stays, goes and comes, in order, neighbours of one kind as one. Null texts are empty."""
     old, new = (tokenize(F.coalesce(c, F.lit(""))) for c in ("old", "new"))
-    return pairs.withColumn("ops", F.pandas_udf(_ops, OPS)(old, new)).withColumn("ops", join_runs(F.col("ops")))
+    return pairs.withColumn("ops", F.pandas_udf(_ops, OPS)(old, new))
 
 
 def diff_html(ops: Column) -> Column:
@@ -152,12 +223,34 @@ def _pair_up(least: float):
     return run
 
 
+def alike(left: DataFrame, right: DataFrame, key: str, least: float) -> DataFrame:
+    """(key, d, i, sim) of rows of left (key, d, words) and right (key, i, words) with similarity() of `least` or more.
+
+    A prefix filter: words stand in one order, the rarest of their document first, and two rows that are alike share one of
+    their first n - ceil(least * n) + 1 words. So a word that all rows have brings no pair, unless all of a row's words are such.
+    """
+    sides = [df.select(F.col(key).alias("k"), F.col(n).alias("id"), "words") for df, n in ((left, "d"), (right, "i"))]
+    words = sides[0].union(sides[1]).select("k", F.explode("words").alias("w")).groupBy("k", "w").agg(F.count(F.lit(1)).alias("often"))
+
+    def prefixes(df: DataFrame, n: str) -> DataFrame:
+        rows = df.select("k", "id", F.size("words").alias("size"), F.explode("words").alias("w")).join(words, ["k", "w"])
+        place = F.row_number().over(Window.partitionBy("k", "id").orderBy("often", "w"))
+        first = rows.withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.lit(least) * F.col("size") - 1e-9) + 1)
+        return first.select("k", F.col("id").alias(n), F.col("size").alias(f"{n}s"), "w")
+
+    sized = F.least("ds", "is") >= F.lit(least) * F.greatest("ds", "is") - 1e-9
+    pairs = prefixes(sides[0], "d").join(prefixes(sides[1], "i"), ["k", "w"]).where(sized).select("k", "d", "i").distinct()
+    a, b = (df.select("k", F.col("id").alias(n), F.col("words").alias(f"{n}w")) for df, n in zip(sides, "di", strict=True))
+    sim = F.size(F.array_intersect("dw", "iw")) / F.greatest(F.size("dw"), F.size("iw"))
+    return pairs.join(a, ["k", "d"]).join(b, ["k", "i"]).withColumn("sim", sim).where(F.col("sim") >= least).select(F.col("k").alias(key), "d", "i", "sim")
+
+
 def likely_moves(changes: DataFrame, key: str = "doc_id", least: float = 0.82) -> DataFrame:
-    """(key, d, i, sim, n): deletions and insertions whose words agree; candidates share at least one rare word of theirs."""
+    """(key, d, i, sim, n): deletions and insertions whose words agree, each in one move at most: the longest deletion first takes what is most like it."""
     rows = changes.withColumn("words", F.array_distinct(F.filter(F.split(normal_block(F.col("text")), " "), lambda w: w != ""))).where(F.size("words") >= 3)
-    a = rows.where("kind = 'del'").select(key, F.col("i").alias("d"), F.col("text").alias("dt"), F.char_length("text").alias("n"), F.explode("words").alias("w"))
-    b = rows.where("kind = 'ins'").select(key, "i", F.col("text").alias("it"), F.explode("words").alias("w"))
-    pairs = a.join(b, [key, "w"]).select(key, "d", "i", "dt", "it", "n").distinct().withColumn("sim", similarity(F.col("dt"), F.col("it"))).where(F.col("sim") >= least)
+    gone = rows.where("kind = 'del'").withColumnRenamed("i", "d")
+    pairs = alike(gone, rows.where("kind = 'ins'"), key, least)
+    pairs = pairs.join(gone.select(key, "d", F.char_length("text").alias("n")), [key, "d"])
     kind = dict(pairs.dtypes)[key]
     return pairs.select(key, "d", "i", "sim", "n").groupBy(key).applyInPandas(_pair_up(least), f"{key} {kind}, d int, i int, sim double, n int")
 

@@ -64,7 +64,7 @@ def model_spans(docs: DataFrame, model: SpanModel | None, threshold: float = 0.5
 
 
 def answers(prompts: DataFrame, model: TextModel, tries: int = 6, wait: float = 5.0, most: int | None = MOST_CHARS) -> DataFrame:
-    """(doc_id, answer) for prompts (doc_id, prompt); a batch that fails is tried again, then answered by null.
+    """(doc_id, answer) for prompts (doc_id, prompt); prompts that a failed call has not answered are asked again, then answered by null.
 
     A prompt is cut to `most` characters (None: not cut); to ask about all of a long text, give a prompt for each chunk
     (chunks.chunk).
@@ -74,15 +74,20 @@ def answers(prompts: DataFrame, model: TextModel, tries: int = 6, wait: float =
         import time
 
         for batch in batches:
-            for left in reversed(range(tries)):
+            left = batch
+            for more in reversed(range(tries)):
                 try:
-                    yield from model(iter([batch]))
-                    break
+                    for out in model(iter([left])):
+                        yield out
+                        left = left[~left["doc_id"].isin(out["doc_id"])]
+                    break  # what the model has passed over in silence stays unanswered
                 except OSError:  # the model's server is not there (yet)
-                    if left:
+                    if more and len(left):
                         time.sleep(wait)
+                if not len(left):
+                    break
             else:
-                yield batch[["doc_id"]].assign(answer=None)
+                yield left[["doc_id"]].assign(answer=None)
 
     return prompts.select("doc_id", F.col("prompt") if most is None else F.substring("prompt", 1, most).alias("prompt")).mapInPandas(run, "doc_id long, answer string")
 

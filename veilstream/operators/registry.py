@@ -19,27 +19,30 @@ from veilstream.functions import fixed, text
 FUZZY_TYPES = ("PER", "ORG", "LOC", "ADDR")
 
 
-def canonical(value: Column, kind: Column, language: str = "ru", whole_words: bool = True, lemma: Callable[[Column], Column] | None = None) -> Column:
-    """The value under which mentions are one entity. Organizations lose their legal form (as whole words, or anywhere) and quotes.
-
-    lemma: from a word to its dictionary form, as a column expression (a Pandas UDF, say); the words of persons go
-    through it, so that declined forms of a name are one entity.
-    """
+def canonical(value: Column, kind: Column, language: str = "ru", whole_words: bool = True) -> Column:
+    """The value under which mentions are one entity. Organizations lose their legal form (as whole words, or anywhere) and quotes."""
     plain = text.collapse(F.lower(text.strip(value)))
     if language != "ru":
         return plain
-    if lemma is not None:
-        words = F.split(plain, " ")
-        most = 6  # words of a name that are looked up one by one; a UDF cannot stand inside of transform()
-        each = [F.when(F.size(words) > i, lemma(F.coalesce(F.get(words, F.lit(i)), F.lit("")))) for i in range(most)]
-        rest = F.when(F.size(words) > most, F.array_join(F.slice(words, most + 1, 1000), " "))
-        plain = F.when(kind == "PER", F.concat_ws(" ", *each, rest)).otherwise(plain)
     edge = ("(?<![\\p{L}\\p{N}])", "(?![\\p{L}\\p{N}])") if whole_words else ("", "")
     forms = "(?U)" + edge[0] + "(?:" + "|".join(fixed.LEGAL_FORMS_REMOVED) + ")" + edge[1]
     org = text.collapse(text.strip(F.regexp_replace(F.regexp_replace(plain, forms, ""), "[«»\"'“”]", "")))
     return F.when(kind == "ORG", F.when(org != "", org).otherwise(plain)).otherwise(plain)
 
 
+def with_lemmas(rows: DataFrame, lemma: Callable[[Column], Column], value: str = "canonical", kind: str = "entity_type") -> DataFrame:
+    """rows in which the words of persons' values are replaced by their dictionary forms, so that declined forms of a name are one entity.
+
+    lemma: from a word to its dictionary form, as a column expression (a Pandas UDF, say). Each distinct value is looked up
+    once, word by word, however many words it has.
+    """
+    values = rows.where(F.col(kind) == "PER").select(F.col(value).alias("_v")).distinct()
+    words = values.select("_v", F.posexplode(F.split("_v", " ")).alias("_i", "_w")).withColumn("_l", lemma(F.col("_w")))
+    named = words.groupBy("_v").agg(F.array_sort(F.collect_list(F.struct("_i", "_l"))).alias("_l")).select("_v", F.array_join(F.col("_l._l"), " ").alias("_l"))
+    found = rows.join(named, (F.col(value) == F.col("_v")) & (F.col(kind) == "PER"), "left")
+    return found.withColumn(value, F.coalesce("_l", value)).drop("_v", "_l")
+
+
 def label(kind: Column, language: str = "ru") -> Column:
     """The label of a type's placeholders; other types are their own label."""
     table = F.create_map(*[F.lit(x) for t, ru, en, _, _ in fixed.ENTITY_TYPES for x in (t, ru if language == "ru" else en)])
@@ -92,7 +95,9 @@ def placeholders(spans: DataFrame, language: str = "ru", numbering: str = "rever
     from the start. Types share an entity of equal canonical value unless strict_types. Exact values are resolved by
     grouping; with fuzzy, a session's distinct values (not its mentions) go through one ordered pass.
     """
-    rows = spans.withColumn("canonical", canonical(F.col("text"), F.col("entity_type"), language, lemma=lemma))
+    rows = spans.withColumn("canonical", canonical(F.col("text"), F.col("entity_type"), language))
+    if lemma is not None and language == "ru":
+        rows = with_lemmas(rows, lemma)
     sign = -1 if numbering == "reverse" else 1
     rows = rows.withColumn("ord", F.struct((sign * F.col("doc_id")).alias("d"), (sign * F.col("start")).alias("s")))
     key = ["session_id", "canonical", *(["entity_type"] if strict_types else [])]

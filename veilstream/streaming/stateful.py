@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -27,6 +28,30 @@ def append_events(events: DataFrame, path: str, checkpoint: str):
     return rows.writeStream.format("json").partitionBy("date").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def chain_events(events: DataFrame, partition: str, order: str, columns: list[str], start: str = "") -> DataFrame:
+    """(partition, order, body, prev_hash, event_hash) for a stream of events: audit.chain() that goes on from batch to batch.
+
+    State is the last hash of each partition of the log. Events are chained in the order of `order` within a batch and in that
+    of arrival between batches; `body` is the JSON that was hashed.
+    """
+    rows = events.select(partition, order, audit.canonical(columns).alias("body"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def run(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else start
+        batch = pd.concat(list(parts)).sort_values(order, kind="stable")
+        before, own = [], []
+        for body in batch["body"]:
+            before.append(last)
+            last = hashlib.sha256((last + body).encode()).hexdigest()
+            own.append(last)
+        state.update((last,))
+        yield batch[[partition, order, "body"]].assign(prev_hash=before, event_hash=own)
+
+    shape = f"{partition} {kinds[partition]}, {order} {kinds[order]}, body string, prev_hash string, event_hash string"
+    return rows.groupBy(partition).applyInPandasWithState(run, shape, "last string", "append", GroupStateTimeout.NoTimeout)
+
+
 def limit_logins(attempts: DataFrame, seconds: int = 300, most: int = 8, late: str = "1 hour") -> DataFrame:
     """(ip, username, attempt_id, ts, failures, blocked) for a stream of attempts; state is the times of recent failures.
 
@@ -74,27 +99,47 @@ def stream_answers(requests: DataFrame, provider: Callable[[str], Iterator[str]]
     return requests.select("request_id", "prompt").mapInPandas(run, "request_id string, seq long, kind string, content string")
 
 
-def gather_answers(parts: DataFrame) -> DataFrame:
-    """(request_id, kind, content) from a stream (request_id, seq, kind, content): each text as it comes, the whole once `done` is there."""
+class Answers(StatefulProcessor):
+    """The parts of an answer by their number, and where it ends; a part goes out when all before it are there."""
 
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        text = state.get[0] if state.exists else ""
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        ttl = HOURS * 3600 * 1000
+        self.parts = handle.getMapState("parts", "seq long", "content string", ttl)
+        self.place = handle.getValueState("place", "next long, last long, kind string, content string", ttl)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        given, last, kind, content = self.place.get() if self.place.exists() else (0, -1, "", "")
         out = []
-        for r in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
-            if r.kind == "text":
-                text += r.content or ""
-                out.append((key[0], "text", r.content))
-            elif r.kind in ("done", "error"):
-                out.append((key[0], r.kind, text if r.kind == "done" else r.content))
-        ended = bool(out) and out[-1][1] in ("done", "error")
-        if ended:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((text,))
+        if given >= 0:  # an answer that has ended takes no more parts
+            for batch in rows:
+                for r in batch.itertuples(index=False):
+                    if r.kind == "text":
+                        self.parts.updateValue((int(r.seq),), (r.content or "",))
+                    elif r.kind in ("done", "error") and (last < 0 or r.seq < last):
+                        last, kind, content = int(r.seq), r.kind, r.content
+            while (last < 0 or given < last) and self.parts.containsKey((given,)):
+                out.append((key[0], "text", self.parts.getValue((given,))[0]))
+                given += 1
+            if 0 <= last == given:
+                whole = "".join(self.parts.getValue((n,))[0] for n in range(last)) if kind == "done" else content
+                out.append((key[0], kind, whole))
+                self.parts.clear()
+                given = -1
+            self.place.update((given, last, kind, content))
         yield pd.DataFrame(out, columns=["request_id", "kind", "content"])
 
-    return parts.groupBy("request_id").applyInPandasWithState(run, "request_id string, kind string, content string", "text string", "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def gather_answers(parts: DataFrame) -> DataFrame:
+    """(request_id, kind, content) from a stream (request_id, seq, kind, content): each text in order once those before it have come, the whole once `done` and all before it are there.
+
+    Parts may come in any order over any batches, and `done` before parts. Numbers begin at 0. An answer's state goes HOURS after
+    its last part; it stays that long after its end, so that late copies of parts are not taken for a new answer. Needs the
+    RocksDB state store.
+    """
+    return parts.groupBy("request_id").transformWithStateInPandas(Answers(), "request_id string, kind string, content string", "append", "ProcessingTime")
 
 
 class Placeholders(StatefulProcessor):
