@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from veilstream.functions import checksums, fixed
 from veilstream.operators import analytics, audit, chunks, diff, evaluate, filters, models, pipeline, policy, recognize, registry, restore, spans, stores
-from veilstream.plans import details, golden
+from veilstream.plans import details, golden, growth
 from veilstream.plans.registered import oracle_sql, queries, query, read
 from veilstream.sources import documents as sources
 from veilstream.sources.tables import settled
 
-__all__ = ["details", "oracle_sql", "queries"]
+__all__ = ["details", "growth", "oracle_sql", "queries"]
 
 EMAIL, PHONE, IP = (r.pattern for r in recognize.LATIN)
 

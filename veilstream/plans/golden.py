@@ -111,7 +111,7 @@ ROLE_FORMS = (
     "страховая компания", "страховую компанию", "пульт", "пульте", "истец", "ответчик", "заявитель", "участника", "участники",
     "представителем", "представителям", "обвиняемый", "потерпевший", "свидетель", "эксперт", "заявка", "заявки", "заявкой", "заявками",
     "приложение", "приложении", "приложения", "приложением", "дополнение", "акт", "протокол", "накладная", "договор", "контракт", "соглашение",
-    "счёт-фактура", "положение", "положения", "положении", "положению", "положением", "политику", "политикой", "памятки", "памятке",
+    "счёт-фактура", "положение", "положения", "положении", "положению", "положением", "политика", "политики", "политике", "политику", "политикой", "памятка", "памятки", "памятке", "памятку", "памяткой", "заявке", "заявку",
     "заключен", "заключён", "заключили", "заключённый",
 )
 
