@@ -8,6 +8,7 @@ import pytest
 from tests.llm.conftest import prose
 from veilstream.llm import hashing as H
 from veilstream.llm import near_dedup, shingle_join
+from veilstream.llm.common import connecting
 from veilstream.llm.quality_rules import base_counts
 from veilstream.llm.repeats import remove_repeats
 
@@ -101,14 +102,18 @@ def test_points_under_a_bound(spark):
     a, b = rng.poisson(3, (50, shingle_join.GROUPS)), rng.poisson(3, (50, shingle_join.GROUPS))
     n = a.sum(1)
     pairs = {(i, j) for i in range(50) for j in range(i) if 185 * np.minimum(a[i], a[j]).sum() >= 85 * (n[i] + n[j])}
-    x, y = shingle_join._unit(a.astype("<u4"), n, np.arange(50), np.zeros(50, int), 85)
+    same = np.zeros((100, shingle_join.FINE // 64), "<u8")  # equal parities: only the counts decide
+    x, y, _ = shingle_join._unit(a.astype("<u4"), same[:50], n, np.arange(50), np.zeros(50, int), 85)
     assert {(max(i, j), min(i, j)) for i, j in zip(x.tolist(), y.tolist(), strict=True)} == pairs
     side = np.repeat([0, 1], 50)
     both = np.concatenate((a, b)).astype("<u4")
     n = both.sum(1)
-    x, y = shingle_join._unit(both, n, np.arange(100), side, 30)
+    x, y, similar = shingle_join._unit(both, same, n, np.arange(100), side, 30)
     want = {(i, j) for i in range(50) for j in range(50, 100) if 130 * np.minimum(both[i], both[j]).sum() >= 30 * (n[i] + n[j])}
     assert {tuple(sorted(p)) for p in zip(x.tolist(), y.tolist(), strict=True)} == want
+    on = connecting(x, y, similar, np.arange(100) // 10)
+    assert on.sum() <= 9
+    assert similar[on].max() == similar.max()
 
 
 def thue_morse(n):
@@ -151,3 +156,22 @@ def test_exact_shingles():
         assert [len(x) for x in got] == [len(x) for x in want]
         for i in range(len(texts)):
             assert all(len(np.intersect1d(got[i], got[j])) == len(want[i] & want[j]) for j in range(i))
+
+
+def test_parities_of_large_sets(spark):
+    """Sets differ in at least as many shingles as their parities differ in groups, whatever the numbers of groups."""
+    rng = np.random.default_rng(4)
+    for n, other in ((3000, 3000), (3000, 9000), (1500, 40)):
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        b = np.concatenate((a[: n - other // 4], rng.integers(0, 2**63, other).astype(np.uint64)))
+        x, y = (shingle_join._parities(H.mix(z), 1 << int(2 * len(z) - 1).bit_length()) for z in (a, b))
+        unlike = len(np.setxor1d(a, b))
+        assert min(0.5 * unlike, 3000) <= shingle_join._apart(x, y) <= unlike
+    words = [f"v{k}" for k in range(4000)]
+    rows = []
+    for i, edits in enumerate((0, 30, 150, 170, 700)):
+        w = list(words)
+        for k in range(edits):
+            w[k * 4000 // max(edits, 1)] = f"n{i}x{k}"
+        rows.append((i, " ".join(w)))
+    held(table(spark, rows), rows)

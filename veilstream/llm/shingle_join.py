@@ -10,8 +10,8 @@ one order of all shingles, and two similar texts meet under at least one of them
 to be frequent stand last in that order, so a common passage brings no unlike texts together; any order gives the same
 links. Under a token stand leaves of points of one class of sizes with their boxes, in a leaf boxes of 16 points.
 
-Points that pass are held against a finer one: the parities of FINE groups, in which two sets differ no more often than
-they differ in shingles.
+Points that pass are held against finer ones: the parities of FINE groups, in which two sets differ no more often than
+they differ in shingles, and for sets of over WIDE shingles those of at least twice as many groups as they have shingles.
 
 Links. First each point under a token meets the least one there. Pairs that pass the bounds are verified on the words
 themselves, the likeliest of each point first, and verified links are grouped. Then the trees of tokens that still hold
@@ -38,7 +38,7 @@ from veilstream.llm.common import connecting, cut, drop_cut
 from veilstream.llm.components import components
 from veilstream.llm.similar import verified
 
-GROUPS, FINE = 64, 2048
+GROUPS, FINE, WIDE = 64, 2048, 1024
 #: Points of a leaf that is joined in one task, and of the boxes in it.
 LEAF, BOX = 512, 16
 #: One text in SAMPLE is looked at for frequent shingles: those in at least FREQUENT of these texts, the most frequent
@@ -46,7 +46,7 @@ LEAF, BOX = 512, 16
 SAMPLE, FREQUENT, MOST = 64, 4, 1 << 16
 
 _U = np.uint64
-POINTS = "doc_id long, tag long, n_shingles long, s1 long, s2 long, point binary, odd binary, tokens array<long>"
+POINTS = "doc_id long, tag long, n_shingles long, s1 long, s2 long, point binary, odd binary, wide binary, tokens array<long>"
 
 
 def _shingle_rows(size: int):
@@ -65,6 +65,22 @@ def frequent(texts: DataFrame, size: int) -> np.ndarray:
     return np.sort(found["h"].to_numpy().astype(np.int64).view(_U))
 
 
+def _parities(h: np.ndarray, bits: int) -> bytes:
+    """For each of `bits` groups (a power of two) whether an odd number of the hashes fall on it."""
+    bit = (h & _U(bits - 1)).astype(np.int64)
+    out = np.zeros(bits // 8, np.uint8)
+    np.bitwise_xor.at(out, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
+    return out.tobytes()
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """In how many groups two sets' parities differ; the finer groups are joined to those of the other."""
+    x, y = (np.frombuffer(z, "<u8") for z in (a, b))
+    least = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, least), axis=0) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _points(size: int, percent: int, common: np.ndarray):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()  # sets of this task that have been dealt out
@@ -84,6 +100,10 @@ def _points(size: int, percent: int, common: np.ndarray):
                 often = np.isin(h, common)
                 order = np.lexsort((H.mix(h ^ H.STEPS[1]), often, doc))
                 place = np.arange(len(h)) - np.repeat(np.cumsum(count) - count, count)
+                wide: list[bytes | None] = [None] * n
+                for i in np.flatnonzero(count > WIDE).tolist():
+                    own = H.mix(h[order[count[:i].sum() :][: count[i]]] ^ H.STEPS[7])
+                    wide[i] = _parities(own, 1 << int(2 * count[i] - 1).bit_length())
                 most = count - (percent * count + 99) // 100 + 1
                 first = np.zeros(n, bool)
                 for i, name in enumerate(zip(sums[0].tolist(), sums[1].tolist(), strict=True)):
@@ -102,9 +122,10 @@ def _points(size: int, percent: int, common: np.ndarray):
                         pa.array(sums[1].view(np.int64)),
                         pa.array([r.tobytes() for r in point], pa.binary()),
                         pa.array([r.tobytes() for r in odd], pa.binary()),
+                        pa.array(wide, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(h[order][on].view(np.int64))),
                     ],
-                    names=["doc_id", "tag", "n_shingles", "s1", "s2", "point", "odd", "tokens"],
+                    names=["doc_id", "tag", "n_shingles", "s1", "s2", "point", "odd", "wide", "tokens"],
                 )
 
     return run
@@ -141,6 +162,22 @@ def _bounded(percent: int):
     return run
 
 
+def _narrow(percent: int):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in parts:
+            total = (p["na"].to_numpy() + p["nb"].to_numpy()).tolist()
+            keep = [x is None or y is None or (100 + percent) * (t - _apart(x, y)) >= 2 * percent * t for x, y, t in zip(p["wa"].to_pylist(), p["wb"].to_pylist(), total, strict=True)]
+            yield p.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def narrowed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b) that the parities of large sets do not rule out."""
+    one, two = (classes.select(F.col("doc").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("wide").alias(f"w{x}")) for x in "ab")
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "na", "nb", "wa", "wb").mapInArrow(_narrow(percent), "a long, b long")
+
+
 def _box(table: pa.Table) -> pa.Table:
     """The box of one leaf: its largest counts, the least and the largest size, the least and the largest group."""
     n, grp = table["n_shingles"].to_numpy(), table["grp"].to_numpy()
@@ -243,8 +280,8 @@ def shingle_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFra
     points = cut(texts.mapInArrow(_points(size, percent, frequent(texts, size)), POINTS))
     some = points.where("n_shingles > 0 and doc_id is not null")
     same = ["n_shingles", "s1", "s2"]
-    classes = some.groupBy(*same).agg(F.min(F.struct("doc_id", "tag")).alias("m"), F.first("point").alias("point"), F.first("odd").alias("odd"))
-    classes = cut(classes.select(*same, F.col("m.doc_id").alias("doc_id"), F.col("m.tag").alias("tag"), F.monotonically_increasing_id().alias("doc"), "point", "odd"))
+    classes = some.groupBy(*same).agg(F.min(F.struct("doc_id", "tag")).alias("m"), F.first("point").alias("point"), F.first("odd").alias("odd"), F.first("wide").alias("wide"))
+    classes = cut(classes.select(*same, F.col("m.doc_id").alias("doc_id"), F.col("m.tag").alias("tag"), F.monotonically_increasing_id().alias("doc"), "point", "odd", "wide"))
 
     # the topmost level: points under their tokens, those of one set once
     rows = points.where("n_shingles > 0").select(F.explode("tokens").alias("key"), "s1").repartition("key").dropDuplicates(["key", "s1"])
@@ -256,7 +293,7 @@ def shingle_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFra
     stars = stars.select(F.col("da").alias("a"), F.col("db").alias("b"), "na", "nb", "pa", "pb", "oa", "ob")
     likely = cut(stars.mapInArrow(_bounded(percent), "a long, b long, est double"))
     best = likely.groupBy("b").agg(F.max(F.struct("est", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    links = cut(verified(best, texts, classes, size, percent))
+    links = cut(verified(narrowed(best, classes, percent), texts, classes, size, percent))
     groups = components(links)
 
     # what is left: likely pairs and tokens with several groups; first what connects them, then all that is still apart
@@ -273,7 +310,7 @@ def shingle_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFra
         open_ = cut(labelled.join(once.select("key", "n"), "key").join(classes.select("doc", "n_shingles", "point", "odd"), "doc"))
         more = rest.select("a", "b").union(joined_trees(open_, percent, connect)).distinct()
         more = cut(more.join(done, ["a", "b"], "left_anti"))
-        new = cut(verified(more, texts, classes, size, percent))
+        new = cut(verified(narrowed(more, classes, percent), texts, classes, size, percent))
         drop_cut(labelled), drop_cut(open_)
         if new.limit(1).count():
             links = links.union(new)
