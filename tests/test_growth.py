@@ -147,3 +147,71 @@ def test_lemmas_of_long_names(spark):
     given, mapping = registry.placeholders(rows, lemma=lemma)
     assert given.select("placeholder").distinct().count() == 2
     assert len(mapping.where("entity_type = 'PER'").first().canonical.split(" ")) == 1500
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def folded(values):
+    """Values in order: each joins the first earlier entity of its session and type that is close enough."""
+    entities, out = [], {}
+    for s, v, k, o in sorted(values, key=lambda r: (r[3], r[2], r[1])):
+        most = min(len(v) // 4, 4)
+        head = next((e for es, e, ek in entities if es == s and ek == k and most and distance(e, v) <= most), None)
+        if head is None:
+            entities.append((s, v, k))
+        out[s, v, k, o] = head or v
+    return out
+
+
+def edited(rng, value, times):
+    for _ in range(times):
+        at = rng.randrange(len(value) + 1)
+        value = rng.choice([value[:at] + rng.choice("abc") + value[at:], value[:at] + value[at + 1 :], value[:at] + rng.choice("abc") + value[at + 1 :]])
+    return value
+
+
+def test_pieces_miss_no_close_pair():
+    rng = random.Random(6)
+    for _ in range(4000):
+        a = "".join(rng.choice("abcde") for _ in range(rng.randint(3, 24)))
+        b = edited(rng, a, rng.randint(0, 5))
+        most = min(len(b) // 4, 4)
+        if most and a != b and distance(a, b) <= most:
+            assert set(registry._kept_pieces(a)) & set(registry._sought_pieces(b)), (a, b)
+
+
+def test_fuzzy_entities_equal_the_fold(spark):
+    """Chains of edited names, several sessions and types, ties of order: as one value after the other would be taken."""
+    rng = random.Random(7)
+    values = {}
+    for s in ("s", "t"):
+        for _ in range(6):
+            base = "".join(rng.choice("abcdef") for _ in range(rng.randint(4, 20)))
+            for _ in range(8):
+                base = edited(rng, base, rng.randint(0, 3)) or "x"
+                kind = rng.choice(["PER", "ORG"])
+                values.setdefault((s, base, kind), f"{rng.randrange(60):05d}")
+    rows = [(s, v, k, o) for (s, v, k), o in values.items()]
+    df = spark.createDataFrame(rows, "session_id string, canonical string, entity_type string, ord string")
+    got = {(r.session_id, r.canonical, r.entity_type, r.ord): r.entity for r in registry.fuzzy_entities(df, ("PER", "ORG")).collect()}
+    assert got == folded(rows)
+    only = {(r.session_id, r.canonical, r.entity_type): r.entity for r in registry.fuzzy_entities(df, ("PER",)).collect()}
+    assert all(e == v for (_, v, k), e in only.items() if k == "ORG")
+
+
+def test_a_session_of_many_names(spark):
+    """Forty thousand names, every other one with a letter more: each pair is one entity."""
+    n = 40_000
+    name = F.substring(F.md5(F.floor(F.col("id") / 2).cast("string")), 1, 18)
+    df = spark.range(n).select(F.lit("s").alias("session_id"), F.when(F.col("id") % 2 == 0, name).otherwise(F.concat(name, F.lit("x"))).alias("canonical"), F.lit("PER").alias("entity_type"), F.format_string("%09d", "id").alias("ord"))
+    out = registry.fuzzy_entities(df, ("PER",))
+    assert out.count() == n
+    assert out.where("entity = canonical").count() == n // 2

@@ -7,13 +7,15 @@ from __future__ import annotations
 
 import hashlib
 import hmac
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilstream.functions import fixed, text
+from veilstream.sources.tables import settled
 
 #: Types whose values may be matched with small differences. Numbers are not: one digit makes another number.
 FUZZY_TYPES = ("PER", "ORG", "LOC", "ADDR")
@@ -54,46 +56,94 @@ def edit_limit(length: Column) -> Column:
     return F.least(F.floor(length / 4), F.lit(4)).cast("int")
 
 
-def _close(a: str, b: str, most: int) -> bool:
-    """Whether at most `most` edits lead from a to b; only a band of the table is filled."""
-    if abs(len(a) - len(b)) > most:
-        return False
-    row = {j: j for j in range(min(len(b), most) + 1)}
-    for i, x in enumerate(a, 1):
-        new = {}
-        for j in range(max(0, i - most), min(len(b), i + most) + 1):
-            left, up, both = new.get(j - 1, most + 1), row.get(j, most + 1), row.get(j - 1, most + 1)
-            new[j] = min(left + 1, up + 1, both + (j == 0 or x != b[j - 1])) if j else i
-        row = new
-    return row.get(len(b), most + 1) <= most
-
-
-def _fold(fuzzy_types: tuple[str, ...] | None):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        """Distinct values in order; each joins the first earlier entity of its type that is close enough."""
-        entities: dict[tuple[str, int], list[tuple[int, str]]] = {}  # by type and length, as only like lengths are close
-        out = []
-        for n, (value, kind) in enumerate(group.sort_values("ord")[["canonical", "entity_type"]].itertuples(index=False)):
-            most = min(len(value) // 4, 4) if fuzzy_types is None or kind in fuzzy_types else 0
-            near = [next((e for e in entities.get((kind, k), ()) if _close(value, e[1], most)), None) for k in range(len(value) - most, len(value) + most + 1)] if most else []
-            hit = min((e for e in near if e), default=None)
-            if hit is None:
-                hit = (n, value)
-                entities.setdefault((kind, len(value)), []).append(hit)
-            out.append(hit)
-        done = group.sort_values("ord").reset_index(drop=True)
-        done["entity"] = [e[1] for e in out]
-        return done[["session_id", "canonical", "entity_type", "ord", "entity"]]
+def _limit(length: int) -> int:
+    return min(length // 4, 4)
+
+
+def _segments(length: int, most: int) -> list[tuple[int, int]]:
+    """(start, size) of the most + 1 segments that a value of this length is cut into."""
+    size, longer = divmod(length, most + 1)
+    sizes = [size + (i > most - longer) for i in range(most + 1)]
+    return [(sum(sizes[:i]), n) for i, n in enumerate(sizes)]
+
+
+def _kept_pieces(value: str) -> Iterator[str]:
+    """Segments under which a value is found by values that let pass 1, 2, 3 or 4 edits and are of like length."""
+    n = len(value)
+    for most in range(1, 5):
+        if any(_limit(k) == most for k in range(max(0, n - most), n + most + 1)) and n > most:
+            for i, (at, size) in enumerate(_segments(n, most)):
+                yield f"{most} {n} {i} {value[at : at + size]}"
+
+
+def _sought_pieces(value: str) -> Iterator[str]:
+    """Pieces of a value that equal a segment of each value with at most _limit() edits: of most + 1 segments one has no edit, and
+    the edits before and behind it bound how far it is shifted."""
+    n, most = len(value), _limit(len(value))
+    for other in range(n - most, n + most + 1) if most else ():
+        for i, (at, size) in enumerate(_segments(other, most)):
+            least, last = max(at - i, at + (n - other) - (most - i), 0), min(at + i, at + (n - other) + (most - i), n - size)
+            for k in range(least, last + 1):
+                yield f"{most} {other} {i} {value[k : k + size]}"
+
+
+def _pieces(pieces: Callable[[str], Iterator[str]], n: int):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for lo in range(0, part.num_rows, 1000):
+                p = part.slice(lo, 1000)
+                found = [list(dict.fromkeys(pieces(v or ""))) for v in p.column(n).to_pylist()]
+                rows = pa.array([i for i, x in enumerate(found) for _ in x], pa.int64())
+                yield pa.RecordBatch.from_arrays([*[c.take(rows) for c in p.columns], pa.array([y for x in found for y in x], pa.string())], names=[*p.schema.names, "piece"])
 
     return run
 
 
+def close_values(values: DataFrame) -> DataFrame:
+    """(session_id, entity_type, at, value, before, head) for values (session_id, entity_type, at, value): the earlier values (by at) of
+    the session and type from which at most _limit() edits lead to a value.
+
+    Pairs meet under equal pieces, so work does not grow with the square of a session's values; each pair is verified.
+    """
+    key = ["session_id", "entity_type"]
+    kinds = {f.name: f.dataType.simpleString() for f in values.schema}
+    shape = ", ".join(f"{c} {kinds[c]}" for c in (*key, "at", "value")) + ", piece string"
+    rows = values.select(*key, "at", "value")
+    kept, sought = (rows.mapInArrow(_pieces(f, 3), shape) for f in (_kept_pieces, _sought_pieces))
+    pairs = sought.join(kept.select(*key, "piece", F.col("at").alias("before"), F.col("value").alias("head")), [*key, "piece"]).where("before < at")
+    pairs = pairs.drop("piece").distinct()
+    return pairs.where(F.levenshtein("head", "value", 4).between(0, edit_limit(F.char_length("value"))))
+
+
+def fuzzy_entities(values: DataFrame, fuzzy_types: tuple[str, ...] | None) -> DataFrame:
+    """values (session_id, canonical, entity_type, ord) with `entity`: in order, each joins the first earlier entity of its type that is close enough.
+
+    An earlier value that has joined another is no entity, so it is settled in rounds: a value whose first close value is an
+    entity joins it, and what has joined is struck out for later values. All values of a chain are settled within its length.
+    """
+    some = values if fuzzy_types is None else values.where(F.col("entity_type").isin(*fuzzy_types))
+    at = F.concat_ws("|", "ord", "entity_type", "canonical")
+    left = settled(close_values(some.select("session_id", "entity_type", at.alias("at"), F.col("canonical").alias("value"))).select("session_id", "at", "before", "head"))
+    joined = None
+    while left.limit(1).count():
+        open_ = left.select("session_id", F.col("at").alias("before")).distinct().withColumn("open", F.lit(True))
+        first = left.groupBy("session_id", "at").agg(F.min(F.struct("before", "head")).alias("f")).select("session_id", "at", "f.before", "f.head")
+        now = settled(first.join(open_, ["session_id", "before"], "left").where("open is null").select("session_id", "at", "head"))
+        joined = now if joined is None else joined.union(now)
+        gone = now.select("session_id", "at")
+        left = settled(left.join(gone, ["session_id", "at"], "left_anti").join(gone.withColumnRenamed("at", "before"), ["session_id", "before"], "left_anti").select("session_id", "at", "before", "head"))
+    if joined is None:
+        return values.withColumn("entity", F.col("canonical"))
+    found = values.withColumn("at", at).join(joined, ["session_id", "at"], "left")
+    return found.withColumn("entity", F.coalesce("head", "canonical")).drop("at", "head")
+
+
 def placeholders(spans: DataFrame, language: str = "ru", numbering: str = "reverse", fuzzy: bool = False, legacy_fuzzy: bool = False, strict_types: bool = False, lemma: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """spans (session_id, doc_id, ...) with `placeholder`, and the mapping.
 
     Entities are numbered per session and label in the order in which they are first met, from the end of the texts or
     from the start. Types share an entity of equal canonical value unless strict_types. Exact values are resolved by
-    grouping; with fuzzy, a session's distinct values (not its mentions) go through one ordered pass.
+    grouping; with fuzzy, a session's distinct values (not its mentions) are joined with those that differ little.
     """
     rows = spans.withColumn("canonical", canonical(F.col("text"), F.col("entity_type"), language))
     if lemma is not None and language == "ru":
@@ -104,8 +154,7 @@ def placeholders(spans: DataFrame, language: str = "ru", numbering: str = "rever
     first = rows.groupBy(*key).agg(F.min("ord").alias("ord"), *([] if strict_types else [F.min_by("entity_type", "ord").alias("entity_type")]))
     if fuzzy or legacy_fuzzy:
         shape = first.select("session_id", "canonical", "entity_type", F.concat_ws(",", F.format_string("%020d", F.col("ord.d") + 2**62), F.format_string("%020d", F.col("ord.s") + 2**62)).alias("ord"))
-        kinds = {f.name: f.dataType.simpleString() for f in shape.schema}
-        entity = shape.groupBy("session_id").applyInPandas(_fold(None if legacy_fuzzy else FUZZY_TYPES), f"session_id {kinds['session_id']}, canonical string, entity_type string, ord string, entity string")
+        entity = fuzzy_entities(shape, None if legacy_fuzzy else FUZZY_TYPES)
     else:
         entity = first.withColumn("entity", F.col("canonical"))
     entity = entity.withColumn("label", label(F.col("entity_type"), language))
