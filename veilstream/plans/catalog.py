@@ -612,9 +612,11 @@ def gathered_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.gathered(parts.union(ends)).select(F.col("request_id").cast("long").alias("conv_id"), "n", F.sha2("whole", 256).alias("sha"))
 
 
-@query("SELECT lang AS bundle, sha256(string_agg(trim(text, E' \\t\\r\\n'), E'\\n\\n' ORDER BY doc_id)) AS sha, CAST(sum(n_chars) AS BIGINT) AS page_count FROM documents WHERE length(trim(text, E' \\t\\r\\n')) > 0 GROUP BY 1")
+@query("SELECT lang || '/' || doc_id // 100 AS bundle, sha256(string_agg(trim(text, E' \\t\\r\\n'), E'\\n\\n' ORDER BY doc_id)) AS sha, CAST(sum(n_chars) AS BIGINT) AS page_count FROM documents WHERE length(trim(text, E' \\t\\r\\n')) > 0 GROUP BY 1")
 def document_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "documents").select(F.col("lang").alias("bundle"), "doc_id", "text", F.col("n_chars").alias("page_count"), F.lit(False).alias("ocr_used"), F.lit(None).cast("array<string>").alias("warnings"))
+    """A bundle for each language and hundred ids, so that no bundle grows with the table."""
+    block = F.concat("lang", F.lit("/"), F.floor(F.col("doc_id") / 100).cast("string"))
+    rows = read(spark, sf_dir, "documents").select(block.alias("bundle"), "doc_id", "text", F.col("n_chars").alias("page_count"), F.lit(False).alias("ocr_used"), F.lit(None).cast("array<string>").alias("warnings"))
     return sources.combined_digests(rows, "bundle", "doc_id")
 
 
