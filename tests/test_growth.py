@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from veilstream.operators import audit, diff, models, registry
+from veilstream.operators import analytics, audit, diff, models, registry
 from veilstream.streaming import stateful
 
 
@@ -215,3 +215,19 @@ def test_a_session_of_many_names(spark):
     out = registry.fuzzy_entities(df, ("PER",))
     assert out.count() == n
     assert out.where("entity = canonical").count() == n // 2
+
+
+def test_quantiles_of_a_hot_day(spark):
+    """One day with 99% of the rows: ranks within days are gapless, and quantiles those of numpy."""
+    rng = random.Random(8)
+    rows = [("a" if k % 100 else rng.choice(["b", None]), rng.choice([None, float(rng.randrange(50)), rng.random()])) for k in range(5000)]
+    df = spark.createDataFrame(rows, "day string, ms double").repartition(6)
+    got = analytics.ranks(df, "ms", "day").collect()
+    for day in ("a", "b", None):
+        values = sorted(v for d, v in rows if d == day and v is not None)
+        mine = sorted((r["rank"], r.value) for r in got if r.day == day)
+        assert mine == list(enumerate(values))
+        assert {r.n for r in got if r.day == day} == {len(values)}
+        place = analytics.at_place(F.lit(0.95) * (F.col("n") - 1))
+        found = analytics.ranks(df, "ms", "day").where(F.col("day").eqNullSafe(day)).groupBy("day").agg(place.alias("p")).first().p
+        assert abs(found - np.percentile(values, 95)) < 1e-9

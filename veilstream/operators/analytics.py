@@ -45,18 +45,24 @@ def top(rows: DataFrame, column: str, k: int) -> DataFrame:
     return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column).limit(k)
 
 
-def ranks(rows: DataFrame, column: str) -> DataFrame:
-    """(value, rank, n): a column's values but for nulls, their rank from 0 and their number.
+def ranks(rows: DataFrame, column: str, *by: str) -> DataFrame:
+    """(*by, value, rank, n): a column's values but for nulls, their rank from 0 among those of equal `by`, and the number of these.
 
     Values are sorted over all partitions, and a value's rank is its place in its partition behind the sizes of those
-    before: no task and no buffer holds all of them. The table of sizes has a row for each partition.
+    before: no task and no buffer holds all of them, also where one group has nearly all rows. The table of sizes has a
+    row for each partition and each group that is in it.
     """
-    values = rows.select(F.col(column).cast("double").alias("value")).where("value is not null")
-    order = settled(values.orderBy("value").select("value", F.monotonically_increasing_id().alias("_i"))).withColumn("_p", F.shiftright("_i", 33))
-    sizes = order.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("n"))
-    return order.join(F.broadcast(starts), "_p").select("value", (F.col("_from") + F.col("_i").bitwiseAND(F.lit(2**33 - 1))).alias("rank"), "n")
+    values = rows.select(*by, F.col(column).cast("double").alias("value")).where("value is not null")
+    order = settled(values.orderBy(*by, "value").select(*by, "value", F.monotonically_increasing_id().alias("_i")))
+    order = order.withColumn("_p", F.shiftright("_i", 33)).withColumn("_i", F.col("_i").bitwiseAND(F.lit(2**33 - 1)))
+    sizes = order.groupBy("_p", *by).agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
+    group = Window.partitionBy(*(by or (F.lit(0),)))
+    before = F.coalesce(F.sum("_n").over(group.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col("_p").alias("_q"), *[F.col(c).alias(f"_{c}") for c in by], (before - F.col("_first")).alias("_from"), F.sum("_n").over(group).alias("n"))
+    same = F.col("_p") == F.col("_q")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return order.join(starts if by else F.broadcast(starts), same).select(*by, "value", (F.col("_from") + F.col("_i")).alias("rank"), "n")
 
 
 def at_place(place: Column) -> Column:
@@ -85,8 +91,10 @@ def error_rate(status: Column) -> Column:
 
 def summary(events: DataFrame, since, until) -> DataFrame:
     """For each day: requests, median and p95 latency, error rate, active users. events: timestamp, user_id, status_code, latency_ms."""
-    p = lambda q: F.bround(F.percentile(F.col("latency_ms").cast("double"), q), 0)
-    return per_day(events, "timestamp", since, until, p(0.5).alias("p50"), p(0.95).alias("p95"), error_rate(F.col("status_code")).alias("error_rate"), F.count_distinct("user_id").alias("active_users"))
+    days = per_day(events, "timestamp", since, until, error_rate(F.col("status_code")).alias("error_rate"), F.count_distinct("user_id").alias("active_users"))
+    latency = ranks(between(events, "timestamp", since, until).withColumn("_day", F.to_date("timestamp")), "latency_ms", "_day")
+    quantiles = latency.groupBy("_day").agg(*[F.bround(at_place(F.lit(p) * (F.col("n") - 1)), 0).alias(name) for name, p in (("p50", 0.5), ("p95", 0.95))])
+    return days.join(quantiles, F.col("day") == F.col("_day"), "left").select("day", "n", "p50", "p95", "error_rate", "active_users")
 
 
 def top_endpoints(events: DataFrame, k: int = 10) -> DataFrame:
