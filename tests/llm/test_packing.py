@@ -11,7 +11,6 @@ from veilstream.llm import packing
 
 def ids_of(texts):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [[*e.ids, 0] for e in t.encode_batch(list(texts), add_special_tokens=False)]
 
 
@@ -85,3 +84,11 @@ def test_long_runs_of_white_space(spark):
     assert packing.encode(texts, public_tokenizers.path("byte_bpe_50k.json")) == [np.array(i, "<u4").tobytes() for i in ids_of(texts)]
     rows = list(enumerate(texts[:1]))
     held(packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+
+
+def test_special_strings_are_as_in_a_plain_call():
+    rng = random.Random(12)
+    pieces = ["<|endoftext|>", "<|endof", "text|>", " ", "  ", "\n", "a", "word", " the", "é", "😀", "12", "<|endoftext|><|endoftext|>"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 12))) for _ in range(2000)]
+    assert sum("<|endoftext|>" in t for t in texts) > 500
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.encode(texts, public_tokenizers.path("byte_bpe_50k.json"))] == ids_of(texts)

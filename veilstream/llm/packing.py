@@ -54,12 +54,13 @@ class _Memo(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         byte = {c: b for b, c in enumerate(_byte_signs())}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         ranks = {bytes(byte[c] for c in token): n for token, n in vocabulary.items() if all(c in byte for c in token)}
-        added = {t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()}
-        ranks = {t: n for t, n in ranks.items() if t not in added}
+        #: Strings that stand for one id wherever they are in a text, and split it.
+        self.added = {t.content: n for n, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")" if self.added else r"(?!)")
+        ranks = {t: n for t, n in ranks.items() if t.decode(errors="replace") not in self.added}
         self.short = tiktoken.Encoding("short words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> bytes:
@@ -87,15 +88,20 @@ def encode(texts: list[str], path: str, end: int = 0) -> list[bytes]:
 
     The tokenizer's pattern starts a new word at each space that follows a character other than white space, so a
     text whose spaces are all like that is encoded word by word, and words are remembered. Another text is divided at
-    such spaces too, but those before and behind which white space stands stay inside a part.
+    such spaces too, but those before and behind which white space stands stay inside a part. Strings of special tokens are
+    their one id, as in a plain call of the library.
     """
     if path not in _loaded:
         _loaded[path] = _Memo(path)
-    memo, close, out = _loaded[path], np.array([end], "<u4").tobytes(), []
-    for t in texts:
+    memo, close = _loaded[path], np.array([end], "<u4").tobytes()
+
+    def ids(t: str) -> bytes:
+        if t in memo.added:
+            return np.array([memo.added[t]], "<u4").tobytes()
         first, *rest = (_PART if _RUN.search(t) else _SPACE).split(t)
-        out.append(b"".join((memo.ids(first) if first else b"", *map(memo.__getitem__, rest), close)))
-    return out
+        return b"".join((memo.ids(first) if first else b"", *map(memo.__getitem__, rest)))
+
+    return [b"".join((*map(ids, filter(None, memo.split.split(t))), close)) for t in texts]
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
