@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from veilstream.operators import analytics, audit, diff, models, registry
+from veilstream.operators import analytics, audit, diff, models, registry, stores
 from veilstream.streaming import stateful
 
 
@@ -231,3 +231,12 @@ def test_quantiles_of_a_hot_day(spark):
         place = analytics.at_place(F.lit(0.95) * (F.col("n") - 1))
         found = analytics.ranks(df, "ms", "day").where(F.col("day").eqNullSafe(day)).groupBy("day").agg(place.alias("p")).first().p
         assert abs(found - np.percentile(values, 95)) < 1e-9
+
+
+def test_two_directory_entries_for_one_user(spark):
+    """The entry of the user's own dn holds, else that of the least dn, in whatever order they come."""
+    users = spark.createDataFrame([("u1", "Anna", "dn9", None, None), ("u2", "Ivan", None, None, None)], "user_id string, username string, ldap_dn string, email string, display_name string")
+    entries = [("dn1", "anna", "a1", "A1"), ("dn9", "other", "a9", "A9"), ("dn3", "IVAN", "i3", "I3"), ("dn2", "ivan", "i2", "I2"), ("dn7", "new", "n", "N")]
+    for some in (entries, entries[::-1]):
+        out = stores.sync_directory(users, spark.createDataFrame(some, "dn string, username string, email string, display_name string").repartition(2))
+        assert sorted((r.user_id, r.ldap_dn, r.email) for r in out.collect()) == [("ldap:dn7", "dn7", "n"), ("u1", "dn9", "a9"), ("u2", "dn2", "i2")]

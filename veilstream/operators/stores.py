@@ -220,12 +220,16 @@ def find_user(users: DataFrame, name: str) -> DataFrame:
 
 
 def sync_directory(users: DataFrame, directory: DataFrame) -> DataFrame:
-    """users with directory (dn, username, email, display_name): the user of that dn, else of that name in any case, is updated; others are added."""
+    """users with directory (dn, username, email, display_name): the user of that dn, else of that name in any case, is updated; others are added.
+
+    Of several entries for one user that of the user's own dn holds, else that of the least dn.
+    """
     d = directory.select(F.col("dn").alias("_dn"), F.col("username").alias("_name"), F.col("email").alias("_email"), F.col("display_name").alias("_shown"))
     by_dn = users.select("user_id", F.col("ldap_dn").alias("_dn")).where("_dn is not null")
     by_name = users.select(F.col("user_id").alias("_id"), F.lower("username").alias("_low"))
-    hits = d.join(by_dn, "_dn", "left").join(by_name, F.lower("_name") == F.col("_low"), "left").withColumn("_to", F.coalesce("user_id", "_id")).drop("user_id", "_id", "_low")
-    known = users.join(hits.where("_to is not null").withColumnRenamed("_to", "user_id").dropDuplicates(["user_id"]), "user_id", "left")
+    hits = d.join(by_dn, "_dn", "left").join(by_name, F.lower("_name") == F.col("_low"), "left").withColumn("_to", F.coalesce("user_id", "_id"))
+    one = hits.where("_to is not null").groupBy("_to").agg(F.min(F.struct(F.col("user_id").isNull().alias("_by_name"), "_dn", "_name", "_email", "_shown")).alias("_e"))
+    known = users.join(one.select(F.col("_to").alias("user_id"), "_e.*"), "user_id", "left")
     pick = {"ldap_dn": "_dn", "email": "_email", "display_name": "_shown"}
     updated = known.select(*[F.coalesce(pick[c], c).alias(c) if c in pick else c for c in users.columns])
     fresh = {"user_id": F.concat(F.lit("ldap:"), "_dn"), "username": F.col("_name"), "is_active": F.lit(True), **{k: F.col(v) for k, v in pick.items()}}

@@ -440,8 +440,10 @@ def write_side_files(sessions: DataFrame, path: str) -> None:
     """Each session's files under path/session_id: metadata and entities as JSON, its DOCX columns as files.
 
     sessions: session_id, entities_json, binary columns, and others that go into the metadata. Written from the tasks with
-    Arrow's file systems, so path may be remote.
+    Arrow's file systems, so path may be remote; on a cluster it must be, as a path without a scheme would be each worker's own disk.
     """
+    if "://" not in path and not sessions.sparkSession.sparkContext.master.startswith("local"):
+        raise ValueError("on a cluster, give the folder of side files with its scheme")
     blobs = [c for c, t in sessions.dtypes if t == "binary"]
     meta = F.to_json(F.struct(*[c for c in sessions.columns if c not in (*blobs, "entities_json")])).alias("_meta")
     names = {"_meta": "metadata.json", "entities_json": "entities.json", **{b: f"{b}.docx" for b in blobs}}
