@@ -43,8 +43,9 @@ def corpus(rng, n, words=300):
     return [(i, " ".join(f"w{int(rng.paretovariate(0.7)) % words}" for _ in range(rng.randint(1, 120)))) for i in range(n)]
 
 
-@pytest.mark.parametrize(("cells", "block", "candidates"), [(1 << 22, 1 << 18, 200), (64, 12, 20)])
-def test_against_brute_force(spark, monkeypatch, cells, block, candidates):
+@pytest.mark.parametrize(("cells", "block", "candidates", "broadcast"), [(1 << 22, 1 << 18, 200, 1 << 17), (64, 12, 20, 0)])
+def test_against_brute_force(spark, monkeypatch, cells, block, candidates, broadcast):
+    monkeypatch.setattr(lexical, "BROADCAST", broadcast)
     monkeypatch.setattr(lexical, "CELLS", cells)
     monkeypatch.setattr(lexical, "TERMS", block)
     monkeypatch.setattr(lexical, "CANDIDATES", candidates)

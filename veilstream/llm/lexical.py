@@ -35,6 +35,8 @@ TERMS = 1 << 18
 TIERS = (0.3, 0.8)
 #: Documents that may be left for an item that counts as proven.
 CANDIDATES = 200
+#: Pairs of a document and an item that are sent to all tasks at most; more are joined with the index by shuffling it.
+BROADCAST = 1 << 17
 #: Sums that are worked on at a time.
 CELLS = 1 << 22
 
@@ -294,12 +296,14 @@ def _block(texts: DataFrame, no: np.ndarray, owner: np.ndarray, hashed: np.ndarr
         by_low = Window.partitionBy("no").orderBy(F.desc("low"), "row")
         enough = found.withColumn("r", F.row_number().over(by_low)).where(F.col("r") <= k).groupBy("no").agg(F.when(F.max("r") == k, F.min("low")).otherwise(1).alias("enough"))
         able = cut(found.join(enough, "no").where(F.col("high") >= F.greatest("enough", F.lit(1))).select("no", "row"))
-        counts = able.groupBy("no").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= CANDIDATES).select("no")
-        proven = {r["no"] for r in counts.collect()}  # a number for each item of the block at most
+        counts = able.groupBy("no").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= CANDIDATES)
+        sizes = {r["no"]: r["n"] for r in counts.collect()}  # a number for each item of the block at most
+        proven = set(sizes)
         if proofs is not None:
             proofs.append(len(proven))
         if proven:
-            few = able.join(counts, "no").groupBy("row").agg(F.collect_list("no").alias("nos"))  # items of the block
+            few = able.join(counts.select("no"), "no").groupBy("row").agg(F.collect_list("no").alias("nos"))  # items of the block
+            few = F.broadcast(few) if sum(sizes.values()) <= BROADCAST else few
             parts.append(index.join(few, "row").mapInArrow(_scored(items, tiers), "no long, doc_id long, score long"))
         pending -= proven
     out = parts[0]
