@@ -92,14 +92,6 @@ def quote_pattern(c: Column) -> Column:
     return F.concat(F.lit(r"\Q"), F.replace(c, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
 
 
-def replace_guarded(text: Column, old: Column, new: Column) -> Column:
-    """All of old by new; where old begins or ends with a digit, only outside of larger numbers."""
-    head = F.when(old.rlike(r"\A\d"), F.lit(r"(?<!\d)")).otherwise(F.lit(""))
-    tail = F.when(old.rlike(r"\d\z"), F.lit(r"(?!\s*\d)")).otherwise(F.lit(""))
-    plain = F.regexp_replace(new, r"([\\$])", r"\\$1")
-    return F.regexp_replace(text, F.concat(head, quote_pattern(old), tail), plain)
-
-
 def safe_segment(c: Column) -> Column:
     """A name fit for a path."""
     return F.substring(F.regexp_replace(c, r"[^A-Za-z0-9._-]", "_"), 1, 128)

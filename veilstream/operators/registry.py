@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilstream.functions import fixed, text
+from veilstream.functions.values import replaced
 from veilstream.sources.tables import settled
 
 #: Types whose values may be matched with small differences. Numbers are not: one digit makes another number.
@@ -187,19 +188,19 @@ def substitute(docs: DataFrame, given: DataFrame) -> DataFrame:
 def substitute_by_value(docs: DataFrame, values: DataFrame) -> DataFrame:
     """(doc_id, text, applied, skipped): each old value of values (doc_id, old, new) by the new one wherever it stands, longest first.
 
-    Values that stand nowhere are counted as skipped.
+    All values of a text are found in one pass over it. Values that stand nowhere are counted as skipped; those that are
+    null or empty, or have no new value, are left out.
     """
-    lists = values.where("old <> ''").groupBy("doc_id").agg(F.collect_set(F.struct((-F.char_length("old")).alias("n"), "old", "new")).alias("v"))
+    lists = values.where("old <> '' and new is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct((-F.char_length("old")).alias("n"), "old", "new"))).alias("v"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(lists, "doc_id", "left")
-    start = F.struct(F.col("text"), F.lit(0).alias("applied"))
 
-    def step(acc: Column, v: Column) -> Column:
-        new = text.replace_guarded(acc["text"], v["old"], v["new"])
-        return F.struct(new.alias("text"), (acc["applied"] + F.when(new != acc["text"], 1).otherwise(0)).alias("applied"))
+    @F.pandas_udf("text string, applied int")
+    def change(texts: pd.Series, olds: pd.Series, news: pd.Series) -> pd.DataFrame:
+        found = [(t, 0) if t is None or o is None else replaced(t, list(zip(o, n, strict=True))) for t, o, n in zip(texts, olds, news, strict=True)]
+        return pd.DataFrame(found, columns=["text", "applied"])
 
-    done = F.aggregate(F.array_sort("v"), start, step)
-    rows = rows.withColumn("done", done)
-    return rows.select("doc_id", F.coalesce("done.text", "text").alias("text"), F.coalesce("done.applied", F.lit(0)).alias("applied"), (F.coalesce(F.size("v"), F.lit(0)) - F.coalesce("done.applied", F.lit(0))).alias("skipped"))
+    done = rows.select("doc_id", "v", change("text", F.col("v.old"), F.col("v.new")).alias("done"))
+    return done.select("doc_id", "done.text", "done.applied", (F.coalesce(F.size("v"), F.lit(0)) - F.col("done.applied")).alias("skipped"))
 
 
 def entries(mapping: DataFrame) -> DataFrame:

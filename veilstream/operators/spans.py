@@ -6,13 +6,13 @@ characters), never as all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilstream.functions import fixed, text
+from veilstream.functions import fixed, values
 from veilstream.operators.policy import aliases
 
 BIN = 256
@@ -77,21 +77,12 @@ def resolve_overlaps(spans: DataFrame) -> DataFrame:
 def add_aliases(spans: DataFrame, docs: DataFrame) -> DataFrame:
     """spans with the other occurrences of accepted organizations' short names, where no span is yet.
 
-    Occurrences come from splitting the text at the alias; only documents with aliases are looked at. Among occurrences
-    that overlap the leftmost, longest stays.
+    All names of a document are looked for in one pass over its text; only documents with names are looked at. Among
+    occurrences that overlap the leftmost, longest stays.
     """
-    names = aliases(spans)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("body"))
-    hits = names.join(texts, "doc_id")
-    pattern = F.concat(F.lit(r"(?iuU)(?<![\w-])"), text.quote_pattern(F.col("alias")), F.lit(r"(?![\w-])"))
-    n = F.char_length("alias")
-    hits = hits.withColumn("parts", F.transform(F.split("body", pattern, -1), lambda p: F.char_length(p)))
-    hits = hits.select("*", F.posexplode(F.slice("parts", F.lit(1), F.size("parts") - 1)).alias("_i", "_len"))
-    at = (F.aggregate(F.slice("parts", F.lit(1), F.col("_i") + 1), F.lit(0), lambda a, x: a + x) + F.col("_i") * n).cast("int")
-    new = hits.select(
-        "doc_id", F.substring("body", at + 1, n).alias("text"), F.lit("ORG").alias("entity_type"), at.alias("start"), (at + n).cast("int").alias("end"),
-        F.least("score", F.lit(0.88)).alias("score"), "source_layer", "recognizer", F.substring("body", at + n + 1, F.lit(fixed.PERSON_GAP)).alias("tail"), "derived_from",
-    )
+    names = aliases(spans).withColumnRenamed("alias", "text")
+    hits = _located(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), names, values.whole, fixed.PERSON_GAP)
+    new = hits.select("doc_id", "text", F.lit("ORG").alias("entity_type"), "start", "end", F.least("score", F.lit(0.88)).alias("score"), "source_layer", "recognizer", "tail", "derived_from")
     new = overlap_anti(new, spans)
     order = Window.partitionBy("doc_id").orderBy("start", F.desc("end"))
     free = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -197,39 +188,40 @@ def refit(spans: DataFrame, docs: DataFrame, reach: int = 24) -> DataFrame:
     return _placed(spans, docs, near)
 
 
-def claims(texts: DataFrame, values: DataFrame) -> DataFrame:
-    """(doc_id, text, start, end, …) where values (doc_id, text, …) stand in texts (doc_id, text): longest first, each place once.
+def claims(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, text, start, end, …) where values wanted (doc_id, text, …) stand in texts (doc_id, text): longest first, each place once.
 
-    A value's occurrences follow each other without overlap; one that overlaps a place claimed before is left out. A
-    text is brought to all of its values at once.
+    A value's occurrences follow each other without overlap; one that overlaps a place claimed before is left out. All
+    values of a text are found in one pass over it.
     """
-    names = [c for c in values.columns if c not in ("doc_id", "start", "end")]
-    groups = values.where("text <> ''").groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("s"))
+    return _located(texts, wanted, values.claimed)
+
+
+def _located(texts: DataFrame, wanted: DataFrame, find: Callable[[str, list[str]], list[tuple[int, int]]], tail: int | None = None) -> DataFrame:
+    """wanted with start and end for each place that find gives, text as it stands there, and `tail` characters behind it.
+
+    A text is brought to all of its values at once.
+    """
+    names = [c for c in wanted.columns if c not in ("doc_id", "start", "end")]
+    groups = wanted.where("text <> ''").groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("s"))
     at = names.index("text")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for i in range(part.num_rows):
-                body, given = part.column(1)[i].as_py() or "", part.column(2)[i].values
-                rows = pa.RecordBatch.from_struct_array(given)
-                taken = bytearray(len(body))
-                found = []
-                wanted = rows.column(at).to_pylist()
-                for k in sorted(range(len(wanted)), key=lambda k: (-len(wanted[k]), wanted[k])):
-                    n, place = len(wanted[k]), body.find(wanted[k])
-                    while place >= 0:
-                        if not any(taken[place : place + n]):
-                            taken[place : place + n] = b"\1" * n
-                            found.append((k, place))
-                        place = body.find(wanted[k], place + n)
-                cols = rows.take(pa.array([k for k, _ in found], pa.int64()))
-                start = [p for _, p in found]
-                end = [p + len(wanted[k]) for k, p in found]
+                body, rows = part.column(1)[i].as_py() or "", pa.RecordBatch.from_struct_array(part.column(2)[i].values)
+                sought = rows.column(at).to_pylist()
+                found = [(k, p, p + len(sought[k])) for k, p in find(body, sought)]
+                cols = dict(zip(names, rows.take(pa.array([k for k, *_ in found], pa.int64())).columns, strict=True))
+                cols["text"] = pa.array([body[a:b] for _, a, b in found], pa.string())
+                cols |= {"start": pa.array([a for _, a, _ in found], pa.int32()), "end": pa.array([b for *_, b in found], pa.int32())}
+                if tail is not None:
+                    cols["tail"] = pa.array([body[b : b + tail] for *_, b in found], pa.string())
                 head = pa.array([part.column(0)[i].as_py()] * len(found), part.schema.field(0).type)
-                yield pa.RecordBatch.from_arrays([head, *cols.columns, pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["doc_id", *names, "start", "end"])
+                yield pa.RecordBatch.from_pydict({"doc_id": head, **cols})
 
-    kinds = {f.name: f.dataType.simpleString() for f in values.schema}
-    shape = ", ".join(f"`{n}` {kinds[n]}" for n in ("doc_id", *names)) + ", start int, end int"
+    kinds = {f.name: f.dataType.simpleString() for f in wanted.schema}
+    shape = ", ".join(f"`{n}` {kinds[n]}" for n in ("doc_id", *names)) + ", start int, end int" + (", tail string" if tail is not None else "")
     return groups.join(texts.select("doc_id", F.col("text").alias("body")), "doc_id").select("doc_id", "body", "s").mapInArrow(run, shape)
 
 
