@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilstream.operators.restore import scanner
-from veilstream.sources.tables import settled
+from veilstream.sources.tables import rewrite_buckets, settled, touched
 
 #: Columns of a session that an update never changes.
 FIXED_COLUMNS = ("user_id", "locale", "created_at")
@@ -37,6 +37,17 @@ def upsert(table: DataFrame, changes: DataFrame, keys: list[str], fixed: tuple[s
     return rows.select(*[column(c) for c in table.columns])
 
 
+def upsert_bucketed(path: str, changes: DataFrame, keys: list[str], buckets: int, fixed: tuple[str, ...] = FIXED_COLUMNS, order: str | None = None) -> list[int]:
+    """upsert() into a table that write_bucketed() has written: only the buckets that hold keys of changes are read and rewritten. Returns them.
+
+    changes are settled first, as they are read for the buckets and for the rows, and may come from the table itself.
+    """
+    new = settled(changes)
+    which = touched(new, keys, buckets)
+    rewrite_buckets(changes.sparkSession, path, keys, buckets, which, lambda rows: upsert(rows, new, keys, fixed, order))
+    return which
+
+
 def load_session(table: DataFrame, session_id: str, user_id: str | None, now: dt.datetime, hours: int) -> DataFrame:
     """A session of its owner that has not run out."""
     rows = table.where((F.col("session_id") == session_id) & (F.lit(now) - F.col("created_at") <= F.expr(f"INTERVAL {int(hours)} HOURS")))

@@ -19,14 +19,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilstream.functions.text import safe_segment
+from veilstream.sources.tables import settled
 
 # Limits of archives and uploads, and where a struck character's line may cross it.
 MOST_ENTRIES, MOST_BYTES, MOST_RATIO = 2000, 250 * 1024 * 1024, 100
 MOST_UPLOAD = 50 * 1024 * 1024
 FORMATS = ("txt", "docx", "pdf")
 STRUCK_LOW, STRUCK_HIGH, STRUCK_OVERLAP = 0.32, 0.74, 0.25
+#: Height of the smallest bands in which characters and lines meet.
+BAND = 8.0
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
+#: What a page parser gives for a page; page numbers are given here, from 1.
+LAYOUT = {
+    "width": "double", "text": "string", "image": "binary", "chars": "array<struct<line:int,pos:int,c:string,line_x0:double,x0:double,y0:double,x1:double,y1:double>>",
+    "drawings": "array<struct<kind:string,x0:double,y0:double,x1:double,y1:double,color:string>>",
+}
+PAGES = f"array<struct<{','.join(f'{n}:{t}' for n, t in LAYOUT.items())}>>"
 PARSED = "text string, page_count int, ocr_used boolean, warnings array<string>, error string"
 
 
@@ -101,10 +110,11 @@ def _parse(kind: str, content: bytes, include_tables: bool, pdf: Callable | None
     return None, None, False, [], "415: no parser for this format"
 
 
-def read_documents(spark: SparkSession, path: str | list[str], include_tables: bool = False, pdf: Callable | None = None) -> DataFrame:
+def read_documents(spark: SparkSession, path: str | list[str], include_tables: bool = False, pdf: Callable | None = None, pages: Callable | None = None, ocr: Callable[[bytes], str] | None = None) -> DataFrame:
     """Documents of the files under path. Files that are refused have an error and no text.
 
-    pdf: from a file's bytes to (text, page_count, ocr_used, warnings).
+    pdf: from a PDF's bytes to (text, page_count, ocr_used, warnings). Or pages: from its bytes to a list of pages as
+    dictionaries of LAYOUT, which are composed as in compose_pages(), with ocr for blank ones.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)\z", 1))
@@ -115,7 +125,28 @@ def read_documents(spark: SparkSession, path: str | list[str], include_tables: b
         return pd.DataFrame(rows, columns=[x.split()[0] for x in PARSED.split(", ")])
 
     parsed = files.select("path", F.xxhash64("path").alias("doc_id"), parse(kind, "content").alias("p"))
-    return parsed.select("path", "doc_id", "p.*")
+    if pages is None:
+        return parsed.select("path", "doc_id", "p.*")
+
+    @F.pandas_udf(PAGES)
+    def layout(kinds: pd.Series, contents: pd.Series) -> pd.Series:
+        def one(k: str, content: bytes) -> list[dict] | None:
+            if k != "pdf" or len(content) > MOST_UPLOAD:
+                return None
+            try:
+                return [{**dict.fromkeys(LAYOUT), **p} for p in pages(content)]
+            except Exception:  # whatever an injected parser raises, the file is refused
+                return None
+
+        return pd.Series([one(k, c) for k, c in zip(kinds, contents, strict=True)], dtype=object)
+
+    both = settled(files.select("path", F.xxhash64("path").alias("doc_id"), parse(kind, "content").alias("p"), layout(kind, "content").alias("pages"), (kind == "pdf").alias("is_pdf")))
+    plain = both.where("pages is null").select("path", "doc_id", "p.*", "is_pdf")
+    failed = F.col("is_pdf") & F.col("error").startswith("415")
+    plain = plain.withColumn("error", F.when(failed, "422: invalid PDF file").otherwise(F.col("error"))).drop("is_pdf")
+    paths = both.where("pages is not null").select("path", "doc_id")
+    composed = paths.join(compose_pages(both.select("doc_id", "pages"), ocr), "doc_id")
+    return plain.unionByName(composed.drop("removed").withColumn("error", F.lit(None).cast("string")))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -235,13 +266,27 @@ def revision_margin(lines: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def without_struck(chars: DataFrame, lines: DataFrame) -> DataFrame:
-    """chars (doc_id, page, …, x0, y0, x1, y1) that no line crosses in the middle."""
-    a, b = chars.alias("c"), lines.select(F.col("doc_id").alias("_d"), F.col("page").alias("_p"), F.col("x0").alias("_x0"), F.col("x1").alias("_x1"), F.col("y").alias("_y"))
+    """chars (doc_id, page, …, x0, y0, x1, y1) that no line crosses in the middle.
+
+    Characters and lines meet in bands of a page. A character's middle part lies in at most two neighbouring bands of its
+    size class and has the number of the first; a line is in one band of each class that its page has, and is given to the
+    characters that begin there or one above.
+    """
     width, height = F.greatest(F.col("x1") - F.col("x0"), F.lit(0.1)), F.greatest(F.col("y1") - F.col("y0"), F.lit(0.1))
+    class_ = F.greatest(F.ceil(F.log2(height / (2 * BAND))), F.lit(0))
+    high = lambda c: BAND * F.pow(F.lit(2.0), c)
+    first = F.floor((F.col("y0") + (STRUCK_LOW - 0.01) * height) / high(F.col("_class")))
+    a = chars.withColumn("_class", class_).withColumn("_band", first)
+    classes = a.groupBy(F.col("doc_id").alias("_d"), F.col("page").alias("_p")).agg(F.collect_set("_class").alias("_classes"))
+    b = lines.select(F.col("doc_id").alias("_d"), F.col("page").alias("_p"), F.col("x0").alias("_x0"), F.col("x1").alias("_x1"), F.col("y").alias("_y")).join(classes, ["_d", "_p"])
+    b = b.select("_d", "_p", "_x0", "_x1", "_y", F.explode("_classes").alias("_k"))
+    at = F.floor(F.col("_y") / high(F.col("_k")))
+    b = b.select("*", F.explode(F.array(at, at - 1)).alias("_b"))
     middle = (F.col("x0") + F.col("x1")) / 2
     overlap = F.least("x1", "_x1") - F.greatest("x0", "_x0")
     struck = middle.between(F.col("_x0") - 0.5, F.col("_x1") + 0.5) & ((F.col("_y") - F.col("y0")) / height).between(STRUCK_LOW, STRUCK_HIGH) & (overlap / width >= STRUCK_OVERLAP)
-    return a.join(b, (F.col("doc_id") == F.col("_d")) & (F.col("page") == F.col("_p")) & struck, "left_anti")
+    on = (F.col("doc_id") == F.col("_d")) & (F.col("page") == F.col("_p")) & (F.col("_class") == F.col("_k")) & (F.col("_band") == F.col("_b")) & struck
+    return a.join(b, on, "left_anti").select(*chars.columns)
 
 
 def page_text(chars: DataFrame, lines: DataFrame, margins: DataFrame) -> DataFrame:
@@ -275,10 +320,29 @@ def ocr_pages(pages: DataFrame, ocr: Callable[[bytes], str] | None) -> DataFrame
 
 
 def join_pages(pages: DataFrame) -> DataFrame:
-    """(doc_id, text, page_count, ocr_used, warnings) of pages."""
+    """(doc_id, text, page_count, ocr_used, warnings) of pages; each page's text is brought to its normal form, without white space at its end."""
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("page", c)))), lambda x: x[c])
-    got = pages.groupBy("doc_id").agg(F.array_join(ordered("text"), "\n").alias("text"), F.count(F.lit(1)).cast("int").alias("page_count"), F.bool_or("ocr_used").alias("ocr_used"), ordered("warning").alias("warnings"))
-    return got.withColumn("text", normal_pdf_text(F.col("text")))
+    rows = pages.withColumn("text", F.regexp_replace(normal_pdf_text(F.col("text")), r"(?U)\s+\z", ""))
+    return rows.groupBy("doc_id").agg(F.array_join(ordered("text"), "\n").alias("text"), F.count(F.lit(1)).cast("int").alias("page_count"), F.bool_or("ocr_used").alias("ocr_used"), ordered("warning").alias("warnings"))
+
+
+def compose_pages(layouts: DataFrame, ocr: Callable[[bytes], str] | None = None) -> DataFrame:
+    """(doc_id, text, page_count, ocr_used, warnings, removed) of layouts (doc_id, pages: an array of LAYOUT), as one read of a PDF gives them.
+
+    Struck characters and revision balloons are taken out (`removed` of them); a page that has none keeps its own text.
+    Blank pages go to ocr. A document without pages has an empty text.
+    """
+    one = layouts.select("doc_id", F.posexplode("pages").alias("_i", "p")).select("doc_id", (F.col("_i") + 1).alias("page"), "p.*")
+    lines = strike_lines(one.select("doc_id", "page", F.inline("drawings")))
+    margins = revision_margin(lines, one.select("doc_id", "page", "width"))
+    crossed = one.join(lines.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi")
+    cut = page_text(crossed.select("doc_id", "page", F.inline("chars")), lines, margins).where("removed > 0")
+    pages = one.select("doc_id", "page", "text", "image").join(cut.withColumnRenamed("text", "_cut"), ["doc_id", "page"], "left")
+    read = ocr_pages(pages.withColumn("text", F.coalesce("_cut", "text")), ocr)
+    removed = cut.groupBy("doc_id").agg(F.sum("removed").alias("removed"))
+    found = layouts.where("pages is not null").select("doc_id").join(join_pages(read), "doc_id", "left").join(removed, "doc_id", "left")
+    none = F.array().cast("array<string>")
+    return found.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("page_count", F.lit(0)).alias("page_count"), F.coalesce("ocr_used", F.lit(False)).alias("ocr_used"), F.coalesce("warnings", none).alias("warnings"), F.coalesce("removed", F.lit(0)).alias("removed"))
 
 
 def _docx(paragraphs_: list[str]) -> bytes:

@@ -1,21 +1,65 @@
-"""Tables that are read several times."""
+"""Tables that are read several times, and tables in buckets of a key, of which a change rewrites only those it touches."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+BUCKET = "_bucket"
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder, so that what reads it several times does not work it out anew.
 
-    The folder is the one that spark.checkpoint.dir names; only where none is set, as in tests, a temporary one is taken.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; only where none is set, as in tests, a temporary one is taken."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
         if not shared and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="settled-"))
+    return context.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the shared folder, so that what reads it several times does not work it out anew."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def bucket(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def write_bucketed(table: DataFrame, path: str, keys: list[str], buckets: int = 256) -> None:
+    """table as Parquet under path, a folder for each bucket of its keys. Keys and their number must stay the same for a path."""
+    if BUCKET in table.columns:
+        raise ValueError(f"a column is named {BUCKET}")
+    rows = table.withColumn(BUCKET, bucket(keys, buckets))
+    rows.repartition(BUCKET).write.partitionBy(BUCKET).mode("overwrite").parquet(path)
+
+
+def read_bucketed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop(BUCKET)
+
+
+def touched(changes: DataFrame, keys: list[str], buckets: int) -> list[int]:
+    """The buckets in which keys of changes lie: at most `buckets` numbers."""
+    return sorted(r[0] for r in changes.select(bucket(keys, buckets)).distinct().collect())
+
+
+def rewrite_buckets(spark: SparkSession, path: str, keys: list[str], buckets: int, which: list[int], change) -> None:
+    """The given buckets of a table replaced by change(their rows); all other files stay as they are.
+
+    Rows are written beside the old files and take their place when the whole job has ended, so tasks may be run again. A
+    bucket of which change() keeps no row would keep its old files, so change() must keep some row of each bucket, as an
+    upsert does. A row that change() moves to a bucket outside of `which` ends the job, as it would replace that bucket.
+    """
+    if not which:
+        return
+    old = spark.read.parquet(path)
+    shape = [c for c in old.columns if c != BUCKET]
+    rows = change(old.where(F.col(BUCKET).isin(which)).select(*shape)).select(*shape)
+    place = bucket(keys, buckets)
+    rows = rows.withColumn(BUCKET, F.when(place.isin(which), place).otherwise(F.raise_error(F.lit("a row left its buckets")).cast("int")))
+    rows.repartition(BUCKET).write.partitionBy(BUCKET).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
