@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: By how much two sums of one product may differ.
+SPARE = 1e-9
+
+
 def _split_long(pattern: str, limit: int):
     return lambda p: F.when(F.char_length(p) <= limit, F.array(p)).otherwise(F.split(p, pattern))
 
@@ -70,16 +74,25 @@ def top_chunks(queries: DataFrame, chunks: DataFrame, k: int = 3, block: int = 4
     return reduce(DataFrame.union, parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _unit(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def unit(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Rows of unit length; those without length stay zero."""
-    rows = np.array(vectors.to_pylist(), np.float64).reshape(len(vectors), -1)
+    rows = np.array(vectors.to_pylist(), np.float64).reshape(len(vectors), -1 if len(vectors) else 0)
     length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
     return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
 
 
+def products(q: np.ndarray, v: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """q[row] · v[col], summed in an order that the vectors' length alone decides, so that equal vectors have equal products."""
+    out = np.empty(len(row))
+    for lo in range(0, len(row), 65_536):
+        at = slice(lo, lo + 65_536)
+        out[at] = (q[row[at]] * v[col[at]]).sum(axis=1)
+    return out
+
+
 def _near(asked: DataFrame, chunks: DataFrame, k: int, kinds: dict[str, str]) -> DataFrame:
     got = asked.toArrow()
-    sent = asked.sparkSession.sparkContext.broadcast((got["query_id"].combine_chunks(), _unit(got["vector"])))
+    sent = asked.sparkSession.sparkContext.broadcast((got["query_id"].combine_chunks(), unit(got["vector"])))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = sent.value
@@ -87,10 +100,11 @@ def _near(asked: DataFrame, chunks: DataFrame, k: int, kinds: dict[str, str]) ->
         for part in parts:
             for lo in range(0, part.num_rows if len(q) else 0, 1000):
                 p = part.slice(lo, 1000)
-                like = q @ _unit(p.column(1)).T
+                v = unit(p.column(1))
+                like = q @ v.T
                 if p.num_rows >= k:
-                    least = np.maximum(least, np.partition(like, p.num_rows - k, axis=1)[:, p.num_rows - k])
+                    least = np.maximum(least, np.partition(like, p.num_rows - k, axis=1)[:, p.num_rows - k] - SPARE)
                 row, col = np.nonzero(like >= least[:, None])
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), p.column(0).take(pa.array(col)), pa.array(like[row, col])], names=["query_id", "chunk_id", "similarity"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), p.column(0).take(pa.array(col)), pa.array(products(q, v, row, col))], names=["query_id", "chunk_id", "similarity"])
 
     return chunks.where("vector is not null").select("chunk_id", "vector").mapInArrow(run, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, similarity double")
