@@ -183,14 +183,20 @@ def policy_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- spans from line items -----------------------------------------------------------------------------------------
 
 
-def item_spans(spark: SparkSession, sf_dir: str, kind: str = "PER") -> DataFrame:
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of an order's lines of one number, in the order of the table's files and their rows."""
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.struct("l_partkey", "l_suppkey").alias("line"), F.struct("_metadata.file_path", "_metadata.row_index").alias("place"))
+    return rows.groupBy("l_orderkey", "l_linenumber").agg(F.min_by("line", "place").alias("line")).select("l_orderkey", "l_linenumber", "line.*")
+
+
+def item_spans(spark: SparkSession, sf_dir: str, kind: str = "PER", *more: str) -> DataFrame:
     """A span for each line of an order: it starts at ten times the line's number and is 6 to 10 characters long."""
     n = (6 + F.col("l_partkey") % 5).cast("int")
     start = (10 * F.col("l_linenumber")).cast("int")
-    return read(spark, sf_dir, "lineitem").select(
+    return items(spark, sf_dir).select(
         F.col("l_orderkey").alias("doc_id"), F.repeat(F.lit("x"), n).alias("text"), F.lit(kind).alias("entity_type"), start.alias("start"), (start + n).alias("end"),
-        (F.col("l_suppkey") % 10 / 10).alias("score"), F.lit("ner").alias("source_layer"), F.lit("items").alias("recognizer"), F.lit("   ").alias("tail"),
-    ).dropDuplicates(["doc_id", "start"])
+        (F.col("l_suppkey") % 10 / 10).alias("score"), F.lit("ner").alias("source_layer"), F.lit("items").alias("recognizer"), F.lit("   ").alias("tail"), *more,
+    )
 
 
 _ITEMS = "i AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) l_orderkey AS doc_id, CAST(10 * l_linenumber AS INT) AS s, CAST(10 * l_linenumber + 6 + l_partkey % 5 AS INT) AS e, l_partkey, l_suppkey FROM lineitem)"
@@ -227,9 +233,7 @@ _HALF = "a AS (SELECT * FROM i WHERE l_partkey % 2 = 0), b AS (SELECT doc_id, s
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = item_spans(spark, sf_dir)
-    keys = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (10 * F.col("l_linenumber")).cast("int").alias("start"), "l_partkey").dropDuplicates(["doc_id", "start"])
-    rows = rows.join(keys, ["doc_id", "start"])
+    rows = item_spans(spark, sf_dir, "PER", "l_partkey")
     return rows.where("l_partkey % 2 = 0").drop("l_partkey"), rows.where("l_partkey % 3 = 0").drop("l_partkey").withColumns({"start": F.col("start") + 5, "end": F.col("end") + 5})
 
 
