@@ -128,14 +128,15 @@ def telemetry(requests: DataFrame) -> DataFrame:
 def login_blocks(attempts: DataFrame, seconds: int = 300, most: int = 8) -> DataFrame:
     """attempts (ip, username, ts, attempt_id, success) with failures and blocked, by event time.
 
-    failures: those of the last `seconds` since the key's last success; from `most` on, an attempt is blocked.
+    failures: those of the last `seconds` since the key's last success, to the nearest second; from `most` on, an attempt is
+    blocked. Attempts of one second and one id do not count each other.
     """
     key = ["ip", "username"]
     order = Window.partitionBy(*key).orderBy("ts", "attempt_id")
     cleared = F.coalesce(F.sum(F.col("success").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = attempts.withColumn("_round", cleared).withColumn("_t", F.unix_seconds(F.col("ts").cast("timestamp"))).withColumn("_fail", (~F.col("success")).cast("int"))
+    rows = attempts.withColumn("_round", cleared).withColumn("_t", F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long")).withColumn("_fail", (~F.col("success")).cast("int"))
     recent = Window.partitionBy(*key, "_round").orderBy("_t").rangeBetween(-seconds, 0)
-    same = Window.partitionBy(*key, "_round", "_t").orderBy("attempt_id").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    same = Window.partitionBy(*key, "_round", "_t").orderBy("attempt_id").rangeBetween(Window.currentRow, Window.unboundedFollowing)
     failures = F.sum("_fail").over(recent) - F.sum("_fail").over(same)  # those before this attempt
     rows = rows.withColumn("failures", F.coalesce(failures, F.lit(0)))
     return rows.withColumn("blocked", F.col("failures") >= most).drop("_round", "_t", "_fail")
