@@ -5,9 +5,11 @@ import time
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from veilstream.operators import analytics, audit, diff, models, registry, stores
+from veilstream.plans import catalog
 from veilstream.streaming import stateful
 
 
@@ -240,3 +242,10 @@ def test_two_directory_entries_for_one_user(spark):
     for some in (entries, entries[::-1]):
         out = stores.sync_directory(users, spark.createDataFrame(some, "dn string, username string, email string, display_name string").repartition(2))
         assert sorted((r.user_id, r.ldap_dn, r.email) for r in out.collect()) == [("ldap:dn7", "dn7", "n"), ("u1", "dn9", "a9"), ("u2", "dn2", "i2")]
+
+
+@pytest.mark.parametrize("name", ["golden_spans", "likely_moves", "line_filters", "anonymize_restore"])
+def test_texts_are_not_sent_through_the_driver(spark, name, capsys):
+    """Spark takes texts put together from columns for short and would broadcast them, however many there are."""
+    catalog.queries()[name](spark, "/root/testdata/sf0.001").explain()
+    assert "Broadcast" not in capsys.readouterr().out

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilstream.functions.text import html
+from veilstream.sources.tables import dealt
 
 OPS = "array<struct<kind:string,text:string>>"
 
@@ -203,24 +206,25 @@ def moved_blocks(old: DataFrame, new: DataFrame, key: str = "doc_id", least: int
     """Blocks that occur once on either side, are at least `least` characters away, and pass another such block."""
     unique = lambda df: blocks(df, key).withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy(key, "norm"))).where("_c = 1")
     a, b = unique(old), unique(new)
-    both = a.select(key, "norm", F.col("block").alias("old_block"), F.col("start").alias("old_start"), F.col("end").alias("old_end")).join(b.select(key, "norm", F.col("block").alias("new_block"), F.col("start").alias("new_start"), F.col("end").alias("new_end")), [key, "norm"])
+    both = a.select(key, "norm", F.col("block").alias("old_block"), F.col("start").alias("old_start"), F.col("end").alias("old_end")).join(dealt(b.select(key, "norm", F.col("block").alias("new_block"), F.col("start").alias("new_start"), F.col("end").alias("new_end"))), [key, "norm"])
     order = Window.partitionBy(key).orderBy("new_block")
     before, after = F.lag("old_block").over(order), F.lead("old_block").over(order)
     turned = F.coalesce(before > F.col("old_block"), F.lit(False)) | F.coalesce(after < F.col("old_block"), F.lit(False))
     return both.withColumn("_t", turned).where(F.col("_t") & (F.abs(F.col("new_start") - F.col("old_start")) >= least)).drop("_t", "norm")
 
 
-def _pair_up(least: float):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        """One-to-one moves of one document: the longest deletion first takes the insertion most like it."""
-        gone, come, out = set(), set(), []
-        for r in group.sort_values(["n", "d", "sim", "i"], ascending=[False, True, False, True]).itertuples(index=False):
-            if r.d not in gone and r.i not in come and r.sim >= least:
-                gone.add(r.d), come.add(r.i)
-                out.append(r)
-        return pd.DataFrame(out, columns=group.columns)
-
-    return run
+def _pair_up(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One-to-one moves of documents whose rows follow each other: the longest deletion first takes the insertion most like it."""
+    last, gone, come = object(), set(), set()
+    for part in parts:
+        keep = []
+        for key, d, i in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+            if key != last:
+                last, gone, come = key, set(), set()
+            keep.append(d not in gone and i not in come)
+            if keep[-1]:
+                gone.add(d), come.add(i)
+        yield part.filter(pa.array(keep, pa.bool_()))
 
 
 def alike(left: DataFrame, right: DataFrame, key: str, least: float) -> DataFrame:
@@ -233,16 +237,16 @@ def alike(left: DataFrame, right: DataFrame, key: str, least: float) -> DataFram
     words = sides[0].union(sides[1]).select("k", F.explode("words").alias("w")).groupBy("k", "w").agg(F.count(F.lit(1)).alias("often"))
 
     def prefixes(df: DataFrame, n: str) -> DataFrame:
-        rows = df.select("k", "id", F.size("words").alias("size"), F.explode("words").alias("w")).join(words, ["k", "w"])
+        rows = df.select("k", "id", F.size("words").alias("size"), F.explode("words").alias("w")).join(dealt(words), ["k", "w"])
         place = F.row_number().over(Window.partitionBy("k", "id").orderBy("often", "w"))
         first = rows.withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.lit(least) * F.col("size") - 1e-9) + 1)
         return first.select("k", F.col("id").alias(n), F.col("size").alias(f"{n}s"), "w")
 
     sized = F.least("ds", "is") >= F.lit(least) * F.greatest("ds", "is") - 1e-9
-    pairs = prefixes(sides[0], "d").join(prefixes(sides[1], "i"), ["k", "w"]).where(sized).select("k", "d", "i").distinct()
+    pairs = prefixes(sides[0], "d").join(dealt(prefixes(sides[1], "i")), ["k", "w"]).where(sized).select("k", "d", "i").distinct()
     a, b = (df.select("k", F.col("id").alias(n), F.col("words").alias(f"{n}w")) for df, n in zip(sides, "di", strict=True))
     sim = F.size(F.array_intersect("dw", "iw")) / F.greatest(F.size("dw"), F.size("iw"))
-    return pairs.join(a, ["k", "d"]).join(b, ["k", "i"]).withColumn("sim", sim).where(F.col("sim") >= least).select(F.col("k").alias(key), "d", "i", "sim")
+    return pairs.join(dealt(a), ["k", "d"]).join(dealt(b), ["k", "i"]).withColumn("sim", sim).where(F.col("sim") >= least).select(F.col("k").alias(key), "d", "i", "sim")
 
 
 def likely_moves(changes: DataFrame, key: str = "doc_id", least: float = 0.82) -> DataFrame:
@@ -250,9 +254,10 @@ def likely_moves(changes: DataFrame, key: str = "doc_id", least: float = 0.82) -
     rows = changes.withColumn("words", F.array_distinct(F.filter(F.split(normal_block(F.col("text")), " "), lambda w: w != ""))).where(F.size("words") >= 3)
     gone = rows.where("kind = 'del'").withColumnRenamed("i", "d")
     pairs = alike(gone, rows.where("kind = 'ins'"), key, least)
-    pairs = pairs.join(gone.select(key, "d", F.char_length("text").alias("n")), [key, "d"])
+    pairs = pairs.join(dealt(gone.select(key, "d", F.char_length("text").alias("n"))), [key, "d"])
     kind = dict(pairs.dtypes)[key]
-    return pairs.select(key, "d", "i", "sim", "n").groupBy(key).applyInPandas(_pair_up(least), f"{key} {kind}, d int, i int, sim double, n int")
+    rows = pairs.select(key, "d", "i", "sim", "n").repartition(key).sortWithinPartitions(key, F.desc("n"), "d", F.desc("sim"), "i")
+    return rows.mapInArrow(_pair_up, f"{key} {kind}, d int, i int, sim double, n int")
 
 
 def uncovered(changes: DataFrame, moves: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -27,6 +27,18 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df as the side of a join for which neither side is collected by the driver.
+
+    Spark takes a text that is put together from columns for twenty bytes, and rows that compress well for few; of either
+    it would send all to the driver and on to every executor. With keys, the join keeps its number of tasks, which Spark
+    would bring down to one where texts compress well, however long the work on them is.
+    """
+    if keys:
+        df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return df.hint("merge")
+
+
 def bucket(keys: list[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
