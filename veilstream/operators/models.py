@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from veilstream.functions import fixed
 from veilstream.operators.recognize import SPANS, from_model
 from veilstream.operators.spans import realign
+from veilstream.sources.tables import dealt
 
 #: Characters of a text that a language model is given.
 MOST_CHARS = 8000
@@ -123,7 +124,7 @@ def answer_spans(answered: DataFrame) -> DataFrame:
 def verify(spans: DataFrame, docs: DataFrame, answered: DataFrame) -> DataFrame:
     """Each document's spans as verified by its answer, put where their text is; where the answer has none, as they were."""
     checked = realign(answer_spans(answered), docs)
-    return checked.unionByName(spans.select(*checked.columns).join(checked.select("doc_id").distinct(), "doc_id", "left_anti"))
+    return checked.unionByName(spans.select(*checked.columns).join(dealt(checked.select("doc_id").distinct()), "doc_id", "left_anti"))
 
 
 def cost(requests: DataFrame, model: str = fixed.USUAL_MODEL, thinking: str = "high") -> DataFrame:

@@ -11,6 +11,7 @@ from veilstream.functions import text
 from veilstream.operators import analytics, diff, evaluate, filters, models, recognize, registry, restore, spans, stores
 from veilstream.plans.registered import query, read
 from veilstream.sources import documents
+from veilstream.sources.tables import dealt
 
 
 @query("SELECT o_orderkey, lower(trim(regexp_replace(trim(' ' || o_orderpriority || [':', ' !?', ';;', ''][o_orderkey % 4 + 1] || ' '), '[:;,.!?-]+$', ''))) AS key FROM orders")
@@ -131,7 +132,7 @@ def corrected_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registry_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapping = _mapping(spark, sf_dir)
     forms = registry.entries(mapping).groupBy("session_id").agg(F.count(F.lit(1)).cast("int").alias("forms"))
-    return registry.entity_counts(mapping).join(forms, "session_id").select("session_id", F.col("entity_count").cast("int").alias("entity_count"), "forms")
+    return registry.entity_counts(mapping).join(dealt(forms), "session_id").select("session_id", F.col("entity_count").cast("int").alias("entity_count"), "forms")
 
 
 @query("SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 2 THEN 'see [PERSON_1]' ELSE 'see me' || o_orderkey END AS text, CASE WHEN o_orderkey % 3 = 2 THEN 'CUSTOM' ELSE 'PER' END AS entity_type FROM orders")
@@ -144,7 +145,7 @@ def manually_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapping = _mapping(spark, sf_dir).where("session_id % 3 < 2").withColumns({"canonical": F.concat(F.lit("me"), F.col("session_id").cast("string")), "original_forms": F.array().cast("array<string>"), "surface_forms": F.when(F.col("session_id") % 3 == 1, F.array(F.lit("wrong"))).otherwise(F.array().cast("array<string>"))})
     manual = rows.where("o_orderkey % 3 = 1").select(key.alias("session_id"), F.lit("[PERSON_1]").alias("raw"), mine.alias("value"))
     back, found = restore.restore(texts, mapping, manual, language="en")
-    return back.join(restore.with_types(found, mapping).select("doc_id", "entity_type"), "doc_id").select("doc_id", "text", "entity_type")
+    return back.join(dealt(restore.with_types(found, mapping).select("doc_id", "entity_type")), "doc_id").select("doc_id", "text", "entity_type")
 
 
 @query("SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN 8 WHEN 1 THEN 8 ELSE 3 END AS start, CASE o_orderkey % 3 WHEN 0 THEN 12 WHEN 1 THEN 12 ELSE 7 END AS \"end\" FROM orders")
