@@ -10,13 +10,12 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilstream.functions import fixed
 from veilstream.operators.recognize import SPANS, from_model
 from veilstream.operators.spans import realign
-from veilstream.sources.tables import dealt
 
 #: Characters of a text that a language model is given.
 MOST_CHARS = 8000
@@ -124,7 +123,8 @@ def answer_spans(answered: DataFrame) -> DataFrame:
 def verify(spans: DataFrame, docs: DataFrame, answered: DataFrame) -> DataFrame:
     """Each document's spans as verified by its answer, put where their text is; where the answer has none, as they were."""
     checked = realign(answer_spans(answered), docs)
-    return checked.unionByName(spans.select(*checked.columns).join(dealt(checked.select("doc_id").distinct()), "doc_id", "left_anti"))
+    rows = checked.withColumn("_c", F.lit(True)).unionByName(spans.select(*checked.columns).withColumn("_c", F.lit(False)))  # answers are read once
+    return rows.withColumn("_g", F.max("_c").over(Window.partitionBy("doc_id"))).where("_c = _g").drop("_c", "_g")
 
 
 def cost(requests: DataFrame, model: str = fixed.USUAL_MODEL, thinking: str = "high") -> DataFrame:
