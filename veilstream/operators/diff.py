@@ -9,11 +9,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilstream.functions.text import html
-from veilstream.sources.tables import dealt
+from veilstream.sources.tables import dealt, unlisted
 
 OPS = "array<struct<kind:string,text:string>>"
 
@@ -69,6 +70,36 @@ def _furthest(x: np.ndarray, y: np.ndarray) -> list[np.ndarray] | None:
             return found
 
 
+#: Bits of the table of lengths that _way_by_bits keeps; larger tables are left to the other two.
+BITS = 1 << 24
+
+
+def _way_by_bits(x: list[int], y: list[int]) -> list[str]:
+    """The kinds of steps from the table of lengths, as _way_by_table reads it, of which a row is one number: where a row's length grows, its bit is 0."""
+    places: dict[int, int] = {}
+    for j, t in enumerate(y):
+        places[t] = places.get(t, 0) | 1 << j
+    row = full = (1 << len(y)) - 1
+    rows = [row]
+    for t in x:
+        on = row & places.get(t, 0)
+        row = ((row + on) | (row ^ on)) & full
+        rows.append(row)
+    i, j, steps = len(x), len(y), []
+    grows = lambda k: j - (rows[k] & ((1 << j) - 1)).bit_count()
+    while i or j:
+        if i and j and x[i - 1] == y[j - 1]:
+            steps.append("equal")
+            i, j = i - 1, j - 1
+        elif i and (not j or not rows[i] >> (j - 1) & 1 or rows[i] == rows[i - 1] or grows(i) == grows(i - 1)):
+            steps.append("del")
+            i -= 1
+        else:
+            steps.append("ins")
+            j -= 1
+    return steps
+
+
 def _way_by_points(x: np.ndarray, y: np.ndarray, found: list[np.ndarray]) -> list[str]:
     """The kinds of steps, read from the end: the place before a deletion can be reached with one step less, else it is an insertion."""
     i, j, d, steps = len(x), len(y), len(found) - 1, []
@@ -135,9 +166,13 @@ def _runs(a: list[str], b: list[str]) -> list[tuple[str, str]]:
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
     ids: dict[str, int] = {}
-    x, y = (np.array([ids.setdefault(t, len(ids)) for t in s[head : len(s) - tail]], np.int64) for s in (a, b))
-    found = _furthest(x, y)
-    steps = _way_by_table(x, y) if found is None else _way_by_points(x, y, found)
+    x, y = ([ids.setdefault(t, len(ids)) for t in s[head : len(s) - tail]] for s in (a, b))
+    if len(x) * len(y) <= BITS:
+        steps = _way_by_bits(x, y)
+    else:
+        x, y = np.array(x, np.int64), np.array(y, np.int64)
+        found = _furthest(x, y)
+        steps = _way_by_table(x, y) if found is None else _way_by_points(x, y, found)
     out: list[tuple[str, str]] = []
     i = j = 0
     kinds = ["equal"] * head + steps[::-1] + ["equal"] * tail
@@ -165,15 +200,25 @@ def diff_html(ops: Column) -> Column:
 
 def mutations(diffs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, i, kind, text, start, end, at): deletions at their place in the old text, insertions in the new one; `at` is where they stand in the other."""
-    rows = diffs.select(key, F.posexplode("ops").alias("i", "op"))
-    n = F.char_length("op.text")
-    before = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    old = F.coalesce(F.sum(F.when(F.col("op.kind") != "ins", n).otherwise(0)).over(before), F.lit(0))
-    new = F.coalesce(F.sum(F.when(F.col("op.kind") != "del", n).otherwise(0)).over(before), F.lit(0))
-    rows = rows.withColumns({"_o": old, "_n": new}).where("op.kind <> 'equal'")
-    gone = F.col("op.kind") == "del"
-    start = F.when(gone, F.col("_o")).otherwise(F.col("_n"))
-    return rows.select(key, "i", F.col("op.kind").alias("kind"), F.col("op.text").alias("text"), start.alias("start"), (start + n).alias("end"), F.when(gone, F.col("_n")).otherwise(F.col("_o")).alias("at"))
+    kind = diffs.schema[key].dataType.simpleString()
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            ops, owners = unlisted(part.column(1))
+            own, n, what = np.array(owners, np.int64), pc.utf8_length(ops["text"]).to_numpy(zero_copy_only=False).astype(np.int64), ops["kind"].to_numpy(zero_copy_only=False)
+            first = np.searchsorted(own, own)
+
+            def before(counts: np.ndarray) -> np.ndarray:
+                past = np.concatenate(([0], np.cumsum(np.where(counts, n, 0))))
+                return past[:-1] - past[first]
+
+            gone, old, new = what == "del", before(what != "ins"), before(what != "del")
+            start = np.where(gone, old, new)
+            cols = [np.arange(len(own), dtype=np.int32) - first.astype(np.int32), ops["kind"], ops["text"], start, start + n, np.where(gone, new, old)]
+            out = pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), *[c if isinstance(c, pa.Array) else pa.array(c) for c in cols]], names=[key, "i", "kind", "text", "start", "end", "at"])
+            yield out.filter(pa.array(what != "equal"))
+
+    return diffs.select(key, "ops").where("ops is not null").mapInArrow(run, f"`{key}` {kind}, i int, kind string, text string, start long, end long, at long")
 
 
 def normal_block(text: Column) -> Column:
