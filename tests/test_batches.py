@@ -81,3 +81,17 @@ def test_places_of_changes_take_no_shuffle(spark):
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, got.where("doc_id = 5").collect())) == [(5, 1, "del", "old", 2, 5, 2), (5, 2, "ins", "n😀w", 2, 5, 5), (5, 4, "ins", "", 6, 6, 6)]
     assert got.count() == 2 * (0 + 0 + 1 + 2 + 2 + 3)
+
+
+def test_moved_sections_take_one_shuffle_of_digests(spark):
+    """Texts of sections stay where they are: what is shuffled holds no text, and neither side is joined."""
+    body = lambda n, x="goods": f"{n}. Section {n}\n{n}.1 The party of part {n} delivers {x} and pays for them within thirty days of the invoice date"
+    text = lambda *parts: "\n".join(["Preamble 1", *parts])
+    old = [(1, text(body(1), body(2), body(3))), (2, text(body(1), body(2))), (3, text(body(1), body(1), body(2))), (4, None), (None, text(body(1), body(2)))]
+    new = [(1, text(body(3), body(2), body(1))), (2, text(body(1), body(2))), (3, text(body(2), body(1), body(1))), (4, ""), (None, text(body(2), body(1)))]
+    got = diff.moved_blocks(*(spark.createDataFrame(rows, "doc_id long, text string") for rows in (old, new)))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert got.columns == ["doc_id", "old_block", "old_start", "old_end", "new_block", "new_start", "new_end"]
+    n = len(body(1)) + 1
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 11, 10 + n, 3, 11 + 2 * n, 10 + 3 * n), (1, 3, 11 + 2 * n, 10 + 3 * n, 1, 11, 10 + n)]

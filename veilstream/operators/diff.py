@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilstream.functions.text import html
+from veilstream.functions.text import html, once
 from veilstream.sources.tables import dealt, unlisted
 
 OPS = "array<struct<kind:string,text:string>>"
@@ -224,7 +225,7 @@ def mutations(diffs: DataFrame, key: str = "doc_id") -> DataFrame:
 def normal_block(text: Column) -> Column:
     """Text without clause numbers and signs, in lower case."""
     plain = F.regexp_replace(F.lower(text), r"(?Um)^\s*\d+(?:\.\d+)*\.?\s+", " ")
-    return F.btrim(F.regexp_replace(F.regexp_replace(plain, r"(?U)[^\p{L}\p{N}]+", " "), r"\s+", " "))
+    return F.btrim(F.regexp_replace(plain, r"(?U)[^\p{L}\p{N}]+", " "))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -234,28 +235,45 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(most > 0, F.size(F.array_intersect(x, y)) / most).otherwise(F.lit(0.0))
 
 
+_HEADING = re.compile(r"\s*\d+\.\s+\S", re.ASCII)
+
+
 def blocks(texts: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, block, start, end, text, norm): sections that begin with a numbered heading and have a sub-clause, 80 characters and 10 words at least."""
-    lines = texts.select(key, F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
-    order = Window.partitionBy(key).orderBy("i")
-    past = order.rowsBetween(Window.unboundedPreceding, -1)
-    at = F.coalesce(F.sum(F.char_length("line") + 1).over(past), F.lit(0))
-    head = F.when(F.col("line").rlike(r"\A\s*\d+\.\s+\S"), 1).otherwise(0)
-    rows = lines.withColumn("start", at).withColumn("block", F.sum(head).over(order)).where("block > 0")
-    got = rows.groupBy(key, "block").agg(F.min("start").alias("start"), F.max(F.col("start") + F.char_length("line")).alias("end"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    got = got.withColumn("norm", normal_block(F.col("text")))
-    return got.where(F.col("text").rlike(r"(?m)^\s*\d+\.\d+") & (F.char_length("text") >= 80) & (F.size(F.split("norm", " ")) >= 10))
+    kind = texts.schema[key].dataType.simpleString()
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            rows: list[tuple] = []
+            for i in range(part.num_rows):
+                body, at, heads = part.column(1)[i].as_py(), 0, []
+                for line in body.split("\n"):
+                    if _HEADING.match(line):
+                        heads.append(at)
+                    at += len(line) + 1
+                rows += [(i, n, s, e - 1, body[s : e - 1]) for n, (s, e) in enumerate(zip(heads, [*heads, at][1:], strict=True), 1)]
+            own, *cols = zip(*rows, strict=True) if rows else ((),) * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own, pa.int64())), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=[key, "block", "start", "end", "text"])
+
+    got = texts.select(key, "text").where("text is not null").mapInArrow(run, f"`{key}` {kind}, block long, start long, end long, text string")
+    got = once(got.where(F.col("text").rlike(r"(?m)^\s*\d+\.\d+") & (F.char_length("text") >= 80)), norm=normal_block(F.col("text")))
+    return got.where(F.size(F.split("norm", " ")) >= 10)
 
 
 def moved_blocks(old: DataFrame, new: DataFrame, key: str = "doc_id", least: int = 60) -> DataFrame:
     """Blocks that occur once on either side, are at least `least` characters away, and pass another such block."""
-    unique = lambda df: blocks(df, key).withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy(key, "norm"))).where("_c = 1")
-    a, b = unique(old), unique(new)
-    both = a.select(key, "norm", F.col("block").alias("old_block"), F.col("start").alias("old_start"), F.col("end").alias("old_end")).join(dealt(b.select(key, "norm", F.col("block").alias("new_block"), F.col("start").alias("new_start"), F.col("end").alias("new_end"))), [key, "norm"])
+    digest = F.substring(F.unhex(F.sha2("norm", 256)), 1, 16).alias("_h")  # blocks are told apart within one text
+    side = lambda df, old: blocks(df, key).select(key, digest, F.lit(old).alias("_old"), F.struct("block", "start", "end").alias("_b"))
+    both = side(old, True).union(side(new, False)).where(F.col(key).isNotNull()).repartition(key)  # all that follows is within a text
+    equal = Window.partitionBy(key, "_h")
+    of = lambda which: F.when(F.col("_old") == which, F.col("_b"))
+    both = both.select(key, "_old", "_b", F.count(of(True)).over(equal).alias("_n"), F.count(of(False)).over(equal).alias("_m"), F.max(of(True)).over(equal).alias("_o")).where("_n = 1 and _m = 1 and not _old")
+    both = both.select(key, *[F.col(f"{c}.{n}").alias(f"{name}_{n}") for c, name in (("_o", "old"), ("_b", "new")) for n in ("block", "start", "end")])
     order = Window.partitionBy(key).orderBy("new_block")
     before, after = F.lag("old_block").over(order), F.lead("old_block").over(order)
     turned = F.coalesce(before > F.col("old_block"), F.lit(False)) | F.coalesce(after < F.col("old_block"), F.lit(False))
-    return both.withColumn("_t", turned).where(F.col("_t") & (F.abs(F.col("new_start") - F.col("old_start")) >= least)).drop("_t", "norm")
+    return both.withColumn("_t", turned).where(F.col("_t") & (F.abs(F.col("new_start") - F.col("old_start")) >= least)).drop("_t")
 
 
 def _pair_up(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
