@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from veilstream.operators import analytics, audit, diff, models, registry, stores
+from veilstream.operators import analytics, audit, diff, models, registry, restore, stores
 from veilstream.plans import catalog
 from veilstream.streaming import stateful
 
@@ -249,3 +249,63 @@ def test_texts_are_not_sent_through_the_driver(spark, name, capsys):
     """Spark takes texts put together from columns for short and would broadcast them, however many there are."""
     catalog.queries()[name](spark, "/root/testdata/sf0.001").explain()
     assert "Broadcast" not in capsys.readouterr().out
+
+
+def plain_target(normalized, known, language):
+    """The placeholder of known that a normalized one means, by trying all of them one after the other."""
+    cut = lambda p: (p[1:-1].rpartition("_")[0], p[1:-1].rpartition("_")[2])
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    name, number = cut(normalized)
+    other = (restore._EN_RU if language == "ru" else restore._RU_EN).get(name)
+    names = [name] + ([other] if other else [])
+    for n in names:
+        if f"[{n}_{number}]" in known:
+            return f"[{n}_{number}]"
+    for n in names:
+        near = [(edits(n, cut(p)[0]), p) for p in known if cut(p)[1] == number]
+        near = [(d, p) for d, p in near if d <= min(2, min(len(n), len(cut(p)[0])) // 4)]
+        if near:
+            return min(near)[1]
+    return None
+
+
+@pytest.mark.parametrize("language", ["ru", "en"])
+def test_placeholders_mean_what_trying_all_gives(spark, language):
+    rng = random.Random(5)
+    names = [*restore.LABELS[:12], "PERSAN", "PERSONS", "ADRESS", "PROJECTS", "PROJECT", "PROJEKT"]
+    known = {s: {f"[{rng.choice(names)}_{rng.randint(1, 3)}]" for _ in range(rng.randint(0, 25))} for s in "abcdef"}
+    shape = "session_id string, placeholder string, canonical string, entity_type string, original_forms array<string>, surface_forms array<string>"
+    mapping = spark.createDataFrame([(s, p, f"{s}{p}", "X", [], [f"{s}{p}0", f"{s}{p}1"][: rng.randint(0, 2)]) for s, ps in known.items() for p in sorted(ps)], shape)
+    asked = [(s, d, " ".join(f"[{rng.choice(names)}_{rng.randint(1, 4)}]" for _ in range(rng.randint(0, 30)))) for s in "abcdefg" for d in range(4)]
+    texts = spark.createDataFrame(asked, "session_id string, doc_id long, text string")
+    back, found = restore.restore(texts, mapping, language=language)
+    forms = {(r.session_id, r.placeholder): r.surface_forms for r in mapping.collect()}
+    want, out = [], {}
+    for s, d, text in asked:
+        met, words = {}, []
+        for i, raw in enumerate(text.split()):
+            p, n = plain_target(raw, known.get(s, ()), language), met.setdefault(raw, 0)
+            met[raw] += 1
+            value = None if p is None else (forms[s, p][n] if n < len(forms[s, p]) else f"{s}{p}")
+            want.append((s, d, i, p or "", n, value or ""))
+            words.append(value or raw)
+        out[s, d] = " ".join(words)
+    assert sorted((r.session_id, r.doc_id, r.i, r.placeholder or "", r.occurrence, r.value or "") for r in found.collect()) == sorted(want)
+    assert {(r.session_id, r.doc_id): r.text for r in back.collect()} == out
+
+
+@pytest.mark.parametrize("name", ["distorted_placeholders", "manually_restored", "anonymize_restore"])
+def test_texts_are_searched_for_placeholders_once(spark, name, capsys):
+    """What is found and resolved is read again, not worked out again: for the texts, the resolutions and what is asked of the mapping."""
+    catalog.queries()[name](spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out
+    assert "regexp_extract_all" not in plan
+    assert name == "anonymize_restore" or plan.count("Exchange hashpartitioning") <= 8
