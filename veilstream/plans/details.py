@@ -145,7 +145,7 @@ def manually_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapping = _mapping(spark, sf_dir).where("session_id % 3 < 2").withColumns({"canonical": F.concat(F.lit("me"), F.col("session_id").cast("string")), "original_forms": F.array().cast("array<string>"), "surface_forms": F.when(F.col("session_id") % 3 == 1, F.array(F.lit("wrong"))).otherwise(F.array().cast("array<string>"))})
     manual = rows.where("o_orderkey % 3 = 1").select(key.alias("session_id"), F.lit("[PERSON_1]").alias("raw"), mine.alias("value"))
     back, found = restore.restore(texts, mapping, manual, language="en")
-    return back.join(dealt(restore.with_types(found, mapping).select("doc_id", "entity_type")), "doc_id").select("doc_id", "text", "entity_type")
+    return back.join(dealt(restore.with_types(found, mapping).select("session_id", "doc_id", "entity_type")), ["session_id", "doc_id"]).select("doc_id", "text", "entity_type")
 
 
 @query("SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN 8 WHEN 1 THEN 8 ELSE 3 END AS start, CASE o_orderkey % 3 WHEN 0 THEN 12 WHEN 1 THEN 12 ELSE 7 END AS \"end\" FROM orders")
