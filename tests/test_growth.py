@@ -151,6 +151,31 @@ def test_lemmas_of_long_names(spark):
     assert len(mapping.where("entity_type = 'PER'").first().canonical.split(" ")) == 1500
 
 
+def test_a_name_that_all_rows_hold_is_dealt_out(spark, monkeypatch):
+    """Rows of one value meet its dictionary form in many tasks, and keep what they were."""
+    monkeypatch.setattr(registry, "settled", lambda df: df)
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 50 == 0, F.concat(F.lit("rare "), F.col("id").cast("string"))).otherwise("anna").alias("canonical"), F.when(F.col("id") % 3 == 0, "ORG").otherwise("PER").alias("entity_type"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = registry.with_lemmas(rows, F.upper)
+        assert out.columns == rows.columns
+        got = out.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    plain = {r.id: r.canonical.upper() if r.entity_type == "PER" else r.canonical for r in rows.collect()}
+    assert len(got) == 4000 and {r.id: r.canonical for r in got} == plain
+    share = [sum(r.canonical == "ANNA" and r.task == k for r in got) for k in range(4)]
+    assert max(share) < 0.7 * sum(share)
+
+
+def test_mentions_are_sorted_in_as_many_tasks_as_spark_shuffles_into(spark, capsys):
+    """Long mentions that compress well would come together in a task for each core."""
+    rows = spark.range(200).select(F.col("id").alias("session_id"), F.lit(1).cast("long").alias("doc_id"), F.repeat(F.lit("имя "), 50).alias("text"), F.lit("PER").alias("entity_type"), F.lit(0).alias("start"), F.lit(5).alias("end"))
+    registry.placeholders(rows)[1].explain()
+    assert "REPARTITION_BY_NUM" in capsys.readouterr().out
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
