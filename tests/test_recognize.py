@@ -144,3 +144,18 @@ def test_text_windows(spark):
         text.line(F.col("b"), F.col("s"), F.col("e")).alias("line"), text.lines_with_previous(F.col("b"), F.col("s"), F.col("e")).alias("two"), text.after_line(F.col("b"), F.col("e"), 6).alias("after"), text.around(F.col("b"), F.col("s"), F.col("e"), 2).alias("around")
     ).first()
     assert tuple(row) == ("second a😀b line", "first line\nsecond a😀b line", "\nthird", "d a😀b l")
+
+
+def test_a_span_is_scored_once(spark, capsys):
+    """Context words are looked for once a span, not for its score, for the cutoff and for its layer anew."""
+    docs = spark.createDataFrame([(1, "ИНН: 7707083893")], "doc_id long, text string")
+    recognize.matches(docs).explain()
+    assert capsys.readouterr().out.count("налоговый") == 1
+
+
+def test_patterns_are_tried_on_texts_that_may_match():
+    """Strings that a pattern needs are whole: the beginning of another word does not count."""
+    streets = [r for r in recognize.RUSSIAN if "переулок" in r.pattern]
+    assert streets and not any(n in "оплатит перед культурой" for r in streets for n in r.needs)
+    kinds = {r.entity_type for r in recognize.RUSSIAN if r.needs and any(n in "тел. +7 916 123-45-67, бик 044525225, г. омск, пл. мира, д. 5" for n in r.needs)}
+    assert {"RU_PHONE", "RU_BIK", "ADDR"} <= kinds
