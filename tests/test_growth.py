@@ -334,3 +334,20 @@ def test_texts_are_searched_for_placeholders_once(spark, name, capsys):
     plan = capsys.readouterr().out
     assert "regexp_extract_all" not in plan
     assert name == "anonymize_restore" or plan.count("Exchange hashpartitioning") <= 8
+
+
+def test_moves_are_shuffled_once(spark, capsys):
+    """A change is shuffled as its text, not as a row for each of its words."""
+    catalog.queries()["likely_moves"](spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 1 and "explode" not in plan
+
+
+def test_moves_of_many_documents(spark, monkeypatch):
+    """Documents of one change, without a key, without a text and of many changes, over the borders of batches."""
+    monkeypatch.setattr(diff, "MOVES_AT_ONCE", 3)
+    rng = random.Random(8)
+    rows = [(k, i, rng.choice(["del", "ins"]), " ".join(rng.sample([f"w{j}" for j in range(9)], rng.randint(1, 9)))) for k in range(60) for i in range(rng.choice([1, 2, 9, 40]))]
+    extra = [(None, 1, "del", "a b c"), (None, 2, "ins", "a b c"), (1, 99, "ins", None), (1, 98, "equal", "a b c d")]
+    df = spark.createDataFrame(rows + extra, "name long, i int, kind string, text string")
+    assert sorted((r.name, r.d, r.i, round(r.sim, 9)) for r in diff.likely_moves(df, "name").collect()) == plain_moves(rows)

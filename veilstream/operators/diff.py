@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilstream.functions.text import html, once
-from veilstream.sources.tables import dealt, unlisted
+from veilstream.sources.tables import unlisted
 
 OPS = "array<struct<kind:string,text:string>>"
 
@@ -73,6 +74,8 @@ def _furthest(x: np.ndarray, y: np.ndarray) -> list[np.ndarray] | None:
 
 #: Bits of the table of lengths that _way_by_bits keeps; larger tables are left to the other two.
 BITS = 1 << 24
+#: Moves of a batch that leaves an Arrow pass.
+MOVES_AT_ONCE = 4000
 
 
 def _way_by_bits(x: list[int], y: list[int]) -> list[str]:
@@ -276,51 +279,81 @@ def moved_blocks(old: DataFrame, new: DataFrame, key: str = "doc_id", least: int
     return both.withColumn("_t", turned).where(F.col("_t") & (F.abs(F.col("new_start") - F.col("old_start")) >= least)).drop("_t")
 
 
-def _pair_up(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One-to-one moves of documents whose rows follow each other: the longest deletion first takes the insertion most like it."""
-    last, gone, come = object(), set(), set()
-    for part in parts:
-        keep = []
-        for key, d, i in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
-            if key != last:
-                last, gone, come = key, set(), set()
-            keep.append(d not in gone and i not in come)
-            if keep[-1]:
-                gone.add(d), come.add(i)
-        yield part.filter(pa.array(keep, pa.bool_()))
-
-
-def alike(left: DataFrame, right: DataFrame, key: str, least: float) -> DataFrame:
-    """(key, d, i, sim) of rows of left (key, d, words) and right (key, i, words) with similarity() of `least` or more.
-
-    A prefix filter: words stand in one order, the rarest of their document first, and two rows that are alike share one of
-    their first n - ceil(least * n) + 1 words. So a word that all rows have brings no pair, unless all of a row's words are such.
-    """
-    sides = [df.select(F.col(key).alias("k"), F.col(n).alias("id"), "words") for df, n in ((left, "d"), (right, "i"))]
-    words = sides[0].union(sides[1]).select("k", F.explode("words").alias("w")).groupBy("k", "w").agg(F.count(F.lit(1)).alias("often"))
-
-    def prefixes(df: DataFrame, n: str) -> DataFrame:
-        rows = df.select("k", "id", F.size("words").alias("size"), F.explode("words").alias("w")).join(dealt(words), ["k", "w"])
-        place = F.row_number().over(Window.partitionBy("k", "id").orderBy("often", "w"))
-        first = rows.withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.lit(least) * F.col("size") - 1e-9) + 1)
-        return first.select("k", F.col("id").alias(n), F.col("size").alias(f"{n}s"), "w")
+def _prefixes(rows: list[set[str]], least: float) -> list[list[str]]:
+    """The rarest n - ceil(least * n) + 1 of the words of each row. Two rows that are alike share one of them, so a word that all rows
+    have brings no pair, unless all of a row's words are such."""
+    often = Counter(w for words in rows for w in words)
+    return [sorted(words, key=lambda w: (often[w], w))[: len(words) - math.ceil(least * len(words) - 1e-9) + 1] for words in rows]
+
+
+def _pair_up(gone: list[tuple], come: list[tuple], least: float) -> Iterator[tuple[int, int, float, int]]:
+    """(d, i, sim, n): one-to-one moves of one document's changes (number, characters, words): the longest deletion first takes the insertion most like it."""
+    first = _prefixes([words for *_, words in (*gone, *come)], least)
+    under: dict[str, list[int]] = {}
+    for k, words in enumerate(first[len(gone) :]):
+        for w in words:
+            under.setdefault(w, []).append(k)
+    taken, done = set(), set()
+    for k in sorted(range(len(gone)), key=lambda k: (-gone[k][1], gone[k][0])):
+        d, n, words = gone[k]
+        if d in done:
+            continue
+        best = None
+        for j in {j for w in first[k] for j in under.get(w, ())}:
+            i, _, other = come[j]
+            size = max(len(words), len(other))
+            if i not in taken and min(len(words), len(other)) >= least * size - 1e-9:
+                sim = len(words & other) / size
+                if sim >= least and (best is None or (-sim, i) < best):
+                    best = -sim, i
+        if best:
+            done.add(d), taken.add(best[1])
+            yield d, best[1], -best[0], n
+
+
+def _moves(least: float):
+    """A pass over rows (key, i, gone, n, norm) in which those of a document follow each other; it holds one document's changes at a time."""
 
-    sized = F.least("ds", "is") >= F.lit(least) * F.greatest("ds", "is") - 1e-9
-    pairs = prefixes(sides[0], "d").join(dealt(prefixes(sides[1], "i")), ["k", "w"]).where(sized).select("k", "d", "i").distinct()
-    a, b = (df.select("k", F.col("id").alias(n), F.col("words").alias(f"{n}w")) for df, n in zip(sides, "di", strict=True))
-    sim = F.size(F.array_intersect("dw", "iw")) / F.greatest(F.size("dw"), F.size("iw"))
-    return pairs.join(dealt(a), ["k", "d"]).join(dealt(b), ["k", "i"]).withColumn("sim", sim).where(F.col("sim") >= least).select(F.col("k").alias(key), "d", "i", "sim")
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for part in parts:
+                yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
+
+        def batch() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[ahead.schema.names[0], "d", "i", "sim", "n"])
+
+        ahead = next(parts, None)
+        if ahead is None:
+            return
+        kinds, parts, out = (ahead.schema.types[0], pa.int32(), pa.int32(), pa.float64(), pa.int32()), itertools.chain([ahead], parts), []
+        for key, group in itertools.groupby(rows(), key=lambda r: r[0]):
+            sides: tuple[list, list] = [], []
+            for _, i, gone, n, norm in group:
+                words = set(norm.split(" ")) - {""}
+                if len(words) >= 3:
+                    sides[not gone].append((i, n, words))
+            if all(sides):
+                for move in _pair_up(*sides, least):
+                    out.append((key, *move))
+                    if len(out) >= MOVES_AT_ONCE:
+                        yield batch()
+        if out:
+            yield batch()
+
+    return run
 
 
 def likely_moves(changes: DataFrame, key: str = "doc_id", least: float = 0.82) -> DataFrame:
-    """(key, d, i, sim, n): deletions and insertions whose words agree, each in one move at most: the longest deletion first takes what is most like it."""
-    rows = changes.withColumn("words", F.array_distinct(F.filter(F.split(normal_block(F.col("text")), " "), lambda w: w != ""))).where(F.size("words") >= 3)
-    gone = rows.where("kind = 'del'").withColumnRenamed("i", "d")
-    pairs = alike(gone, rows.where("kind = 'ins'"), key, least)
-    pairs = pairs.join(dealt(gone.select(key, "d", F.char_length("text").alias("n"))), [key, "d"])
-    kind = dict(pairs.dtypes)[key]
-    rows = pairs.select(key, "d", "i", "sim", "n").repartition(key).sortWithinPartitions(key, F.desc("n"), "d", F.desc("sim"), "i")
-    return rows.mapInArrow(_pair_up, f"{key} {kind}, d int, i int, sim double, n int")
+    """(key, d, i, sim, n): deletions and insertions whose words agree, each in one move at most: the longest deletion first takes what is most like it.
+
+    Changes are shuffled once, as the text that their words are taken from; words, of which there are many times as many, are not.
+    """
+    kind = dict(changes.dtypes)[key]
+    rows = changes.where(F.col(key).isNotNull() & F.col("kind").isin("del", "ins") & F.col("text").isNotNull())
+    rows = rows.select(key, F.col("i").cast("int").alias("i"), (F.col("kind") == "del").alias("gone"), F.char_length("text").alias("n"), normal_block(F.col("text")).alias("norm"))
+    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(_moves(least), f"`{key}` {kind}, d int, i int, sim double, n int")
 
 
 def uncovered(changes: DataFrame, moves: DataFrame, key: str = "doc_id") -> DataFrame:
