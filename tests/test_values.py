@@ -2,7 +2,7 @@ import random
 import re
 
 from veilstream.functions import values
-from veilstream.operators import spans
+from veilstream.operators import registry, spans
 
 
 def plain_claims(body, wanted):
@@ -86,3 +86,13 @@ def test_claims_of_null_and_empty(spark):
     texts = spark.createDataFrame([(1, "ab ab"), (2, None), (3, "")], "doc_id long, text string")
     wanted = spark.createDataFrame([(1, "ab"), (1, ""), (1, None), (2, "ab"), (3, "x"), (9, "ab")], "doc_id long, text string")
     assert sorted((r.doc_id, r.text, r.start, r.end) for r in spans.claims(texts, wanted).collect()) == [(1, "ab", 0, 2), (1, "ab", 3, 5)]
+
+
+def test_values_are_not_collected_into_rows(spark, capsys):
+    """Neither Spark nor a batch holds a list of a text's values; texts of one id, null ones and null ids are as they were."""
+    docs = spark.createDataFrame([(1, "10 of 100, 10"), (1, "10"), (2, None), (3, "10"), (None, "10")], "doc_id long, text string")
+    given = [(1, "10", "[A]"), (1, "10", "[A]"), (1, "100", "[B]"), (2, "10", "[A]"), (None, "10", "[A]"), (9, "10", "[A]"), (3, "", "[A]"), (3, "10", None)]
+    done = registry.substitute_by_value(docs, spark.createDataFrame(given, "doc_id long, old string, new string"))
+    assert sorted((r.doc_id or 0, r.text or "", r.applied, r.skipped) for r in done.collect()) == [(0, "10", 0, 0), (1, "[A]", 1, 1), (1, "[A] of [B], [A]", 2, 0), (2, "", 0, 1), (3, "10", 0, 0)]
+    done.explain()
+    assert "collect_" not in capsys.readouterr().out
